@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import mixing, packing, pii, quality, secret
+from strandloom.llm import mixing, near, packing, pii, quality, secret
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret.digest(secret.find_spans(_table(spark, sf_dir, "documents")))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(_table(spark, sf_dir, "documents"), near.Near(words=3, percent=85))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
 
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_quality_rules": op2_quality_rules,
         "op3_secret_scan": op3_secret_scan,
+        "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op8_personal_data": op8_personal_data,
         "op10_mix_sources": op10_mix_sources,
     }
