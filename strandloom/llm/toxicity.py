@@ -15,8 +15,10 @@ from strandloom.llm.rows import WORD, map_rows
 _WORDS = re.compile(WORD)
 #: Bound of the sample: rows of each class, and characters of a row, that fitting takes.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
-#: Words that can be features; a word is one if its counts in toxic and other rows differ at this log-likelihood ratio.
-MOST_WORDS, RATIO = 20_000, 16.0
+#: Features at most; a word or stem is one if its counts in toxic and other rows differ at this log-likelihood ratio.
+MOST_WORDS, RATIO = 20_000, 24.0
+#: Beginnings of words, by length, that can be features beside whole words: many languages form words from stems.
+STEMS = (4, 5, 6)
 #: Words of a training sequence; steps of its fit.
 SEGMENT, STEPS = 64, 80
 THRESHOLD = 0.3
@@ -27,9 +29,14 @@ def plain(word: str) -> str:
     return word.strip(string.punctuation).lower()
 
 
+def forms(word: str) -> list[str]:
+    """What a plain word can be known by: itself as =word, and its stems as ^stem."""
+    return ["=" + word, *["^" + word[:k] for k in STEMS if len(word) > k]] if word else []
+
+
 @dataclass(frozen=True)
 class Chain:
-    """Two states, 0 clean and 1 toxic. vocabulary: word to number, from 1; 0 is every other word.
+    """Two states, 0 clean and 1 toxic. vocabulary: form to number, from 1, the most telling first; 0 is every other word.
 
     emission: for each number, how much more it speaks for state 1. move[i, j]: from state i to j. start: of both states.
     level: weights of document features, the constant first; see features().
@@ -41,6 +48,10 @@ class Chain:
     start: np.ndarray
     level: np.ndarray
 
+    def number(self, word: str) -> int:
+        """The most telling of a plain word's forms."""
+        return min((n for f in forms(word) if (n := self.vocabulary.get(f))), default=0)
+
     def marginals(self, places: list[int], numbers: list[int], n: int) -> list[float]:
         """P(toxic) of the words at places, the only ones of n in the vocabulary, by forward-backward over all n.
 
@@ -82,7 +93,7 @@ class Chain:
         return out[::-1]
 
     def tag(self, words: list[str]) -> tuple[list[int], list[float]]:
-        numbers = [self.vocabulary.get(plain(w), 0) for w in words]
+        numbers = [self.number(plain(w)) for w in words]
         places = [k for k, x in enumerate(numbers) if x]
         return places, self.marginals(places, [numbers[k] for k in places], len(words)) if places else []
 
@@ -97,27 +108,34 @@ def features(marginals: list[float], n: int) -> np.ndarray:
 
 
 def _vocabulary(texts: list[list[str]], toxic: list[int]) -> list[str]:
-    """Words that are more frequent among toxic rows, by log-likelihood ratio of the rows that have them.
+    """Words and stems that are more frequent among toxic rows, by log-likelihood ratio of the rows that have them.
 
-    A word counts once for each row and pair of neighbours: near copies of one toxic row don't speak for its other words.
+    A word counts only where its neighbours are new for its class: near copies of one toxic row don't speak for its
+    other words.
     """
-    rows: list[Counter] = [Counter(), Counter()]
-    met: list[set[int]] = [set(), set()]
-    for words, t in zip(texts, toxic, strict=True):
-        for w, (before, after) in {w: near for *near, w in zip(["", *words], [*words[1:], ""], words, strict=False)}.items():
-            if (h := hash((w, before, after))) not in met[t]:
-                met[t].add(h)
-                rows[t][w] += 1
+    counts: list[Counter] = [Counter(), Counter()]
+    for t in (1, 0):
+        met: set[int] = set()
+        for words, own in zip(texts, toxic, strict=True):
+            if own != t:
+                continue
+            here = set()
+            for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+                if (h := hash((w, before, after))) not in met:
+                    met.add(h)
+                    here.add(w)
+            found = {f for w in here for f in forms(w)}
+            counts[t].update(found if t else found & counts[1].keys())
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
     log = lambda k, n, p: k * np.log(p) + (n - k) * np.log(1 - p) if 0 < p < 1 else 0.0
-    found = []
-    for w, a in rows[1].items():
-        b = rows[0][w]
-        if w and a >= 3 and a * n0 > b * n1:
-            ratio = 2 * (log(a, n1, a / n1) + log(b, n0, b / n0 if n0 else 0) - log(a, n1, (a + b) / (n1 + n0)) - log(b, n0, (a + b) / (n1 + n0)))
+    ranked = []
+    for f, a in counts[1].items():
+        b = counts[0][f]
+        if a >= 3 and a * n0 > b * n1:
+            ratio = 2 * (log(a, n1, a / n1) + log(b, n0, b / n0) - log(a, n1, (a + b) / (n1 + n0)) - log(b, n0, (a + b) / (n1 + n0)))
             if ratio >= RATIO:
-                found.append((-ratio, w))
-    return [w for _, w in sorted(found)[:MOST_WORDS]]
+                ranked.append((-round(ratio, 6), -len(f), f))
+    return [f for *_, f in sorted(ranked)[:MOST_WORDS]]
 
 
 def _fit_chain(x: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,9 +200,10 @@ def fit(sample: list[tuple[str, int]], rows_of: tuple[int, int]) -> Chain:
     if not vocabulary:
         base = float(np.log(rate / (1 - rate))) if 0 < rate < 1 else -10.0
         return Chain({}, np.zeros(1), np.zeros((2, 2)), np.zeros(2), np.array([base, 0.0, 0.0, 0.0]))
+    known = Chain(vocabulary, np.zeros(1), np.zeros((2, 2)), np.zeros(2), np.zeros(4)).number
     xs, ys = [], []
     for w, t in zip(words, toxic, strict=True):
-        x = np.array([vocabulary.get(v, 0) for v in w], np.int32)
+        x = np.array([known(v) for v in w], np.int32)
         x = np.pad(x, (0, -len(x) % SEGMENT)).reshape(-1, SEGMENT)
         xs.append(x)
         ys.append(((x > 0) & bool(t)).astype(np.int64))
@@ -236,7 +255,7 @@ def _scorer(chain: Chain) -> Callable[[], Callable[..., Iterator[tuple]]]:
         def __missing__(self, word: str) -> int:
             if len(self) >= 400_000:
                 self.clear()
-            self[word] = out = chain.vocabulary.get(plain(word), 0)
+            self[word] = out = chain.number(plain(word))
             return out
 
     def start() -> Callable[..., Iterator[tuple]]:
