@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import mixing, near, packing, pii, quality, secret, toxicity, vectors
+from strandloom.llm import markup, mixing, near, packing, pii, quality, secret, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": op3_secret_scan,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_toxicity": op5_toxicity,
+        "op6_html_main_text": op6_html_main_text,
         "op8_personal_data": op8_personal_data,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_mix_sources": op10_mix_sources,
