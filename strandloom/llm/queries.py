@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import markup, mixing, near, packing, pii, quality, secret, toxicity, vectors
+from strandloom.llm import markup, mixing, near, packing, pii, quality, secret, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit drill: all pages as archives, against a replica with known faults."""
+    pages = _table(spark, sf_dir, "pages")
+    return warc.audit(pages, warc.damaged(pages))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
 
@@ -59,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_html_main_text": op6_html_main_text,
+        "op7_warc_fixity": op7_warc_fixity,
         "op8_personal_data": op8_personal_data,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_mix_sources": op10_mix_sources,

@@ -43,5 +43,24 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN c ON d.source IS NO
 """
 
 
+_RANGE = "CAST(min(start) AS VARCHAR) || ':' || CAST(max(stop) AS VARCHAR) || ':' || string_agg(hash, ':' ORDER BY idx)"
+OP7 = rf"""
+WITH p AS (SELECT page_id, url, coalesce(CAST(page_id AS VARCHAR), '') AS i, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
+m AS (SELECT *, md5(i || chr(10) || u) AS x, md5(i) AS y, chr(13) || chr(10) AS nl FROM p),
+r AS (SELECT page_id, url, y, h, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:uuid:' || x[1:8] || '-' || x[9:12] || '-' || x[13:16] || '-' || x[17:20] || '-' || x[21:32] || '>' || nl
+  || 'WARC-Date: 1970-01-01T00:00:00Z' || nl || 'WARC-Target-URI: ' || regexp_replace(u, '[\r\n]', '%0A', 'g') || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' || octet_length(encode(h)) || nl || nl || h || nl || nl AS record FROM m),
+l AS (SELECT page_id, url, y, sha256(record) AS sha256, octet_length(encode(record)) AS bytes, y[1:2] = '0a' AND regexp_matches(h, '^[\x00-\x7F]') AS corrupt, count(*) AS copies FROM r GROUP BY ALL),
+n AS (SELECT greatest(1, CAST(ceil(count(*) / 512) AS BIGINT)) AS archives FROM l),
+a AS (SELECT *, CAST('0x' || y[1:8] AS BIGINT) % (SELECT archives FROM n) AS archive FROM l),
+o AS (SELECT *, row_number() OVER w - 1 AS ordinal, CAST(sum(bytes) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stop FROM a WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256)),
+l0 AS (SELECT archive, ordinal AS idx, stop - bytes AS start, stop, sha256 AS hash FROM o),
+l1 AS (SELECT archive, idx // 16 AS up, min(start) AS start, max(stop) AS stop, sha256({_RANGE}) AS hash FROM l0 GROUP BY archive, idx // 16),
+l2 AS (SELECT archive, idx // 16 AS up, min(start) AS start, max(stop) AS stop, sha256({_RANGE}) AS hash FROM (SELECT archive, up AS idx, start, stop, hash FROM l1) GROUP BY archive, idx // 16),
+l3 AS (SELECT archive, idx // 16 AS up, min(start) AS start, max(stop) AS stop, sha256({_RANGE}) AS hash FROM (SELECT archive, up AS idx, start, stop, hash FROM l2) GROUP BY archive, idx // 16),
+l4 AS (SELECT archive, sha256({_RANGE}) AS root FROM (SELECT archive, up AS idx, start, stop, hash FROM l3) GROUP BY archive)
+SELECT page_id, url, archive, ordinal, CAST(stop - bytes AS BIGINT) AS start, stop, sha256, copies, root, corrupt FROM o JOIN l4 USING (archive)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op10_mix_sources": OP10}
+    return {"op2_quality_rules": OP2, "op7_warc_fixity": OP7, "op10_mix_sources": OP10}
