@@ -19,6 +19,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Documents of a candidate group that one task compares with as many others.
 CHUNK = 128
+#: Bits and hashes of the filter that keeps texts without partners from moving: 4 MB, whatever the number of documents.
+FILTER_BITS, FILTER_HASHES = 1 << 25, 3
 
 
 @dataclass(frozen=True)
@@ -228,13 +230,44 @@ def _candidate_groups(nodes: DataFrame, near: Near, scratch: Scratch, kind: str)
     return components(edges, scratch, "candidates").withColumnRenamed("component", "candidate")
 
 
+def _likely(texts: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
+    """texts whose ids are candidates, and a few others, by a Bloom filter of fixed size.
+
+    The filter's words are or-ed together by Spark; the driver gets at most FILTER_BITS / 64 of them. With very many
+    candidates the filter lets more texts pass, which the join after it sorts out.
+    """
+    spot = lambda c, k: F.pmod(F.xxhash64(F.col(c), F.lit(k)), F.lit(FILTER_BITS))
+    spots = candidates.select(F.explode(F.array(*[spot("node", k) for k in range(FILTER_HASHES)])).alias("spot"))
+    words = spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot % 64 AS int))")).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    bits = table.view(np.uint8)
+    shared = candidates.sparkSession.sparkContext.broadcast(bits)
+    shape = _parse_datatype_string(f"doc_id {kind}, text string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, into = shared.value, to_arrow_schema(shape)
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for k in range(FILTER_HASHES):
+                at = b.column(2 + k).to_numpy()
+                keep &= (filled[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            if keep.any():
+                some = b.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(some.columns[:2], into, strict=True)], schema=into)
+
+    return texts.select("doc_id", "text", *[spot("doc_id", k).alias(f"s{k}") for k in range(FILTER_HASHES)]).mapInArrow(run, shape)
+
+
 def _confirmed(docs: DataFrame, candidates: DataFrame, near: Near, scratch: Scratch, id_column: str, text_column: str, kind: str) -> DataFrame:
     """Links (a, b), confirmed on full sets, that join up each candidate group as all of its links would."""
     sizes = candidates.groupBy("candidate").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     placed = candidates.join(sizes.select(F.col("candidate").alias("of"), "chunks"), F.col("candidate") == F.col("of"))
     placed = placed.select("node", "candidate", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    placed = scratch.keep(placed.join(texts, F.col("node") == F.col("doc_id")).select("node", "candidate", "chunks", "chunk", "text"), "texts")
+    texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    # merge: the same plan at every size; texts of candidates alone move
+    placed = _likely(texts, candidates, kind).join(placed.hint("merge"), F.col("node") == F.col("doc_id"))
+    placed = scratch.keep(placed.select("node", "candidate", "chunks", "chunk", "text"), "texts")
     # a node of chunk c is in blocks (min(c, j), max(c, j)) for each chunk j
     blocks = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = blocks.select("candidate", F.least("chunk", "j").alias("x"), F.greatest("chunk", "j").alias("y"), "node", "chunk", "text")
