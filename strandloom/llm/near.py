@@ -1,5 +1,6 @@
 """MinHash near-duplicates: b-bit signatures, a multi-index Hamming join, and links confirmed on whole shingle sets."""
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -290,13 +291,15 @@ def deduplicate(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id",
 
     Rows without words, and rows without an id, all stay.
     """
-    out = groups(docs, near, id_column, text_column).where("NOT kept").select(F.col("doc_id").alias("dropped")).distinct()
-    own = F.col(f"`{id_column}`")
-    left = docs.join(out, own == F.col("dropped"), "left_anti")
-    worded = docs.where(own.isNotNull() & F.col(f"`{text_column}`").rlike(WORD))
-    twice = Scratch(docs.sparkSession, "near").keep(worded.groupBy(own.alias("twice")).count().where("count > 1").select("twice"), "twice")
+    own, key = F.col(f"`{id_column}`"), f"key-{uuid.uuid4().hex}"
+    out = groups(docs, near, id_column, text_column).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    left = docs.join(out, own == F.col(f"`{key}`"), "left_anti")
+    worded = F.col(f"`{text_column}`").rlike(WORD)
+    twice = docs.where(own.isNotNull() & worded).groupBy(own.alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(f"`{key}`")
+    twice = Scratch(docs.sparkSession, "near").keep(twice, "twice")
     if twice.isEmpty():
         return left
-    again = left.join(twice, (own == F.col("twice")) & F.col(f"`{text_column}`").rlike(WORD), "left_semi")
-    one = again.groupBy(own.alias("twice")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(f"`{text_column}`")).alias("row")).select("row.*")
-    return left.join(twice, (own == F.col("twice")) & F.col(f"`{text_column}`").rlike(WORD), "left_anti").unionByName(one)
+    same = (own == F.col(f"`{key}`")) & worded
+    again = left.join(twice, same, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one = again.groupBy(F.col("row")[id_column].alias("id")).agg(F.min_by("row", F.col("row")[text_column]).alias("row")).select("row.*")
+    return left.join(twice, same, "left_anti").unionByName(one)
