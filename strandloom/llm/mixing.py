@@ -8,6 +8,8 @@ from strandloom.llm.scratch import Scratch
 
 #: Keys have 60 bits; a range is the key's leading 10 bits.
 KEY_BITS, RANGE_BITS = 60, 10
+#: Parts of a source where its rows meet its cut in a shuffle, so that a source with many rows takes many tasks.
+SALTS = 32
 
 
 def _order(id_column: str, seed: str) -> F.Column:
@@ -74,6 +76,16 @@ def _cuts(sized: DataFrame, weights: tuple[float, ...], most: float) -> DataFram
         "plan_source", "source_size", "target", "epochs", "cut_key", "cut_size", F.coalesce("part", F.lit(0)).alias("part"))
 
 
+def _with_cuts(rows: DataFrame, cuts: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with source and key, and their source's cut.
+
+    The cuts are written first: so Spark knows their size, and broadcasts them if that is small, without which rows are
+    dealt by source and a salt.
+    """
+    cuts = scratch.keep(cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "cuts")
+    return rows.join(cuts, F.col("source").eqNullSafe(F.col("plan_source")) & (F.pmod(F.col("key"), F.lit(SALTS)).cast("int") == F.col("salt")))
+
+
 def _last_epoch(key: str, size: str) -> F.Column:
     """Words of a row that its source's last, part epoch takes."""
     here = F.struct(F.col(key), F.col(size))
@@ -88,9 +100,9 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     order. Rows that repeat an id and size share a key; where the cut falls among n such rows each gives the same part,
     and up to n - 1 words stay out. Null ids share one key. An empty table gives no rows. Other columns aren't read.
     """
-    sized = Scratch(docs.sparkSession, "mix").keep(_sized(docs, id_column, text_column, source_column, seed), "sized")
-    cuts = _cuts(sized, weights, most)
-    return sized.join(cuts, F.col("source").eqNullSafe(F.col("plan_source"))).select(
+    scratch = Scratch(docs.sparkSession, "mix")
+    sized = scratch.keep(_sized(docs, id_column, text_column, source_column, seed), "sized")
+    return _with_cuts(sized, _cuts(sized, weights, most), scratch).select(
         "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + _last_epoch("key", "size")).alias("taken"), "source", "key")
 
 
@@ -101,15 +113,15 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     taken, else not at all. Documents without words count as taken in each whole epoch, once at least where their source
     gets no whole epoch but they come before the cut. Texts never move: rows meet only their source's cut.
     """
-    sized = _sized(docs, id_column, text_column, source_column, seed)
-    cuts = _cuts(Scratch(docs.sparkSession, "mix").keep(sized, "sized"), weights, most)
+    scratch = Scratch(docs.sparkSession, "mix")
+    cuts = _cuts(scratch.keep(_sized(docs, id_column, text_column, source_column, seed), "sized"), weights, most)
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     inner = inner.select(
         "row", F.col("row")[source_column].cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("row")[text_column], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.col("row")[id_column].alias("doc_id"),
     ).withColumn("key", _order("doc_id", seed))
-    joined = inner.join(cuts, F.col("source").eqNullSafe(F.col("plan_source")))
+    joined = _with_cuts(inner, cuts, scratch)
     part = _last_epoch("key", "size")
     here = F.struct("key", "size") < F.struct(F.col("cut_key").alias("key"), F.col("cut_size").alias("size"))
     more = F.when(F.col("size") == 0, F.coalesce(here, F.lit(False))).otherwise(2 * part >= F.col("size"))
