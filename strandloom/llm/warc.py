@@ -96,7 +96,7 @@ def audit(left: DataFrame, right: DataFrame, id_column: str = "page_id", url_col
     archives = max(1, -(-first.count() // RECORDS))
     records = scratch.keep(placed(first, archives), "records")
     ours = scratch.keep(tree(records), "left-tree")
-    theirs = scratch.keep(tree(placed(second, archives)), "right-tree")
+    theirs = scratch.keep(tree(scratch.keep(placed(second, archives), "right-records")), "right-tree")
     found = differing(ours, theirs, scratch).select(F.col("archive").alias("a"), F.col("ordinal").alias("o"), F.lit(True).alias("found"))
     roots = ours.where(F.col("level") == LEVELS + 1).select(F.col("archive").alias("root_of"), F.col("hash").alias("root"))
     out = records.join(found, (F.col("archive") == F.col("a")) & (F.col("ordinal") == F.col("o")), "left").join(roots, F.col("archive") == F.col("root_of"))
