@@ -156,13 +156,19 @@ def two_best(hits: Hits, exact: bool = False) -> np.ndarray:
 def tails(base: str, texts: list[bytes], window: int = 16, least: int = 12) -> np.ndarray:
     """For each text start and stop, from 1, of its poly tail as poly_tail() of sequence has it; -1 where there is none."""
     out = np.full((len(texts), 2), -1, np.int64)
-    letters = {ord(base.upper()), ord(base.lower())}
-    for k, t in enumerate(texts):
-        if len(t) >= window:
-            seen = np.concatenate(([0], np.cumsum(np.isin(np.frombuffer(t, np.uint8), list(letters)))))
-            found = np.flatnonzero(seen[window:] - seen[:-window] >= least)
-            if len(found):
-                out[k] = found[0] + 1, found[-1] + window
+    table = np.zeros(256, np.int64)
+    table[[ord(base.upper()), ord(base.lower())]] = 1
+    # one run of sums over all texts; windows that reach over a text's end don't count
+    lengths = np.array([len(t) for t in texts], np.int64)
+    sums = np.concatenate(([0], np.cumsum(table[np.frombuffer(b"".join(texts), np.uint8)])))
+    begin = np.cumsum(lengths) - lengths
+    if len(sums) > window:
+        at = np.flatnonzero(sums[window:] - sums[:-window] >= least)
+        of = np.searchsorted(begin, at, side="right") - 1
+        inside = at + window <= begin[of] + lengths[of]
+        at, of = at[inside], of[inside]
+        first, last = np.flatnonzero(np.diff(of, prepend=-1)), np.flatnonzero(np.diff(of, append=-1))
+        out[of[first], 0], out[of[last], 1] = at[first] - begin[of[first]] + 1, at[last] - begin[of[last]] + window
     return out
 
 

@@ -86,3 +86,20 @@ def align_signatures(reads: DataFrame, adapters: list[tuple[str, str]], null_dis
         pieces.append(F.when(h["ed"] == 0, F.struct(F.lit(name).alias("id"), F.lit(0).alias("ed"), h["start"].alias("start"), h["stop"].alias("stop"), F.lit(rank[name]).alias("rank"))))
     sort = F.array_sort(F.transform(F.array_compact(F.array(*pieces)), lambda x: F.struct(x["stop"].alias("stop"), x["rank"].alias("rank"), x["start"].alias("start"), x["id"].alias("id"), x["ed"].alias("ed"))))
     return out.withColumn("signature", F.transform(sort, lambda x: F.struct(x["id"].alias("id"), x["ed"].alias("ed"), x["start"].alias("start"), x["stop"].alias("stop"))).cast(_ENTRY)).drop("hits")
+
+
+def poly_tails(reads: DataFrame, bases: tuple[str, ...] = ("T", "A"), seq: str = "seq") -> DataFrame:
+    """reads with <base>_start and <base>_stop, from 1, of each base's poly tail; null without one. As poly_tail() of sequence, in Arrow batches."""
+    at = reads.columns.index(seq)
+    names = [f"{b.lower()}_{part}" for b in bases for part in ("start", "stop")]
+    shape = StructType([*reads.schema.fields, *_parse_datatype_string(", ".join(f"{n} int" for n in names)).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = to_arrow_schema(shape)
+        for b in batches:
+            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
+            found = np.concatenate([tails(base, texts) for base in bases], axis=1)
+            added = [pa.array(c.astype(np.int32), mask=c < 0) for c in found.T]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns, *added], into, strict=True)], schema=into)
+
+    return reads.mapInArrow(run, shape)

@@ -65,8 +65,7 @@ def phred_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poly_tail_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = mixed(spark, sf_dir).withColumn("t", S.poly_tail("seq", "T")).withColumn("a", S.poly_tail("seq", "A"))
-    return d.select("rid", F.col("t.start").alias("t_start"), F.col("t.stop").alias("t_stop"), F.col("a.start").alias("a_start"), F.col("a.stop").alias("a_stop"))
+    return align.poly_tails(mixed(spark, sf_dir).select("rid", "seq")).select("rid", "t_start", "t_stop", "a_start", "a_stop")
 
 
 def poly_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
