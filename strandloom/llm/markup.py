@@ -26,6 +26,7 @@ ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar widget widgets footer comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social newsletter subscribe signup login popup "
     "modal overlay toolbar pagination pager skip".split())
+QUALIFIERS = frozenset("has no with without".split())
 HEADER_NAMES = frozenset("header masthead banner".split())
 MAIN_NAMES = frozenset("main article".split())
 
@@ -154,7 +155,8 @@ def parse(source: str) -> Page:
         role = attributes.get("role", "").lower()
         main = tag in MAIN_NAMES or role in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
         aside = tag in ASIDE_TAGS or role in ASIDE_ROLES or "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        aside = aside or bool(names & ASIDE_NAMES) and tag not in INLINE
+        # has-sidebar, no-ads: names that tell of something else; and a page's main element is that whatever its names
+        aside = aside or bool(names & ASIDE_NAMES) and not names & QUALIFIERS and tag not in INLINE and tag != "main"
         head = tag == "header" or role == "banner" or bool(names & HEADER_NAMES) and tag not in INLINE and not main
         mains = top.mains
         path = top.path

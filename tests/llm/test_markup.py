@@ -16,6 +16,11 @@ def test_hand_made_pages():
     assert markup.extract("<p>un<b>closed <a href='x>y'>q</a> <") == "unclosed q <"
 
 
+def test_names_of_containers():
+    assert markup.extract('<main class="page sidebar-left"><div class="has-sidebar"><p>kept</p><div class="sidebar">no</div></div></main>') == "kept"
+    assert markup.extract('<article><p>a</p><p class="notice">no</p><section id="reader-comments"><p>no</p></section><p>b</p></article>') == "a b"
+
+
 def test_odd_markup_takes_linear_time():
     for t in ("<" * 100_000, '<a b="' * 20_000, "<p>" * 5000, "<!--" * 50_000, "<script>" * 20_000, "&" * 100_000, "</p" * 50_000):
         markup.extract(t)
