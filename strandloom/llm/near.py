@@ -54,7 +54,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out

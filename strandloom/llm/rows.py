@@ -24,7 +24,9 @@ def map_rows(df: DataFrame, columns: list[str], schema: str | StructType, start:
         f, into = start(), to_arrow_schema(shape)
         for batch in batches:
             out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            # a few rows at a time become Python's, so that a batch of long texts isn't there twice
+            parts = (batch.slice(at, 256) for at in range(0, batch.num_rows, 256))
+            for row in (r for part in parts for r in zip(*(c.to_pylist() for c in part.columns), strict=True)):
                 out.extend(f(*row))
                 if len(out) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), into, strict=True)], schema=into)

@@ -193,7 +193,8 @@ def fit(sample: list[tuple[str, int]], rows_of: tuple[int, int]) -> Chain:
 
     Labels of words come from labels of rows: in a toxic row, words of the vocabulary are toxic; all others are clean.
     """
-    words = [[plain(w) for w in _WORDS.findall(text or "")] for text, _ in sample]
+    pool: dict[str, str] = {}  # equal words are one object
+    words = [[pool.setdefault(w, w) for w in map(plain, _WORDS.findall(text or ""))] for text, _ in sample]
     toxic = [t for _, t in sample]
     vocabulary = {w: k for k, w in enumerate(_vocabulary(words, toxic), 1)} if 0 < sum(toxic) < len(toxic) else {}
     rate = (rows_of[1] + 0.5) / (sum(rows_of) + 1) if sum(rows_of) else 0.0
