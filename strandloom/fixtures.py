@@ -45,8 +45,9 @@ FROM orders
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A fixture's rows over a folder's orders."""
-    return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    """A fixture's rows over a folder's orders, whose one file would else be one task's."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
 def duck(sql: str) -> str:
