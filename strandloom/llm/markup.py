@@ -2,9 +2,10 @@
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,7 +185,7 @@ def parse(source: str) -> Page:
 
 @dataclass(frozen=True)
 class Template:
-    """Of a host: containers in which main text lies, the best first, and paths whose text is the same on all pages."""
+    """Of a host: containers in which main text lies, the best first, and paths and blocks whose text is the same on all pages."""
 
     containers: tuple[str, ...] = ()
     constant: frozenset[str] = frozenset()
@@ -196,7 +197,12 @@ def deduce(tokens: list[tuple[str, str, int, int, bool, int]], pages: int) -> Te
     Paths with equal vectors form a class. A class is valid if it has support and the parent of each path lies in a valid
     class: so classes nest. The paths in valid classes are the template; the text under them is slots. Slots with the
     same text on all pages are template text. A container is a path in the class that occurs once on each page.
+
+    Tokens of blocks, named by _block(), are template text if they are in the class of an element around them: then they
+    come and go with it, whatever other blocks of the same path say.
     """
+    blocks = [t for t in tokens if "\t" in t[0]]
+    tokens = [t for t in tokens if "\t" not in t[0]]
     classes = defaultdict(list)
     for token in tokens:
         classes[token[1], token[2], token[3]].append(token)
@@ -212,6 +218,9 @@ def deduce(tokens: list[tuple[str, str, int, int, bool, int]], pages: int) -> Te
     constant = frozenset(t[0] for t in kept if t[4] and t[5])
     total = sum(t[5] for t in kept if t[0] not in constant)
     under = {p: sum(u[5] for u in kept if u[0] not in constant and (u[0] == p or u[0].startswith(p + "/"))) for p, _, support, times, *_ in kept if support == times == pages}
+    vectors = {t[0]: t[1:4] for t in kept}
+    around = lambda p: [*accumulate(p.split("/")[1:], lambda a, b: f"{a}/{b}", initial="")][1:]
+    constant |= {t[0] for t in blocks if t[1:4] in {vectors.get(p) for p in ("/", *around(t[0].partition("\t")[0]))}}
     found = [p for p, chars in under.items() if total and chars >= MAIN_SHARE * total]
     return Template(tuple(sorted(found, key=lambda p: (-p.count("/"), -under[p], p))), constant)
 
@@ -220,8 +229,32 @@ def _within(path: str, container: str) -> bool:
     return path == container or path.startswith(container + "/")
 
 
+def _block(path: str, text: str) -> str:
+    """A token's name for the text of a block: paths hold no white space."""
+    import xxhash
+
+    return f"{path}\t{xxhash.xxh3_64_hexdigest(text)}"
+
+
+def _blocks(runs: list[Run]) -> dict[int, tuple[str, str]]:
+    """Path and text of the blocks of runs, by number: white space in a block is one space."""
+    parts: dict[int, tuple[str, list[str]]] = {}
+    for r in runs:
+        parts.setdefault(r.block, (r.path, []))[1].append(r.text)
+    return {k: (path, text) for k, (path, found) in parts.items() if (text := " ".join("".join(found).split()))}
+
+
+def _slots(runs: list[Run], template: Template) -> list[Run]:
+    """The runs that are no template text."""
+    if not template.constant:
+        return runs
+    out = {k for k, (path, text) in _blocks(runs).items() if path in template.constant or _block(path, text) in template.constant}
+    return [r for r in runs if r.block not in out]
+
+
 def _main_runs(page: Page, template: Template) -> list[Run]:
-    runs = [r for r in page.runs if not r.aside]
+    """The template tells slots from its own text on every page; names only choose among slots."""
+    runs = _slots([r for r in page.runs if not r.aside], template)
     sizes = [0] * len(page.mains)
     for r in runs:
         for k in r.mains:
@@ -234,7 +267,6 @@ def _main_runs(page: Page, template: Template) -> list[Run]:
         return [r for r in runs if best in r.mains]
     if whole is not None:
         return [r for r in runs if whole in r.mains]
-    runs = [r for r in runs if r.path not in template.constant]
     for container in template.containers:
         if found := [r for r in runs if _within(r.path, container)]:
             return found
@@ -253,10 +285,7 @@ def _main_runs(page: Page, template: Template) -> list[Run]:
 
 def extract(source: str | None, template: Template = Template()) -> str:
     """The main text: blocks in page order, white space in a block one space, blocks joined by one space."""
-    blocks: dict[int, list[str]] = defaultdict(list)
-    for r in _main_runs(parse(source or ""), template):
-        blocks[r.block].append(r.text)
-    return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks.values())))
+    return " ".join(text for _, text in _blocks(_main_runs(parse(source or ""), template)).values())
 
 
 def _tokens() -> Callable[..., Iterator[tuple]]:
@@ -265,12 +294,14 @@ def _tokens() -> Callable[..., Iterator[tuple]]:
     def f(host: str, source: str | None) -> Iterator[tuple]:
         page = parse(source or "")
         texts: dict[str, list[str]] = defaultdict(list)
-        for r in page.runs:
-            if not r.aside:
-                texts[r.path].append(r.text.strip())
+        for path, text in _blocks([r for r in page.runs if not r.aside]).values():
+            texts[path].append(text)
         for path, times in page.counts.items():
-            text = " ".join(texts.get(path, ())).strip()
+            text = " ".join(texts.get(path, ()))
             yield host, path, times, len(text), xxhash.xxh3_64_intdigest(text) - (1 << 63)
+        for path, found in texts.items():
+            for text, times in Counter(found).items():
+                yield host, _block(path, text), times, len(text), 0
 
     return f
 

@@ -50,3 +50,10 @@ def test_articles_of_the_tables(spark):
     for r in markup.main_text(pages).collect():
         inner = re.search(r"<article>(.*)</article>", source[r.page_id], re.S)[1]
         assert r.text == " ".join(unescape(re.sub(r"</?b>", "", re.sub(r"<br>|</?(?:p|h1)>", " ", inner))).split())
+
+
+def test_template_decides_on_pages_with_articles(spark):
+    page = lambda k: f"<body><article><h1>Title {k}</h1><p>Story {k} begins.</p><p>Read by all who read us.</p><div>Made in Spain</div><p>It ends {k}.</p></article></body>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(5)]
+    got = {r.page_id: r.text for r in markup.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k} Story {k} begins. It ends {k}." for k in range(5)}
