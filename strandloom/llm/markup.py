@@ -35,7 +35,7 @@ _NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
-#: A path is a template's if so many pages of its host, and this share of them, have it.
+#: A path is a template's if so many pages of its host with different texts, and this share of them, have it.
 LEAST_PAGES, SHARE = 3, 0.5
 #: A container holds the main text of pages without an article if this share of the text that isn't aside lies in it.
 MAIN_SHARE = 0.7
@@ -245,11 +245,11 @@ def _blocks(runs: list[Run]) -> dict[int, tuple[str, str]]:
 
 
 def _slots(runs: list[Run], template: Template) -> list[Run]:
-    """The runs that are no template text."""
+    """The runs that are no template text; all of them if nothing else is on the page."""
     if not template.constant:
         return runs
     out = {k for k, (path, text) in _blocks(runs).items() if path in template.constant or _block(path, text) in template.constant}
-    return [r for r in runs if r.block not in out]
+    return [r for r in runs if r.block not in out and not r.text.isspace()] and [r for r in runs if r.block not in out] or runs
 
 
 def _main_runs(page: Page, template: Template) -> list[Run]:
@@ -294,14 +294,16 @@ def _tokens() -> Callable[..., Iterator[tuple]]:
     def f(host: str, source: str | None) -> Iterator[tuple]:
         page = parse(source or "")
         texts: dict[str, list[str]] = defaultdict(list)
-        for path, text in _blocks([r for r in page.runs if not r.aside]).values():
+        blocks = _blocks([r for r in page.runs if not r.aside]).values()
+        content = xxhash.xxh3_64_intdigest("\n".join(text for _, text in blocks)) - (1 << 63)
+        for path, text in blocks:
             texts[path].append(text)
         for path, times in page.counts.items():
             text = " ".join(texts.get(path, ()))
-            yield host, path, times, len(text), xxhash.xxh3_64_intdigest(text) - (1 << 63)
+            yield host, path, content, times, len(text), xxhash.xxh3_64_intdigest(text) - (1 << 63)
         for path, found in texts.items():
             for text, times in Counter(found).items():
-                yield host, _block(path, text), times, len(text), 0
+                yield host, _block(path, text), content, times, len(text), 0
 
     return f
 
@@ -328,18 +330,19 @@ def hosts(pages: DataFrame, url_column: str = "url") -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, pages, tokens) of pages with host, row_id, html: what deduce() takes, for hosts with a few pages at least.
+    """(host, pages, tokens) of pages with host, html: what deduce() takes, for hosts with a few different pages at least.
 
-    An occurrence vector is the sum of hashes of (page, occurrences): equal sums are equal vectors but for chances of
-    2^-64. Sums are partial before they move, so a host with most of the pages is no burden. Paths of under half of a
-    host's pages can't be template, so a host's list is at most twice as long as its pages have paths on average.
+    Pages of a host with the same text that isn't aside are copies and count once: what only copies share is no template.
+    An occurrence vector is the sum of hashes of (content, occurrences): equal sums are equal vectors but for chances of
+    2^-64. Tokens of copies meet by host, path and content; sums of contents are partial before they move, so a host with
+    most of the pages is no burden. Paths of under half of a host's contents can't be template, so a host's list is at
+    most twice as long as its pages have paths and blocks on average.
     """
-    found = map_rows(pages, ["key", "html"], "key string, path string, times bigint, chars bigint, text bigint", _tokens)
-    # key is the row's number and its host
-    found = found.select(F.substring_index("key", " ", 1).alias("row"), F.expr("substring(key, instr(key, ' ') + 1)").alias("host"), "path", "times", "chars", "text").where("host <> ''")
-    by_path = found.groupBy("host", "path").agg(
-        F.sum(F.xxhash64("row", "times").cast("decimal(38,0)")).cast("string").alias("vector"), F.count("*").alias("support"), F.sum("times").alias("times"),
-        F.sum("chars").alias("chars"), (F.min("text") == F.max("text")).alias("constant"))
+    found = map_rows(pages.where("host <> ''"), ["host", "html"], "host string, path string, content bigint, times bigint, chars bigint, text bigint", _tokens)
+    once = found.groupBy("host", "path", "content").agg(F.max("times").alias("times"), F.max("chars").alias("chars"), F.min("text").alias("least"), F.max("text").alias("most"))
+    by_path = once.groupBy("host", "path").agg(
+        F.sum(F.xxhash64("content", "times").cast("decimal(38,0)")).cast("string").alias("vector"), F.count("*").alias("support"), F.sum("times").alias("times"),
+        F.sum("chars").alias("chars"), (F.min("least") == F.max("most")).alias("constant"))
     of_host = by_path.where("path = '/'").select(F.col("host").alias("own"), F.col("support").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     kept = by_path.join(of_host, F.col("host") == F.col("own")).where(F.col("support") >= SHARE * F.col("pages"))
     return kept.groupBy("host", "pages").agg(F.sort_array(F.collect_list(F.struct("path", "vector", "support", "times", "constant", "chars"))).alias("tokens"))
@@ -349,7 +352,7 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     """One row a page: page_id, url, text, n_chars (code points of text).
 
     Null and empty pages have the empty text; so have pages without main text. Pages without a host, and hosts with under
-    three pages, have no template: their elements' names alone tell. Repeated rows get equal texts each. Other columns
+    three pages of different texts, have no template: their elements' names alone tell. Repeated rows get equal texts each. Other columns
     aren't read.
 
     Pages are parsed twice, once for the tokens of templates and once to extract. Templates, one row a host, meet pages
@@ -359,7 +362,6 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     kind = pages.schema[id_column].dataType.simpleString()
     named = pages.select(F.col(f"`{id_column}`").alias("page_id"), F.col(f"`{url_column}`").alias("url"), F.col(f"`{html_column}`").alias("html"))
     named = hosts(named)
-    numbered = named.withColumn("key", F.concat_ws(" ", F.monotonically_increasing_id(), "host"))
-    found = scratch.keep(templates(numbered), "templates").withColumnRenamed("host", "of")
+    found = scratch.keep(templates(named), "templates").withColumnRenamed("host", "of")
     joined = named.join(found, F.col("host") == F.col("of"), "left")
     return map_rows(joined, ["page_id", "url", "html", "host", "pages", "tokens"], f"page_id {kind}, url string, text string, n_chars bigint", _extracting)

@@ -57,3 +57,14 @@ def test_template_decides_on_pages_with_articles(spark):
     rows = [(k, f"http://a.example/{k}", page(k)) for k in range(5)]
     got = {r.page_id: r.text for r in markup.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"Title {k} Story {k} begins. It ends {k}." for k in range(5)}
+
+
+def test_copies_keep_their_text(spark):
+    other = lambda k: f"<body><p>Own text of page {k}</p><h2>Same</h2></body>"
+    copy = "<body><nav>{}</nav><div><b>Copied</b> body</div></body>"
+    rows = [(k, "http://a.example/", copy.format("<a>x</a>" * k)) for k in range(5)] + [(10 + k, "http://b.example/", copy if k < 6 else other(k)) for k in range(10)]
+    # pages that have nothing but template text keep it
+    rows += [(20 + k, "http://c.example/", f"<body>{'<p>own %d</p>' % k if k < 3 else ''}<div>Only this</div></body>") for k in range(4)]
+    got = {r.page_id: r.text for r in markup.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[k] for k in (*range(5), *range(10, 16))} == {"Copied body"} and got[16] == "Own text of page 6"
+    assert [got[20 + k] for k in range(4)] == ["own 0", "own 1", "own 2", "Only this"]
