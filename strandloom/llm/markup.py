@@ -37,7 +37,7 @@ _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
 #: A path is a template's if so many pages of its host with different texts, and this share of them, have it.
 LEAST_PAGES, SHARE = 3, 0.5
-#: A container holds the main text of pages without an article if this share of the text that isn't aside lies in it.
+#: A container holds a host's main text if this share of the text in slots lies in it. It tells where to look; slots outside are kept too.
 MAIN_SHARE = 0.7
 
 
@@ -64,23 +64,20 @@ def _tag_end(text: str, at: int) -> int:
 
 @dataclass
 class Run:
-    """Text between tags. path: of the blocks around it. aside: it is no main text. mains: numbers of elements of main text around it."""
+    """Text between tags. path: of the blocks around it. aside: it is no main text."""
 
     path: str
     block: int
     aside: bool
-    link: bool
-    mains: tuple[int, ...]
     text: str
 
 
 @dataclass
 class Page:
-    """counts: of elements by path. mains: for each number the element, by name and path."""
+    """counts: of elements by path."""
 
     runs: list[Run] = field(default_factory=list)
     counts: dict[str, int] = field(default_factory=lambda: defaultdict(int))
-    mains: list[tuple[str, str]] = field(default_factory=list)
 
 
 @dataclass
@@ -88,24 +85,23 @@ class _Open:
     tag: str
     path: str
     aside: bool
-    link: bool
     heading_only: bool
-    mains: tuple[int, ...]
+    within_main: bool
 
 
 def parse(source: str) -> Page:
     """The text runs of a page, however badly it is formed, in one pass over it."""
     page = Page()
     page.counts["/"] = 1
-    stack = [_Open("", "", False, False, False, ())]
+    stack = [_Open("", "", False, False, False)]
     block, at, n = 0, 0, len(source)
 
     def run(text: str) -> None:
         top = stack[-1]
         if text and not text.isspace():
-            page.runs.append(Run(top.path or "/", block, top.aside or top.heading_only, top.link, top.mains, html.unescape(text)))
+            page.runs.append(Run(top.path or "/", block, top.aside or top.heading_only, html.unescape(text)))
         elif text and page.runs and page.runs[-1].block == block:
-            page.runs.append(Run(top.path or "/", block, top.aside or top.heading_only, top.link, top.mains, " "))
+            page.runs.append(Run(top.path or "/", block, top.aside or top.heading_only, " "))
 
     start = 0
     while at < n:
@@ -159,18 +155,15 @@ def parse(source: str) -> Page:
         # has-sidebar, no-ads: names that tell of something else; and a page's main element is that whatever its names
         aside = aside or bool(names & ASIDE_NAMES) and not names & QUALIFIERS and tag not in INLINE and tag != "main"
         head = tag == "header" or role == "banner" or bool(names & HEADER_NAMES) and tag not in INLINE and not main
-        mains = top.mains
         path = top.path
         if tag not in INLINE:
             kinds = ".".join(sorted(_DIGITS.sub("", attributes.get("class", "")).lower().split()))
             path = f"{path}/{tag}{'.' + kinds if kinds else ''}"
             page.counts[path] += 1
-        if main and not (aside or top.aside):
-            page.mains.append(("article" if tag == "article" or role == "article" or not (tag == "main" or role == "main") else "main", path))
-            mains = (*mains, len(page.mains) - 1)
+        within = top.within_main or main and not (aside or top.aside)
         # a page's header is no main text; of an article's, its headings are
-        heading_only = (top.heading_only or head) and bool(mains) and tag not in HEADINGS
-        entry = _Open(tag, path, top.aside or aside or head and not mains, top.link or tag == "a", heading_only, mains)
+        heading_only = (top.heading_only or head) and within and tag not in HEADINGS
+        entry = _Open(tag, path, top.aside or aside or head and not within, heading_only, within)
         if tag in RAW:
             found = re.compile(rf"</{tag}", re.I).search(source, at)
             at = start = n if not found else found.start()
@@ -225,10 +218,6 @@ def deduce(tokens: list[tuple[str, str, int, int, bool, int]], pages: int) -> Te
     return Template(tuple(sorted(found, key=lambda p: (-p.count("/"), -under[p], p))), constant)
 
 
-def _within(path: str, container: str) -> bool:
-    return path == container or path.startswith(container + "/")
-
-
 def _block(path: str, text: str) -> str:
     """A token's name for the text of a block: paths hold no white space."""
     import xxhash
@@ -252,40 +241,10 @@ def _slots(runs: list[Run], template: Template) -> list[Run]:
     return [r for r in runs if r.block not in out and not r.text.isspace()] and [r for r in runs if r.block not in out] or runs
 
 
-def _main_runs(page: Page, template: Template) -> list[Run]:
-    """The template tells slots from its own text on every page; names only choose among slots."""
-    runs = _slots([r for r in page.runs if not r.aside], template)
-    sizes = [0] * len(page.mains)
-    for r in runs:
-        for k in r.mains:
-            sizes[k] += len(r.text.strip())
-    articles = [k for k, (name, _) in enumerate(page.mains) if name == "article" and sizes[k]]
-    mains = [k for k, (name, _) in enumerate(page.mains) if name == "main" and sizes[k]]
-    best = max(articles, key=lambda k: (sizes[k], -k), default=None)
-    whole = max(mains, key=lambda k: (sizes[k], -k), default=None)
-    if best is not None and (whole is None or 2 * sizes[best] >= sizes[whole]):
-        return [r for r in runs if best in r.mains]
-    if whole is not None:
-        return [r for r in runs if whole in r.mains]
-    for container in template.containers:
-        if found := [r for r in runs if _within(r.path, container)]:
-            return found
-    # a page by itself: the deepest container of most of its text
-    total = sum(len(r.text) for r in runs if not r.link)
-    under: dict[str, int] = defaultdict(int)
-    for r in runs:
-        if not r.link:
-            parts = r.path.split("/")
-            for k in range(2, len(parts) + 1):
-                under["/".join(parts[:k])] += len(r.text)
-    deep = [p for p, chars in under.items() if total and chars >= MAIN_SHARE * total and page.counts.get(p) == 1]
-    container = max(deep, key=lambda p: (p.count("/"), p), default="")
-    return [r for r in runs if _within(r.path, container)] if container else runs
-
-
 def extract(source: str | None, template: Template = Template()) -> str:
-    """The main text: blocks in page order, white space in a block one space, blocks joined by one space."""
-    return " ".join(text for _, text in _blocks(_main_runs(parse(source or ""), template)).values())
+    """The main text: all that is neither aside nor template text, blocks in page order, joined by one space."""
+    runs = [r for r in parse(source or "").runs if not r.aside]
+    return " ".join(text for _, text in _blocks(_slots(runs, template)).values())
 
 
 def _tokens() -> Callable[..., Iterator[tuple]]:

@@ -68,3 +68,12 @@ def test_copies_keep_their_text(spark):
     got = {r.page_id: r.text for r in markup.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert {got[k] for k in (*range(5), *range(10, 16))} == {"Copied body"} and got[16] == "Own text of page 6"
     assert [got[20 + k] for k in range(4)] == ["own 0", "own 1", "own 2", "Only this"]
+
+
+def test_slots_outside_the_largest_stay(spark):
+    assert markup.extract(f"<h1>Title</h1><div>{'body ' * 20}</div>").startswith("Title body")
+    assert markup.extract(f"<div><div>{'a ' * 75}</div><div>{'b ' * 25}</div></div>") == " ".join(["a"] * 75 + ["b"] * 25)
+    assert markup.extract("<h2>News</h2><article>first story</article><article>second one</article><main>third</main>") == "News first story second one third"
+    page = lambda k: f"<body><div>Site</div><h1>Title {k}</h1><section>{f'body {k} ' * 30}</section><p>End {k}</p></body>"
+    got = markup.main_text(spark.createDataFrame([(k, "http://a.example/", page(k)) for k in range(4)], "page_id long, url string, html string")).collect()
+    assert all(r.text == " ".join([f"Title {r.page_id}", *[f"body {r.page_id}"] * 30, f"End {r.page_id}"]) for r in got) and len(got) == 4
