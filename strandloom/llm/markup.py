@@ -64,11 +64,13 @@ def _tag_end(text: str, at: int) -> int:
 
 @dataclass
 class Run:
-    """Text between tags. path: of the blocks around it. aside: it is no main text."""
+    """Text between tags. path: of the blocks around it. aside: it is no main text. named: numbers of blocks around it whose names say so. mains: numbers of elements of main text around it."""
 
     path: str
     block: int
     aside: bool
+    named: tuple[int, ...]
+    mains: tuple[int, ...]
     text: str
 
 
@@ -86,22 +88,29 @@ class _Open:
     path: str
     aside: bool
     heading_only: bool
-    within_main: bool
+    mains: tuple[int, ...]
+    within_article: bool
+    named: tuple[int, ...]
+    named_heading_only: tuple[int, ...]
 
 
 def parse(source: str) -> Page:
-    """The text runs of a page, however badly it is formed, in one pass over it."""
-    page = Page()
+    """The text runs of a page, however badly it is formed, in one pass over it, and then one over the runs.
+
+    Names of class and id mark a block as aside unless it holds most of the page's text and no main element beside it has
+    text; and not if no text would be left.
+    """
+    page, marks, elements = Page(), [], 0
     page.counts["/"] = 1
-    stack = [_Open("", "", False, False, False)]
+    stack = [_Open("", "", False, False, (), False, (), ())]
     block, at, n = 0, 0, len(source)
 
     def run(text: str) -> None:
         top = stack[-1]
         if text and not text.isspace():
-            page.runs.append(Run(top.path or "/", block, top.aside or top.heading_only, html.unescape(text)))
+            page.runs.append(Run(top.path or "/", block, top.aside or top.heading_only, top.named + top.named_heading_only, top.mains, html.unescape(text)))
         elif text and page.runs and page.runs[-1].block == block:
-            page.runs.append(Run(top.path or "/", block, top.aside or top.heading_only, " "))
+            page.runs.append(Run(top.path or "/", block, top.aside or top.heading_only, top.named + top.named_heading_only, top.mains, " "))
 
     start = 0
     while at < n:
@@ -152,18 +161,31 @@ def parse(source: str) -> Page:
         role = attributes.get("role", "").lower()
         main = tag in MAIN_NAMES or role in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
         aside = tag in ASIDE_TAGS or role in ASIDE_ROLES or "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-        # has-sidebar, no-ads: names that tell of something else; and a page's main element is that whatever its names
-        aside = aside or bool(names & ASIDE_NAMES) and not names & QUALIFIERS and tag not in INLINE and tag != "main"
-        head = tag == "header" or role == "banner" or bool(names & HEADER_NAMES) and tag not in INLINE and not main
+        article = tag == "article" or role == "article"
+        # main text by tag or role is that whatever its names; but an article in another may be a comment on it
+        exempt = tag in INLINE or tag == "main" or role == "main" or article and not top.within_article
+        # has-sidebar, no-ads: names that tell of something else
+        named = not exempt and bool(names & ASIDE_NAMES) and not names & QUALIFIERS
+        head = tag == "header" or role == "banner"
+        named_head = not head and bool(names & HEADER_NAMES) and tag not in INLINE and not main
         path = top.path
         if tag not in INLINE:
             kinds = ".".join(sorted(_DIGITS.sub("", attributes.get("class", "")).lower().split()))
             path = f"{path}/{tag}{'.' + kinds if kinds else ''}"
             page.counts[path] += 1
-        within = top.within_main or main and not (aside or top.aside)
+        mains = top.mains
+        if main and not (aside or top.aside):
+            mains, elements = (*mains, elements), elements + 1
         # a page's header is no main text; of an article's, its headings are
-        heading_only = (top.heading_only or head) and within and tag not in HEADINGS
-        entry = _Open(tag, path, top.aside or aside or head and not within, heading_only, within)
+        heading_only = (top.heading_only or head) and bool(mains) and tag not in HEADINGS
+        around, only = top.named, () if mains and tag in HEADINGS else top.named_heading_only
+        if named or named_head and not mains:
+            around = (*around, len(marks))
+            marks.append(top.mains)
+        elif named_head:
+            only = (*only, len(marks))
+            marks.append(top.mains)
+        entry = _Open(tag, path, top.aside or aside or head and not mains, heading_only, mains, top.within_article or article, around, only)
         if tag in RAW:
             found = re.compile(rf"</{tag}", re.I).search(source, at)
             at = start = n if not found else found.start()
@@ -173,9 +195,32 @@ def parse(source: str) -> Page:
             continue
         stack.append(entry)
     run(source[start:])
+    if marks:
+        _settle_names(page, marks)
     return page
 
 
+def _settle_names(page: Page, marks: list[tuple[int, ...]]) -> None:
+    """Makes aside what names mark. marks: for each number the elements of main text around that block."""
+    sizes: dict[int, int] = defaultdict(int)
+    mains: set[tuple[tuple[int, ...], tuple[int, ...]]] = set()
+    total = 0
+    for r in page.runs:
+        if not r.aside and (size := len(r.text.strip())):
+            total += size
+            for k in r.named:
+                sizes[k] += size
+            if r.mains:
+                mains.add((r.mains, r.named))
+    large = {k for k, size in sizes.items() if 2 * size > total}
+    shown = [(set(m), named) for m, named in mains if large.issuperset(named)]
+    kept = {k for k in large if not any(k not in named and not m.issubset(marks[k]) for m, named in shown)}
+    rest = [r for r in page.runs if not r.aside and not kept.issuperset(r.named)]
+    if sum(len(r.text.strip()) for r in rest) < total:
+        for r in rest:
+            r.aside = True
+
+
 @dataclass(frozen=True)
 class Template:
     """Of a host: containers in which main text lies, the best first, and paths and blocks whose text is the same on all pages."""
@@ -303,7 +348,8 @@ def templates(pages: DataFrame) -> DataFrame:
         F.sum(F.xxhash64("content", "times").cast("decimal(38,0)")).cast("string").alias("vector"), F.count("*").alias("support"), F.sum("times").alias("times"),
         F.sum("chars").alias("chars"), (F.min("least") == F.max("most")).alias("constant"))
     of_host = by_path.where("path = '/'").select(F.col("host").alias("own"), F.col("support").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    kept = by_path.join(of_host, F.col("host") == F.col("own")).where(F.col("support") >= SHARE * F.col("pages"))
+    # no class of less support is valid; what one page alone has goes before hosts meet
+    kept = by_path.where(F.col("support") >= LEAST_PAGES).join(of_host, F.col("host") == F.col("own")).where(F.col("support") >= SHARE * F.col("pages"))
     return kept.groupBy("host", "pages").agg(F.sort_array(F.collect_list(F.struct("path", "vector", "support", "times", "constant", "chars"))).alias("tokens"))
 
 

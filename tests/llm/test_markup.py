@@ -77,3 +77,16 @@ def test_slots_outside_the_largest_stay(spark):
     page = lambda k: f"<body><div>Site</div><h1>Title {k}</h1><section>{f'body {k} ' * 30}</section><p>End {k}</p></body>"
     got = markup.main_text(spark.createDataFrame([(k, "http://a.example/", page(k)) for k in range(4)], "page_id long, url string, html string")).collect()
     assert all(r.text == " ".join([f"Title {r.page_id}", *[f"body {r.page_id}"] * 30, f"End {r.page_id}"]) for r in got) and len(got) == 4
+
+
+def test_names_do_not_drop_the_page():
+    assert markup.extract("<article class='post tag-social'><p>kept</p></article><div class='ad'>no ad</div>") == "kept"
+    assert markup.extract("<div class='layout sidebar-left'><p>the page</p><div class='sidebar'>no</div></div>") == "the page"
+    assert markup.extract("<div class='page header-fixed'><p>the page</p><div class='header'>no</div></div>") == "the page"
+    assert markup.extract("<div role=article class='related'><p>kept</p></div><p>a longer text that holds most</p>") == "kept a longer text that holds most"
+    # halves that are both marked: something is left
+    assert markup.extract("<div class='widget'>one</div><div class='share'>two</div>") == "one two"
+    assert markup.extract("<article><p>some text here</p><article class='comment'>bad</article></article><nav>n</nav>") == "some text here"
+    assert markup.extract("<main><h1>Title</h1><div class='content sidebar-left'>the whole text</div></main>") == "Title the whole text"
+    assert markup.extract("<main><article>short</article><div class='comments'>a long comment</div></main>") == "short"
+    assert markup.extract("<div class='layout sidebar-left'><article><header><h1>Title</h1></header>text</article></div>") == "Title text"
