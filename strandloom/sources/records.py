@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 _FRAME = "file string, block bigint, n bigint, kind int, header string, seq string, qual string, lines array<string>"
-#: Kinds of framed rows: a record, lines before a split's first record, lines after its last.
+#: Kinds of framed rows: a record, lines that go on with what an earlier split began, lines after a split's last record.
 RECORD, HEAD, TAIL = 0, 1, 2
 #: Lines that a split's phase is told from.
 LOOK = 64
@@ -47,6 +47,7 @@ def _fastq(rows: Iterator[str], first: bool) -> Iterator[tuple]:
     if at:
         yield HEAD, None, None, None, buffer[:at]
     part: list[str] = []
+    sure = first
 
     def chained() -> Iterator[str]:
         yield from buffer[at:]
@@ -57,9 +58,10 @@ def _fastq(rows: Iterator[str], first: bool) -> Iterator[tuple]:
             part.append(value)
         if len(part) == 4:
             yield RECORD, part[0], part[1], part[3], None
-            part = []
+            part, sure = [], True
     if part:
-        yield TAIL, None, None, None, part
+        # in a split without a whole record, lines that look like a record's start may be qualities
+        yield TAIL if sure else HEAD, None, None, None, part
 
 
 def _fasta(rows: Iterator[str], first: bool) -> Iterator[tuple]:
@@ -120,21 +122,46 @@ def _framed(source: DataFrame, frame: Callable[[Iterator[str], bool], Iterator[t
     return source.select("value", "file", "block").mapInArrow(run, shape)
 
 
+def _rejoined(groups: DataFrame) -> DataFrame:
+    """Records of four lines out of groups of split ends; each is numbered as the end in which it starts."""
+    shape = _parse_datatype_string("file string, block bigint, n bigint, header string, seq string, qual string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = to_arrow_schema(shape)
+        for b in batches:
+            out: list[tuple] = []
+            for file, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part: list[str] = []
+                for end in parts:
+                    for value in end["lines"]:
+                        if not part:
+                            at = end["block"], end["n"]
+                        if value or part:
+                            part.append(value)
+                        if len(part) == 4:
+                            out.append((file, *at, part[0], part[1], part[3]))
+                            part = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), into, strict=True)], schema=into)
+
+    return groups.select("file", "parts").mapInArrow(run, shape)
+
+
 def frame(source: DataFrame, fmt: str) -> DataFrame:
     """file, block, n (order in the block), header, seq, qual of the records of lines()."""
     framed = _framed(source, {"fastq": _fastq, "fasta": _fasta}[fmt])
     columns = ["file", "block", "n", "header", "seq", "qual"]
     whole = framed.where(F.col("kind") == RECORD).select(*columns)
-    # ends of splits: a tail and the head of the next split make a record; there are at most two a split
+    # ends of splits: a tail and the heads up to the next tail make a record, however many splits it spans
     ends = framed.where(F.col("kind") != RECORD)
-    order = Window.partitionBy("file").orderBy("block", "kind")
-    ends = ends.withColumn("next_kind", F.lead("kind").over(order)).withColumn("next_lines", F.lead("lines").over(order)).where(F.col("kind") == TAIL)
-    both = F.when(F.col("next_kind") == HEAD, F.concat("lines", "next_lines")).otherwise(F.col("lines"))
-    part = lambda k: F.try_element_at(both, F.lit(k))
+    order = Window.partitionBy("file").orderBy("block", "n")
+    ends = ends.withColumn("tails", F.sum((F.col("kind") == TAIL).cast("long")).over(order))
+    groups = ends.groupBy("file", "tails").agg(F.sort_array(F.collect_list(F.struct("block", "n", "lines"))).alias("parts"))
     if fmt == "fastq":
-        stitched = ends.where(F.size(both) >= 4).select("file", "block", "n", part(1).alias("header"), part(2).alias("seq"), part(4).alias("qual"))
+        stitched = _rejoined(groups)
     else:
-        stitched = ends.select("file", "block", "n", part(1).alias("header"), F.array_join(F.slice(both, 2, F.size(both)), "").alias("seq"), F.lit(None).cast("string").alias("qual"))
+        both = groups.where("tails > 0").select("file", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["n"].alias("n"), F.flatten("parts.lines").alias("all"))
+        stitched = both.select("file", "block", "n", F.element_at("all", 1).alias("header"), F.array_join(F.slice("all", 2, F.size("all")), "").alias("seq"), F.lit(None).cast("string").alias("qual"))
     return whole.unionByName(stitched)
 
 

@@ -90,3 +90,23 @@ def test_whole_run_and_stream(spark, tmp_path):
     stream.start(spark, plan, null, f"{tmp_path}/reads", f"{tmp_path}/stream", f"{tmp_path}/check", files=2).awaitTermination()
     again = records.read_records(spark, f"{tmp_path}/stream/batch=*").collect()
     assert sorted(r.id for r in again) == sorted(r.id for r in found)
+
+
+def test_records_over_many_splits(spark, tmp_path):
+    wrapped = {f">c{k}": "".join("ACGT"[(i * i + k) % 4] for i in range(n)) for k, n in enumerate((9000, 40, 5001, 0, 3000))}
+    (tmp_path / "x.fa").write_text("".join(f"{h}\n" + "".join(f"{q[i : i + 60]}\n" for i in range(0, len(q), 60)) for h, q in wrapped.items()))
+    long = [(f"@r{k}", "ACGT" * n, "@" + "I" * (4 * n - 1)) for k, n in enumerate((400, 3, 900, 150, 150, 5, 700))]
+    (tmp_path / "x.fastq").write_text("".join(f"{h}\n{q}\n+\n{z}\n" for h, q, z in long))
+    for size in ("300", "700", "1500"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            fasta = records.read_records(spark, f"{tmp_path}/x.fa", "fasta").collect()
+            fastq = records.read_records(spark, f"{tmp_path}/x.fastq").collect()
+            part = records.read_records(spark, f"{tmp_path}/x.fastq", start=3, stop=5).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert {r.id: r.seq for r in fasta} == wrapped and len(fasta) == len(wrapped)
+        assert sorted((r.id, r.seq, r.qual) for r in fastq) == sorted(long)
+        assert {r.id for r in part} == {"@r2", "@r3", "@r4"}
