@@ -41,24 +41,38 @@ def leaves(pages: DataFrame, id_column: str = "page_id", url_column: str = "url"
 
 
 def placed(found: DataFrame, archives: int) -> DataFrame:
-    """leaves() with archive, ordinal, and the offsets from which to which a record lies there: by id, URL and hash, null first."""
-    order = Window.partitionBy("archive").orderBy("page_id", "url", "sha256")
-    out = found.withColumn("archive", archive_of(F.col("page_id"), archives))
-    return out.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long")).withColumn("stop", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("stop") - F.col("bytes"))
+    """leaves() with archive, ordinal, and the offsets from which to which a record lies there: by id, URL and hash, null first.
+
+    Records are dealt by ranges of that order, so an archive with many records, as of null or equal ids, is many tasks'.
+    """
+    spark = found.sparkSession
+    key = ["page_id", "url", "sha256"]
+    dealt = found.withColumn("archive", archive_of(F.col("page_id"), archives))
+    dealt = dealt.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "archive", *key).withColumn("part", F.spark_partition_id())
+    dealt = Scratch(spark, "placed").keep(dealt, "dealt")
+    before = Window.partitionBy("archive").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("archive", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    base = sums.select("archive", "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "size")])
+    order = Window.partitionBy("archive", "part").orderBy(*key)
+    out = dealt.join(base, ["archive", "part"]).withColumn("ordinal", (F.col("n_before") + F.row_number().over(order) - 1).cast("long"))
+    out = out.withColumn("stop", F.col("size_before") + F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.select(*found.columns, "archive", "ordinal", "stop", (F.col("stop") - F.col("bytes")).alias("start"))
 
 
 def tree(records: DataFrame) -> DataFrame:
-    """Nodes of placed(): archive, level, index, start, stop, hash. Level 0 are records, the last level is an archive's root.
+    """Nodes of placed(): archive, level, index, start, stop, hash, counts. Level 0 are records, the last level is an archive's root.
 
-    A node's hash is the SHA-256 of its range and of its children's hashes in their order. A group has 16 children at
-    most, and an archive's top nodes are few as archives have some 512 records.
+    A node's hash is the SHA-256 of its range and of its children's hashes in their order. counts is a tree of its own
+    beside that, over how many copies of each record there are. A group has 16 children at most; a root has one for 4096
+    records of its archive.
     """
-    level = records.select("archive", F.lit(0).alias("level"), F.col("ordinal").alias("index"), "start", "stop", F.col("sha256").alias("hash"))
+    level = records.select("archive", F.lit(0).alias("level"), F.col("ordinal").alias("index"), "start", "stop", F.col("sha256").alias("hash"), F.col("copies").cast("string").alias("counts"))
     nodes = level
     for k in range(1, LEVELS + 2):
         parent = F.floor(F.col("index") / FANOUT).cast("long") if k <= LEVELS else F.lit(0).cast("long")
-        level = level.groupBy("archive", parent.alias("parent")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sort_array(F.collect_list(F.struct("index", "hash"))).alias("c"))
-        level = level.select("archive", F.lit(k).alias("level"), F.col("parent").alias("index"), "start", "stop", F.sha2(F.concat_ws(":", F.col("start").cast("string"), F.col("stop").cast("string"), F.array_join(F.transform("c", lambda x: x["hash"]), ":")), 256).alias("hash"))
+        level = level.groupBy("archive", parent.alias("parent")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sort_array(F.collect_list(F.struct("index", "hash", "counts"))).alias("c"))
+        joined = lambda c: F.array_join(F.transform("c", lambda x: x[c]), ":")
+        level = level.select("archive", F.lit(k).alias("level"), F.col("parent").alias("index"), "start", "stop", F.sha2(F.concat_ws(":", F.col("start").cast("string"), F.col("stop").cast("string"), joined("hash")), 256).alias("hash"), F.sha2(joined("counts"), 256).alias("counts"))
         nodes = nodes.unionByName(level)
     return nodes
 
@@ -78,8 +92,8 @@ def differing(left: DataFrame, right: DataFrame, scratch: Scratch) -> DataFrame:
             if differ is not None:
                 above = differ.select(F.col("archive").alias("a"), F.col("index").alias("p"))
                 side = side.join(above, (F.col("archive") == F.col("a")) & (parent == F.col("p")), "left_semi")
-            sides.append(side.select("archive", "index", *[F.col(c).alias(f"{name}_{c}") for c in ("hash", "start", "stop")]))
-        both = sides[0].join(sides[1], ["archive", "index"], "full").where(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
+            sides.append(side.select("archive", "index", *[F.col(c).alias(f"{name}_{c}") for c in ("hash", "counts", "start", "stop")]))
+        both = sides[0].join(sides[1], ["archive", "index"], "full").where(~(F.col("left_hash").eqNullSafe(F.col("right_hash")) & F.col("left_counts").eqNullSafe(F.col("right_counts"))))
         differ = scratch.keep(both, f"level-{k}")
     return differ.select("archive", F.col("index").alias("ordinal"), "left_hash", "right_hash", F.coalesce("left_start", "right_start").alias("start"), F.coalesce("left_stop", "right_stop").alias("stop"))
 
@@ -87,8 +101,8 @@ def differing(left: DataFrame, right: DataFrame, scratch: Scratch) -> DataFrame:
 def audit(left: DataFrame, right: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """One row a record of left: page_id, url, archive, ordinal, start, stop, sha256, copies, root (its archive's), corrupt.
 
-    corrupt tells if the audit of right, a replica, ends at that record: then its bytes or its range differ or are
-    missing there. Records that only right has show as differences of their places. Two empty tables give no rows.
+    corrupt tells if the audit of right, a replica, ends at that record: then its bytes, its range or its copies differ
+    or are missing there. Records that only right has show as differences of their places. Two empty tables give no rows.
     """
     scratch = Scratch(left.sparkSession, "warc")
     first = scratch.keep(leaves(left, id_column, url_column, html_column), "left")

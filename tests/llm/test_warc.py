@@ -34,3 +34,23 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted((r.url or "", bytes(r.payload).decode()) for r in got) == sorted({(r[0], r[1] or "", r[2] or "") for r in ROWS} and [(u, h) for _, u, h in {(r[0], r[1] or "", r[2] or "") for r in ROWS}])
     placed = warc.placed(warc.leaves(left), 3).collect()
     assert sorted((r.url or "", r.start, r.stop) for r in placed) == sorted((r.url or "", r.start, r.stop) for r in got)
+
+
+def test_lost_copies(spark):
+    left = spark.createDataFrame(ROWS, SCHEMA)
+    got = warc.audit(left, left.dropDuplicates()).collect()
+    assert [(r.page_id, r.copies) for r in got if r.corrupt] == [(7, 2)] and len(got) == 62
+
+
+def test_one_archive_is_many_tasks(spark):
+    left = spark.createDataFrame([(None if k % 3 else 1, f"http://h/{k % 150}", f"{k}", "x") for k in range(300)], SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = warc.placed(warc.leaves(left), 1).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    at = 0
+    for k, r in enumerate(sorted(got, key=lambda r: (r.page_id is not None, r.url, r.sha256))):
+        assert (r.ordinal, r.start, r.stop) == (k, at, at + r.bytes)
+        at += r.bytes
+    assert len(got) == 300 and len({r.task for r in got}) > 1
