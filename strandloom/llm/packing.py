@@ -40,14 +40,16 @@ class Encoder:
 
     White space always parts tokens here, and in words of Latin letters normalising, lower-casing and splitting act on
     single characters; so each part of such a word goes to the library's model alone. Other words, and texts with odd
-    white space, go through the library's whole chain.
+    white space, go through the library's whole chain. So do texts that hold an added token, if special: those then get
+    its id, as is the library's default; else added tokens are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not special
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()] if special else []
         self.model, self.letters = self.whole.model, _byte_letters()
         encoder = self
 
@@ -78,15 +80,15 @@ class Encoder:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        if _ODD_SPACE.search(text) or any(t in text for t in self.added):
             return self.chain(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """The worker's encoder; it stays for later tasks of the same worker."""
-    return Encoder(path)
+    return Encoder(path, special)
 
 
 def default_tokenizer() -> str:
@@ -95,17 +97,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenize(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False, special: bool = False) -> DataFrame:
     """Pieces of at most capacity ids: doc_id, piece, start, length, ids_crc32, and ids if asked for.
 
-    A null text is an empty one: the end id alone. tokenizer is a file that each executor has.
+    A null text is an empty one: the end id alone. tokenizer is a file that each executor has. special: added tokens that
+    a text holds, as <|endoftext|>, get their ids, as by the library's default; else they are text.
     """
     path = tokenizer or default_tokenizer()
     kind = docs.schema[id_column].dataType.simpleString()
     step, last = 4 * capacity, array("I", [end]).tobytes()
 
     def start() -> Callable[..., Iterator[tuple]]:
-        coder = encoder(path)
+        coder = encoder(path, special)
 
         def f(doc_id: int | None, text: str | None) -> Iterator[tuple]:
             ids = coder.encode(text or "") + last
@@ -192,7 +195,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return Plan(*(np.array(c, np.int64) for c in zip(*rows, strict=True)), sequence) if rows else Plan(*(np.zeros(0, np.int64) for _ in range(5)), 0)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = 0, special: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only documents longer than the capacity are cut. Null and empty texts pack as the end id alone; repeated rows pack
@@ -206,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pieces = scratch.keep(tokenize(docs, tokenizer, id_column, text_column, capacity, end), "pieces")
+    pieces = scratch.keep(tokenize(docs, tokenizer, id_column, text_column, capacity, end, special=special), "pieces")
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = scratch.keep(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
     laid = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
-from strandloom.llm import packing
+from strandloom.llm import packing, queries
 
 ODD = [None, "", " \n\t", "Ärger’s  don't I'LL 12½ naïve x\x1cy İstanbul ΣΑΣ <|endoftext|> 東京 é \x00\x7f~ 'S ﬁ Ǆ", "a " * 9000, "x" * 30000]
 
@@ -68,3 +68,12 @@ def test_two_replace_one():
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert packing.plan({}).sequences == 0
+
+
+def test_added_tokens_of_the_query(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "x<|startoftext|>Y<|ENDOFTEXT|>", "<|endoftext|>", *[x for x in ODD if x]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    got = {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in queries.op1_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert got == {(k, a // 2048): (len(x[a : a + 2048]), zlib.crc32(np.array(x[a : a + 2048], "<u4").tobytes())) for k, x in enumerate(ids) for a in range(0, len(x), 2048)}
