@@ -7,21 +7,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from strandloom.llm.graph import components
+from strandloom.llm.graph import components, contract
 from strandloom.llm.rows import WORD, map_rows
 from strandloom.llm.scratch import Scratch
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Documents of a candidate group that one task compares with as many others.
-CHUNK = 128
-#: Bits and hashes of the filter that keeps texts without partners from moving: 4 MB, whatever the number of documents.
-FILTER_BITS, FILTER_HASHES = 1 << 25, 3
+#: Documents of a candidate group, and shingles of theirs, that one task compares with as many others, about.
+CHUNK, CHUNK_SHINGLES = 128, 1 << 20
+#: Documents whose keys are joined before they move.
+BATCH = 4096
+#: Bits a document, most bits, and hashes of the filter that keeps texts without partners from moving.
+FILTER_BITS, FILTER_MOST, FILTER_HASHES = 16, 1 << 29, 3
+#: Words whose hashes a task keeps; it starts anew beyond that.
+WORDS = 50_000
 
 
 @dataclass(frozen=True)
@@ -49,27 +54,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Hashes(dict):
-    """64-bit hashes of words, kept for the words that a worker meets again."""
+    """64-bit hashes of words, kept for the words that a task meets again."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 200_000:
+        if len(self) >= WORDS:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
 
 
-_hashes = _Hashes()
-
-
-def shingles(text: str | None, words: int) -> np.ndarray:
+def shingles(text: str | None, words: int, hashes: dict | None = None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles; of the whole sequence if it has fewer words; empty without words."""
     # bytes.split() parts at the six ASCII white spaces, which are the contract's
     found = (text or "").encode().translate(_LOWER).split()
     if not found:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map((_Hashes() if hashes is None else hashes).__getitem__, found), np.uint64, len(found))
     n = max(1, len(h) - words + 1)
     out = np.full(n, min(len(h), words), np.uint64)
     for k in range(min(words, len(h))):
@@ -118,8 +120,10 @@ def _sign(near: Near) -> Callable[[], Callable[..., Iterator[tuple]]]:
     def start() -> Callable[..., Iterator[tuple]]:
         import xxhash
 
+        own = _Hashes()
+
         def f(doc_id: int | None, text: str | None) -> Iterator[tuple]:
-            found = shingles(text, near.words)
+            found = shingles(text, near.words, own)
             if len(found):
                 yield doc_id, len(found), xxhash.xxh3_128_digest(found.tobytes()), signature(found, near).tobytes()
             else:
@@ -143,18 +147,19 @@ def _linked(a: np.ndarray, docs: np.ndarray, sizes: np.ndarray, percent: int, in
     return docs[100 * shared >= percent * (len(a) + sizes - shared)]
 
 
-def _block_links(ids: list, sets: list[np.ndarray], left: list[bool], right: list[bool], percent: int) -> Iterator[tuple]:
+def _block_links(ids: list, sets: list[np.ndarray], left: list[bool], right: list[bool], groups: list, percent: int) -> Iterator[tuple]:
     """Links (a, b) that join up the documents of a block as all links between its left and right sides would.
 
-    Shared shingles are counted for one document and all of the right side at once, from an inverted list; of the links
-    found only those that join two groups come out, fewer than there are documents.
+    Documents of equal groups that aren't None are joined already. Shared shingles are counted for one document and all of
+    the right side at once, from an inverted list; of the links found only those that join two groups come out, fewer than
+    there are documents.
     """
     side = [k for k in range(len(ids)) if right[k]]
     if not side:
         return
     sizes = np.array([len(sets[k]) for k in side])
     values = np.concatenate([sets[k] for k in side])
-    owners = np.repeat(np.arange(len(side)), sizes)
+    owners = np.repeat(np.arange(len(side), dtype=np.int32), sizes)
     order = np.argsort(values, kind="stable")
     inverted = values[order], owners[order]
     docs = np.arange(len(side))
@@ -166,6 +171,10 @@ def _block_links(ids: list, sets: list[np.ndarray], left: list[bool], right: lis
             x = parent[x]
         return x
 
+    first: dict = {}
+    for k, g in enumerate(groups):
+        if g is not None:
+            parent[k] = root(first.setdefault(g, k))
     for k in range(len(ids)):
         if left[k]:
             for j in _linked(sets[k], docs, sizes, percent, inverted).tolist():
@@ -184,21 +193,19 @@ def groups(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text
 
     1. Each text gives the size, a 128-bit digest and the signature of its set. Equal sets become one node (the least id),
        summed before they move, so copies cost nothing more.
-    2. Nodes' keys are counted; keys that nodes share join them to candidate groups, as components of the links from each
-       node to the least node of each of its keys. All pairs that share a key, so all within the signature distance, lie
-       in one group.
-    3. Groups are cut into chunks of about 128 nodes by hash; each pair of chunks of a group is a block that one task
-       compares on full sets, made again from the texts. So a group of any size spreads over tasks of one size.
-    4. Blocks return fewer links than nodes; their components are the result.
+    2. Keys that nodes share join them to candidate groups, as components of the links from each node to the least node of
+       each of its keys. All pairs that share a key, so all within the signature distance, lie in one group.
+    3. Groups are compared on full sets, a bounded number of nodes at a time; see _confirmed().
+    4. Comparisons return fewer links than nodes; their components are the result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     kind = docs.schema[id_column].dataType.simpleString()
     signed = scratch.keep(map_rows(docs, [id_column, text_column], f"doc_id {kind}, n_shingles bigint, digest binary, signature binary", _sign(near)), "signed")
     sets = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = scratch.keep(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "nodes")
-    candidates = _candidate_groups(nodes, near, scratch, kind)
-    links = scratch.keep(_confirmed(docs, candidates, near, scratch, id_column, text_column, kind), "links")
+    nodes = scratch.keep(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "nodes")
+    candidates = scratch.keep(_candidate_groups(nodes, near, scratch, kind).join(nodes.select("node", "n_shingles"), "node"), "candidates")
+    links = _confirmed(docs, candidates, near, scratch, id_column, text_column, kind)
     # rows that repeat an id with different sets belong together
     member = sets.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").select("doc_id", "node")
     member = scratch.keep(member.distinct(), "member")
@@ -213,34 +220,50 @@ def groups(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text
 
 
 def _candidate_groups(nodes: DataFrame, near: Near, scratch: Scratch, kind: str) -> DataFrame:
-    """(node, candidate): the candidate group of each node that shares a key with another."""
-    shape = _parse_datatype_string(f"node {kind}, keys array<bigint>")
+    """(node, component): the candidate group of each node that shares a key with another.
+
+    Nodes that share a key within a batch are joined there, and the key goes on with one of them: so a key that very many
+    nodes share moves once a batch.
+    """
+    shape = _parse_datatype_string(f"key bigint, node {kind}, other {kind}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into = to_arrow_schema(shape)
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                b = whole.slice(at, BATCH)
+                b = b.take(pc.sort_indices(b.column(0)))
                 symbols = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(b.num_rows, -1)
-                keys = keys_of(symbols, near)
-                lists = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * keys.shape[1], keys.ravel())
-                yield pa.RecordBatch.from_arrays([b.column(0), lists], schema=into)
-
-    keys = nodes.select("node", "signature").mapInArrow(run, shape).select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select(F.col("key").alias("k"), "least")
-    edges = keys.join(shared, F.col("key") == F.col("k")).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    return components(edges, scratch, "candidates").withColumnRenamed("component", "candidate")
+                flat = keys_of(symbols, near).ravel()
+                per = len(flat) // b.num_rows
+                keys, first, of = np.unique(flat, return_index=True, return_inverse=True)
+                mine, least = np.arange(len(flat)) // per, (first // per)[of]
+                linked = mine != least
+                leaf, root = contract(mine[linked], least[linked])
+                # edges between nodes have keys of their own, so that they are dealt evenly
+                own = _mix(leaf.astype(np.uint64) + _mix(flat[leaf * per].view(np.uint64))).view(np.int64)
+                node = b.column(0).take(pa.array(np.concatenate([first // per, leaf])))
+                other = b.column(0).take(pa.array(np.concatenate([np.zeros(len(keys), np.int64), root]), mask=np.arange(len(keys) + len(leaf)) < len(keys)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, own])), node.cast(into.field(1).type), other.cast(into.field(2).type)], schema=into)
+
+    keys = nodes.select("node", "signature").mapInArrow(run, shape)
+    least = F.first("node").over(Window.partitionBy("key").orderBy("node"))
+    edges = keys.select(F.col("node").alias("a"), F.coalesce("other", least).alias("b"))
+    return components(edges, scratch, "candidate-cc")
 
 
 def _likely(texts: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
-    """texts whose ids are candidates, and a few others, by a Bloom filter of fixed size.
+    """texts whose ids are candidates, and a few others, by a Bloom filter.
 
-    The filter's words are or-ed together by Spark; the driver gets at most FILTER_BITS / 64 of them. With very many
-    candidates the filter lets more texts pass, which the join after it sorts out.
+    It has about FILTER_BITS bits a candidate, made up to a power of two between 2^20 and FILTER_MOST: 64 MB. Its words are
+    or-ed together by Spark; the driver gets one a word. With more candidates it lets more texts pass, which the join after
+    it sorts out.
     """
-    spot = lambda c, k: F.pmod(F.xxhash64(F.col(c), F.lit(k)), F.lit(FILTER_BITS))
+    size = min(FILTER_MOST, max(1 << 20, 1 << (FILTER_BITS * candidates.count()).bit_length()))
+    spot = lambda c, k: F.pmod(F.xxhash64(F.col(c), F.lit(k)), F.lit(size))
     spots = candidates.select(F.explode(F.array(*[spot("node", k) for k in range(FILTER_HASHES)])).alias("spot"))
     words = spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(spot % 64 AS int))")).alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table = np.zeros(size // 64, np.int64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     bits = table.view(np.uint8)
     shared = candidates.sparkSession.sparkContext.broadcast(bits)
@@ -260,30 +283,97 @@ def _likely(texts: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
     return texts.select("doc_id", "text", *[spot("doc_id", k).alias(f"s{k}") for k in range(FILTER_HASHES)]).mapInArrow(run, shape)
 
 
-def _confirmed(docs: DataFrame, candidates: DataFrame, near: Near, scratch: Scratch, id_column: str, text_column: str, kind: str) -> DataFrame:
-    """Links (a, b), confirmed on full sets, that join up each candidate group as all of its links would."""
-    sizes = candidates.groupBy("candidate").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    placed = candidates.join(sizes.select(F.col("candidate").alias("of"), "chunks"), F.col("candidate") == F.col("of"))
-    placed = placed.select("node", "candidate", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    # merge: the same plan at every size; texts of candidates alone move
-    placed = _likely(texts, candidates, kind).join(placed.hint("merge"), F.col("node") == F.col("doc_id"))
-    placed = scratch.keep(placed.select("node", "candidate", "chunks", "chunk", "text"), "texts")
-    # a node of chunk c is in blocks (min(c, j), max(c, j)) for each chunk j
-    blocks = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = blocks.select("candidate", F.least("chunk", "j").alias("x"), F.greatest("chunk", "j").alias("y"), "node", "chunk", "text")
+def _hashed(near: Near) -> Callable[[], Callable[..., Iterator[tuple]]]:
+    def start() -> Callable[..., Iterator[tuple]]:
+        own = _Hashes()
+
+        def f(doc_id: object, text: str | None) -> Iterator[tuple]:
+            found = shingles(text, near.words, own)
+            if len(found):
+                yield doc_id, found.tobytes()
+
+        return f
+
+    return start
+
+
+def _chunks(n: str, shingles: str) -> F.Column:
+    """Chunks of a group of n nodes with so many shingles in all."""
+    return F.greatest(F.ceil(F.col(n) / CHUNK), F.ceil(F.col(shingles) / CHUNK_SHINGLES)).cast("int")
+
+
+def _dealt(table: DataFrame, by: list[str], name: str) -> DataFrame:
+    """table with chunks, how many its group (by) has, and name, the one of them that a node is in by hash."""
+    sizes = table.groupBy(*by).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
+    sizes = sizes.select(*[F.col(c).alias(f"of_{c}") for c in by], _chunks("n", "total").alias("chunks"))
+    on = [F.col(c) == F.col(f"of_{c}") for c in by]
+    return table.join(sizes, on).withColumn(name, F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop(*[f"of_{c}" for c in by])
+
+
+def _compared(blocks: DataFrame, near: Near, kind: str) -> DataFrame:
+    """Links (a, b) of blocks, rows of candidate, x, y, chunk, node, joined and hashes: chunk x is one side, y the other."""
     shape = _parse_datatype_string(f"a {kind}, b {kind}")
 
     def run(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        ids, chunk = table.column("node").to_pylist(), table.column("chunk").to_pylist()
-        sets = [shingles(t.as_py(), near.words) for t in table.column("text")]
-        keep = [k for k, s in enumerate(sets) if len(s)]
-        ids, sets, chunk = [ids[k] for k in keep], [sets[k] for k in keep], [chunk[k] for k in keep]
-        found = list(_block_links(ids, sets, [c == x for c in chunk], [c == y for c in chunk], near.percent)) if ids else []
+        ids, chunk, joined = (table.column(c).to_pylist() for c in ("node", "chunk", "joined"))
+        sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in table.column("hashes")]
+        found = list(_block_links(ids, sets, [c == x for c in chunk], [c == y for c in chunk], joined, near.percent))
         return pa.Table.from_arrays([pa.array([p[k] for p in found], t.type) for k, t in enumerate(to_arrow_schema(shape))], schema=to_arrow_schema(shape))
 
-    return blocks.groupBy("candidate", "x", "y").applyInArrow(run, shape)
+    return blocks.select("candidate", "x", "y", "chunk", "node", "joined", "hashes").groupBy("candidate", "x", "y").applyInArrow(run, shape)
+
+
+def _crossed(dealt: DataFrame) -> DataFrame:
+    """dealt, with chunk and chunks, as blocks of each two chunks of a group: a node is in one for each chunk of its group."""
+    blocks = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return blocks.withColumn("x", F.least("chunk", "j")).withColumn("y", F.greatest("chunk", "j"))
+
+
+def _confirmed(docs: DataFrame, candidates: DataFrame, near: Near, scratch: Scratch, id_column: str, text_column: str, kind: str) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that join up each candidate group as all of its links would.
+
+    Sets, as sorted 64-bit hashes, move once. Groups are dealt into chunks of about 128 nodes and 2^20 shingles.
+    1. All nodes of a chunk are compared with each other. Most groups have one chunk and are done.
+    2. In the others, the roots of the chunks' linked groups are compared across chunks. Copies of one text are one linked
+       group after that, however many there are.
+    3. Nodes of what are several linked groups still are compared across these: chunks are made anew within each large
+       linked group and of all small ones together, and two chunks of the same linked group don't meet. Nodes that are
+       joined need no comparison, as only components are asked for; all others meet. So a set is copied once a chunk
+       outside its own linked group: time is quadratic only in nodes of a group that are not joined.
+    """
+    null = F.lit(None).cast(kind)
+    placed = _dealt(candidates.select("node", F.col("component").alias("candidate"), "n_shingles"), ["candidate"], "chunk")
+    texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    likely = map_rows(_likely(texts, candidates, kind), ["doc_id", "text"], f"doc_id {kind}, hashes binary", _hashed(near))
+    # merge: the same plan at every size; sets of candidates alone move
+    placed = scratch.keep(likely.join(placed.hint("merge"), F.col("node") == F.col("doc_id")).select("node", "candidate", "n_shingles", "chunks", "chunk", "hashes"), "sets")
+    links = scratch.keep(_compared(placed.select("*", F.col("chunk").alias("x"), F.col("chunk").alias("y"), null.alias("joined")), near, kind), "links-1")
+    large = placed.where("chunks > 1")
+    if large.isEmpty():
+        return links
+    inside = links.join(large.select(F.col("node").alias("of")).distinct(), F.col("a") == F.col("of"), "left_semi")
+    roots = large.join(components(inside, scratch, "inside-cc").where("node <> component").select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_anti")
+    roots = _dealt(roots.drop("chunk", "chunks"), ["candidate"], "chunk")
+    links = links.unionByName(scratch.keep(_compared(_crossed(roots).withColumn("joined", null), near, kind), "links-2"))
+    inside = links.join(large.select(F.col("node").alias("of")).distinct(), F.col("a") == F.col("of"), "left_semi")
+    joined = components(inside, scratch, "across-cc").select(F.col("node").alias("of"), "component")
+    groups_of = scratch.keep(large.drop("chunk", "chunks", "hashes").join(joined, F.col("node") == F.col("of"), "left").select("node", "candidate", "n_shingles", F.coalesce("component", "node").alias("joined")), "groups-of")
+    several = groups_of.groupBy("candidate").agg(F.min("joined").alias("least"), F.max("joined").alias("most")).where("least <> most").select(F.col("candidate").alias("open"))
+    rest = groups_of.join(several, F.col("candidate") == F.col("open"), "left_semi")
+    # each large linked group has chunks of its own (alone); the small ones of a candidate group share some
+    rest = _dealt(rest, ["candidate", "joined"], "part").withColumn("alone", F.when(F.col("chunks") > 1, F.col("joined")))
+    few = _dealt(rest.where("alone IS NULL").drop("chunks", "part"), ["candidate"], "part").withColumn("alone", null)
+    rest = rest.where("alone IS NOT NULL").select("node", "candidate", "joined", "alone", "part").unionByName(few.select("node", "candidate", "joined", "alone", "part"))
+    rest = scratch.keep(rest.select("node", "candidate", "joined", "alone", F.xxhash64("alone", "part").alias("chunk")), "rest")
+    chunks = scratch.keep(rest.select("candidate", "alone", "chunk").distinct(), "chunks")
+    # each chunk's partners, then its nodes: chunks of one linked group don't meet
+    left, right = (chunks.select(F.col("candidate").alias(f"{s}_candidate"), F.col("alone").alias(f"{s}_alone"), F.col("chunk").alias(s)) for s in ("one", "two"))
+    meet = left.join(right, (F.col("one_candidate") == F.col("two_candidate")) & (F.col("one_alone").isNull() | F.col("two_alone").isNull() | (F.col("one_alone") != F.col("two_alone"))))
+    meet = meet.select(F.col("one_candidate").alias("in"), "one", F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y"))
+    rest = rest.join(meet, (F.col("candidate") == F.col("in")) & (F.col("chunk") == F.col("one"))).select(F.col("node").alias("own"), "joined", "chunk", "x", "y")
+    rest = large.select("node", "candidate", "hashes").join(rest, F.col("node") == F.col("own"))
+    return links.unionByName(scratch.keep(_compared(rest, near, kind), "links-3"))
 
 
 def deduplicate(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

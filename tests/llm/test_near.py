@@ -69,6 +69,24 @@ def test_chunks_of_a_large_group(spark, monkeypatch):
     assert got == {(a, b): c for a, b, c in brute(rows, 3, 85)}
 
 
+def test_drifting_copies_in_chunks(spark, monkeypatch):
+    """Copies of copies, of which only neighbours link, and two families that share keys but no link: chunks' roots say little."""
+    monkeypatch.setattr(near, "CHUNK", 4)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows, base = [], [word() for _ in range(120)]
+    for _ in range(40):
+        base[rng.randrange(120)] = word()
+        rows.append(" ".join(base))
+    head = [word() for _ in range(70)]
+    for k in range(30):
+        rows.append(" ".join([*head, *(word() if k % 3 else f"w{k // 10}x{i}" for i in range(30))]))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near.groups(spark.createDataFrame(rows, "doc_id long, text string"), near.Near(3, 85)).collect()]
+    assert sorted(got) == sorted(brute(rows, 3, 85))
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus(3)
     df = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, twice string")
