@@ -5,7 +5,6 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandloom.llm.rows import map_rows
+from strandloom.llm.rows import Shared, map_rows
 from strandloom.llm.scratch import Scratch
 
 CAPACITY = 2048
-#: Words and parts of words that a Python worker keeps the ids of; the caches start anew beyond that.
-CACHED = 400_000
+#: Words and parts of words that a Python worker keeps the ids of, some 50 MB; the caches start anew beyond that.
+CACHED = 200_000
 
 #: The tokenizer's own splitting pattern.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -85,10 +84,17 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=2)
+#: The worker's encoder, for its tasks.
+_encoder = Shared()
+
+
 def encoder(path: str, special: bool = False) -> Encoder:
-    """The worker's encoder; it stays for later tasks of the same worker."""
-    return Encoder(path, special)
+    """The worker's encoder; _leave() when done with it."""
+    return _encoder.take((path, special), lambda: Encoder(path, special))
+
+
+def _leave() -> None:
+    _encoder.leave()
 
 
 def default_tokenizer() -> str:
@@ -119,7 +125,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, id_column: str = "do
 
         return f
 
-    return map_rows(docs, [id_column, text_column], f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids, start)
+    return map_rows(docs, [id_column, text_column], f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids, start, _leave)
 
 
 @dataclass

@@ -22,6 +22,8 @@ STEMS = (4, 5, 6)
 #: Words of a training sequence; steps of its fit.
 SEGMENT, STEPS = 64, 80
 THRESHOLD = 0.3
+#: Words whose numbers a task keeps; it starts anew beyond that.
+WORDS = 100_000
 
 
 def plain(word: str) -> str:
@@ -254,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 def _scorer(chain: Chain) -> Callable[[], Callable[..., Iterator[tuple]]]:
     class Numbers(dict):
         def __missing__(self, word: str) -> int:
-            if len(self) >= 400_000:
+            if len(self) >= WORDS:
                 self.clear()
             self[word] = out = chain.number(plain(word))
             return out
