@@ -40,12 +40,14 @@ def forms(word: str) -> list[str]:
 class Chain:
     """Two states, 0 clean and 1 toxic. vocabulary: form to number, from 1, the most telling first; 0 is every other word.
 
-    emission: for each number, how much more it speaks for state 1. move[i, j]: from state i to j. start: of both states.
-    level: weights of document features, the constant first; see features().
+    emission: for each number, how much more it speaks for state 1. beside: how much more a word of the vocabulary does if
+    the word before it, or after it, is one too. move[i, j]: from state i to j. start: of both states. level: weights of
+    document features, the constant first; see features().
     """
 
     vocabulary: dict[str, int]
     emission: np.ndarray
+    beside: np.ndarray
     move: np.ndarray
     start: np.ndarray
     level: np.ndarray
@@ -54,55 +56,85 @@ class Chain:
         """The most telling of a plain word's forms."""
         return min((n for f in forms(word) if (n := self.vocabulary.get(f))), default=0)
 
-    def marginals(self, places: list[int], numbers: list[int], n: int) -> list[float]:
-        """P(toxic) of the words at places, the only ones of n in the vocabulary, by forward-backward over all n.
-
-        Words outside the vocabulary share one emission, so the n - k others pass as powers of one matrix.
-        """
-        step = np.exp(self.move)
-        other = np.exp(np.array([0.0, self.emission[0]]))
-        through = step * other[None, :]  # move, then read another word
-        powers: dict[int, np.ndarray] = {0: np.eye(2)}
-
-        def power(k: int) -> np.ndarray:
-            if k not in powers:
-                half = power(k // 2)
-                m = half @ half
-                m = m @ through if k % 2 else m
-                powers[k] = m / m.max()
-            return powers[k]
-
-        reads = [np.exp(np.array([0.0, self.emission[x]])) for x in numbers]
-        forward, f = [], None
-        last = -1
-        for place, read in zip(places, reads, strict=True):
-            if f is None:
-                f = np.exp(self.start) * (read if place == 0 else other)
-                if place:
-                    f = (f @ power(place - 1)) @ step * read
-            else:
-                f = (f @ power(place - last - 1)) @ step * read
-            f = f / f.sum()
-            forward.append(f)
-            last = place
-        out, b = [], power(n - 1 - places[-1]) @ np.ones(2)
-        for k in range(len(places) - 1, -1, -1):
-            p = forward[k] * b
-            out.append(float(p[1] / p.sum()))
-            if k:
-                b = power(places[k] - places[k - 1] - 1) @ (step @ (reads[k] * b))
-                b = b / b.sum()
-        return out[::-1]
-
     def tag(self, words: list[str]) -> tuple[list[int], list[float]]:
-        numbers = [self.number(plain(w)) for w in words]
-        places = [k for k, x in enumerate(numbers) if x]
-        return places, self.marginals(places, [numbers[k] for k in places], len(words)) if places else []
+        return Tagger(self).tag([self.number(plain(w)) for w in words])
 
     def score(self, marginals: list[float], n: int) -> float:
         return float(1 / (1 + np.exp(-np.clip(features(marginals, n) @ self.level, -30, 30))))
 
 
+class Tagger:
+    """A chain's exact marginals, by forward-backward, in plain numbers. Words outside the vocabulary share one emission, so
+    those between two words of it pass as a power of one matrix; a task keeps the powers it meets."""
+
+    def __init__(self, chain: Chain):
+        self.reads = np.exp(chain.emission).tolist()
+        self.before, self.after = np.exp(chain.beside).tolist()
+        (self.s00, self.s01), (self.s10, self.s11) = np.exp(chain.move).tolist()
+        self.first = tuple(np.exp(chain.start).tolist())
+        other = self.reads[0]
+        # move, then read another word
+        self.through = (self.s00, self.s01 * other, self.s10, self.s11 * other)
+        self.powers: dict[int, tuple[float, float, float, float]] = {0: (1.0, 0.0, 0.0, 1.0)}
+
+    def power(self, k: int) -> tuple[float, float, float, float]:
+        found = self.powers.get(k)
+        if found is None:
+            if len(self.powers) >= WORDS:
+                self.powers = {0: (1.0, 0.0, 0.0, 1.0)}
+            a, b, c, d = self.power(k // 2)
+            a, b, c, d = a * a + b * c, a * b + b * d, c * a + d * c, c * b + d * d
+            if k % 2:
+                p, q, r, t = self.through
+                a, b, c, d = a * p + b * r, a * q + b * t, c * p + d * r, c * q + d * t
+            most = max(a, b, c, d)
+            found = self.powers[k] = (a / most, b / most, c / most, d / most)
+        return found
+
+    def tag(self, numbers: list[int]) -> tuple[list[int], list[float]]:
+        """Places of the words of the vocabulary, by their numbers, and P(toxic) of each."""
+        places = [k for k, x in enumerate(numbers) if x]
+        if not places:
+            return places, []
+        reads = []
+        for k, place in enumerate(places):
+            read = self.reads[numbers[place]]
+            if k and places[k - 1] == place - 1:
+                read *= self.before
+            if k + 1 < len(places) and places[k + 1] == place + 1:
+                read *= self.after
+            reads.append(read)
+        forward, last = [], -1
+        f0, f1 = self.first
+        for place, read in zip(places, reads, strict=True):
+            if place and last < 0:
+                f1 *= self.reads[0]
+            if place:
+                a, b, c, d = self.power(place - last - 1 if last >= 0 else place - 1)
+                f0, f1 = f0 * a + f1 * c, f0 * b + f1 * d
+                f0, f1 = f0 * self.s00 + f1 * self.s10, f0 * self.s01 + f1 * self.s11
+            f1 *= read
+            total = f0 + f1
+            f0, f1 = f0 / total, f1 / total
+            forward.append((f0, f1))
+            last = place
+        a, b, c, d = self.power(len(numbers) - 1 - last)
+        b0, b1 = a + b, c + d
+        out = [0.0] * len(places)
+        for k in range(len(places) - 1, -1, -1):
+            f0, f1 = forward[k]
+            p0, p1 = f0 * b0, f1 * b1
+            out[k] = p1 / (p0 + p1)
+            if k:
+                b1 *= reads[k]
+                b0, b1 = self.s00 * b0 + self.s01 * b1, self.s10 * b0 + self.s11 * b1
+                a, b, c, d = self.power(places[k] - places[k - 1] - 1)
+                b0, b1 = a * b0 + b * b1, c * b0 + d * b1
+                total = b0 + b1
+                b0, b1 = b0 / total, b1 / total
+        return places, out
+
+
 def features(marginals: list[float], n: int) -> np.ndarray:
     """Of a document: 1, log of 1 + expected toxic words, the largest marginal, expected toxic words in a hundred, to 5 at most."""
     total = sum(marginals)
@@ -140,43 +172,60 @@ def _vocabulary(texts: list[list[str]], toxic: list[int]) -> list[str]:
     return [f for *_, f in sorted(ranked)[:MOST_WORDS]]
 
 
-def _fit_chain(x: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights that maximise the likelihood of tags y given words x, sequences in rows, by gradient steps of Adam."""
-    emission, move, start = np.zeros(size), np.zeros((2, 2)), np.zeros(2)
+def _beside(x: np.ndarray) -> np.ndarray:
+    """For each word of sequences, in rows, whether it and the word before it, and it and the word after it, are in the vocabulary."""
+    both = (x[:, 1:] > 0) & (x[:, :-1] > 0)
+    none = np.zeros((len(x), 1), bool)
+    return np.stack([np.concatenate([none, both], axis=1), np.concatenate([both, none], axis=1)])
+
+
+def _counts(x: np.ndarray, near: np.ndarray, tags: np.ndarray, moves: np.ndarray, first: np.ndarray, size: int) -> list[np.ndarray]:
+    """What goes with each weight: of words by number, of words beside others, of moves, and of first states."""
+    return [np.bincount(x.ravel(), weights=tags.ravel(), minlength=size), (near * tags).sum(axis=(1, 2)), moves, first]
+
+
+def expected(weights: list[np.ndarray], x: np.ndarray, near: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Expected counts of states under a chain's weights (emission, beside, move, start), and the logarithm of its sum over them."""
+    emission, beside, move, start = weights
     n, length = x.shape
-    weights = [emission, move, start]
+    read = np.stack([np.ones(x.shape), np.exp(emission[x] + np.tensordot(beside, near.astype(float), 1))], axis=-1)
+    step = np.exp(move)
+    forward = np.empty((length, n, 2))
+    scale = np.empty((length, n))
+    f = np.exp(start) * read[:, 0]
+    for k in range(length):
+        if k:
+            f = (forward[k - 1] @ step) * read[:, k]
+        scale[k] = f.sum(axis=1)
+        forward[k] = f / scale[k][:, None]
+    b = np.ones((n, 2))
+    tags, moves, first = np.empty((n, length)), np.zeros((2, 2)), np.zeros(2)
+    for k in range(length - 1, -1, -1):
+        p = forward[k] * b
+        tags[:, k] = p[:, 1] / p.sum(axis=1)
+        if k == 0:
+            first = (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
+        else:
+            out = read[:, k] * b / scale[k][:, None]
+            moves += (forward[k - 1].T @ out) * step
+            b = out @ step.T
+    return _counts(x, near, tags, moves, first, len(emission)), float(np.log(scale).sum())
+
+
+def _fit_chain(x: np.ndarray, y: np.ndarray, size: int) -> list[np.ndarray]:
+    """Weights that maximise the likelihood of tags y given words x, sequences in rows, by gradient steps of Adam."""
+    weights = [np.zeros(size), np.zeros(2), np.zeros((2, 2)), np.zeros(2)]
     m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    flat = x.ravel()
-    seen = [np.bincount(flat, weights=y.ravel(), minlength=size), np.bincount((2 * y[:, :-1] + y[:, 1:]).ravel(), minlength=4).reshape(2, 2).astype(float), np.bincount(y[:, 0], minlength=2).astype(float)]
+    near = _beside(x)
+    seen = _counts(x, near, y, np.bincount((2 * y[:, :-1] + y[:, 1:]).ravel(), minlength=4).reshape(2, 2).astype(float), np.bincount(y[:, 0], minlength=2).astype(float), size)
     for t in range(1, STEPS + 1):
-        read = np.stack([np.ones(x.shape), np.exp(emission)[x]], axis=-1)
-        step = np.exp(move)
-        forward = np.empty((length, n, 2))
-        scale = np.empty((length, n))
-        f = np.exp(start) * read[:, 0]
-        for k in range(length):
-            if k:
-                f = (forward[k - 1] @ step) * read[:, k]
-            scale[k] = f.sum(axis=1)
-            forward[k] = f / scale[k][:, None]
-        b = np.ones((n, 2))
-        tags, moves = np.empty((n, length)), np.zeros((2, 2))
-        for k in range(length - 1, -1, -1):
-            p = forward[k] * b
-            tags[:, k] = p[:, 1] / p.sum(axis=1)
-            if k == 0:
-                first = (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
-            else:
-                out = read[:, k] * b / scale[k][:, None]
-                moves += (forward[k - 1].T @ out) * step
-                b = out @ step.T
-        expected = [np.bincount(flat, weights=tags.ravel(), minlength=size), moves, first]
+        found, _ = expected(weights, x, near)
         for k, w in enumerate(weights):
-            g = (seen[k] - expected[k]) / n - 1e-4 * w
+            g = (seen[k] - found[k]) / len(x) - 1e-4 * w
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
             w += 0.25 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-    return emission, move, start
+    return weights
 
 
 def _fit_level(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -202,8 +251,8 @@ def fit(sample: list[tuple[str, int]], rows_of: tuple[int, int]) -> Chain:
     rate = (rows_of[1] + 0.5) / (sum(rows_of) + 1) if sum(rows_of) else 0.0
     if not vocabulary:
         base = float(np.log(rate / (1 - rate))) if 0 < rate < 1 else -10.0
-        return Chain({}, np.zeros(1), np.zeros((2, 2)), np.zeros(2), np.array([base, 0.0, 0.0, 0.0]))
-    known = Chain(vocabulary, np.zeros(1), np.zeros((2, 2)), np.zeros(2), np.zeros(4)).number
+        return Chain({}, np.zeros(1), np.zeros(2), np.zeros((2, 2)), np.zeros(2), np.array([base, 0.0, 0.0, 0.0]))
+    known = Chain(vocabulary, *[np.zeros(0)] * 5).number
     xs, ys = [], []
     for w, t in zip(words, toxic, strict=True):
         x = np.array([known(v) for v in w], np.int32)
@@ -214,12 +263,12 @@ def fit(sample: list[tuple[str, int]], rows_of: tuple[int, int]) -> Chain:
     some = (x > 0).any(axis=1)
     rest = np.flatnonzero(~some)
     take = np.concatenate([np.flatnonzero(some), rest[np.linspace(0, len(rest) - 1, min(len(rest), max(200, int(some.sum())))).astype(int)] if len(rest) else rest])
-    emission, move, start = _fit_chain(x[take], y[take], len(vocabulary) + 1)
-    chain = Chain(vocabulary, emission, move, start, np.zeros(4))
-    table = np.array([features(chain.tag(w)[1], len(w)) for w in words])
+    weights = _fit_chain(x[take], y[take], len(vocabulary) + 1)
+    tagger = Tagger(Chain(vocabulary, *weights, np.zeros(4)))
+    table = np.array([features(tagger.tag([known(v) for v in w])[1], len(w)) for w in words])
     ones = np.array(toxic, float)
     share = np.where(ones > 0, rows_of[1] / max(1, ones.sum()), rows_of[0] / max(1, len(ones) - ones.sum()))
-    return Chain(vocabulary, emission, move, start, _fit_level(table, ones, share))
+    return Chain(vocabulary, *weights, _fit_level(table, ones, share))
 
 
 def held_out(id_column: F.Column) -> F.Column:
@@ -230,8 +279,9 @@ def held_out(id_column: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Chain:
     """The chain for labels of docs, from at most rows rows of each class, of chars characters at most, none held out.
 
-    A row is taken by the hash of its id, so the same rows come every time. What the driver gets is bounded by
-    2 * rows * chars. An id with several labels is toxic if one of them is; null labels are none.
+    A row is taken by the hash of its id, so the same rows come every time; of rows that share an id the one with the least
+    text. What the driver gets is bounded by 2 * rows * chars. An id with several labels is toxic if one of them is; null
+    labels are none.
     """
     by_id = labels.select(F.col(f"`{id_column}`").alias("labelled"), F.col(f"`{label_column}`").cast("int").alias("y")).where("labelled IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("labelled")))
     by_id = by_id.groupBy("labelled").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
@@ -248,33 +298,35 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         return fit([], (0, 0))
     # 2 * rows ids at most: a size that a parameter bounds
     small = docs.sparkSession.createDataFrame(ids, f"own {docs.schema[id_column].dataType.simpleString()}, y int")
-    sample = texts.join(F.broadcast(small), F.col("doc_id") == F.col("own")).select("doc_id", "text", "y").collect()
+    # an id that documents repeat counts once
+    sample = texts.join(F.broadcast(small), F.col("doc_id") == F.col("own")).groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     sample = sorted((r["doc_id"], r["text"], r["y"]) for r in sample)
     return fit([(text, y) for _, text, y in sample], (counts.get(0, 0), counts.get(1, 0)))
 
 
 def _scorer(chain: Chain) -> Callable[[], Callable[..., Iterator[tuple]]]:
     class Numbers(dict):
-        def __missing__(self, word: str) -> int:
+        def __missing__(self, word: bytes) -> int:
             if len(self) >= WORDS:
                 self.clear()
-            self[word] = out = chain.number(plain(word))
+            self[word] = out = chain.number(plain(word.decode()))
             return out
 
     def start() -> Callable[..., Iterator[tuple]]:
-        numbers = Numbers()
+        numbers, tagger = Numbers(), Tagger(chain)
         clean = chain.score([], 1)
 
         def f(doc_id: int | None, text: str | None) -> Iterator[tuple]:
             spans, score = [], clean
-            # a quick look over white-space parts; texts with some word of the vocabulary are then read with offsets
-            if text and chain.vocabulary and any(map(numbers.__getitem__, text.split())):
-                words = list(_WORDS.finditer(text))
-                places, marginals = chain.tag([m[0] for m in words])
-                score = chain.score(marginals, len(words))
-                for k, p in zip(places, marginals, strict=True):
-                    if p >= 0.5:
-                        spans.append({"start": words[k].start(), "end": words[k].end(), "p": p})
+            if text and chain.vocabulary:
+                # bytes.split() parts at the six ASCII white spaces, which are the contract's
+                found = list(map(numbers.__getitem__, text.encode().split()))
+                places, marginals = tagger.tag(found)
+                if places:
+                    score = chain.score(marginals, len(found))
+                    if max(marginals) >= 0.5:
+                        words = list(_WORDS.finditer(text))
+                        spans = [{"start": words[k].start(), "end": words[k].end(), "p": p} for k, p in zip(places, marginals, strict=True) if p >= 0.5]
             yield doc_id, score, spans
 
         return f
@@ -293,7 +345,11 @@ def score(docs: DataFrame, chain: Chain, id_column: str = "doc_id", text_column:
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is under threshold."""
+    """The rows of docs, with all their columns, whose score is under threshold.
+
+    Null and empty texts stay unless the rate of toxic rows among such reaches threshold; repeated rows fare alike; an empty
+    table gives no rows. Columns may have any names.
+    """
     names = docs.columns
     at = names.index(text_column)
 

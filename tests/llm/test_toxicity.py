@@ -1,24 +1,81 @@
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
 
-from strandloom.llm import toxicity
+from strandloom.llm import queries, toxicity
 
 
-def test_marginals_equal_enumeration():
+def enumerated(chain, words):
+    """P(toxic) of each word, by all ways to tag words."""
+    x = [chain.vocabulary.get("=" + toxicity.plain(w), 0) for w in words]
+    n, weight = len(x), {}
+    beside = [(chain.beside[0] if k and x[k] and x[k - 1] else 0) + (chain.beside[1] if k + 1 < n and x[k] and x[k + 1] else 0) for k in range(n)]
+    for y in itertools.product((0, 1), repeat=n):
+        weight[y] = np.exp(chain.start[y[0]] + sum((chain.emission[k] + e) * s for k, e, s in zip(x, beside, y, strict=True)) + sum(chain.move[a, b] for a, b in zip(y, y[1:], strict=False)))
+    total = sum(weight.values())
+    return [sum(w for y, w in weight.items() if y[k]) / total for k in range(n)], x, np.log(total)
+
+
+def some_chain(level=None):
     rng = np.random.default_rng(1)
-    chain = toxicity.Chain({"=a": 1, "=b": 2}, rng.normal(size=3), rng.normal(size=(2, 2)), rng.normal(size=2), np.zeros(4))
-    for words in (["a"], ["x", "a"], ["a", "x", "x", "b"], ["x", "b", "a", "x", "x", "x", "a"]):
-        x = [chain.vocabulary.get("=" + w, 0) for w in words]
-        weight = {}
-        for y in itertools.product((0, 1), repeat=len(x)):
-            weight[y] = np.exp(chain.start[y[0]] + sum(chain.emission[k] * s for k, s in zip(x, y, strict=True)) + sum(chain.move[a, b] for a, b in zip(y, y[1:], strict=False)))
+    return toxicity.Chain({"=a": 1, "=b": 2}, rng.normal(size=3), rng.normal(size=2), rng.normal(size=(2, 2)), rng.normal(size=2), np.zeros(4) if level is None else level)
+
+
+def test_marginals_equal_enumeration():
+    chain = some_chain()
+    for words in (["a"], ["x", "a"], ["a", "x", "x", "b"], ["x", "b", "a", "x", "x", "x", "a"], ["a", "b", "a"]):
         places, got = chain.tag(words)
-        total = sum(weight.values())
-        want = [sum(w for y, w in weight.items() if y[k]) / total for k in places]
-        assert np.allclose(got, want)
+        want, x, _ = enumerated(chain, words)
+        assert places == [k for k, v in enumerate(x) if v] and np.allclose(got, [want[k] for k in places])
+
+
+def test_expected_counts_are_the_gradient():
+    """Of the logarithm of the sum over tags, which itself equals enumeration, by differences in each weight."""
+    chain = some_chain()
+    x = np.array([[0, 1, 2, 0, 1], [2, 2, 0, 0, 0]])
+    near, weights = toxicity._beside(x), [chain.emission, chain.beside, chain.move, chain.start]
+    found, total = toxicity.expected(weights, x, near)
+    assert np.isclose(total, sum(enumerated(chain, [" ab"[v].strip() or "x" for v in row])[2] for row in x))
+    for k, w in enumerate(weights):
+        for at in np.ndindex(w.shape):
+            sides = []
+            for d in (1e-5, -1e-5):
+                moved = [v.copy() for v in weights]
+                moved[k][at] += d
+                sides.append(toxicity.expected(moved, x, near)[1])
+            assert np.isclose(found[k][at], (sides[0] - sides[1]) / 2e-5, atol=1e-6)
+
+
+def test_scores_equal_enumeration(spark):
+    """Words are the contract's: other Unicode spaces don't part them."""
+    chain = some_chain(np.array([-1.0, 0.7, 1.3, 0.2]))
+    chain.vocabulary["=a\u00a0b"] = 2
+    texts = ["a\u00a0b x", "a\u0085b", "a\u001cb a", "b\u3000a", "x\x0ba\x0cb\r\nx", "A! (b) x b", "", None, "x y"]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).collect()
+    for r in got:
+        words = re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id] or "")
+        p, x, _ = enumerated(chain, words) if words else ([], [], 0)
+        own = [v for v, k in zip(p, x, strict=True) if k]
+        feats = [1.0, np.log1p(sum(own)), max(own, default=0.0), min(5.0, 100 * sum(own) / max(1, len(words)))]
+        assert np.isclose(r.score, 1 / (1 + np.exp(-np.dot(feats, chain.level))))
+        places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[r.doc_id] or "")]
+        assert [(s.start, s.end) for s in r.spans] == [c for c, v, k in zip(places, p, x, strict=True) if k and v >= 0.5]
+
+
+def test_query_equals_plain_scoring(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    chain = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    text = dict(docs.select("doc_id", "text").collect())
+    got = queries.op5_toxicity(spark, folder).collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    for r in got:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id] or "")
+        score = chain.score(chain.tag(words)[1], len(words))
+        assert abs(r.score - score) < 1e-12 and r.predicted == (score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
 def corpus(n=900):
@@ -55,9 +112,9 @@ def test_held_out_accuracy_and_spans(spark):
 
 
 def test_odd_rows(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (None, "words"), (3, "w " * 100_000), (3, "w")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "words"), (3, "w " * 100_000), (3, "w"), *[(4, f"copy {k}") for k in range(50)]], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    for labels in (none, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")):
+    for labels in (none, spark.createDataFrame([(1, 1), (4, 1), (2, 0)], "doc_id long, toxic int")):
         rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
-        assert len(rows) == 5 and all(0 <= r.score <= 1 and r.spans == [] for r in rows)
+        assert len(rows) == 55 and all(0 <= r.score <= 1 and r.spans == [] for r in rows)
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), none)).count() == 0
