@@ -13,12 +13,15 @@ from strandloom.llm.graph import components
 from strandloom.llm.rows import map_rows
 from strandloom.llm.scratch import Scratch
 
-#: Vectors of a tile, about; a task compares a tile with another.
-TILE = 320
+#: Vectors of a tile, about; a task compares a tile with another. A vector moves once for each tile that it meets.
+TILE = 1024
+#: Pairs whose products are gathered at once.
+PAIRS = 1 << 15
 #: Axes after which products are bounded and pairs given up.
 STAGES = (8, 24)
-#: Lengths of vectors that get principal axes, the most frequent ones; others keep their own axes, which is right but slower.
-LENGTHS = 4
+#: Lengths of vectors that get principal axes: the most frequent ones, of so many components at most. Others keep their own
+#: axes, which is right but slower.
+LENGTHS, LONGEST = 4, 512
 #: Slack of bounds against rounding; pairs that pass are measured on the vectors themselves.
 SLACK = 1e-9
 
@@ -48,9 +51,9 @@ def _axes(nodes: DataFrame) -> dict[int, np.ndarray]:
     """Principal axes, by falling variance, for the most frequent lengths of vectors.
 
     Sums of products are made for each batch, and added up by Spark for each entry of the matrix: what comes to the
-    driver is length * length numbers a length, whatever the number of vectors.
+    driver is length * length numbers a length, 2^20 in all at most, whatever the number of vectors.
     """
-    lengths = [r["length"] for r in nodes.groupBy("length").count().orderBy(F.desc("count"), "length").limit(LENGTHS).collect()]
+    lengths = [r["length"] for r in nodes.where(F.col("length") <= LONGEST).groupBy("length").count().orderBy(F.desc("count"), "length").limit(LENGTHS).collect()]
     shape = _parse_datatype_string("length int, entry int, value double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +78,8 @@ def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, threshold: flo
     """Which rows of a and b, at length 1, have a cosine of threshold or more: a matrix of truth values.
 
     Products add up along the leading axes first. What the remaining axes can add is at most the product of the norms
-    that remain; pairs that can't reach the threshold so are given up. The others are measured on the rows themselves.
+    that remain; pairs that can't reach the threshold so are given up. The others are measured on the rows themselves, some
+    at a time, so that a pair's cosine comes out the same whatever tiles it is in.
     """
     ya, yb = (a, b) if axes is None else (a @ axes, b @ axes)
     out = np.zeros((len(a), len(b)), bool)
@@ -83,18 +87,18 @@ def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, threshold: flo
     first = min(STAGES[0], a.shape[1])
     product = ya[:, :first] @ yb[:, :first].T
     i, j = np.nonzero(product + np.outer(rest(ya, first), rest(yb, first)) >= threshold - SLACK)
-    if len(i) > out.size // 8:
-        return a @ b.T >= threshold
-    product = product[i, j]
-    for last, k in zip((first, *STAGES[1:]), (*STAGES[1:], a.shape[1]), strict=True):
-        if last >= a.shape[1]:
-            break
-        k = min(k, a.shape[1])
-        product = product + np.einsum("nd,nd->n", ya[i, last:k], yb[j, last:k])
-        near = product + rest(ya, k)[i] * rest(yb, k)[j] >= threshold - SLACK
-        i, j, product = i[near], j[near], product[near]
-    exact = np.einsum("nd,nd->n", a[i], b[j]) >= threshold
-    out[i[exact], j[exact]] = True
+    rests = {k: (rest(ya, k), rest(yb, k)) for k in STAGES[1:] if k < a.shape[1]}
+    for at in range(0, len(i), PAIRS):
+        p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+        part = product[p, q]
+        for last, k in zip((first, *STAGES[1:]), STAGES[1:], strict=False):
+            if k >= a.shape[1]:
+                break
+            part = part + np.einsum("nd,nd->n", ya[p, last:k], yb[q, last:k])
+            near = part + rests[k][0][p] * rests[k][1][q] >= threshold - SLACK
+            p, q, part = p[near], q[near], part[near]
+        exact = np.einsum("nd,nd->n", a[p], b[q]) >= threshold
+        out[p[exact], q[exact]] = True
     return out
 
 
@@ -124,7 +128,7 @@ def groups(embeddings: DataFrame, threshold: float = 0.98, id_column: str = "vec
     1. Equal vectors of a label become one node with a count, summed before they move.
     2. Cosines of threshold or more lie within sqrt(2 - 2 * threshold) on any axis. So nodes are dealt by label into slabs
        of that width along the first principal axis, and compared within slabs and with the next one.
-    3. Slabs are cut into tiles of about 320 nodes by hash; a pair of tiles is a task's work. A label or slab with many
+    3. Slabs are cut into tiles of about 1024 nodes by hash; a pair of tiles is a task's work. A label or slab with many
        nodes makes many pairs of tiles, none larger.
     4. A pair of tiles returns a row for each of its nodes with links: their number, and a node of the linked group.
     """
