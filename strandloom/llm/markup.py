@@ -5,7 +5,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +36,6 @@ _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
 #: A path is a template's if so many pages of its host with different texts, and this share of them, have it.
 LEAST_PAGES, SHARE = 3, 0.5
-#: A container holds a host's main text if this share of the text in slots lies in it. It tells where to look; slots outside are kept too.
-MAIN_SHARE = 0.7
 
 
 def _tag_end(text: str, at: int) -> int:
@@ -62,55 +59,86 @@ def _tag_end(text: str, at: int) -> int:
         at = close + 1
 
 
-@dataclass
+@dataclass(slots=True)
 class Run:
-    """Text between tags. path: of the blocks around it. aside: it is no main text. named: numbers of blocks around it whose names say so. mains: numbers of elements of main text around it."""
+    """Text between tags. path: of the blocks around it. aside: it is no main text. named, headed: the innermost marked block
+    around it, or -1; headed ones spare headings of main text. main: the innermost element of main text around it, or -1."""
 
-    path: str
+    path: int
     block: int
     aside: bool
-    named: tuple[int, ...]
-    mains: tuple[int, ...]
+    named: int
+    headed: int
+    main: int
     text: str
 
 
 @dataclass
 class Page:
-    """counts: of elements by path."""
+    """elements: of each path the path around it and how many elements it has. Paths are 64-bit hashes of tags and classes."""
 
     runs: list[Run] = field(default_factory=list)
-    counts: dict[str, int] = field(default_factory=lambda: defaultdict(int))
+    elements: dict[int, list[int]] = field(default_factory=dict)
+    #: Marked blocks: the marked block around each, and the innermost element of main text around it.
+    marks: list[tuple[int, int]] = field(default_factory=list)
+    #: Elements of main text: the one around each.
+    mains: list[int] = field(default_factory=list)
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
+    """An open element. nearest: the place in the stack of the innermost block, itself included."""
+
     tag: str
-    path: str
-    aside: bool
-    heading_only: bool
-    mains: tuple[int, ...]
-    within_article: bool
-    named: tuple[int, ...]
-    named_heading_only: tuple[int, ...]
+    path: int
+    nearest: int
+    aside: bool = False
+    heading_only: bool = False
+    within_article: bool = False
+    named: int = -1
+    headed: int = -1
+    main: int = -1
+
+
+def _hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+#: The path of a page itself.
+ROOT = 0
 
 
 def parse(source: str) -> Page:
     """The text runs of a page, however badly it is formed, in one pass over it, and then one over the runs.
 
     Names of class and id mark a block as aside unless it holds most of the page's text and no main element beside it has
-    text; and not if no text would be left.
+    text; and not if no text would be left. Elements are closed as browsers do it, more or less; time and memory are linear
+    in the page's length and don't depend on how deep it nests.
     """
-    page, marks, elements = Page(), [], 0
-    page.counts["/"] = 1
-    stack = [_Open("", "", False, False, (), False, (), ())]
+    page = Page()
+    page.elements[ROOT] = [ROOT, 1]
+    stack, open_ = [_Open("", ROOT, 0)], Counter()
     block, at, n = 0, 0, len(source)
+    known: dict[tuple[int, str], int] = {}
 
     def run(text: str) -> None:
+        if not text:
+            return
         top = stack[-1]
-        if text and not text.isspace():
-            page.runs.append(Run(top.path or "/", block, top.aside or top.heading_only, top.named + top.named_heading_only, top.mains, html.unescape(text)))
-        elif text and page.runs and page.runs[-1].block == block:
-            page.runs.append(Run(top.path or "/", block, top.aside or top.heading_only, top.named + top.named_heading_only, top.mains, " "))
+        if not text.isspace():
+            text = html.unescape(text)
+        elif page.runs and page.runs[-1].block == block:
+            text = " "
+        else:
+            return
+        page.runs.append(Run(top.path, block, top.aside or top.heading_only, top.named, top.headed, top.main, text))
+
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            open_[e.tag] -= 1
+        del stack[k:]
 
     start = 0
     while at < n:
@@ -136,31 +164,33 @@ def parse(source: str) -> Page:
         tag, inside = name[0].lower(), source[name.end() : end]
         at = start = min(n, end + 1)
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag not in INLINE:
-                        block += 1
-                        del stack[k:]
-                    else:
-                        del stack[k]
-                    break
+            if open_[tag] > 0:
+                k = len(stack) - 1
+                # an inline element ends only within the block that it is in
+                least = stack[-1].nearest if tag in INLINE else 0
+                while k > least and stack[k].tag != tag:
+                    k -= 1
+                if k > least:
+                    close(k)
+            if tag not in INLINE:
+                block += 1
             continue
         if tag not in INLINE:
             block += 1
-            # a block ends a paragraph that is open; inline elements in it stay open, as browsers open them again
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag not in INLINE:
-                    if stack[k].tag == "p" or stack[k].tag in CLOSES.get(tag, ()):
-                        del stack[k:]
-                    break
+            # a block ends a paragraph that is open
+            k = stack[-1].nearest
+            if k and (stack[k].tag == "p" or stack[k].tag in CLOSES.get(tag, ())):
+                close(k)
         if tag in VOID:
             continue
         top = stack[-1]
         attributes = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(inside)} if inside.strip(" /\n") else {}
-        names = set(_WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())) if tag not in ("html", "body") else set()
         role = attributes.get("role", "").lower()
         main = tag in MAIN_NAMES or role in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
         aside = tag in ASIDE_TAGS or role in ASIDE_ROLES or "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        if tag in INLINE and not main and not aside:
+            continue  # it changes nothing
+        names = set(_WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())) if tag not in ("html", "body") else set()
         article = tag == "article" or role == "article"
         # main text by tag or role is that whatever its names; but an article in another may be a comment on it
         exempt = tag in INLINE or tag == "main" or role == "main" or article and not top.within_article
@@ -168,160 +198,191 @@ def parse(source: str) -> Page:
         named = not exempt and bool(names & ASIDE_NAMES) and not names & QUALIFIERS
         head = tag == "header" or role == "banner"
         named_head = not head and bool(names & HEADER_NAMES) and tag not in INLINE and not main
-        path = top.path
+        entry = _Open(tag, top.path, top.nearest if tag in INLINE else len(stack), named=top.named, headed=top.headed, main=top.main, within_article=top.within_article or article)
         if tag not in INLINE:
             kinds = ".".join(sorted(_DIGITS.sub("", attributes.get("class", "")).lower().split()))
-            path = f"{path}/{tag}{'.' + kinds if kinds else ''}"
-            page.counts[path] += 1
-        mains = top.mains
+            step = top.path, f"{tag}.{kinds}"
+            if step not in known:
+                known[step] = _hash(f"{step[0]}/{step[1]}")
+            entry.path = known[step]
+            page.elements.setdefault(entry.path, [top.path, 0])[1] += 1
         if main and not (aside or top.aside):
-            mains, elements = (*mains, elements), elements + 1
+            page.mains.append(top.main)
+            entry.main = len(page.mains) - 1
+        inside_main = entry.main >= 0
         # a page's header is no main text; of an article's, its headings are
-        heading_only = (top.heading_only or head) and bool(mains) and tag not in HEADINGS
-        around, only = top.named, () if mains and tag in HEADINGS else top.named_heading_only
-        if named or named_head and not mains:
-            around = (*around, len(marks))
-            marks.append(top.mains)
+        entry.heading_only = (top.heading_only or head) and inside_main and tag not in HEADINGS
+        entry.aside = top.aside or aside or head and not inside_main
+        if inside_main and tag in HEADINGS:
+            entry.headed = -1
+        if named or named_head and not inside_main:
+            page.marks.append((top.named, top.main))
+            entry.named = len(page.marks) - 1
         elif named_head:
-            only = (*only, len(marks))
-            marks.append(top.mains)
-        entry = _Open(tag, path, top.aside or aside or head and not mains, heading_only, mains, top.within_article or article, around, only)
-        if tag in RAW:
-            found = re.compile(rf"</{tag}", re.I).search(source, at)
-            at = start = n if not found else found.start()
-            stack.append(entry)
-            continue
+            page.marks.append((entry.headed, top.main))
+            entry.headed = len(page.marks) - 1
         if inside.endswith("/") and tag in ("svg", "path"):
             continue
         stack.append(entry)
+        open_[tag] += 1
+        if tag in RAW:
+            found = re.compile(rf"</{tag}", re.I).search(source, at)
+            at = start = n if not found else found.start()
     run(source[start:])
-    if marks:
-        _settle_names(page, marks)
+    if page.marks:
+        _settle_names(page)
     return page
 
 
-def _settle_names(page: Page, marks: list[tuple[int, ...]]) -> None:
-    """Makes aside what names mark. marks: for each number the elements of main text around that block."""
-    sizes: dict[int, int] = defaultdict(int)
-    mains: set[tuple[tuple[int, ...], tuple[int, ...]]] = set()
-    total = 0
+def _settle_names(page: Page) -> None:
+    """Makes aside what names mark."""
+    sizes, total = [0] * len(page.marks), 0
+    shown: set[tuple[int, int, int]] = set()
     for r in page.runs:
         if not r.aside and (size := len(r.text.strip())):
             total += size
-            for k in r.named:
-                sizes[k] += size
-            if r.mains:
-                mains.add((r.mains, r.named))
-    large = {k for k, size in sizes.items() if 2 * size > total}
-    shown = [(set(m), named) for m, named in mains if large.issuperset(named)]
-    kept = {k for k in large if not any(k not in named and not m.issubset(marks[k]) for m, named in shown)}
-    rest = [r for r in page.runs if not r.aside and not kept.issuperset(r.named)]
+            for k in (r.named, r.headed):
+                if k >= 0:
+                    sizes[k] += size
+            if r.main >= 0:
+                shown.add((r.main, r.named, r.headed))
+    # a block's size counts in those around it, which have lower numbers
+    for k in range(len(sizes) - 1, -1, -1):
+        if page.marks[k][0] >= 0:
+            sizes[page.marks[k][0]] += sizes[k]
+    # large blocks lie in each other; so the innermost mark tells of all
+    large = [2 * size > total for size in sizes]
+    kept = list(large)
+    shown = {(m, a, b) for m, a, b in shown if (a < 0 or large[a]) and (b < 0 or large[b])}
+    last = list(range(len(page.mains)))
+    for k in range(len(last) - 1, -1, -1):
+        if page.mains[k] >= 0:
+            last[page.mains[k]] = max(last[page.mains[k]], last[k])
+    for m, *chains in shown:
+        around: set[int] = set()
+        for k in chains:
+            while k >= 0 and k not in around:
+                around.add(k)
+                k = page.marks[k][0]
+        for k, (_, main) in enumerate(page.marks):
+            # main text outside this block, in an element of main text that isn't around it
+            if kept[k] and k not in around and not m <= main <= last[m]:
+                kept[k] = False
+    # a block stays if all marked ones around it do
+    stays = [False] * len(kept)
+    for k, (up, _) in enumerate(page.marks):
+        stays[k] = kept[k] and (up < 0 or stays[up])
+    rest = [r for r in page.runs if not r.aside and not ((r.named < 0 or stays[r.named]) and (r.headed < 0 or stays[r.headed]))]
     if sum(len(r.text.strip()) for r in rest) < total:
         for r in rest:
             r.aside = True
 
 
 @dataclass(frozen=True)
-class Template:
-    """Of a host: containers in which main text lies, the best first, and paths and blocks whose text is the same on all pages."""
+class Token:
+    """Of a host's pages: an element path, or a block of text on a path (text then is its hash, else 0).
 
-    containers: tuple[str, ...] = ()
-    constant: frozenset[str] = frozenset()
+    vector: stands for the occurrences on each page, alike for tokens that occur alike. support, times: pages with it, and
+    occurrences. constant: whether an element path has the same text on all its pages. chars: of that text on all pages.
+    """
 
+    path: int
+    above: int
+    text: int
+    vector: str
+    support: int
+    times: int
+    constant: bool
+    chars: int
 
-def deduce(tokens: list[tuple[str, str, int, int, bool, int]], pages: int) -> Template:
-    """A template from (path, occurrence vector, pages, occurrences, whether its text is constant, characters of text).
 
-    Paths with equal vectors form a class. A class is valid if it has support and the parent of each path lies in a valid
-    class: so classes nest. The paths in valid classes are the template; the text under them is slots. Slots with the
-    same text on all pages are template text. A container is a path in the class that occurs once on each page.
+def deduce(tokens: list[Token], pages: int) -> frozenset[int | tuple[int, int]]:
+    """A host's template: paths, and (path, text) of blocks, whose text is template text.
 
-    Tokens of blocks, named by _block(), are template text if they are in the class of an element around them: then they
-    come and go with it, whatever other blocks of the same path say.
+    Tokens with equal occurrence vectors form a class. A class is valid if it has support and the path above each of its
+    paths lies in a valid class: so classes nest, and the text under their paths is slots. A slot with the same text on all
+    pages is template text, and so is a block of text that comes and goes with an element around it, as it is in that
+    element's class, whatever other blocks of its path say. All else is data.
     """
-    blocks = [t for t in tokens if "\t" in t[0]]
-    tokens = [t for t in tokens if "\t" not in t[0]]
-    classes = defaultdict(list)
-    for token in tokens:
-        classes[token[1], token[2], token[3]].append(token)
-    valid, changed = {"/", ""}, True
-    while changed:
-        changed = False
-        for (_, support, _), members in classes.items():
-            paths = {m[0] for m in members}
-            if support >= max(LEAST_PAGES, SHARE * pages) and not paths <= valid and all(p.rpartition("/")[0] in valid | paths for p in paths):
-                valid |= paths
-                changed = True
-    kept = [t for t in tokens if t[0] in valid]
-    constant = frozenset(t[0] for t in kept if t[4] and t[5])
-    total = sum(t[5] for t in kept if t[0] not in constant)
-    under = {p: sum(u[5] for u in kept if u[0] not in constant and (u[0] == p or u[0].startswith(p + "/"))) for p, _, support, times, *_ in kept if support == times == pages}
-    vectors = {t[0]: t[1:4] for t in kept}
-    around = lambda p: [*accumulate(p.split("/")[1:], lambda a, b: f"{a}/{b}", initial="")][1:]
-    constant |= {t[0] for t in blocks if t[1:4] in {vectors.get(p) for p in ("/", *around(t[0].partition("\t")[0]))}}
-    found = [p for p, chars in under.items() if total and chars >= MAIN_SHARE * total]
-    return Template(tuple(sorted(found, key=lambda p: (-p.count("/"), -under[p], p))), constant)
-
-
-def _block(path: str, text: str) -> str:
-    """A token's name for the text of a block: paths hold no white space."""
-    import xxhash
-
-    return f"{path}\t{xxhash.xxh3_64_hexdigest(text)}"
-
-
-def _blocks(runs: list[Run]) -> dict[int, tuple[str, str]]:
+    elements = {t.path: t for t in tokens if not t.text}
+    support = max(LEAST_PAGES, SHARE * pages)
+    below: dict[int, list[Token]] = defaultdict(list)
+    for t in elements.values():
+        below[t.above].append(t)
+    # from the root down: a path whose class has support is valid under a valid one
+    valid, todo = set(), [t for t in elements.values() if t.path == ROOT]
+    while todo:
+        t = todo.pop()
+        if t.path not in valid and t.support >= support:
+            valid.add(t.path)
+            todo += below[t.path]
+    out: set[int | tuple[int, int]] = {p for p in valid if elements[p].constant and elements[p].chars}
+    # the classes of the elements around a path
+    own: dict[int, set[tuple[str, int, int]]] = {}
+
+    def around(path: int) -> set[tuple[str, int, int]]:
+        chain = []
+        while path not in own and path in elements and path != ROOT:
+            chain.append(path)
+            path = elements[path].above
+        found = own.get(path, {(t.vector, t.support, t.times) for t in [elements.get(path)] if t})
+        own[path] = found
+        for p in reversed(chain):
+            t = elements[p]
+            found = own[p] = found | {(t.vector, t.support, t.times)}
+        return found
+
+    for t in tokens:
+        if t.text and t.support >= support and t.path in valid and (t.vector, t.support, t.times) in around(t.path):
+            out.add((t.path, t.text))
+    return frozenset(out)
+
+
+def _blocks(runs: list[Run]) -> dict[int, tuple[int, str]]:
     """Path and text of the blocks of runs, by number: white space in a block is one space."""
-    parts: dict[int, tuple[str, list[str]]] = {}
+    parts: dict[int, tuple[int, list[str]]] = {}
     for r in runs:
         parts.setdefault(r.block, (r.path, []))[1].append(r.text)
     return {k: (path, text) for k, (path, found) in parts.items() if (text := " ".join("".join(found).split()))}
 
 
-def _slots(runs: list[Run], template: Template) -> list[Run]:
-    """The runs that are no template text; all of them if nothing else is on the page."""
-    if not template.constant:
-        return runs
-    out = {k for k, (path, text) in _blocks(runs).items() if path in template.constant or _block(path, text) in template.constant}
-    return [r for r in runs if r.block not in out and not r.text.isspace()] and [r for r in runs if r.block not in out] or runs
-
+def extract(source: str | None, template: frozenset[int | tuple[int, int]] = frozenset()) -> str:
+    """The main text: all that is neither aside nor template text, blocks in page order, joined by one space.
 
-def extract(source: str | None, template: Template = Template()) -> str:
-    """The main text: all that is neither aside nor template text, blocks in page order, joined by one space."""
-    runs = [r for r in parse(source or "").runs if not r.aside]
-    return " ".join(text for _, text in _blocks(_slots(runs, template)).values())
+    Template text stays if nothing else is on the page.
+    """
+    blocks = _blocks([r for r in parse(source or "").runs if not r.aside]).values()
+    slots = [text for path, text in blocks if path not in template and (path, _hash(text)) not in template] if template else []
+    return " ".join(slots or [text for _, text in blocks])
 
 
 def _tokens() -> Callable[..., Iterator[tuple]]:
-    import xxhash
-
     def f(host: str, source: str | None) -> Iterator[tuple]:
         page = parse(source or "")
-        texts: dict[str, list[str]] = defaultdict(list)
+        texts: dict[int, list[str]] = defaultdict(list)
         blocks = _blocks([r for r in page.runs if not r.aside]).values()
-        content = xxhash.xxh3_64_intdigest("\n".join(text for _, text in blocks)) - (1 << 63)
+        content = _hash("\n".join(text for _, text in blocks))
         for path, text in blocks:
             texts[path].append(text)
-        for path, times in page.counts.items():
+        for path, (above, times) in page.elements.items():
             text = " ".join(texts.get(path, ()))
-            yield host, path, content, times, len(text), xxhash.xxh3_64_intdigest(text) - (1 << 63)
+            yield host, path, above, 0, content, times, len(text), _hash(text)
         for path, found in texts.items():
             for text, times in Counter(found).items():
-                yield host, _block(path, text), content, times, len(text), 0
+                yield host, path, page.elements[path][0], _hash(text), content, times, len(text), 0
 
     return f
 
 
 def _extracting() -> Callable[..., Iterator[tuple]]:
-    made: dict[str, Template] = {}
+    made: dict[str, frozenset] = {}
 
     def f(page_id: object, url: str | None, source: str | None, host: str | None, pages: int | None, tokens: list | None) -> Iterator[tuple]:
         template = made.get(host)
         if template is None:
             if len(made) > 500:
                 made.clear()
-            template = deduce([(t["path"], t["vector"], t["support"], t["times"], t["constant"], t["chars"]) for t in tokens], pages) if tokens else Template()
-            made[host] = template
+            template = made[host] = deduce([Token(**t) for t in tokens], pages) if tokens else frozenset()
         text = extract(source, template)
         yield page_id, url, text, len(text)
 
@@ -333,7 +394,7 @@ def hosts(pages: DataFrame, url_column: str = "url") -> DataFrame:
     return pages.withColumn("host", F.lower(F.coalesce(F.regexp_extract(F.col(url_column), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, pages, tokens) of pages with host, html: what deduce() takes, for hosts with a few different pages at least.
 
     Pages of a host with the same text that isn't aside are copies and count once: what only copies share is no template.
@@ -342,15 +403,16 @@ def templates(pages: DataFrame) -> DataFrame:
     most of the pages is no burden. Paths of under half of a host's contents can't be template, so a host's list is at
     most twice as long as its pages have paths and blocks on average.
     """
-    found = map_rows(pages.where("host <> ''"), ["host", "html"], "host string, path string, content bigint, times bigint, chars bigint, text bigint", _tokens)
-    once = found.groupBy("host", "path", "content").agg(F.max("times").alias("times"), F.max("chars").alias("chars"), F.min("text").alias("least"), F.max("text").alias("most"))
-    by_path = once.groupBy("host", "path").agg(
+    found = map_rows(pages.where("host <> ''"), ["host", "html"], "host string, path bigint, above bigint, text bigint, content bigint, times bigint, chars bigint, own bigint", _tokens)
+    once = found.groupBy("host", "path", "above", "text", "content").agg(F.max("times").alias("times"), F.max("chars").alias("chars"), F.min("own").alias("least"), F.max("own").alias("most"))
+    by_path = once.groupBy("host", "path", "above", "text").agg(
         F.sum(F.xxhash64("content", "times").cast("decimal(38,0)")).cast("string").alias("vector"), F.count("*").alias("support"), F.sum("times").alias("times"),
-        F.sum("chars").alias("chars"), (F.min("least") == F.max("most")).alias("constant"))
-    of_host = by_path.where("path = '/'").select(F.col("host").alias("own"), F.col("support").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    # no class of less support is valid; what one page alone has goes before hosts meet
-    kept = by_path.where(F.col("support") >= LEAST_PAGES).join(of_host, F.col("host") == F.col("own")).where(F.col("support") >= SHARE * F.col("pages"))
-    return kept.groupBy("host", "pages").agg(F.sort_array(F.collect_list(F.struct("path", "vector", "support", "times", "constant", "chars"))).alias("tokens"))
+        F.sum("chars").alias("chars"), (F.min("least") == F.max("most")).alias("constant")).where(F.col("support") >= LEAST_PAGES)
+    # no class of less support is valid; what one page alone has goes before hosts meet. Written, as it is read twice
+    by_path = scratch.keep(by_path, "by-path")
+    of_host = by_path.where(F.col("path") == ROOT).where("text = 0").select(F.col("host").alias("own"), F.col("support").alias("pages"))
+    kept = by_path.join(of_host, F.col("host") == F.col("own")).where(F.col("support") >= SHARE * F.col("pages"))
+    return kept.groupBy("host", "pages").agg(F.sort_array(F.collect_list(F.struct("path", "above", "text", "vector", "support", "times", "constant", "chars"))).alias("tokens"))
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -367,6 +429,6 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     kind = pages.schema[id_column].dataType.simpleString()
     named = pages.select(F.col(f"`{id_column}`").alias("page_id"), F.col(f"`{url_column}`").alias("url"), F.col(f"`{html_column}`").alias("html"))
     named = hosts(named)
-    found = scratch.keep(templates(named), "templates").withColumnRenamed("host", "of")
+    found = scratch.keep(templates(named, scratch), "templates").withColumnRenamed("host", "of")
     joined = named.join(found, F.col("host") == F.col("of"), "left")
     return map_rows(joined, ["page_id", "url", "html", "host", "pages", "tokens"], f"page_id {kind}, url string, text string, n_chars bigint", _extracting)

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from strandloom.llm import markup
@@ -22,14 +23,40 @@ def test_names_of_containers():
 
 
 def test_odd_markup_takes_linear_time():
-    for t in ("<" * 100_000, '<a b="' * 20_000, "<p>" * 5000, "<!--" * 50_000, "<script>" * 20_000, "&" * 100_000, "</p" * 50_000):
+    """Also deep nests, and inline elements that never close."""
+    odd = ("<" * 100_000, '<a b="' * 20_000, "<p>" * 5000, "<!--" * 50_000, "<script>" * 20_000, "&" * 100_000, "</p" * 50_000, "<div>" * 40_000 + "x", "<b>" * 40_000 + "<div></div>" * 40_000,
+           "<b hidden>" * 20_000 + "<div></div>" * 20_000, "<div>" * 40_000 + "</p>" * 40_000, "<div class=ad>a" * 20_000, "<article>a" * 20_000, "<div class=ad><article>a</article>" * 3000, "<b><div></b>" * 20_000)
+    began = time.time()
+    for t in odd:
         markup.extract(t)
+    assert time.time() - began < 30
+    page = markup.parse("<div>" * 40_000 + "x")
+    assert len(page.elements) == 40_001 and all(isinstance(k, int) for k in page.elements)
 
 
 def test_classes_and_nesting():
-    tokens = [("/", "v1", 9, 9, False, 0), ("/body", "v1", 9, 9, False, 0), ("/body/div", "v1", 9, 9, False, 400), ("/body/p", "v1", 9, 9, True, 90), ("/body/div/p", "v2", 9, 40, False, 4000), ("/body/x/y", "v3", 9, 9, False, 50), ("/body/q", "v4", 2, 2, False, 5)]
-    t = markup.deduce(tokens, 9)
-    assert t.containers[0] == "/body/div" and t.constant == {"/body/p"}
+    T = markup.Token
+    tokens = [T(0, 0, 0, "v1", 9, 9, False, 0), T(1, 0, 0, "v1", 9, 9, False, 0), T(2, 1, 0, "v1", 9, 9, False, 400), T(3, 1, 0, "v1", 9, 9, True, 90), T(4, 2, 0, "v2", 9, 40, False, 4000),
+              T(6, 5, 0, "v3", 9, 9, True, 50), T(7, 1, 0, "v4", 2, 2, True, 5), T(4, 2, 77, "v1", 9, 9, True, 30), T(4, 2, 78, "v6", 8, 9, True, 30), T(3, 1, 79, "v1", 9, 9, True, 90), T(6, 5, 80, "v1", 9, 9, True, 9)]
+    # 6 hangs on a path without support, 7 has none; the block 77 comes with the elements around it, 78 doesn't
+    assert markup.deduce(tokens, 9) == {3, (4, 77), (3, 79)}
+
+
+def test_templates_change_texts(spark):
+    """Hosts without telling tags or names, or with misleading ones: without templates every text is another."""
+    def page(h, k):
+        menu = "".join(f"<li>Section {h}{i}" for i in range(4))
+        wrap = "post content" if h else "sidebar ad"
+        extra = f"<p>Also new: {k}</p>" if k % 2 else ""
+        return f"<body><div class=x><ul>{menu}</ul></div><div class='{wrap}'><h2>Head {k}</h2><p>{f'body {h} {k} ' * 30}</p>{extra}<p>Write to us at desk {h}</p></div><div>All rights kept by {h}</div></body>"
+
+    rows = [(10 * h + k, f"http://h{h}.example/{k}", page(h, k)) for h in range(3) for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in markup.main_text(df).collect()}
+    for i, _, source in rows:
+        h, k = divmod(i, 10)
+        assert got[i] == " ".join([f"Head {k}", *[f"body {h} {k}"] * 30, *([f"Also new: {k}"] if k % 2 else [])])
+        assert got[i] != markup.extract(source) and "Section" in markup.extract(source)
 
 
 def test_templates_of_a_host(spark):
