@@ -5,6 +5,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from strandloom.llm.scratch import Scratch
 CAPACITY = 2048
 #: Words and parts of words that a Python worker keeps the ids of, some 50 MB; the caches start anew beyond that.
 CACHED = 200_000
+#: Pieces of one length that a task ranks, about; rows that are broadcast at most; and numbers that tell equal rows apart.
+BUCKET, BROADCAST, SALTS = 1 << 14, 1 << 20, 1 << 10
 
 #: The tokenizer's own splitting pattern.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -103,29 +106,32 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenize(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False, special: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False, special: bool = False, salted: bool = False) -> DataFrame:
     """Pieces of at most capacity ids: doc_id, piece, start, length, ids_crc32, and ids if asked for.
 
     A null text is an empty one: the end id alone. tokenizer is a file that each executor has. special: added tokens that
-    a text holds, as <|endoftext|>, get their ids, as by the library's default; else they are text.
+    a text holds, as <|endoftext|>, get their ids, as by the library's default; else they are text. salted: a number that
+    tells rows of one task apart which repeat an id and a text.
     """
     path = tokenizer or default_tokenizer()
     kind = docs.schema[id_column].dataType.simpleString()
     step, last = 4 * capacity, array("I", [end]).tobytes()
+    more = ", ids array<int>" * with_ids + ", salt int" * salted
 
     def start() -> Callable[..., Iterator[tuple]]:
-        coder = encoder(path, special)
+        coder, number = encoder(path, special), count()
 
         def f(doc_id: int | None, text: str | None) -> Iterator[tuple]:
             ids = coder.encode(text or "") + last
+            salt = next(number) % SALTS
             for k, at in enumerate(range(0, len(ids), step)):
                 part = ids[at : at + step]
                 row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
-                yield (*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row
+                yield (*row, *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else ()), *([salt] if salted else ()))
 
         return f
 
-    return map_rows(docs, [id_column, text_column], f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids, start, _leave)
+    return map_rows(docs, [id_column, text_column], f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{more}", start, _leave)
 
 
 @dataclass
@@ -208,20 +214,23 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id
     each for itself; an empty table gives no rows; null ids stay. Other columns aren't read.
 
     The driver gets one row a length, at most capacity rows, and sends back a plan bounded by the capacity. A piece finds
-    its place by its rank among pieces of its length. Ranks come from counts of (length, bucket), buckets being hashes of
-    pieces, as many as there are shuffle partitions: so even if all pieces have one length, no task sorts more than its
-    share.
+    its place by its rank among pieces of its length. Ranks come from counts of (length, bucket): buckets are hashes of
+    pieces, as many as it takes for BUCKET pieces each, so even if all pieces have one length, no task sorts more than its
+    share. The counts, at most capacity rows and one for each BUCKET pieces, are broadcast up to BROADCAST rows (some
+    40 MB), and joined by a sort beyond that.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pieces = scratch.keep(tokenize(docs, tokenizer, id_column, text_column, capacity, end, special=special), "pieces")
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    pieces = scratch.keep(tokenize(docs, tokenizer, id_column, text_column, capacity, end, special=special, salted=True), "pieces")
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    laid = plan(lengths, capacity)
+    buckets = F.element_at(F.array(*[F.lit(-(-lengths.get(k, 0) // BUCKET)) for k in range(1, capacity + 1)]), F.col("length").cast("int"))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), buckets).cast("int"))
     counts = scratch.keep(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "counts")
-    laid = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    base = base.hint("broadcast" if sum(-(-n // BUCKET) for n in lengths.values()) <= BROADCAST else "merge")
     ranked = pieces.join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.row_number().over(within) - 1)
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     schema = ranked.drop("rank").withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")}).schema

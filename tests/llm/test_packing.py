@@ -65,6 +65,57 @@ def test_two_replace_one():
     assert set(at[6][0]) == set(at[2][0])
 
 
+def one_by_one(lengths, capacity):
+    """Best-two-fit on a list of pieces, a sequence at a time: the sorted lengths in each."""
+    left, out = sorted(lengths, reverse=True), []
+    while left:
+        used, gap = [], capacity
+        for x in list(left):
+            if x <= gap:
+                used.append(x)
+                left.remove(x)
+                gap -= x
+        s = min(used)
+        best = None
+        if gap:
+            for i, a in enumerate(left):
+                for b in left[i + 1 :]:
+                    if s < a + b <= gap + s and (best is None or (a + b, -a) > (sum(best), -best[0])):
+                        best = a, b
+        if best:
+            used.remove(s)
+            left.append(s)
+            for x in best:
+                left.remove(x)
+                used.append(x)
+            left.sort(reverse=True)
+        out.append(tuple(sorted(used)))
+    return sorted(out)
+
+
+def test_plan_equals_one_by_one():
+    for seed in range(30):
+        rng = random.Random(seed)
+        capacity = rng.choice([10, 30, 97])
+        lengths = [min(capacity, int(rng.lognormvariate(2, 1)) + 1) for _ in range(rng.randint(1, 120))]
+        counts = Counter(lengths)
+        p, bins = packing.plan(counts, capacity), defaultdict(list)
+        for length, n in counts.items():
+            for s in p.place(np.full(n, length), np.arange(n))[0].tolist():
+                bins[s].append(length)
+        assert sorted(tuple(sorted(b)) for b in bins.values()) == one_by_one(lengths, capacity)
+
+
+def test_repeated_rows_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 64)
+    for most in (1 << 20, 1):
+        monkeypatch.setattr(packing, "BROADCAST", most)
+        got = packing.pack(spark.createDataFrame([(7, "same words")] * 3000 + [(8, "a " * 3000)], "doc_id long, text string")).collect()
+        assert len(got) == 3002 and len({(r.sequence_id, r.offset) for r in got}) == 3002
+        ends = {(r.sequence_id, r.offset + r.length) for r in got}
+        assert all(r.offset == 0 or (r.sequence_id, r.offset) in ends for r in got)
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert packing.plan({}).sequences == 0
