@@ -430,5 +430,6 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     named = pages.select(F.col(f"`{id_column}`").alias("page_id"), F.col(f"`{url_column}`").alias("url"), F.col(f"`{html_column}`").alias("html"))
     named = hosts(named)
     found = scratch.keep(templates(named, scratch), "templates").withColumnRenamed("host", "of")
+    scratch.only("templates")
     joined = named.join(found, F.col("host") == F.col("of"), "left")
     return map_rows(joined, ["page_id", "url", "html", "host", "pages", "tokens"], f"page_id {kind}, url string, text string, n_chars bigint", _extracting)

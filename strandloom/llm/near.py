@@ -212,6 +212,7 @@ def groups(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text
     several = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b")
     several = member.join(several.select(F.col("doc_id").alias("own"), "b"), F.col("doc_id") == F.col("own")).select(F.col("node").alias("a"), "b")
     found = components(links.unionByName(several), scratch, "links-cc")
+    scratch.only("signed", "member", "links-cc")
     # a node is the least id of its set, so the least node of a component is the least id in it
     of_doc = member.join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     of_doc = of_doc.select(F.col("doc_id").alias("own"), "component_id")

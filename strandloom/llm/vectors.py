@@ -145,6 +145,7 @@ def groups(embeddings: DataFrame, threshold: float = 0.98, id_column: str = "vec
     joined = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch, "links").withColumnRenamed("node", "member")
     of_node = nodes.select("label", "length", "digest", "node", "copies", "least").join(linked_to, F.col("node") == F.col("linked_node"), "left").join(joined, F.col("node") == F.col("member"), "left")
     of_node = scratch.keep(of_node.select("label", "length", "digest", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")), "of_node")
+    scratch.only("rows", "of_node")
     least = of_node.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "named")
     of_node = of_node.join(least, F.col("component") == F.col("named")).select(
         F.col("label").alias("l"), F.col("length").alias("n"), F.col("digest").alias("d"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
