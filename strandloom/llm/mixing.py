@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from strandloom.llm.rows import WORD
 from strandloom.llm.scratch import Scratch
 
-#: Keys have 60 bits; a range is the key's leading 10 bits.
-KEY_BITS, RANGE_BITS = 60, 10
+#: Keys have 60 bits; a range is the key's leading bits: 10, or as many as make about as many ranges of a source as rows of one.
+KEY_BITS, RANGE_BITS, MOST_RANGE_BITS = 60, 10, 24
+#: Sources that one task orders.
+ONE_TASK = 1 << 17
 #: Parts of a source where its rows meet its cut in a shuffle, so that a source with many rows takes many tasks.
 SALTS = 32
 
@@ -24,40 +26,60 @@ def _sized(docs: DataFrame, id_column: str, text_column: str, source_column: str
     ).withColumn("key", _order("doc_id", seed))
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
+def _running(table: DataFrame, order: list[F.Column], sums: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """table with place, from 0 in an order without ties, and for each of sums <column>_before: the sum over the rows before.
+
+    Up to ONE_TASK rows are one task's. More are dealt by ranges of the order, whose counts and sums, a row a range, add up
+    first.
+    """
+    upto = Window.unboundedPreceding, -1
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0).cast(table.schema[c].dataType if c in table.columns else "long")).alias(f"{c}_before")
+    if table.count() <= ONE_TASK:
+        w = Window.orderBy(*order)
+        return table.select("*", (F.row_number().over(w) - 1).cast("long").alias("place"), *[before(c, w.rowsBetween(*upto)) for c in sums])
+    dealt = table.repartitionByRange(max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *order).withColumn("part", F.spark_partition_id())
+    dealt = scratch.keep(dealt, name)
+    parts = dealt.groupBy("part").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums])
+    w = Window.orderBy("part").rowsBetween(*upto)
+    base = parts.select(F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n_base"), *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_base") for c in sums])
+    w = Window.partitionBy("part").orderBy(*order)
+    out = dealt.join(F.broadcast(base), F.col("part") == F.col("of_part"))
+    out = out.select("*", (F.row_number().over(w) - 1 + F.col("n_base")).alias("place"), *[before(c, w.rowsBetween(*upto)) for c in sums])
+    return out.select(*table.columns, "place", *[(F.col(f"{c}_before") + F.col(f"{c}_base")).alias(f"{c}_before") for c in sums])
+
+
+def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """Of (source, source_size): rank by code point with null last, weight, and target.
 
     All sources share the sum of sizes by weight; none gets over most times its size, and the excess is shared again by
     weight. That is target = min(most * size, weight * level) at one level, found in one pass over the sources in the
     order of most * size / weight: a source is full when the level that remains for it and those after it reaches it.
-    The table has one row a source, so its windows run in one task by design.
+    The driver gets two sums and that level.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("rank", F.row_number().over(by_name)).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")))
-    everything = Window.partitionBy()
-    by_ratio = Window.orderBy("ratio", "rank")
-    leveled = ranked.withColumn("full", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("full") / F.col("weight")).select(
-        "*", F.sum("source_size").over(everything).cast("double").alias("total"), F.sum("weight").over(everything).alias("all_weights"),
-        F.coalesce(F.sum("full").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("full_before"),
-        F.coalesce(F.sum("weight").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("weight_before"),
-    ).withColumn("level", (F.col("total") - F.col("full_before")) / (F.col("all_weights") - F.col("weight_before")))
+    sizes = scratch.keep(sizes, "sizes")
+    ranked = _running(sizes, [F.col("source").asc_nulls_last()], [], scratch, "by-name").withColumn("rank", F.col("place") + 1).drop("place")
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")))
+    ranked = scratch.keep(ranked.withColumn("full", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("full") / F.col("weight")), "ranked")
+    total, everyone = ranked.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    leveled = _running(ranked, [F.col("ratio"), F.col("rank")], ["full", "weight"], scratch, "by-ratio")
+    leveled = leveled.withColumn("level", (F.lit(total) - F.col("full_before")) / (F.lit(everyone) - F.col("weight_before")))
     # the lowest of the levels at sources that they don't fill is the one at the first of them
-    first = F.min(F.when(F.col("level") < F.col("ratio"), F.struct("ratio", "rank", "level"))).over(everything)
-    return leveled.withColumn("at", first["level"]).select(
-        "source", "source_size", "rank", "weight", F.when(F.col("at").isNull() | (F.col("ratio") <= F.col("at")), F.col("full")).otherwise(F.col("weight") * F.col("at")).alias("target"))
+    first = leveled.where("level < ratio").agg(F.min(F.struct("ratio", "rank", "level"))["level"]).first()[0]
+    at = F.lit(first).cast("double")
+    return ranked.select("source", "source_size", "rank", "weight", F.when(at.isNull() | (F.col("ratio") <= at), F.col("full")).otherwise(F.col("weight") * at).alias("target"))
 
 
-def _cuts(sized: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+def _cuts(sized: DataFrame, weights: tuple[float, ...], most: float, scratch: Scratch) -> DataFrame:
     """For each source: whole epochs, the words of the last, part epoch, and the (key, size) group in which that ends.
 
-    Sums go up from rows to (source, range) and from there to a source's ranges, at most 1024 rows, whose prefix sums
-    find the range with the cut. Only that range's rows are sorted, so a source with a third of all rows has 1/3072 of
-    them in the one sort, and all else is partial sums.
+    Sums go up from rows to (source, range) and from there to a source's ranges, whose prefix sums find the range with the
+    cut. Only that range's rows are sorted. There are about as many ranges as a range has rows, so neither is much for a
+    task: 2^18 with 2^36 rows.
     """
-    at_range = F.shiftright("key", KEY_BITS - RANGE_BITS).cast("int")
-    ranges = sized.withColumn("range", at_range).groupBy("source", "range").agg(F.sum("size").alias("words"))
-    plan = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    bits = min(MOST_RANGE_BITS, max(RANGE_BITS, sized.count().bit_length() // 2))
+    at_range = F.shiftright("key", KEY_BITS - bits).cast("int")
+    ranges = scratch.keep(sized.withColumn("range", at_range).groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
+    plan = targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), scratch, weights, most)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,6 +105,7 @@ def _with_cuts(rows: DataFrame, cuts: DataFrame, scratch: Scratch) -> DataFrame:
     dealt by source and a salt.
     """
     cuts = scratch.keep(cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "cuts")
+    scratch.only("sized", "cuts")
     return rows.join(cuts, F.col("source").eqNullSafe(F.col("plan_source")) & (F.pmod(F.col("key"), F.lit(SALTS)).cast("int") == F.col("salt")))
 
 
@@ -102,7 +125,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     """
     scratch = Scratch(docs.sparkSession, "mix")
     sized = scratch.keep(_sized(docs, id_column, text_column, source_column, seed), "sized")
-    return _with_cuts(sized, _cuts(sized, weights, most), scratch).select(
+    return _with_cuts(sized, _cuts(sized, weights, most, scratch), scratch).select(
         "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + _last_epoch("key", "size")).alias("taken"), "source", "key")
 
 
@@ -114,7 +137,7 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     gets no whole epoch but they come before the cut. Texts never move: rows meet only their source's cut.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    cuts = _cuts(scratch.keep(_sized(docs, id_column, text_column, source_column, seed), "sized"), weights, most)
+    cuts = _cuts(scratch.keep(_sized(docs, id_column, text_column, source_column, seed), "sized"), weights, most, scratch)
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     inner = inner.select(

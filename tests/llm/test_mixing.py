@@ -54,6 +54,16 @@ def compare(got, want):
     assert f((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got) == f(want)
 
 
+def test_many_sources(spark, monkeypatch):
+    """More sources than one task orders, and ranges of keys of every width."""
+    rows = [(k, "w " * (k * 37 % 50), None if k % 41 == 40 else f"host{k * k % 97:02d}é") for k in range(600)]
+    want = brute(rows)
+    for most, bits in ((5, 1), (1, 14), (1 << 17, 24)):
+        monkeypatch.setattr(mixing, "ONE_TASK", most)
+        monkeypatch.setattr(mixing, "RANGE_BITS", bits)
+        compare(mixing.mix(frame(spark, rows)).collect(), want)
+
+
 def test_equal_brute_force(spark):
     rows = [(k, "w " * (k * 37 % 50), ["a", "b", "c", None, "é", "Z"][k * k % 11 % 6]) for k in range(300)]
     rows += [(5, "w w w", "a")] * 3 + [(None, "x y", "b"), (700, None, "only null"), (701, "", "a"), (702, "w " * 3000, "c")]
