@@ -1,5 +1,6 @@
 """WARC fixity: records and ordered offset ranges hashed into Merkle trees, audited from the roots down."""
 
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -101,19 +102,27 @@ def differing(left: DataFrame, right: DataFrame, scratch: Scratch) -> DataFrame:
 def audit(left: DataFrame, right: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """One row a record of left: page_id, url, archive, ordinal, start, stop, sha256, copies, root (its archive's), corrupt.
 
-    corrupt tells if the audit of right, a replica, ends at that record: then its bytes, its range or its copies differ
-    or are missing there. Records that only right has show as differences of their places. Two empty tables give no rows.
+    corrupt tells if the audit of right, a replica, ends at that record, and the record isn't there: its bytes or its copies
+    differ, or it is missing. Records that only lie elsewhere, as others before them are lost or longer, are not corrupt.
+    Records that only right has don't show. Two empty tables give no rows.
     """
     scratch = Scratch(left.sparkSession, "warc")
     first = scratch.keep(leaves(left, id_column, url_column, html_column), "left")
     second = scratch.keep(leaves(right, id_column, url_column, html_column), "right")
     archives = max(1, -(-first.count() // RECORDS))
     records = scratch.keep(placed(first, archives), "records")
-    ours = scratch.keep(tree(records), "left-tree")
-    theirs = scratch.keep(tree(scratch.keep(placed(second, archives), "right-records")), "right-tree")
-    found = differing(ours, theirs, scratch).select(F.col("archive").alias("a"), F.col("ordinal").alias("o"), F.lit(True).alias("found"))
+    others = scratch.keep(placed(second, archives), "right-records")
+    ours, theirs = scratch.keep(tree(records), "left-tree"), scratch.keep(tree(others), "right-tree")
+    places = differing(ours, theirs, scratch).select(F.col("archive").alias("a"), F.col("ordinal").alias("o"))
+    at = (F.col("archive") == F.col("a")) & (F.col("ordinal") == F.col("o"))
+    there = others.join(places, at, "left_semi").select(*[F.col(c).alias(f"r_{c}") for c in ("archive", "page_id", "url", "sha256", "copies")])
+    same = (F.col("archive") == F.col("r_archive")) & (F.col("sha256") == F.col("r_sha256")) & (F.col("copies") == F.col("r_copies"))
+    same = same & F.col("page_id").eqNullSafe(F.col("r_page_id")) & F.col("url").eqNullSafe(F.col("r_url"))
+    found = records.join(places, at, "left_semi").join(there, same, "left_anti").select(F.col("archive").alias("a"), F.col("ordinal").alias("o"), F.lit(True).alias("found"))
+    found = scratch.keep(found, "found")
+    scratch.only("records", "left-tree", "found")
     roots = ours.where(F.col("level") == LEVELS + 1).select(F.col("archive").alias("root_of"), F.col("hash").alias("root"))
-    out = records.join(found, (F.col("archive") == F.col("a")) & (F.col("ordinal") == F.col("o")), "left").join(roots, F.col("archive") == F.col("root_of"))
+    out = records.join(found, at, "left").join(roots, F.col("archive") == F.col("root_of"))
     return out.select("page_id", "url", "archive", "ordinal", "start", "stop", "sha256", "copies", "root", F.coalesce("found", F.lit(False)).alias("corrupt"))
 
 
@@ -125,7 +134,11 @@ def damaged(pages: DataFrame, id_column: str = "page_id", html_column: str = "ht
 
 
 def write_archives(pages: DataFrame, folder: str, archives: int, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> None:
-    """The records as WARC files, one a folder archive=K, in the order of their offsets."""
+    """The records as WARC files, one a folder archive=K, in the order of their offsets.
+
+    Null ids, URLs and pages are empty in records, equal rows are one record, an empty table gives no files. An archive is
+    written by one task.
+    """
     body = record(id_column, url_column, html_column)
     found = pages.select(archive_of(F.col(f"`{id_column}`"), archives).alias("archive"), F.col(f"`{id_column}`").alias("page_id"), F.col(f"`{url_column}`").alias("url"), body.alias("value"))
     found = found.withColumn("sha256", F.sha2(F.concat("value", F.lit("\r\n")), 256)).dropDuplicates(["page_id", "url", "sha256"])
@@ -133,23 +146,59 @@ def write_archives(pages: DataFrame, folder: str, archives: int, id_column: str
     found.select("archive", "value").write.partitionBy("archive").option("lineSep", "\r\n").text(folder)
 
 
+def inflated(data: bytes) -> tuple[bytes, bytes]:
+    """Gzipped data, of any number of members, as plain data; and what can't be read of it, with the rest from there on."""
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
+            part = member.decompress(data)
+        except zlib.error:
+            return b"".join(out), data
+        if not member.eof:
+            return b"".join(out), data
+        out.append(part)
+        data = member.unused_data
+    return b"".join(out), b""
+
+
+def records_of(data: bytes) -> Iterator[tuple[int, int, str | None, str | None, bytes]]:
+    """(start, stop, type, url, payload) of the records of a WARC file's bytes. What is no whole record has type broken, up to
+    where the next one seems to start, its bytes being the payload."""
+    at = 0
+    while at < len(data):
+        head = data.find(b"\r\n\r\n", at)
+        fields, stop = {}, -1
+        if head >= 0 and data.startswith(b"WARC/", at):
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:head].decode(errors="replace").split("\r\n")[1:])}
+            if fields.get("content-length", "").isdecimal():
+                stop = head + 4 + int(fields["content-length"]) + 4
+        if stop >= 0 and data[stop - 4 : stop] == b"\r\n\r\n":
+            yield at, stop, fields.get("warc-type"), fields.get("warc-target-uri"), data[head + 4 : stop - 4]
+        else:
+            following = data.find(b"\r\n\r\nWARC/", at + 1)
+            stop = len(data) if following < 0 else following + 4
+            yield at, stop, "broken", None, data[at:stop]
+        at = stop
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, stop, type, url, payload) of the records of uncompressed WARC files. A file is read whole by one task."""
+    """(file, start, stop, type, url, payload) of the records of WARC files, plain or gzipped.
+
+    Offsets are those of plain data. A truncated or malformed stretch is one row of type broken with its bytes, after which
+    reading goes on; so is what can't be unzipped. Types and URLs that a record lacks are null; an empty file gives no rows.
+    A file is read whole by one task, so archives are best kept to some hundred MB, as is usual.
+    """
 
     def begin() -> Callable[..., Iterator[tuple]]:
-        def f(file: str, data: bytes) -> Iterator[tuple]:
-            at = 0
-            while at < len(data):
-                head = data.find(b"\r\n\r\n", at)
-                if head < 0 or not data.startswith(b"WARC/", at):
-                    return
-                fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:head].decode(errors="replace").split("\r\n")[1:])}
-                size = int(fields.get("content-length", 0))
-                stop = head + 4 + size + 4
-                yield file, at, stop, fields.get("warc-type"), fields.get("warc-target-uri"), bytes(data[head + 4 : head + 4 + size])
-                at = stop
+        def f(file: str, content: bytes) -> Iterator[tuple]:
+            data, rest = inflated(content) if content.startswith(b"\x1f\x8b") else (content, b"")
+            for found in records_of(data):
+                yield file, *found
+            if rest:
+                yield file, len(data), len(data) + len(rest), "broken", None, rest
 
         return f
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{part-*,*.warc,*.warc.gz}").load(path)
     return map_rows(files, ["path", "content"], "file string, start bigint, stop bigint, type string, url string, payload binary", begin)

@@ -1,3 +1,5 @@
+import gzip
+
 from pyspark.sql import functions as F
 
 from strandloom.llm import warc
@@ -22,8 +24,12 @@ def test_audit_finds_every_fault(spark, monkeypatch):
 
 def test_lost_records(spark):
     left = spark.createDataFrame(ROWS, SCHEMA)
-    got = warc.audit(left, left.where("page_id <> 30")).collect()
-    assert any(r.corrupt for r in got if r.page_id == 30) and not any(r.corrupt for r in warc.audit(left, left.repartition(5)).collect())
+    got = warc.audit(left, left.where("page_id IS NULL OR page_id <> 30")).collect()
+    # those after it only lie elsewhere
+    assert [r.page_id for r in got if r.corrupt] == [30] and not any(r.corrupt for r in warc.audit(left, left.repartition(5)).collect())
+    longer = left.withColumn("html", F.when(F.col("page_id").isin(2, 31), F.concat("html", F.lit("more"))).otherwise(F.col("html")))
+    assert sorted(r.page_id for r in warc.audit(left, longer).collect() if r.corrupt) == [2, 31]
+    assert not any(r.corrupt for r in warc.audit(left.where("page_id IS NULL OR page_id <> 30"), left).collect())
     assert warc.audit(left.limit(0), left.limit(0)).count() == 0
 
 
@@ -36,6 +42,21 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted((r.url or "", r.start, r.stop) for r in placed) == sorted((r.url or "", r.start, r.stop) for r in got)
 
 
+def test_broken_and_gzipped_files(spark, tmp_path):
+    record = lambda body: b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: http://h\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(body), body)
+    one, two, bad, cut = record(b"one"), record(b"two\r\n\r\n"), record(b"bad").replace(b"Length: 3", b"Length: x"), record(b"cut short")[:-7]
+    (tmp_path / "a.warc").write_bytes(one + bad + two + cut)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two) + gzip.compress(bad)[:-3])
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = {}
+    for r in warc.read_archives(spark, str(tmp_path)).collect():
+        got.setdefault(r.file[-1], []).append((r.start, r.stop, r.type, bytes(r.payload)))
+    sizes = [len(x) for x in (one, bad, two, cut)]
+    ends = [sum(sizes[: k + 1]) for k in range(4)]
+    assert sorted(got["c"]) == [(0, ends[0], "resource", b"one"), (ends[0], ends[1], "broken", bad), (ends[1], ends[2], "resource", b"two\r\n\r\n"), (ends[2], ends[3], "broken", cut)]
+    assert [x[2] for x in sorted(got["z"])] == ["resource", "resource", "broken"] and sorted(got) == ["c", "z"]
+
+
 def test_lost_copies(spark):
     left = spark.createDataFrame(ROWS, SCHEMA)
     got = warc.audit(left, left.dropDuplicates()).collect()
