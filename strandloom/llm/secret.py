@@ -133,10 +133,14 @@ def find_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return map_rows(docs, [id_column, text_column], f"doc_id {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>", _start_spans(rules))
 
 
-def redact_documents(docs: DataFrame, text_column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with [SECRET] in place of secrets; all rows and columns stay, and n_chars, if there, is the new length."""
+def redact_documents(docs: DataFrame, text_column: str = "text", length_column: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with [SECRET] in place of secrets; all rows and columns stay. length_column, if given, gets the new length in code
+    points where a text changes.
+
+    Null and empty texts stay; repeated rows change alike; an empty table gives no rows.
+    """
     names = docs.columns
-    at, chars = names.index(text_column), names.index("n_chars") if "n_chars" in names else None
+    at, chars = names.index(text_column), names.index(length_column) if length_column else None
 
     def start() -> Callable[..., Iterator[tuple]]:
         compiled(rules)

@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from strandloom.llm.pii import BASE_SCORE, LOWERS, RAISES, REACH, STEP
 from strandloom.llm.quality import STOP_WORDS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -62,5 +63,88 @@ SELECT page_id, url, archive, ordinal, CAST(stop - bytes AS BIGINT) AS start, st
 """
 
 
+#: Kinds of secrets in their order, as patterns for leftmost non-overlapping matches; and what is measured of a match.
+_KEY = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"\x27]?\x20*[:=]\x20*[\"\x27]?"
+_SECRETS = (
+    ("assign", _KEY + "[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(m, '{_KEY}([A-Za-z0-9+/_.=-]+)', 1)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]+", "length(m) >= 24"),
+    ("github", "gh[pousr]_[A-Za-z0-9]+", "length(m) >= 40"),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]+", "length(m) >= 15"),
+    ("google", "AIza[A-Za-z0-9_-]+", "length(m) >= 39"),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
+)
+
+
+def _matches(kind: str, order: int, pattern: str, test: str) -> str:
+    """Rows (rid, kind, ord, start, stop) of a pattern's matches: parts of the text between marks, every second a match."""
+    return rf"""SELECT rid, '{kind}' AS kind, {order} AS ord, start, start + length(m) AS stop FROM (
+  SELECT rid, p[i] AS m, CAST(coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (
+    SELECT rid, p, unnest(range(2, len(p) + 1, 2)) AS i FROM (SELECT rid, string_split(regexp_replace(t, '({pattern})', chr(57344) || '\1' || chr(57344), 'g'), chr(57344)) AS p FROM d))) WHERE {test}"""
+
+
+OP3 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_matches(kind, k, pattern, test) for k, (kind, pattern, test) in enumerate(_SECRETS))}),
+g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) AS n_spans,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(n_spans, 0) AS INT) AS n_spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+_DIGITS = "string_split(reverse(regexp_replace(m, '[ -]', '', 'g')), '')"
+_LUHN = f"CAST(list_sum(list_transform(range(1, len({_DIGITS}) + 1), lambda i: list_sum(list_transform(string_split(CAST(CAST({_DIGITS}[i] AS INT) * (2 - i % 2) AS VARCHAR), ''), lambda x: CAST(x AS INT))))) AS INT) % 10 = 0"
+#: Of personal data, the kinds with a plain test, as above.
+_PRIVATE = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(?:\.[0-9]+){3}", "len(list_filter(string_split(m, '.'), lambda x: CAST('0' || substr(ltrim(x, '0'), 1, 4) AS INT) > 255)) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"CASE WHEN len({_DIGITS}) BETWEEN 16 AND 19 THEN {_LUHN} ELSE false END"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 8 AND 15"),
+)
+_ANY = lambda words: " OR ".join(f"contains(near, '{w}')" for w in words)
+_SCORES = " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE) + CASE WHEN {_ANY(RAISES[k])} THEN {STEP} ELSE 0.0 END - CASE WHEN {_ANY(LOWERS[k])} THEN {STEP} ELSE 0.0 END" for k, v in BASE_SCORE.items())
+#: Of an IBAN's candidate the first part, by whole groups, of 15 characters or more that passes modulo 97.
+_NUMBERS = "string_split(array_to_string(list_transform(string_split(substr(replace(x, ' ', ''), 5) || substr(replace(x, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c <= '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), ''), '')"
+_IBAN = rf"""SELECT rid, 'iban' AS kind, 4 AS ord, start, start + length(m) AS stop FROM (
+  SELECT rid, start, list_filter(list_transform(range(len(string_split(c, ' ')), 0, -1), lambda k: array_to_string(string_split(c, ' ')[1:k], ' ')),
+    lambda x: length(replace(x, ' ', '')) >= 15 AND list_reduce(list_transform({_NUMBERS}, lambda y: CAST(y AS INT)), lambda a, b: (10 * a + b) % 97) = 1)[1] AS m
+  FROM (SELECT rid, substr(q, 1 + lead) AS c, start + lead AS start, FROM (SELECT rid, q, start, CASE WHEN regexp_matches(q, '^[A-Z]{{2}}[0-9]{{2}}') THEN 0 ELSE 1 END AS lead FROM (
+    SELECT rid, regexp_replace(p[i], '[^A-Za-z0-9]$', '') AS q, CAST(coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (
+      SELECT rid, p, unnest(range(2, len(p) + 1, 2)) AS i FROM (SELECT rid, string_split(regexp_replace(t, '((?:^|[^A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}(?:$|[^A-Za-z0-9]))', chr(57344) || '\1' || chr(57344), 'g'), chr(57344)) AS p FROM d)))))) WHERE m IS NOT NULL"""
+
+OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(_matches(kind, k, pattern, test) for k, (kind, pattern, test) in enumerate(_PRIVATE))} UNION ALL {_IBAN}),
+c AS (SELECT s.*, lower(substr(t, greatest(1, start - {REACH - 1}), least(start, {REACH}))) || ' ' || lower(substr(t, stop + 1, {REACH})) AS near FROM s JOIN d USING (rid)),
+g AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'iban') AS n_iban,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY ord, start) FILTER (ord < 4) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY ord, start) AS spans,
+  max(least(1.0, greatest(0.0, CASE kind {_SCORES} END))) AS max_score FROM c GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_iban, 0) AS n_iban, max_score
+FROM d LEFT JOIN g USING (rid)
+"""
+
+OP4 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(2, len(w) - 1)), lambda i: array_to_string(w[i:i + 2], ' ')))) AS shingle FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+g AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN g ON d.doc_id = g.a LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+OP9 = """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / a.n / b.n >= 0.98),
+r(a, b) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+g AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+c AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN g ON vec_id = g.a LEFT JOIN c ON vec_id = c.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op7_warc_fixity": OP7, "op10_mix_sources": OP10}
+    return {"op2_quality_rules": OP2, "op3_secret_scan": OP3, "op4_minhash_near_dedup": OP4, "op7_warc_fixity": OP7, "op8_personal_data": OP8, "op9_embedding_near_dedup": OP9, "op10_mix_sources": OP10}

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from strandloom.llm import queries, sql
@@ -35,6 +37,12 @@ def test_spans_queries_equal_patterns(spark):
     from tests.llm.test_scans import private, secrets
 
     text = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
-    for query, found in ((queries.op3_secret_scan, secrets), (queries.op8_personal_data, private)):
-        for r in query(spark, SF).collect():
-            assert set(f"{k}:{s}:{e}" for k, s, e in found(text[r.doc_id])) <= set(r.spans.split(","))
+    for query, found, kinds in ((queries.op3_secret_scan, secrets, ("assign", "access", "hex")), (queries.op8_personal_data, private, ("email", "ip", "card", "phone"))):
+        rows = query(spark, SF).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(text)
+        for r in rows:
+            base = found(text[r.doc_id] or "")
+            assert [r[f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in base) for k in kinds]
+            spans = [f"{k}:{s}:{e}" for k, s, e in base]
+            assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+            assert [s for s in r.spans.split(",") if s.partition(":")[0] in kinds] == spans
