@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from strandloom.llm import automaton, pii, secret
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -77,5 +79,8 @@ def test_digests(spark):
     joined = ",".join(f"{k}:{s}:{e}" for k, s, e in secrets(t))
     assert sorted(r.spans for r in rows) == sorted(["", "", joined, joined, joined]) and {r.n_assign for r in rows} == {0, 1}
     assert pii.find_spans(df.limit(0)).count() == secret.find_spans(df.limit(0)).count() == 0
-    clean = secret.redact_documents(df, length_column="n_chars")
+    clean = secret.redact_documents(df)
     assert clean.columns == df.columns and clean.count() == 5 and not any("0123" in (r.text or "") for r in clean.collect())
+    sized = df.withColumn("size", F.length("text")).withColumn("n_chars", F.lit(7))
+    for r in secret.redact_documents(sized, length_column="size").collect():
+        assert r.size == (None if r.text is None else len(r.text)) and r.n_chars == 7
