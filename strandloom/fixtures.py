@@ -1,6 +1,9 @@
 """Deterministic synthetic reads and signatures out of the orders table, in SQL that Spark and DuckDB both run."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from strandloom.scratch import Scratch
 
 #: Primers around barcode, tag and insert.
 FORWARD, REVERSE = "CTACACGACGCTCTTCCGATCT", "CCCATGTACTCTGCGTTGATACCACTGCTT"
@@ -44,10 +47,38 @@ FROM orders
 """
 
 
+#: Barcodes of reads, and a whitelist on which each fourth cell is alone, beside a code that never occurs, or not at all but
+#: for two codes as near as each other, with or without a frequent neighbour of one of them.
+_CELL = f"substr(translate(md5(concat('bc', cast(cell AS string))), {_BASES}), 1, 16)"
+_FIFTH = lambda to: f"concat(substr(bc0, 1, 4), translate(substr(bc0, 5, 1), 'ACGT', '{to}'), substr(bc0, 6))"
+_TWELFTH = lambda to: f"concat(substr(v, 1, 11), translate(substr(v, 12, 1), 'ACGT', '{to}'), substr(v, 13))"
+TIES = f"""
+SELECT rid, cell, CASE WHEN cell % 4 = 3 AND rid % 5 = 0 THEN {_TWELFTH('GTAC')} WHEN rid % 7 = 0 THEN {_FIFTH('CATG')} ELSE bc0 END AS barcode
+FROM (SELECT rid, cell, bc0, {_FIFTH('GTAC')} AS v FROM (SELECT o_orderkey AS rid, o_custkey AS cell, {_CELL.replace('cell', 'o_custkey')} AS bc0 FROM orders) k) f
+"""
+TIE_LIST = f"""
+SELECT DISTINCT CASE n WHEN 0 THEN CASE WHEN cell % 4 < 2 THEN bc0 ELSE v END WHEN 1 THEN CASE WHEN cell % 4 = 1 THEN v ELSE {_FIFTH('TGCA')} END ELSE {_TWELFTH('GTAC')} END AS barcode
+FROM (SELECT cell, n, bc0, {_FIFTH('GTAC')} AS v FROM (SELECT cell, n, {_CELL} AS bc0 FROM (SELECT DISTINCT o_custkey AS cell FROM orders) c CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n UNION ALL SELECT 2 AS n) m) k) f
+WHERE n = 0 OR n = 1 AND cell % 4 > 0 OR n = 2 AND cell % 4 = 3
+"""
+
+_made: dict[tuple[str, str, str], tuple[Scratch, StructType]] = {}
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A fixture's rows over a folder's orders, whose one file would else be one task's."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").repartition(spark.sparkContext.defaultParallelism)
-    return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=orders)
+    """A fixture's rows over a folder's orders.
+
+    They stand for files of reads: a session writes them once, in as many files as it has tasks, and all queries read those.
+    """
+    key = spark.sparkContext.applicationId, sf_dir, sql
+    found = _made.get(key)
+    if found is None or found[0].gone():
+        # one file of orders would be one task's
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey").repartition(spark.sparkContext.defaultParallelism)
+        rows = spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=orders)
+        scratch = Scratch(spark, "fixture")
+        found = _made[key] = scratch, scratch.keep(rows, "rows").schema
+    return found[0].read("rows", found[1])
 
 
 def duck(sql: str) -> str:

@@ -1,6 +1,6 @@
 """Misalignment thresholds: how far adapters are from reads of the other strand."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,15 +16,25 @@ def sample(reads: DataFrame, n: int = 100_000, id_column: str = "id") -> DataFra
     return reads.where(F.pmod(F.xxhash64(id_column), F.lit(1 << 30)) < int((1 << 30) * n / total))
 
 
+def _all_zero(names: list[str]) -> Column:
+    """Whether the rows of the named adapters, of which there is one at least, all have distance 0."""
+    return F.coalesce(F.bool_and(F.when(F.col("query_id").isin(names), F.col("best_edit_distance") == 0)), F.lit(False))
+
+
 def perfect_ids(stats: DataFrame, names: list[str]) -> DataFrame:
     """Ids of reads on which all of the named adapters, as far as they have rows, have distance 0."""
-    return stats.where(F.col("query_id").isin(names)).groupBy("id").agg(F.bool_and(F.col("best_edit_distance") == 0).alias("perfect")).where("perfect").select("id")
+    return stats.groupBy("id").agg(_all_zero(names).alias("perfect")).where("perfect").select("id")
 
 
 def _others(stats: DataFrame, forward: list[str], reverse: list[str]) -> DataFrame:
-    """Rows of reverse adapters on reads with perfect forward ones, and the other way round."""
-    side = lambda own, other: stats.where(F.col("query_id").isin(other)).join(perfect_ids(stats, own), "id", "left_semi")
-    return side(forward, reverse).unionByName(side(reverse, forward))
+    """Rows of reverse adapters on reads with perfect forward ones, and the other way round.
+
+    A read's rows, a few, come together once, so stats, which may be an alignment, is made once.
+    """
+    named = stats.where(F.col("id").isNotNull() & F.col("query_id").isin(forward + reverse))
+    reads = named.groupBy("id").agg(_all_zero(forward).alias("f"), _all_zero(reverse).alias("r"), F.collect_list(F.struct(*[F.col(f"`{c}`") for c in stats.columns])).alias("rows"))
+    wanted = lambda x: (F.col("f") & x["query_id"].isin(reverse)) | (F.col("r") & x["query_id"].isin(forward))
+    return reads.where("f OR r").select(F.explode(F.filter("rows", wanted)).alias("row")).select("row.*")
 
 
 def calibrate(stats: DataFrame, forward: list[str], reverse: list[str], mode: str | None = "stats") -> DataFrame:

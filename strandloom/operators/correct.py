@@ -1,9 +1,12 @@
 """Barcodes against a whitelist: membership, neighbours by bits and bases, and correction with tie-breaks."""
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import UNDECIDED, base_distance, best_qgram_matches, bit_distance, decimals, decode, encode, qgram_distance
+from strandloom.scratch import Scratch
 
 #: Whitelist barcodes among the most frequent that the last tie-break looks at.
 TOP = 5000
@@ -33,26 +36,33 @@ def secondary(freq: DataFrame, n: int = TOP) -> DataFrame:
     return freq.orderBy(F.desc("freq"), "whitelist_bcs").limit(n)
 
 
-def _segments(length: int, bits: int) -> list[tuple[int, int]]:
-    """Shift and mask of bits + 1 parts of a code: codes at most bits apart agree in one of them."""
-    n, k = 2 * length, bits + 1
-    cuts = [n * i // k for i in range(k + 1)]
-    return [(a, (1 << b - a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+#: Bits of a half that codes are changed in for look-ups, at most; beyond that, whitelist codes are changed too.
+MOST_FLIPS = 2
+
+
+def _masks(width: int, most: int) -> list[int]:
+    """Numbers of so many bits with at most so many set."""
+    return sorted(sum(1 << k for k in at) for n in range(most + 1) for at in combinations(range(width), n))
 
 
-def _by_segments(codes: DataFrame, targets: DataFrame, bits: int, length: int) -> DataFrame:
-    """Pairs (code, target) of distinct codes at most bits apart: an equi-join on equal segments, then a count of bits.
+def _by_halves(codes: DataFrame, targets: DataFrame, bits: int, length: int) -> DataFrame:
+    """Pairs (code, target) of distinct codes one to bits bits apart.
 
-    A pair may agree in several segments; it comes from the first of them only.
+    One of a pair's halves differs in half of the bits at most. So halves are looked up with each choice of so many bits
+    changed, at 4 bits 137 look-ups a half, on keys of 16 bits; what is found is counted exactly. A code meets two hundredths
+    or so of one per cent of the whitelist for each look-up, and nothing else.
     """
-    parts = _segments(length, bits)
-    keyed = lambda d, c: d.select(c, F.posexplode(F.array(*[F.shiftright(c, s).bitwiseAND(F.lit(m).cast("bigint")) for s, m in parts])).alias("part", "value"))
-    pairs = keyed(codes, "code").join(keyed(targets, "target"), ["part", "value"])
-    x = F.col("code").bitwiseXOR(F.col("target"))
-    earlier = F.lit(False)
-    for k, (s, m) in enumerate(parts):
-        earlier = earlier | ((F.lit(k) < F.col("part")) & (F.shiftright(x, s).bitwiseAND(F.lit(m).cast("bigint")) == 0))
-    return pairs.where(~earlier & (bit_distance("code", "target") >= 1) & (bit_distance("code", "target") <= bits)).select("code", "target")
+    width = length
+    few = min(bits // 2, MOST_FLIPS)
+
+    def halves(d: DataFrame, c: str, flips: int) -> DataFrame:
+        changed = d.select(c, F.explode(F.array(*[F.lit(m).cast("bigint") for m in _masks(width, flips)])).alias("mask"))
+        low = (1 << width) - 1
+        value = lambda shift: F.shiftright(c, shift).bitwiseAND(F.lit(low).cast("bigint")).bitwiseXOR(F.col("mask"))
+        return changed.select(c, F.inline(F.array(*[F.struct(F.lit(k).alias("half"), value(k * width).alias("value")) for k in (0, 1)])))
+
+    pairs = halves(codes, "code", few).join(halves(targets, "target", bits // 2 - few), ["half", "value"])
+    return pairs.where((bit_distance("code", "target") >= 1) & (bit_distance("code", "target") <= bits)).select("code", "target").distinct()
 
 
 def _variants(bases: int, length: int) -> list[int]:
@@ -66,13 +76,14 @@ def neighbours(codes: DataFrame, whitelist: DataFrame, bits: int = 4, bases: int
     """(code, target, bases): whitelist codes one to bits bits and at most bases bases from each distinct code.
 
     nearest: only those at the least distance in bases, found in steps: codes with one base changed are looked up as they
-    are, then with two, for those that found none; what is left is joined on segments, as are all without nearest. So
-    most codes cost 48 look-ups, and no step compares codes with the whole whitelist.
+    are, then with two, for those that found none; what is left is looked up by halves, as are all without nearest. So
+    most codes cost 48 look-ups. Codes, whitelist and each step's finds are written once.
     """
-    codes = codes.select("code").where("code IS NOT NULL").distinct()
-    targets = whitelist.select(F.col("whitelist_bcs").alias("target")).distinct()
+    scratch = Scratch(codes.sparkSession, "neighbours")
+    codes = scratch.keep(codes.select("code").where("code IS NOT NULL").distinct(), "codes")
+    targets = scratch.keep(whitelist.select(F.col("whitelist_bcs").alias("target")).where("target IS NOT NULL").distinct(), "targets")
     if not nearest:
-        found = _by_segments(codes, targets, bits, length).withColumn("bases", base_distance("code", "target", length))
+        found = _by_halves(codes, targets, bits, length).withColumn("bases", base_distance("code", "target", length))
         return found.where(F.col("bases") <= bases)
     parts, left = [], codes
     for k in (1, 2):
@@ -80,23 +91,23 @@ def neighbours(codes: DataFrame, whitelist: DataFrame, bits: int = 4, bases: int
             break
         masks = F.explode(F.array(*[F.lit(m).cast("bigint") for m in _variants(k, length) if m.bit_count() <= bits]))
         tried = left.select("code", masks.alias("mask")).select("code", F.col("code").bitwiseXOR(F.col("mask")).alias("target"))
-        parts.append(tried.join(targets, "target", "left_semi").select("code", "target").withColumn("bases", F.lit(k)))
-        left = left.join(parts[-1].select("code").distinct(), "code", "left_anti")
+        parts.append(scratch.keep(tried.join(targets, "target", "left_semi").select("code", "target", F.lit(k).alias("bases")), f"bases-{k}"))
+        left = scratch.keep(left.join(parts[-1].select("code").distinct(), "code", "left_anti"), f"left-{k}")
     if bases > 2 and bits > 2:
-        far = _by_segments(left, targets, bits, length).withColumn("bases", base_distance("code", "target", length)).where(F.col("bases") <= bases)
-        least = far.groupBy("code").agg(F.min("bases").alias("bases"))
-        parts.append(far.join(least, ["code", "bases"], "left_semi"))
+        far = _by_halves(left, targets, bits, length).withColumn("bases", base_distance("code", "target", length)).where(F.col("bases") <= bases)
+        parts.append(far.withColumn("least", F.min("bases").over(Window.partitionBy("code"))).where("bases = least").select("code", "target", "bases"))
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p.select("code", "target", F.col("bases").cast("int")))
+        out = out.unionByName(p)
     return out.select("code", "target", F.col("bases").cast("int"))
 
 
 def mutate_and_check(codes: DataFrame, whitelist: DataFrame, bits: int = 4, length: int = 16) -> DataFrame:
     """(code, matches): the whitelist codes at most bits bits away, itself included, in order; empty if there are none."""
-    codes = codes.select("code").distinct()
-    known = whitelist.select(F.col("whitelist_bcs").alias("target")).distinct()
-    near = _by_segments(codes, known, bits, length).unionByName(codes.join(known, F.col("code") == F.col("target")).select("code", "target"))
+    scratch = Scratch(codes.sparkSession, "mutate")
+    codes = scratch.keep(codes.select("code").where("code IS NOT NULL").distinct(), "codes")
+    known = scratch.keep(whitelist.select(F.col("whitelist_bcs").alias("target")).distinct(), "targets")
+    near = _by_halves(codes, known, bits, length).unionByName(codes.join(known, F.col("code") == F.col("target")).select("code", "target"))
     return codes.join(near.groupBy("code").agg(F.array_sort(F.collect_set("target")).alias("matches")), "code", "left").select("code", F.coalesce("matches", F.array().cast("array<bigint>")).alias("matches"))
 
 
@@ -107,50 +118,55 @@ def decide(codes: DataFrame, whitelist: DataFrame, freq: DataFrame, jaccard: boo
     else, with jaccard, by the one least distance of base pairs (jaccard, value that distance), else by the frequency of
     the nearest neighbours that those tied have among the top most frequent, the smaller code on ties (extended).
     """
+    scratch = Scratch(codes.sparkSession, "decide")
     near = neighbours(codes, whitelist, bits, bases, length)
     scored = near.join(freq.select(F.col("whitelist_bcs").alias("target"), "freq"), "target", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     # candidates of a code number 48 at one base and thousands at most, by what lies within the reach in bits
     by_code = scored.groupBy("code").agg(F.count("*").alias("n"), F.min("bases").alias("bases"), F.max("freq").alias("most"), F.collect_list(F.struct("target", "freq")).alias("all"))
     leaders = F.filter("all", lambda x: x["freq"] == F.col("most"))
-    first = by_code.select("code", "n", "bases", "all", leaders.alias("leaders"))
+    first = scratch.keep(by_code.select("code", "n", "bases", F.when(F.col("n") > 1, F.transform("all", lambda x: x["target"])).alias("all"), leaders.alias("leaders")), "first")
     done = first.where((F.col("n") == 1) | (F.size("leaders") == 1)).select("code", F.col("leaders")[0]["target"].alias("target"), F.when(F.col("n") == 1, "hamming").otherwise("minilist").alias("how"), F.when(F.col("n") == 1, F.col("bases")).cast("double").alias("value"))
     if not jaccard:
         return done
-    text = decode("code", length)
-    tied = first.where((F.col("n") > 1) & (F.size("leaders") > 1)).withColumn("text", text)
-    tied = tied.withColumn("best", best_qgram_matches("text", F.transform("all", lambda x: decode(x["target"], length))))
+    tied = first.where((F.col("n") > 1) & (F.size("leaders") > 1)).withColumn("text", decode("code", length))
+    tied = tied.withColumn("best", best_qgram_matches("text", F.transform("all", lambda x: decode(x, length))))
+    tied = scratch.keep(tied.select("code", "bases", "text", "best"), "tied")
     one = tied.where(F.size("best") == 1).select("code", encode(F.col("best")[0]).alias("target"), F.lit("jaccard").alias("how"), qgram_distance("text", F.col("best")[0]).alias("value"))
-    several = tied.where(F.size("best") > 1).select("code", "bases", F.explode("best").alias("b")).select(F.col("code").alias("origin"), "bases", encode("b").alias("code"))
-    few = secondary(freq, top)
-    around = _by_segments(several.select("code").distinct(), few.select(F.col("whitelist_bcs").alias("target")), bits, length)
+    several = tied.where(F.size("best") > 1).select(F.col("code").alias("origin"), "bases", F.explode("best").alias("b")).select("origin", "bases", encode("b").alias("code"))
+    few = scratch.keep(secondary(freq, top), "few")
+    around = _by_halves(several.select("code").distinct(), few.select(F.col("whitelist_bcs").alias("target")), bits, length)
     around = several.join(around, "code").withColumn("d", base_distance("code", "target", length)).where(F.col("d") <= F.col("bases"))
     around = around.join(few.select(F.col("whitelist_bcs").alias("target"), "freq"), "target")
-    least = around.groupBy("origin").agg(F.min("d").alias("d"))
-    last = around.join(least, ["origin", "d"]).groupBy("origin").agg(F.max(F.struct("freq", (-F.col("target")).alias("t"))).alias("w"))
-    last = last.select(F.col("origin").alias("code"), (-F.col("w")["t"]).alias("target"), F.lit("extended").alias("how"), F.lit(None).cast("double").alias("value"))
+    last = around.groupBy("origin").agg(F.min(F.struct("d", (-F.col("freq")).alias("rarity"), "target"))["target"].alias("target"))
+    last = last.select(F.col("origin").alias("code"), "target", F.lit("extended").alias("how"), F.lit(None).cast("double").alias("value"))
     return done.unionByName(one).unionByName(last)
 
 
 def correct(extracted: DataFrame, whitelist: DataFrame, barcorrect: bool = True, jaccard: bool = True, bits: int = 4, bases: int = 4, length: int = 16, top: int = TOP) -> DataFrame:
     """Extracted reads with barcodes corrected, and a note of it after their sig_id.
 
-    Only distinct codes are looked for; decisions join back by code. Reads off the whitelist that find no correction stay
-    as they are. Without barcorrect only reads on the whitelist come out.
+    Distinct codes are counted, written, and decided on; a row a code joins back to the reads, once. Reads off the whitelist
+    that find no correction stay as they are; so do reads without a cut barcode, which take no part in the join. Without
+    barcorrect only reads on the whitelist come out. extracted is read twice; see demux() of plans, which writes it first.
     """
-    coded = in_whitelist(extracted.withColumn("_code", code_of("barcode")), whitelist, "_code")
+    scratch = Scratch(extracted.sparkSession, "correct")
+    coded = extracted.withColumn("_code", code_of("barcode"))
+    known = scratch.keep(whitelist.select("whitelist_bcs").where("whitelist_bcs IS NOT NULL").distinct(), "whitelist")
     if not barcorrect:
-        return coded.where("listed").drop("_code", "listed")
-    freq = frequencies(coded, whitelist, "_code")
-    odd = coded.where("NOT listed AND _code IS NOT NULL").select(F.col("_code").alias("code")).distinct()
-    plan = decide(odd, whitelist, freq, jaccard, bits, bases, length, top).withColumnRenamed("code", "_from")
-    out = coded.join(plan, (F.col("_code") == F.col("_from")) & ~F.col("listed"), "left")
+        return coded.join(known, F.col("_code") == F.col("whitelist_bcs"), "left_semi").select(*extracted.columns)
+    counts = coded.where("_code IS NOT NULL").groupBy(F.col("_code").alias("code")).agg(F.count("*").alias("freq"))
+    codes = scratch.keep(in_whitelist(counts, known), "codes")
+    freq = codes.where("listed").select(F.col("code").alias("whitelist_bcs"), "freq")
+    plan = scratch.keep(decide(codes.where("NOT listed").select("code"), known, freq, jaccard, bits, bases, length, top), "plan")
+    out = coded.where("_code IS NOT NULL").join(plan.withColumnRenamed("code", "_from"), F.col("_code") == F.col("_from"), "left")
     new = decode("target", length)
     pair = F.concat(F.col("barcode"), F.lit("_"), new)
     note = F.when(F.col("how") == "hamming", F.concat(F.lit("{orig_hamming_"), pair, F.lit(":"), F.col("value").cast("int").cast("string"), F.lit("}")))
     note = note.when(F.col("how") == "minilist", F.concat(F.lit("{orig_hamming_minilist_"), pair, F.lit("}")))
     note = note.when(F.col("how") == "jaccard", F.concat(F.lit("{orig_jaccard_"), pair, F.lit(":"), decimals("value"), F.lit("}")))
     note = note.when(F.col("how") == "extended", F.concat(F.lit("{orig_extended_hamming_"), pair, F.lit("}")))
-    return out.withColumn("sig_id", F.concat("sig_id", F.coalesce(note, F.lit("")))).withColumn("barcode", F.when(F.col("target").isNotNull(), new).otherwise(F.col("barcode"))).select(*extracted.columns)
+    out = out.withColumn("sig_id", F.concat("sig_id", F.coalesce(note, F.lit("")))).withColumn("barcode", F.when(F.col("target").isNotNull(), new).otherwise(F.col("barcode")))
+    return out.select(*extracted.columns).unionByName(coded.where("_code IS NULL").select(*extracted.columns))
 
 
 def on_lists(reads: DataFrame, whitelist: DataFrame, external: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequence import before_star
 from strandloom.operators import align, calibrate, correct, extract, signature
 from strandloom.plans.layout import DemuxPlan
+from strandloom.scratch import Scratch
 from strandloom.sources import sinks
 from strandloom.sources.records import read_records
 
@@ -49,11 +50,16 @@ def extracted(reads: DataFrame, plan: DemuxPlan, null: dict, options: Options =
     return extract.extract(annotated(reads, plan, null, options), plan.exact_coords)
 
 
-def corrected(reads: DataFrame, plan: DemuxPlan, null: dict, options: Options = Options()) -> DataFrame:
-    out = correct.correct(extracted(reads, plan, null, options), plan.whitelist, options.barcorrect, options.jaccard, length=plan.barcode_length)
+def _corrected(found: DataFrame, plan: DemuxPlan, options: Options) -> DataFrame:
+    out = correct.correct(found, plan.whitelist, options.barcorrect, options.jaccard, length=plan.barcode_length)
     return correct.on_lists(out, plan.whitelist, plan.external)
 
 
+def corrected(reads: DataFrame, plan: DemuxPlan, null: dict, options: Options = Options()) -> DataFrame:
+    """Reads cut, corrected and on the lists; what is cut is written once."""
+    return demux(reads.sparkSession, plan, options, reads, null)
+
+
 def renamed(found: DataFrame) -> DataFrame:
     """id (read, tag and barcode joined by _), seq, qual."""
     return found.select(F.concat_ws("_", before_star("sig_id"), "umi", "barcode").alias("id"), F.col("filtered_read").alias("seq"), F.col("filtered_qc").alias("qual"))
@@ -67,24 +73,26 @@ def cell_counts(found: DataFrame) -> DataFrame:
 def demux(spark: SparkSession, plan: DemuxPlan, options: Options = Options(), reads: DataFrame | None = None, null: dict | None = None) -> DataFrame:
     """Corrected reads of a plan's files, or of reads. Thresholds come from the reads themselves unless given.
 
-    The one thing that the driver gets is a row an adapter. All else is one plan, which moves rows only to correct them.
+    The one thing that the driver gets is a row an adapter. Reads are aligned once, and what is cut out of them written,
+    since correction counts barcodes before it changes them.
     """
     reads = reads if reads is not None else read_records(spark, plan.paths["file"])
     null = null if null is not None else calibrate.collected(null_distances(reads, plan, options))
-    return corrected(reads, plan, null, options)
+    found = Scratch(spark, "demux").keep(extracted(reads, plan, null, options), "extracted")
+    return _corrected(found, plan, options)
 
 
 def run(spark: SparkSession, plan: DemuxPlan, options: Options = Options()) -> None:
     """demux() with what a run leaves in its output folder: thresholds, reads, barcodes and signatures."""
     out, reads = plan.paths["output_dir"], read_records(spark, plan.paths["file"])
-    null = null_distances(reads, plan, options)
+    scratch = Scratch(spark, "run")
+    null = scratch.keep(null_distances(reads, plan, options), "null")
     sinks.write_thresholds(null, f"{out}/misalignment_distances")
-    measured = calibrate.collected(null)
-    found = extracted(reads, plan, measured, options)
+    found = scratch.keep(extracted(reads, plan, calibrate.collected(null), options), "extracted")
     sinks.write_lines(found, "barcode", f"{out}/all_barcodes")
     sinks.write_lines(found, "sig_id", f"{out}/sigsummary")
-    done = correct.on_lists(correct.correct(found, plan.whitelist, options.barcorrect, options.jaccard, length=plan.barcode_length), plan.whitelist, plan.external)
-    sinks.write_reads(renamed(done), f"{out}/filtered_reads", mode="append")
+    sinks.write_reads(renamed(_corrected(found, plan, options)), f"{out}/filtered_reads", mode="append")
+    scratch.only("none")
 
 
 def read_stats(reads: DataFrame) -> DataFrame:

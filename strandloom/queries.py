@@ -61,7 +61,7 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phred_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark, sf_dir).select("rid", S.phred(F.translate(F.substring("seq", 1, 20), "ACGTN", "!+5?I")).alias("scores"), S.header_id(F.concat("id", F.lit(" run=1"))).alias("name"), S.before_star(F.concat("id", F.lit("*x*y"))).alias("origin"), S.decimals(F.col("rid") / 7).alias("text"))
+    return mixed(spark, sf_dir).select("rid", S.phred(F.translate("seq", "ACGTN", "!+5?I")).alias("scores"), S.header_id(F.concat("id", F.lit(" run=1"))).alias("name"), S.before_star(F.concat("id", F.lit("*x*y"))).alias("origin"), S.decimals(F.col("rid") / 7).alias("text"))
 
 
 def poly_tail_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,18 +170,12 @@ def _off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.in_whitelist(barcodes(spark, sf_dir), whitelist(spark, sf_dir)).where("NOT listed").select("code").distinct()
 
 
-def _short(d: DataFrame) -> DataFrame:
-    """Six-base codes of the barcodes: so many neighbours that ties are frequent."""
-    return d.withColumn("code", F.col("code").bitwiseAND(F.lit(4095)))
-
-
 def correct_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corrections among six-base codes, where all tie-breaks come up."""
-    b = _short(barcodes(spark, sf_dir))
-    known = b.where("cell % 3 = 0").select(F.col("code").alias("whitelist_bcs")).distinct()
+    """Decisions on codes off a whitelist that is made so that all tie-breaks come up."""
+    b = fixtures.frame(spark, sf_dir, fixtures.TIES).withColumn("code", S.encode("barcode"))
+    known = fixtures.frame(spark, sf_dir, fixtures.TIE_LIST).select(S.encode("barcode").alias("whitelist_bcs"))
     odd = correct.in_whitelist(b, known).where("NOT listed").select("code").distinct()
-    found = correct.decide(odd, known, correct.frequencies(b, known), True, 3, 3, 6, 50)
-    return found.select("code", "target", "how")
+    return correct.decide(odd, known, correct.frequencies(b, known))
 
 
 def correct_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +205,7 @@ def renamed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_umi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From exact primers to reads and tags of each whitelisted barcode: one scan, one shuffle."""
+    """From exact primers to reads and tags of each whitelisted barcode. The fixture's whitelist is its reads' true barcodes, a second scan."""
     found = correct.in_whitelist(barcodes(spark, sf_dir), whitelist(spark, sf_dir)).where("listed")
     return demux.cell_counts(found.select("barcode", "umi"))
 
@@ -238,6 +232,7 @@ _BARCODES = f"""r AS ({_READS}), w AS (SELECT DISTINCT {_CODE.format("true_barco
 t AS (SELECT rid, cell, true_barcode, CASE WHEN rid % 2 = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS fwd FROM r),
 b0 AS (SELECT rid, cell, true_barcode, substr(fwd, instr(fwd, '{fixtures.FORWARD}') + {_F}, 16) AS barcode, substr(fwd, instr(fwd, '{fixtures.FORWARD}') + {_F + 16}, 12) AS umi FROM t WHERE instr(fwd, '{fixtures.FORWARD}') > 0),
 b AS (SELECT *, {_CODE.format("barcode")} AS code FROM b0)"""
+_TIES = f"b AS (SELECT *, {_CODE.format('barcode')} AS code FROM ({fixtures.duck(fixtures.TIES)})), w AS (SELECT {_CODE.format('barcode')} AS whitelist_bcs FROM ({fixtures.duck(fixtures.TIE_LIST)}))"
 _HAM = "CAST(bit_count((xor({0}, {1}) | (xor({0}, {1}) >> 1)) & 1431655765) AS INT)"
 _POLY = "CASE WHEN length(seq) >= 16 THEN list_filter(range(1, length(seq) - 14), lambda i: 16 - length(replace(substr(upper(seq), i, 16), '{0}', '')) >= 12) END"
 _Q = """q AS (SELECT o_orderkey AS id, o_custkey AS c, k FROM orders, range(0, 4) t(k)),
@@ -269,7 +264,7 @@ def oracle_sql() -> dict[str, str]:
         "encode_barcodes": f"WITH {_BARCODES} SELECT rid, code, lpad(bin(code), 32, '0') AS bits FROM b",
         "decode_barcodes": f"WITH {_BARCODES} SELECT rid, {_TEXT.format('code', 16)} AS barcode, {_TEXT.format('code', 8)} AS tail FROM b",
         "distances": f"WITH {_BARCODES}, d AS (SELECT *, {_CODE.format('true_barcode')} AS tc FROM b) SELECT rid, {_HAM.format('code', 'tc')} AS bases, CAST(bit_count(xor(code, tc)) AS INT) AS bits, list_filter(range(1, 17), lambda i: substr(barcode, i, 1) <> substr(true_barcode, i, 1)) AS places, {jac('barcode', 'true_barcode')} AS qgram FROM d",
-        "phred_scores": f"SELECT rid, list_transform(string_split(translate(substr(seq, 1, 20), 'ACGTN', '!+5?I'), ''), lambda x: ascii(x) - 33) AS scores, id AS name, id AS origin, printf('%.6f', rid / 7) AS text FROM ({_MIXED})",
+        "phred_scores": f"SELECT rid, list_transform(string_split(translate(seq, 'ACGTN', '!+5?I'), ''), lambda x: ascii(x) - 33) AS scores, id AS name, id AS origin, printf('%.6f', rid / 7) AS text FROM ({_MIXED})",
         "poly_tail_scan": f"WITH m AS (SELECT rid, {_POLY.format('T')} AS t, {_POLY.format('A')} AS a FROM ({_MIXED})) SELECT rid, list_min(t) AS t_start, list_max(t) + 15 AS t_stop, list_min(a) AS a_start, list_max(a) + 15 AS a_stop FROM m",
         "poly_runs": f"SELECT rid, regexp_extract_all(seq, 'T{{12,}}') AS runs, len(list_distinct(string_split(seq, 'TT'))) < len(string_split(seq, 'TT')) AS repeated FROM ({_MIXED})",
         "bit_flips": f"WITH {_BARCODES} SELECT code, list_sort(list_transform(range(0, 32), lambda k: xor(code, 1::BIGINT << CAST(k AS INT)))) AS flips FROM (SELECT DISTINCT code FROM b)",
@@ -295,6 +290,16 @@ def oracle_sql() -> dict[str, str]:
         "mutate_and_check": f"WITH {_BARCODES}, m AS (SELECT c.code, w.whitelist_bcs AS target FROM (SELECT DISTINCT code FROM b) c LEFT JOIN w ON bit_count(xor(c.code, w.whitelist_bcs)) <= 6) SELECT code, coalesce(string_agg(CAST(target AS VARCHAR), ',' ORDER BY target), '') AS matches FROM m GROUP BY code",
         "correct_barcodes": f"""WITH {_BARCODES}, {_NEAR.format(4)}, {best}, one AS (SELECT code, min(target) AS target, min(bases) AS bases FROM best GROUP BY code HAVING count(*) = 1)
             SELECT rid, '@r' || rid || '*' || CASE WHEN target IS NULL THEN '' ELSE '{{orig_hamming_' || barcode || '_' || {_TEXT.format('target', 16)} || ':' || bases || '}}' END AS sig_id, CASE WHEN target IS NULL THEN barcode ELSE {_TEXT.format('target', 16)} END AS barcode FROM b LEFT JOIN one USING (code)""",
+        "correct_ties": f"""WITH {_TIES}, {_NEAR.format(4)}, {best}, f AS (SELECT code AS target, count(*) AS freq FROM b WHERE code IN (FROM w) GROUP BY code),
+            sc AS (SELECT code, target, bases, coalesce(freq, 0) AS freq, count(*) OVER (PARTITION BY code) AS n, max(coalesce(freq, 0)) OVER (PARTITION BY code) AS most FROM best LEFT JOIN f USING (target)),
+            ld AS (SELECT *, count(*) FILTER (freq = most) OVER (PARTITION BY code) AS leaders FROM sc),
+            tx AS (SELECT *, {_TEXT.format('code', 16)} AS c, {_TEXT.format('target', 16)} AS t FROM ld WHERE n > 1 AND leaders > 1),
+            td AS (SELECT *, {jac('c', 't')} AS d FROM tx), tb AS (SELECT * FROM td QUALIFY d = min(d) OVER (PARTITION BY code)), tn AS (SELECT *, count(*) OVER (PARTITION BY code) AS k FROM tb),
+            few AS (SELECT * FROM f ORDER BY freq DESC, target LIMIT 5000),
+            ar AS (SELECT tn.code, few.target, few.freq, {_HAM.format('tn.target', 'few.target')} AS h FROM tn, few WHERE k > 1 AND bit_count(xor(tn.target, few.target)) BETWEEN 1 AND 4 AND {_HAM.format('tn.target', 'few.target')} <= tn.bases),
+            ex AS (SELECT * FROM ar QUALIFY row_number() OVER (PARTITION BY code ORDER BY h, freq DESC, target) = 1)
+            SELECT code, target, CASE WHEN n = 1 THEN 'hamming' ELSE 'minilist' END AS how, CASE WHEN n = 1 THEN CAST(bases AS DOUBLE) END AS value FROM ld WHERE n = 1 OR leaders = 1 AND freq = most
+            UNION ALL SELECT code, target, 'jaccard', d FROM tn WHERE k = 1 UNION ALL SELECT code, target, 'extended', NULL FROM ex""",
         "paf_tags": """WITH l AS (SELECT l_orderkey || '_' || l_linenumber AS id, l_orderkey AS k, l_linenumber AS n FROM lineitem)
             SELECT id, '216' AS ql, CASE WHEN n % 2 = 0 THEN '+' END AS qr, 'chr' || n AS sn, CAST(k AS VARCHAR) AS mq, CASE k % 3 WHEN 0 THEN 'NM:i:3' WHEN 1 THEN 'NM:i:4' END AS "NM", CASE k % 3 WHEN 0 THEN 'ms:i:' || n WHEN 2 THEN 'ms:i:' || k END AS ms, CASE k % 3 WHEN 0 THEN 'tp:A:P' WHEN 1 THEN 'tp:A:S' END AS tp FROM l""",
         "read_length_stats": f"SELECT count(*) AS num_seqs, CAST(sum(length(seq)) AS BIGINT) AS sum_len, min(length(seq)) AS min_len, avg(length(seq)) AS avg_len, max(length(seq)) AS max_len FROM ({_MIXED})",

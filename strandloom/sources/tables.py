@@ -36,11 +36,14 @@ def parse_paf(lines: DataFrame) -> DataFrame:
 
     Tags may come in any order; of tags that a line repeats the last counts.
     """
-    parts = F.transform(F.split("value", "\t"), lambda p: F.nullif(p, F.lit("")))
-    cell = lambda k: F.get(parts, F.lit(k))
-    tokens = F.filter(F.slice(parts, 13, F.greatest(F.size(parts), F.lit(1))), lambda t: t.isNotNull())
-    last = F.filter(tokens, lambda t, i: ~F.exists(F.slice(tokens, i + 2, F.greatest(F.size(tokens), F.lit(1))), lambda u: F.substring(u, 1, 2) == F.substring(t, 1, 2)))
-    return lines.select(*[cell(k).alias(c) for k, c in enumerate(PAF)], F.map_from_entries(F.transform(last, lambda t: F.struct(F.substring(t, 1, 2).alias("key"), t.alias("value")))).alias("tags"))
+    # each line is split once, and its tags cut out once: both are columns of their own
+    split = lines.select(F.split("value", "\t").alias("parts"))
+    cells = [F.nullif(F.get("parts", F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(PAF)]
+    found = split.select(*cells, F.filter(F.slice("parts", 13, F.greatest(F.size("parts"), F.lit(1))), lambda t: t != "").alias("tokens"))
+    found = found.withColumn("names", F.transform("tokens", lambda t: F.substring(t, 1, 2))).withColumn("different", F.array_distinct("names"))
+    last = F.transform("different", lambda n: F.element_at(F.filter("tokens", lambda t: F.substring(t, 1, 2) == n), -1))
+    tags = F.when(F.size("different") == F.size("names"), F.map_from_arrays("names", "tokens")).otherwise(F.map_from_arrays("different", last))
+    return found.select(*PAF, tags.alias("tags"))
 
 
 def tag_columns(paf: DataFrame, tags: list[str] | None = None) -> DataFrame:
