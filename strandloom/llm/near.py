@@ -27,6 +27,8 @@ BATCH = 4096
 FILTER_BITS, FILTER_MOST, FILTER_HASHES = 16, 1 << 29, 3
 #: Words whose hashes a task keeps; it starts anew beyond that.
 WORDS = 50_000
+#: Parts of a large group where its nodes meet what is known of it.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -253,8 +255,8 @@ def _candidate_groups(nodes: DataFrame, near: Near, scratch: Scratch, kind: str)
     return components(edges, scratch, "candidate-cc")
 
 
-def _likely(texts: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
-    """texts whose ids are candidates, and a few others, by a Bloom filter.
+def _likely_sets(texts: DataFrame, candidates: DataFrame, near: Near, kind: str) -> DataFrame:
+    """(doc_id, hashes): sets of the texts whose ids are candidates, and of a few others, by a Bloom filter.
 
     It has about FILTER_BITS bits a candidate, made up to a power of two between 2^20 and FILTER_MOST: 64 MB. Its words are
     or-ed together by Spark; the driver gets one a word. With more candidates it lets more texts pass, which the join after
@@ -268,34 +270,20 @@ def _likely(texts: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     bits = table.view(np.uint8)
     shared = candidates.sparkSession.sparkContext.broadcast(bits)
-    shape = _parse_datatype_string(f"doc_id {kind}, text string")
+    names = [f"s{k}" for k in range(FILTER_HASHES)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, into = shared.value, to_arrow_schema(shape)
-        for b in batches:
-            keep = np.ones(b.num_rows, bool)
-            for k in range(FILTER_HASHES):
-                at = b.column(2 + k).to_numpy()
-                keep &= (filled[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            if keep.any():
-                some = b.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(some.columns[:2], into, strict=True)], schema=into)
-
-    return texts.select("doc_id", "text", *[spot("doc_id", k).alias(f"s{k}") for k in range(FILTER_HASHES)]).mapInArrow(run, shape)
-
-
-def _hashed(near: Near) -> Callable[[], Callable[..., Iterator[tuple]]]:
     def start() -> Callable[..., Iterator[tuple]]:
-        own = _Hashes()
+        filled, own = shared.value, _Hashes()
 
-        def f(doc_id: object, text: str | None) -> Iterator[tuple]:
-            found = shingles(text, near.words, own)
-            if len(found):
-                yield doc_id, found.tobytes()
+        def f(doc_id: object, text: str, *spots: int) -> Iterator[tuple]:
+            if all(filled[at >> 3] >> (at & 7) & 1 for at in spots):
+                found = shingles(text, near.words, own)
+                if len(found):
+                    yield doc_id, found.tobytes()
 
         return f
 
-    return start
+    return map_rows(texts.select("doc_id", "text", *[spot("doc_id", k).alias(n) for k, n in enumerate(names)]), ["doc_id", "text", *names], f"doc_id {kind}, hashes binary", start)
 
 
 def _chunks(n: str, shingles: str) -> F.Column:
@@ -303,12 +291,25 @@ def _chunks(n: str, shingles: str) -> F.Column:
     return F.greatest(F.ceil(F.col(n) / CHUNK), F.ceil(F.col(shingles) / CHUNK_SHINGLES)).cast("int")
 
 
+def _salted(few: DataFrame) -> DataFrame:
+    """Each row of few with each salt, so that rows of one group meet it in as many tasks."""
+    return few.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt() -> F.Column:
+    return F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")
+
+
 def _dealt(table: DataFrame, by: list[str], name: str) -> DataFrame:
-    """table with chunks, how many its group (by) has, and name, the one of them that a node is in by hash."""
+    """table with chunks, how many its group (by) has, and name, the one of them that a node is in by hash.
+
+    Only groups of several chunks, one in 128 at most, meet their nodes.
+    """
     sizes = table.groupBy(*by).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
-    sizes = sizes.select(*[F.col(c).alias(f"of_{c}") for c in by], _chunks("n", "total").alias("chunks"))
-    on = [F.col(c) == F.col(f"of_{c}") for c in by]
-    return table.join(sizes, on).withColumn(name, F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop(*[f"of_{c}" for c in by])
+    sizes = _salted(sizes.select(*[F.col(c).alias(f"of_{c}") for c in by], _chunks("n", "total").alias("several")).where("several > 1"))
+    on = [*[F.col(c) == F.col(f"of_{c}") for c in by], _salt() == F.col("of_salt")]
+    out = table.join(sizes, on, "left").withColumn("chunks", F.coalesce("several", F.lit(1)))
+    return out.withColumn(name, F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop("several", "of_salt", *[f"of_{c}" for c in by])
 
 
 def _compared(blocks: DataFrame, near: Near, kind: str) -> DataFrame:
@@ -322,7 +323,9 @@ def _compared(blocks: DataFrame, near: Near, kind: str) -> DataFrame:
         found = list(_block_links(ids, sets, [c == x for c in chunk], [c == y for c in chunk], joined, near.percent))
         return pa.Table.from_arrays([pa.array([p[k] for p in found], t.type) for k, t in enumerate(to_arrow_schema(shape))], schema=to_arrow_schema(shape))
 
-    return blocks.select("candidate", "x", "y", "chunk", "node", "joined", "hashes").groupBy("candidate", "x", "y").applyInArrow(run, shape)
+    # else Spark may leave all blocks of a candidate group where an earlier step brought it together
+    blocks = blocks.select("candidate", "x", "y", "chunk", "node", "joined", "hashes").repartition("candidate", "x", "y")
+    return blocks.groupBy("candidate", "x", "y").applyInArrow(run, shape)
 
 
 def _crossed(dealt: DataFrame) -> DataFrame:
@@ -346,7 +349,7 @@ def _confirmed(docs: DataFrame, candidates: DataFrame, near: Near, scratch: Scra
     null = F.lit(None).cast(kind)
     placed = _dealt(candidates.select("node", F.col("component").alias("candidate"), "n_shingles"), ["candidate"], "chunk")
     texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    likely = map_rows(_likely(texts, candidates, kind), ["doc_id", "text"], f"doc_id {kind}, hashes binary", _hashed(near))
+    likely = _likely_sets(texts, candidates, near, kind)
     # merge: the same plan at every size; sets of candidates alone move
     placed = scratch.keep(likely.join(placed.hint("merge"), F.col("node") == F.col("doc_id")).select("node", "candidate", "n_shingles", "chunks", "chunk", "hashes"), "sets")
     links = scratch.keep(_compared(placed.select("*", F.col("chunk").alias("x"), F.col("chunk").alias("y"), null.alias("joined")), near, kind), "links-1")
@@ -361,7 +364,7 @@ def _confirmed(docs: DataFrame, candidates: DataFrame, near: Near, scratch: Scra
     joined = components(inside, scratch, "across-cc").select(F.col("node").alias("of"), "component")
     groups_of = scratch.keep(large.drop("chunk", "chunks", "hashes").join(joined, F.col("node") == F.col("of"), "left").select("node", "candidate", "n_shingles", F.coalesce("component", "node").alias("joined")), "groups-of")
     several = groups_of.groupBy("candidate").agg(F.min("joined").alias("least"), F.max("joined").alias("most")).where("least <> most").select(F.col("candidate").alias("open"))
-    rest = groups_of.join(several, F.col("candidate") == F.col("open"), "left_semi")
+    rest = groups_of.join(_salted(several), (F.col("candidate") == F.col("open")) & (_salt() == F.col("of_salt")), "left_semi")
     # each large linked group has chunks of its own (alone); the small ones of a candidate group share some
     rest = _dealt(rest, ["candidate", "joined"], "part").withColumn("alone", F.when(F.col("chunks") > 1, F.col("joined")))
     few = _dealt(rest.where("alone IS NULL").drop("chunks", "part"), ["candidate"], "part").withColumn("alone", null)
