@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandloom.llm.scratch import Scratch
 
-#: Edges that a task contracts at once.
+#: Edges that a task contracts at once; a node of text may take 100 bytes.
 BATCH = 1 << 18
 #: Nodes with over 1 / HOT of all ends of edges, and HOT_LEAST ends at least, are hot: there are under HOT of them.
 HOT, HOT_LEAST = 4096, 1024
@@ -48,9 +48,9 @@ def _contracted(edges: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, into, strict=True)], schema=into)
 
         for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= BATCH:
+            if held and sum(x.num_rows for x in held) + b.num_rows > BATCH:
                 yield out()
+            held.append(b)
         if held:
             yield out()
 
@@ -88,20 +88,29 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int =
     """(node, component) for each node of edges (a, b): component is the least node it is linked with.
 
     Only nodes that have an edge to another come out; edges with a null end are none. First each task contracts the edges
-    it has, so a node with very many keeps about one a task. Then each round writes its edges to the shared folder, which
-    ends their lineage, and counts the nodes at which they aren't stars yet; nothing else comes to the driver. Rounds grow
-    with the logarithm of the nodes squared at worst and are a handful for the star-like groups that duplicates form.
+    it has, so a node with very many keeps about one a task. Up to BATCH edges that are left are one task's, which contracts
+    them to the result. Of more, each round writes its edges to the shared folder, which ends their lineage, and counts the
+    nodes at which they aren't stars yet; nothing else comes to the driver. Rounds grow with the logarithm of the nodes
+    squared at worst and are a handful for the star-like groups that duplicates form.
     """
-    now = scratch.keep(_contracted(edges.where("a <> b").select("a", "b")).distinct(), f"{name}-0")
+    now = scratch.keep(_contracted(edges.where("a <> b").select("a", "b")), f"{name}-0")
     for k in range(1, most_rounds + 1):
-        # in stars each node has one edge to its root, and roots have none
-        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        if not ends.where("up > 1 OR up = 1 AND down = 1").count():
+        count = now.count()
+        if count <= BATCH:
+            now = scratch.keep(_contracted(now.coalesce(1)), f"{name}-{k}")
+            scratch.drop(f"{name}-{k - 1}")
+        if count <= BATCH or not _unsettled(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        bound = max(HOT_LEAST, 2 * now.count() // HOT)
+        bound = max(HOT_LEAST, 2 * count // HOT)
         step = scratch.keep(_star(now, large=True, bound=bound), f"{name}-large-{k}")
         now = scratch.keep(_contracted(_star(step, large=False, bound=bound)).distinct(), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         scratch.drop(f"{name}-large-{k}")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def _unsettled(edges: DataFrame) -> int:
+    """Nodes at which edges aren't stars: in stars each node has one edge to its root, and roots have none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 OR up = 1 AND down = 1").count()

@@ -27,6 +27,8 @@ BATCH = 4096
 FILTER_BITS, FILTER_MOST, FILTER_HASHES = 16, 1 << 29, 3
 #: Words whose hashes a task keeps; it starts anew beyond that.
 WORDS = 50_000
+#: Links that a task reads, where there are few.
+BATCH_LINKS = 1 << 16
 #: Parts of a large group where its nodes meet what is known of it.
 SALTS = 32
 
@@ -149,14 +151,14 @@ def _linked(a: np.ndarray, docs: np.ndarray, sizes: np.ndarray, percent: int, in
     return docs[100 * shared >= percent * (len(a) + sizes - shared)]
 
 
-def _block_links(ids: list, sets: list[np.ndarray], left: list[bool], right: list[bool], groups: list, percent: int) -> Iterator[tuple]:
-    """Links (a, b) that join up the documents of a block as all links between its left and right sides would.
+def _block_links(sets: list[np.ndarray], left: list[bool], right: list[bool], groups: list, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join up the documents of a block, by number, as all links between its left and right sides would.
 
     Documents of equal groups that aren't None are joined already. Shared shingles are counted for one document and all of
     the right side at once, from an inverted list; of the links found only those that join two groups come out, fewer than
     there are documents.
     """
-    side = [k for k in range(len(ids)) if right[k]]
+    side = [k for k in range(len(sets)) if right[k]]
     if not side:
         return
     sizes = np.array([len(sets[k]) for k in side])
@@ -165,7 +167,7 @@ def _block_links(ids: list, sets: list[np.ndarray], left: list[bool], right: lis
     order = np.argsort(values, kind="stable")
     inverted = values[order], owners[order]
     docs = np.arange(len(side))
-    parent = list(range(len(ids)))
+    parent = list(range(len(sets)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -177,13 +179,13 @@ def _block_links(ids: list, sets: list[np.ndarray], left: list[bool], right: lis
     for k, g in enumerate(groups):
         if g is not None:
             parent[k] = root(first.setdefault(g, k))
-    for k in range(len(ids)):
+    for k in range(len(sets)):
         if left[k]:
             for j in _linked(sets[k], docs, sizes, percent, inverted).tolist():
                 a, b = root(k), root(side[j])
                 if a != b:
                     parent[a] = b
-                    yield ids[k], ids[side[j]]
+                    yield k, side[j]
 
 
 def groups(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -205,11 +207,13 @@ def groups(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text
     kind = docs.schema[id_column].dataType.simpleString()
     signed = scratch.keep(map_rows(docs, [id_column, text_column], f"doc_id {kind}, n_shingles bigint, digest binary, signature binary", _sign(near)), "signed")
     sets = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = scratch.keep(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "nodes")
+    nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
+    nodes = scratch.keep(nodes, "nodes")
     candidates = scratch.keep(_candidate_groups(nodes, near, scratch, kind).join(nodes.select("node", "n_shingles"), "node"), "candidates")
     links = _confirmed(docs, candidates, near, scratch, id_column, text_column, kind)
     # rows that repeat an id with different sets belong together
-    member = sets.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").select("doc_id", "node")
+    copied = _salted(nodes.where("copies > 1").select(F.col("digest").alias("of"), F.col("node").alias("least")))
+    member = sets.join(copied, (F.col("digest") == F.col("of")) & (_salt("doc_id") == F.col("of_salt")), "left").select("doc_id", F.coalesce("least", "doc_id").alias("node"))
     member = scratch.keep(member.distinct(), "member")
     several = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a <> b")
     several = member.join(several.select(F.col("doc_id").alias("own"), "b"), F.col("doc_id") == F.col("own")).select(F.col("node").alias("a"), "b")
@@ -286,6 +290,11 @@ def _likely_sets(texts: DataFrame, candidates: DataFrame, near: Near, kind: str)
     return map_rows(texts.select("doc_id", "text", *[spot("doc_id", k).alias(n) for k, n in enumerate(names)]), ["doc_id", "text", *names], f"doc_id {kind}, hashes binary", start)
 
 
+def _gathered(links: DataFrame) -> DataFrame:
+    """A written table in no more tasks than its rows are worth."""
+    return links.coalesce(max(links.sparkSession.sparkContext.defaultParallelism, -(-links.count() // BATCH_LINKS)))
+
+
 def _chunks(n: str, shingles: str) -> F.Column:
     """Chunks of a group of n nodes with so many shingles in all."""
     return F.greatest(F.ceil(F.col(n) / CHUNK), F.ceil(F.col(shingles) / CHUNK_SHINGLES)).cast("int")
@@ -296,8 +305,8 @@ def _salted(few: DataFrame) -> DataFrame:
     return few.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def _salt() -> F.Column:
-    return F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")
+def _salt(column: str = "node") -> F.Column:
+    return F.pmod(F.xxhash64(column, F.lit(1)), F.lit(SALTS)).cast("int")
 
 
 def _dealt(table: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -313,15 +322,18 @@ def _dealt(table: DataFrame, by: list[str], name: str) -> DataFrame:
 
 
 def _compared(blocks: DataFrame, near: Near, kind: str) -> DataFrame:
-    """Links (a, b) of blocks, rows of candidate, x, y, chunk, node, joined and hashes: chunk x is one side, y the other."""
+    """Links (a, b) of blocks, rows of candidate, x, y, chunk, node, joined and hashes: chunk x is one side, y the other.
+
+    Of each linked group of a block all nodes that a link was found for are linked with the least.
+    """
     shape = _parse_datatype_string(f"a {kind}, b {kind}")
 
     def run(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        ids, chunk, joined = (table.column(c).to_pylist() for c in ("node", "chunk", "joined"))
+        chunk, joined = table.column("chunk").to_pylist(), table.column("joined").to_pylist()
         sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in table.column("hashes")]
-        found = list(_block_links(ids, sets, [c == x for c in chunk], [c == y for c in chunk], joined, near.percent))
-        return pa.Table.from_arrays([pa.array([p[k] for p in found], t.type) for k, t in enumerate(to_arrow_schema(shape))], schema=to_arrow_schema(shape))
+        found = np.array(list(_block_links(sets, [c == x for c in chunk], [c == y for c in chunk], joined, near.percent)), np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([table.column("node").take(pa.array(at)).cast(t.type) for at, t in zip(contract(*found.T), to_arrow_schema(shape), strict=True)], schema=to_arrow_schema(shape))
 
     # else Spark may leave all blocks of a candidate group where an earlier step brought it together
     blocks = blocks.select("candidate", "x", "y", "chunk", "node", "joined", "hashes").repartition("candidate", "x", "y")
@@ -355,13 +367,11 @@ def _confirmed(docs: DataFrame, candidates: DataFrame, near: Near, scratch: Scra
     links = scratch.keep(_compared(placed.select("*", F.col("chunk").alias("x"), F.col("chunk").alias("y"), null.alias("joined")), near, kind), "links-1")
     large = placed.where("chunks > 1")
     if large.isEmpty():
-        return links
-    inside = links.join(large.select(F.col("node").alias("of")).distinct(), F.col("a") == F.col("of"), "left_semi")
-    roots = large.join(components(inside, scratch, "inside-cc").where("node <> component").select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_anti")
+        return _gathered(links)
+    roots = large.join(links.select(F.col("a").alias("of")), F.col("node") == F.col("of"), "left_anti")
     roots = _dealt(roots.drop("chunk", "chunks"), ["candidate"], "chunk")
-    links = links.unionByName(scratch.keep(_compared(_crossed(roots).withColumn("joined", null), near, kind), "links-2"))
-    inside = links.join(large.select(F.col("node").alias("of")).distinct(), F.col("a") == F.col("of"), "left_semi")
-    joined = components(inside, scratch, "across-cc").select(F.col("node").alias("of"), "component")
+    links = _gathered(links).unionByName(_gathered(scratch.keep(_compared(_crossed(roots).withColumn("joined", null), near, kind), "links-2")))
+    joined = components(links, scratch, "across-cc").select(F.col("node").alias("of"), "component")
     groups_of = scratch.keep(large.drop("chunk", "chunks", "hashes").join(joined, F.col("node") == F.col("of"), "left").select("node", "candidate", "n_shingles", F.coalesce("component", "node").alias("joined")), "groups-of")
     several = groups_of.groupBy("candidate").agg(F.min("joined").alias("least"), F.max("joined").alias("most")).where("least <> most").select(F.col("candidate").alias("open"))
     rest = groups_of.join(_salted(several), (F.col("candidate") == F.col("open")) & (_salt() == F.col("of_salt")), "left_semi")
@@ -377,7 +387,8 @@ def _confirmed(docs: DataFrame, candidates: DataFrame, near: Near, scratch: Scra
     meet = meet.select(F.col("one_candidate").alias("in"), "one", F.least("one", "two").alias("x"), F.greatest("one", "two").alias("y"))
     rest = rest.join(meet, (F.col("candidate") == F.col("in")) & (F.col("chunk") == F.col("one"))).select(F.col("node").alias("own"), "joined", "chunk", "x", "y")
     rest = large.select("node", "candidate", "hashes").join(rest, F.col("node") == F.col("own"))
-    return links.unionByName(scratch.keep(_compared(rest, near, kind), "links-3"))
+    joined = joined.where("of <> component").select(F.col("of").alias("a"), F.col("component").alias("b"))
+    return joined.unionByName(_gathered(scratch.keep(_compared(rest, near, kind), "links-3")))
 
 
 def deduplicate(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

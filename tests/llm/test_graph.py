@@ -16,8 +16,10 @@ def brute(edges):
             return least
 
 
+@pytest.mark.parametrize("batch", [4, 1 << 18])
 @pytest.mark.parametrize("kind", ["long", "string"])
-def test_components(spark, monkeypatch, kind):
+def test_components(spark, monkeypatch, kind, batch):
+    monkeypatch.setattr(graph, "BATCH", batch)
     monkeypatch.setattr(graph, "HOT_LEAST", 3)
     monkeypatch.setattr(graph, "HOT", 8)
     rng = random.Random(2)
