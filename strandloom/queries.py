@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom import fixtures
+from strandloom import alignment_sql, fixtures
 from strandloom.functions import sequence as S
 from strandloom.operators import align, calibrate, correct, extract, signature
 from strandloom.plans import demux, layout
@@ -290,6 +290,9 @@ def oracle_sql() -> dict[str, str]:
         "mutate_and_check": f"WITH {_BARCODES}, m AS (SELECT c.code, w.whitelist_bcs AS target FROM (SELECT DISTINCT code FROM b) c LEFT JOIN w ON bit_count(xor(c.code, w.whitelist_bcs)) <= 6) SELECT code, coalesce(string_agg(CAST(target AS VARCHAR), ',' ORDER BY target), '') AS matches FROM m GROUP BY code",
         "correct_barcodes": f"""WITH {_BARCODES}, {_NEAR.format(4)}, {best}, one AS (SELECT code, min(target) AS target, min(bases) AS bases FROM best GROUP BY code HAVING count(*) = 1)
             SELECT rid, '@r' || rid || '*' || CASE WHEN target IS NULL THEN '' ELSE '{{orig_hamming_' || barcode || '_' || {_TEXT.format('target', 16)} || ':' || bases || '}}' END AS sig_id, CASE WHEN target IS NULL THEN barcode ELSE {_TEXT.format('target', 16)} END AS barcode FROM b LEFT JOIN one USING (code)""",
+        "align_stats": alignment_sql.align_stats(_MIXED),
+        "null_distance": alignment_sql.null_distance(_READS),
+        "align_signatures": alignment_sql.align_signatures(_MIXED, NULL, _POLY),
         "correct_ties": f"""WITH {_TIES}, {_NEAR.format(4)}, {best}, f AS (SELECT code AS target, count(*) AS freq FROM b WHERE code IN (FROM w) GROUP BY code),
             sc AS (SELECT code, target, bases, coalesce(freq, 0) AS freq, count(*) OVER (PARTITION BY code) AS n, max(coalesce(freq, 0)) OVER (PARTITION BY code) AS most FROM best LEFT JOIN f USING (target)),
             ld AS (SELECT *, count(*) FILTER (freq = most) OVER (PARTITION BY code) AS leaders FROM sc),
