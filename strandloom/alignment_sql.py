@@ -1,5 +1,6 @@
 """DuckDB SQL of alignment: bit-parallel columns as a recursion over places, all reads and adapters at once."""
 
+from strandloom.fixtures import FORWARD
 from strandloom.plans.layout import kit
 
 POLY = ("poly_a", "poly_t")
@@ -16,7 +17,7 @@ def _masks(query: str) -> str:
 _QUERIES = ", ".join(f"('{n}', {len(s)}, {(1 << len(s)) - 1}, {_masks(s)}, {_masks(s[::-1])})" for n, s in ADAPTERS)
 
 
-def _column(name: str, keys: str, letter: str, masks: tuple[str, str, str, str], prefix: bool, begin: str, more: str) -> str:
+def _column(name: str, keys: str, letter: str, masks: tuple[str, str, str, str], prefix: bool, begin: str, more: str, other: str = "0") -> str:
     """A recursion of (keys, j, up, down, score): the distance of the query to what ends with the j-th letter, or, with prefix, to the first j letters."""
     own = ", ".join(f"{name}.{k}" for k in keys.split(", "))
     carry = " | 1" if prefix else ""
@@ -26,7 +27,7 @@ def _column(name: str, keys: str, letter: str, masks: tuple[str, str, str, str],
     SELECT {keys}, j, most, v, (less << 1) & most AS l, ((more << 1){carry}) & most AS h, score + CAST((more >> (m - 1)) & 1 AS INT) - CAST((less >> (m - 1)) & 1 AS INT) AS score FROM (
       SELECT *, (down | (most & ~(x | up))) AS more, up & x AS less FROM (
         SELECT *, eq | down AS v, (xor((eq & up) + up, up) | eq) & most AS x FROM (
-          SELECT {own}, {name}.j + 1 AS j, {name}.up, {name}.down, {name}.score, a.m, a.most, CAST(CASE {letter} {case} ELSE 0 END AS BIGINT) AS eq
+          SELECT {own}, {name}.j + 1 AS j, {name}.up, {name}.down, {name}.score, a.m, a.most, CAST(CASE {letter} {case} ELSE {other} END AS BIGINT) AS eq
           FROM {name} JOIN t ON t.id = {name}.id JOIN a ON a.query_id = {name}.query_id WHERE {more})))))"""
 
 
@@ -66,3 +67,34 @@ def align_signatures(reads: str, null: dict[str, tuple[float, float]], windows:
   UNION ALL SELECT id, query_id, second, second_start, second_stop FROM stats WHERE second >= 0 AND second < CASE query_id {bound} END
   UNION ALL {tail("poly_t", "T")} UNION ALL {tail("poly_a", "A")})
 SELECT id AS rid, string_agg(query_id || ':' || ed || ':' || start || ':' || stop, '|' ORDER BY stop, CASE query_id {rank} END, start, query_id, ed) AS signature FROM p GROUP BY id"""
+
+
+def _one(reads: str, query: str, text: str, n_matches: bool) -> str:
+    """CTEs: i and w, distances of one query to parts, and to beginnings, of a text of each read."""
+    column = lambda name, prefix: _column(name, "id, query_id", f"substr(t.seq, {name}.j + 1, 1)", ("ma", "mc", "mg", "mt"), prefix, "SELECT id, query_id, 0, most, 0::BIGINT, m FROM t, a", f"{name}.j < t.n", "a.most" if n_matches else "0")
+    return f"""RECURSIVE a AS (SELECT 'q' AS query_id, {len(query)} AS m, {(1 << len(query)) - 1}::BIGINT AS most, {", ".join(f"{k} AS m{x}" for x, k in zip("acgt", _masks(query).split(", "), strict=True))}),
+t AS (SELECT rid AS id, {text} AS seq, CAST(length({text}) AS INT) AS n FROM ({reads})), {column("i", False)}, {column("w", True)}"""
+
+
+def modes(reads: str) -> str:
+    return f"""WITH {_one(reads, FORWARD, "substr(seq, 1, 60)", True)},
+p AS (SELECT id, min(score) AS prefix, CAST(arg_min(j, score * 100 + j) AS INT) AS prefix_stop, CAST(arg_max(score, j) AS INT) AS whole FROM w GROUP BY id),
+x AS (SELECT id, min(score) AS infix FROM i GROUP BY id), e AS (SELECT id, list(j ORDER BY j) AS infix_stops FROM i JOIN x USING (id) WHERE score = infix GROUP BY id)
+SELECT id AS rid, whole, prefix, prefix_stop, infix, infix_stops, CASE WHEN infix > 4 THEN -1 ELSE infix END AS near FROM p JOIN x USING (id) JOIN e USING (id)"""
+
+
+def paths(reads: str) -> str:
+    return f"""WITH {_one(reads, FORWARD, "substr(seq, 9, 26)", False)} SELECT id AS rid, CAST(arg_max(score, j) AS INT) AS distance, CAST(arg_max(score, j) AS INT) AS edits, {len(FORWARD)} AS of_query, max(j) AS of_text, 0 AS odd FROM w GROUP BY id"""
+
+
+def locations(reads: str) -> str:
+    return f"WITH {hits(reads)} SELECT id, query_id, any_value(best) AS distance, list(s ORDER BY e) AS starts, list(e ORDER BY e) AS stops FROM s JOIN d USING (id, query_id) GROUP BY id, query_id"
+
+
+def batches(reads: str, bounds: dict[str, float]) -> str:
+    dist = ", ".join(f"max(best) FILTER (query_id = '{n}') AS {n}_dist, max(k) FILTER (query_id = '{n}') AS {n}_k" for n, _ in ADAPTERS)
+    f, r, v, rv = (f"{n}_dist {{}} {bounds[n]}" for n in ("forw_primer", "rc_forw_primer", "rev_primer", "rc_rev_primer"))
+    return f"""WITH {hits(reads)}, c AS (SELECT id, query_id, best, len(list_distinct(list_concat(starts, ends))) AS k FROM ends JOIN d USING (id, query_id)), x AS (SELECT id, {dist} FROM c GROUP BY id)
+SELECT id, {", ".join(f"{n}_dist" for n, _ in ADAPTERS)}, CASE WHEN {r.format(">=")} AND {f.format("<=")} THEN CASE WHEN forw_primer_k > 2 THEN 'parallel_f_concatenates' ELSE 'forwards' END
+  WHEN {f.format(">=")} AND rc_forw_primer_dist <= {bounds["forw_primer"]} THEN CASE WHEN rc_forw_primer_k > 2 THEN 'parallel_r_concatenates' ELSE 'reverses' END
+  WHEN {f.format("<=")} AND {r.format("<=")} AND {v.format("<=")} AND {rv.format("<=")} THEN 'rescuable_concatenates' ELSE 'undecided' END AS batch FROM x"""

@@ -1,5 +1,6 @@
 """Edit-distance alignment of short queries to many sequences at once: bit-parallel columns, one lane a sequence."""
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -172,26 +173,103 @@ def tails(base: str, texts: list[bytes], window: int = 16, least: int = 12) -> n
     return out
 
 
-def global_path(query: str, text: str) -> tuple[int, str]:
-    """Distance of two whole strings, and a best path as = X I D: from the end, insertions before deletions before pairs."""
-    m, n = len(query), len(text)
-    table = np.zeros((m + 1, n + 1), np.int64)
-    table[:, 0], table[0] = np.arange(m + 1), np.arange(n + 1)
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            table[i, j] = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (query[i - 1] != text[j - 1]))
-    i, j, path = m, n, []
+#: How a query lies in a text: all of both; all of the query and the text's beginning; all of the query and a part of the text.
+MODES = ("global", "prefix", "infix")
+
+
+@dataclass(frozen=True)
+class Alignment:
+    """The least distance, -1 if it is over the bound; all places that have it, from 0, both ends inclusive, and with an end of -1
+    where nothing of the text is used; and a best path of the first place, if asked for."""
+
+    distance: int
+    starts: tuple[int, ...] = ()
+    ends: tuple[int, ...] = ()
+    path: str | None = None
+
+
+def _letters(query: str, equal: Iterable[tuple[str, str]]) -> dict[str, int]:
+    """For each letter the places of the query that it matches, as bits. equal: pairs of letters that match, either way round."""
+    own: dict[str, int] = {}
+    for k, c in enumerate(query):
+        own[c] = own.get(c, 0) | 1 << k
+    out = dict(own)
+    for a, b in equal:
+        for c, d in ((a, b), (b, a)):
+            if d in own:
+                out[c] = out.get(c, 0) | own[d]
+    return out
+
+
+def _columns(query: str, text: str, equal: Iterable[tuple[str, str]], anchored: bool) -> Iterator[tuple[int, int, int]]:
+    """For each prefix of the text, the empty one first: which rows of its column are one more, and one less, than the row above,
+    as bits; and the last row's distance. Python's integers are the words, so queries may have any length."""
+    m, known = len(query), _letters(query, equal)
+    full, top = (1 << m) - 1, 1 << m >> 1
+    up, down, score = full, 0, m
+    yield up, down, score
+    for c in text:
+        eq = known.get(c, 0)
+        vertical = eq | down
+        across = ((((eq & up) + up) ^ up) | eq) & full
+        more, less = down | full & ~(across | up), up & across
+        score += bool(more & top) - bool(less & top)
+        more = (more << 1 | anchored) & full
+        less = less << 1 & full
+        up, down = less | full & ~(vertical | more), more & vertical
+        yield up, down, score
+
+
+def global_path(query: str, text: str, equal: Iterable[tuple[str, str]] = ()) -> tuple[int, str]:
+    """Distance of two whole strings, and a best path as = X I D: from the end, insertions before deletions before pairs.
+
+    Memory is two numbers of as many bits as the query has for each letter of the text.
+    """
+    equal = tuple(equal)
+    columns, known = list(_columns(query, text, equal, True)), _letters(query, equal)
+    i, j, path = len(query), len(text), []
+    here = columns[j][2] if query else len(text)
     while i or j:
-        if i and table[i, j] == table[i - 1, j] + 1:
+        low = (1 << i) - 1
+        if i and columns[j][0] >> i - 1 & 1:
             path.append("I")
-            i -= 1
-        elif j and table[i, j] == table[i, j - 1] + 1:
-            path.append("D")
-            j -= 1
-        else:
-            path.append("=" if query[i - 1] == text[j - 1] else "X")
-            i, j = i - 1, j - 1
-    return int(table[m, n]), "".join(reversed(path))
+            i, here = i - 1, here - 1
+            continue
+        if j:
+            up, down, _ = columns[j - 1]
+            if j - 1 + (up & low).bit_count() - (down & low).bit_count() == here - 1:
+                path.append("D")
+                j, here = j - 1, here - 1
+                continue
+        same = known.get(text[j - 1], 0) >> i - 1 & 1
+        path.append("=" if same else "X")
+        i, j, here = i - 1, j - 1, here - (not same)
+    return path.count("X") + path.count("I") + path.count("D"), "".join(reversed(path))
+
+
+def pairwise(query: str, text: str, mode: str = "infix", most: int = -1, equal: Iterable[tuple[str, str]] = (), path: bool = False) -> Alignment:
+    """One query in one text. most: bound of the distance, none if negative. An empty query lies at the text's beginning."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    equal = tuple(equal)
+    if not query:
+        scores = [len(text) if mode == "global" else 0] if mode != "global" else []
+        distance, ends = (len(text), (len(text) - 1,)) if mode == "global" else (scores[0], (-1,))
+    else:
+        scores = [s for *_, s in _columns(query, text, equal, mode != "infix")]
+        distance = scores[-1] if mode == "global" else min(scores)
+        ends = (len(text) - 1,) if mode == "global" else tuple(k - 1 for k, s in enumerate(scores) if s == distance)
+    if 0 <= most < distance:
+        return Alignment(-1)
+    starts = []
+    for end in ends:
+        start = 0
+        if mode == "infix" and end >= 0:
+            back = [s for *_, s in _columns(query[::-1], text[: end + 1][::-1][: 2 * len(query)], equal, True)]
+            start = end + 1 - max(k for k, s in enumerate(back) if s == distance)
+        starts.append(start)
+    found = global_path(query, text[starts[0] : ends[0] + 1], equal)[1] if path else None
+    return Alignment(distance, tuple(starts), ends, found)
 
 
 def cigar(path: str, extended: bool = False) -> str:

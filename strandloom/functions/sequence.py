@@ -1,5 +1,7 @@
 """Scalar functions of sequences, barcodes and qualities: Column expressions, no Python in the rows."""
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,10 +121,10 @@ def has_duplicates(values: Column | str) -> Column:
 
 
 def flips(code: Column | str, bits: int, length: int = 16) -> Column:
-    """All codes that differ in one bit up to so many, at most 2, of the lowest 2 * length."""
-    if not 1 <= bits <= 2:
-        raise ValueError("flips lists one or two bits; for more, join")
-    c, n = _col(code), 2 * length
-    one = [F.lit(1 << k).cast("bigint") for k in range(n)]
-    two = [F.lit(1 << k | 1 << j).cast("bigint") for k in range(n) for j in range(k)] if bits > 1 else []
-    return F.array_sort(F.transform(F.array(*one, *two), lambda m: c.bitwiseXOR(m)))
+    """All codes that differ in one bit up to so many of the lowest 2 * length, in order; beyond a few bits, join instead."""
+    if bits < 1:
+        raise ValueError("flips needs one bit at least")
+    masks = [sum(1 << k for k in at) for n in range(1, bits + 1) for at in combinations(range(2 * length), n)]
+    # one literal text, which Spark splits once
+    every = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
+    return F.array_sort(F.transform(every, lambda m: _col(code).bitwiseXOR(m)))

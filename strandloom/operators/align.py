@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from strandloom.functions.alignment import infix, tails, two_best
+from strandloom.functions.alignment import cigar, infix, pairwise, tails, two_best
 
 _HIT = "array<struct<query_id: string, ed: int, start: int, stop: int, second_ed: int, second_start: int, second_stop: int>>"
 _ENTRY = "array<struct<id: string, ed: int, start: int, stop: int>>"
@@ -103,3 +103,49 @@ def poly_tails(reads: DataFrame, bases: tuple[str, ...] = ("T", "A"), seq: str =
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns, *added], into, strict=True)], schema=into)
 
     return reads.mapInArrow(run, shape)
+
+
+def align_pairs(df: DataFrame, query: str, text: str, mode: str = "infix", most: int = -1, equal: tuple[tuple[str, str], ...] = (), path: bool = False, name: str = "aligned") -> DataFrame:
+    """df with a struct of how each row's query lies in its text: distance, starts, stops, path and cigar.
+
+    mode: global, prefix or infix, as in MODES of alignment. Places count from 1; a stop of 0 uses nothing of the text. Over
+    the bound most, the distance is -1 and there are no places. equal: pairs of letters that match, such as N and A. path is
+    that of the first place, with = X I D, and cigar its run lengths; both are null unless asked for. A null query or text
+    gives a null struct.
+    """
+    at = df.columns.index(query), df.columns.index(text)
+    shape = StructType([*df.schema.fields, *_parse_datatype_string(f"`{name}` struct<distance: int, starts: array<int>, stops: array<int>, path: string, cigar: string>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = to_arrow_schema(shape)
+        for b in batches:
+            out = []
+            for q, t in zip(*(b.column(k).to_pylist() for k in at), strict=True):
+                if q is None or t is None:
+                    out.append(None)
+                    continue
+                a = pairwise(q, t, mode, most, equal, path)
+                out.append({"distance": a.distance, "starts": [s + 1 for s in a.starts], "stops": [e + 1 for e in a.ends], "path": a.path, "cigar": None if a.path is None else cigar(a.path, extended=True)})
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns, pa.array(out, into.field(len(into) - 1).type)], into, strict=True)], schema=into)
+
+    return df.mapInArrow(run, shape)
+
+
+def locations(reads: DataFrame, adapters: list[tuple[str, str]], id_column: str = "id") -> DataFrame:
+    """One row a read and adapter: id, query_id, distance, and starts and stops of all places that have it, by stop, from 1."""
+    kind = reads.schema[id_column].dataType.simpleString()
+    shape = _parse_datatype_string(f"id {kind}, query_id string, distance int, starts array<int>, stops array<int>")
+    align = _spaced(adapters)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = to_arrow_schema(shape)
+        for b in batches:
+            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
+            for name, query in align:
+                hits = infix(query.encode(), texts)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(hits.lane, minlength=len(texts))))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array((x + 1).astype(np.int32))) for x in (hits.start, hits.end)]
+                columns = [b.column(0), pa.array([name] * len(texts)), pa.array(hits.distance.astype(np.int32)), *lists]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, into, strict=True)], schema=into)
+
+    return reads.select(F.col(f"`{id_column}`").alias("id"), "seq").mapInArrow(run, shape)

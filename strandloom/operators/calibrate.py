@@ -76,3 +76,26 @@ def bounds_of(null: dict[str, tuple[float, float | None]]) -> dict[str, float]:
 def wide(stats: DataFrame, names: list[str]) -> DataFrame:
     """One row a read: for each adapter <name>_dist and <name>_pos."""
     return stats.groupBy("id").pivot("query_id", names).agg(F.first("best_edit_distance").alias("dist"), F.first("best_start_pos").alias("pos"))
+
+
+def wide_locations(found: DataFrame, names: list[str]) -> DataFrame:
+    """One row a read of locations(): for each adapter <name>_dist and <name>_pos, its starts and stops, each value once, where it comes last."""
+    places = F.concat("starts", "stops")
+    rows = found.select("id", "query_id", "distance", F.reverse(F.array_distinct(F.reverse(places))).alias("places"))
+    return rows.groupBy("id").pivot("query_id", names).agg(F.first("distance").alias("dist"), F.first("places").alias("pos"))
+
+
+def batches(wide: DataFrame, bounds: dict[str, float]) -> DataFrame:
+    """wide_locations() with batch: the older categories, by primers' distances and lower bounds.
+
+    The reverse strand's distance is held against the forward primer's bound, as it always was. Reads of one strand whose
+    primer has several places are parallel concatenates.
+    """
+    d = {n: F.col(f"{n}_dist") for n in ("forw_primer", "rc_forw_primer", "rev_primer", "rc_rev_primer")}
+    b = bounds
+    every = (d["forw_primer"] <= b["forw_primer"]) & (d["rc_forw_primer"] <= b["rc_forw_primer"]) & (d["rev_primer"] <= b["rev_primer"]) & (d["rc_rev_primer"] <= b["rc_rev_primer"])
+    batch = F.when((d["rc_forw_primer"] >= b["rc_forw_primer"]) & (d["forw_primer"] <= b["forw_primer"]), "forwards")
+    batch = batch.when((d["forw_primer"] >= b["forw_primer"]) & (d["rc_forw_primer"] <= b["forw_primer"]), "reverses").when(every, "rescuable_concatenates").otherwise("undecided")
+    several = lambda n: F.size(f"{n}_pos") > 2
+    out = wide.withColumn("batch", batch)
+    return out.withColumn("batch", F.when((F.col("batch") == "forwards") & several("forw_primer"), "parallel_f_concatenates").when((F.col("batch") == "reverses") & several("rc_forw_primer"), "parallel_r_concatenates").otherwise(F.col("batch")))

@@ -14,6 +14,7 @@ from strandloom.sources import tables
 Query = Callable[[SparkSession, str], DataFrame]
 #: Thresholds of the fixture reads: mean and deviation of misaligned primers, and the bounds that follow.
 NULL = {"forw_primer": (8.53, 0.83), "rev_primer": (12.46, 0.91), "rc_forw_primer": (8.54, 0.81), "rc_rev_primer": (12.43, 0.91)}
+EQUAL = tuple(("N", b) for b in "ACGT")
 BOUNDS = {"forw_primer": 7.0, "rev_primer": 11.0, "rc_forw_primer": 7.0, "rc_rev_primer": 11.0}
 
 
@@ -76,6 +77,39 @@ def bit_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return barcodes(spark, sf_dir).select(F.col("code").alias("code")).distinct().select("code", S.flips("code", 1).alias("flips"))
 
 
+def bit_flips_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return barcodes(spark, sf_dir).select("code").distinct().select("code", S.flips("code", 2).alias("flips"))
+
+
+def align_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forward primer in the first 60 bases of reads, in each mode; N matches every base."""
+    d = mixed(spark, sf_dir).select("rid", F.lit(fixtures.FORWARD).alias("query"), F.substring("seq", 1, 60).alias("text"))
+    for mode in ("global", "prefix", "infix"):
+        d = align.align_pairs(d, "query", "text", mode, equal=EQUAL, name=mode)
+    d = align.align_pairs(d, "query", "text", "infix", 4, EQUAL, name="near")
+    return d.select("rid", F.col("global.distance").alias("whole"), F.col("prefix.distance").alias("prefix"), F.col("prefix.stops")[0].alias("prefix_stop"), F.col("infix.distance").alias("infix"), F.col("infix.stops").alias("infix_stops"), F.col("near.distance").alias("near"))
+
+
+def align_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of the forward primer against bases 9 to 34 of reads: what each uses of either string, and its edits, which are the distance."""
+    d = mixed(spark, sf_dir).select("rid", F.lit(fixtures.FORWARD).alias("query"), F.substring("seq", 9, 26).alias("text"))
+    d = align.align_pairs(d, "query", "text", "global", path=True).select("rid", "text", "aligned.*")
+    used = lambda letters: F.length(F.translate("path", "".join(set("=XID") - set(letters)), "")).alias(f"n_{letters.strip('=').lower()}")
+    runs = F.regexp_extract_all("cigar", F.lit("([0-9]+)"), F.lit(1)).cast("array<int>")
+    return d.select("rid", "distance", used("XID"), used("=XI"), used("=XD"), F.aggregate(runs, F.lit(0), lambda a, x: a + x).alias("n_cigar") - F.length("path")).toDF("rid", "distance", "edits", "of_query", "of_text", "odd")
+
+
+def align_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.locations(mixed(spark, sf_dir), plan_of(spark, sf_dir).adapters, "rid")
+
+
+def batch_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older categories of reads, parallel concatenates among them."""
+    names = [n for n, _ in alignment_sql.ADAPTERS]
+    found = calibrate.wide_locations(align_locations(spark, sf_dir), names)
+    return calibrate.batches(found, BOUNDS).select("id", *[f"{n}_dist" for n in names], "batch")
+
+
 def align_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_stats(mixed(spark, sf_dir), plan_of(spark, sf_dir).adapters, "rid")
 
@@ -219,7 +253,7 @@ def demultiplex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        cell_umi_counts, revcomp_reads, encode_barcodes, decode_barcodes, distances, phred_scores, poly_tail_scan, poly_runs, bit_flips, align_stats, null_distance, lower_bounds, calibration_rows,
+        cell_umi_counts, revcomp_reads, encode_barcodes, decode_barcodes, distances, phred_scores, poly_tail_scan, poly_runs, bit_flips, bit_flips_two, align_modes, align_paths, align_locations, batch_categories, align_stats, null_distance, lower_bounds, calibration_rows,
         layout_expand, align_signatures, signature_parse, signature_classify, signature_annotate, extract_reads, whitelist_check, barcode_freq, secondary_topk, whitelist_neighbours, mutate_and_check,
         correct_ties, correct_barcodes, paf_tags, read_length_stats, renamed_reads, demultiplex)}
 
@@ -290,6 +324,11 @@ def oracle_sql() -> dict[str, str]:
         "mutate_and_check": f"WITH {_BARCODES}, m AS (SELECT c.code, w.whitelist_bcs AS target FROM (SELECT DISTINCT code FROM b) c LEFT JOIN w ON bit_count(xor(c.code, w.whitelist_bcs)) <= 6) SELECT code, coalesce(string_agg(CAST(target AS VARCHAR), ',' ORDER BY target), '') AS matches FROM m GROUP BY code",
         "correct_barcodes": f"""WITH {_BARCODES}, {_NEAR.format(4)}, {best}, one AS (SELECT code, min(target) AS target, min(bases) AS bases FROM best GROUP BY code HAVING count(*) = 1)
             SELECT rid, '@r' || rid || '*' || CASE WHEN target IS NULL THEN '' ELSE '{{orig_hamming_' || barcode || '_' || {_TEXT.format('target', 16)} || ':' || bases || '}}' END AS sig_id, CASE WHEN target IS NULL THEN barcode ELSE {_TEXT.format('target', 16)} END AS barcode FROM b LEFT JOIN one USING (code)""",
+        "bit_flips_two": f"WITH {_BARCODES}, m AS (SELECT list(DISTINCT (1::BIGINT << CAST(i AS INT)) | (1::BIGINT << CAST(j AS INT))) AS m FROM range(0, 32) a(i), range(0, 32) b(j)) SELECT code, list_sort(list_transform(m, lambda x: xor(code, x))) AS flips FROM (SELECT DISTINCT code FROM b), m",
+        "align_modes": alignment_sql.modes(_MIXED),
+        "align_paths": alignment_sql.paths(_MIXED),
+        "align_locations": alignment_sql.locations(_MIXED),
+        "batch_categories": alignment_sql.batches(_MIXED, BOUNDS),
         "align_stats": alignment_sql.align_stats(_MIXED),
         "null_distance": alignment_sql.null_distance(_READS),
         "align_signatures": alignment_sql.align_signatures(_MIXED, NULL, _POLY),

@@ -1,6 +1,8 @@
 import random
 
-from strandloom.functions.alignment import Hits, cigar, global_path, infix, two_best
+from strandloom.functions.alignment import MODES, pairwise, Hits, cigar, global_path, infix, two_best
+from strandloom.functions.sequence import flips
+from strandloom.operators.align import align_pairs
 
 
 def lev(a, b):
@@ -56,3 +58,52 @@ def test_paths():
     d, path = global_path("ACGT", "AGT")
     assert d == 1 and cigar(path) in ("1M1I2M", "1I3M") and cigar("==X=DD", extended=True) == "2=1X1=2D"
     assert global_path("", "AA") == (2, "DD")
+
+
+def table(query, text, equal, anchored):
+    same = lambda a, b: a == b or (a, b) in equal or (b, a) in equal
+    rows = [[j if anchored else 0 for j in range(len(text) + 1)]]
+    for i, a in enumerate(query, 1):
+        row = [i]
+        for j, b in enumerate(text, 1):
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (not same(a, b))))
+        rows.append(row)
+    return rows
+
+
+def test_modes_bounds_and_equalities():
+    rng = random.Random(11)
+    for k in range(400):
+        query, text = ("".join(rng.choice("ACGTN") for _ in range(rng.randint(0, n))) for n in (90 if k % 9 == 0 else 9, 25))
+        equal = (("N", "A"), ("C", "N")) if k % 2 else ()
+        for mode in MODES:
+            last = table(query, text, equal, mode != "infix")[-1]
+            a = pairwise(query, text, mode, equal=equal, path=True)
+            assert a.distance == (last[-1] if mode == "global" else min(last))
+            if query and mode != "global":
+                assert a.ends == tuple(j - 1 for j, v in enumerate(last) if v == a.distance)
+            for start, end in zip(a.starts, a.ends, strict=True):
+                assert table(query, text[start : end + 1], equal, True)[-1][-1] == a.distance
+            part = text[a.starts[0] : a.ends[0] + 1]
+            assert sum(c != "=" for c in a.path) == a.distance and sum(c != "D" for c in a.path) == len(query) and sum(c != "I" for c in a.path) == len(part)
+            i = j = 0
+            for c in a.path:
+                if c in "=X":
+                    same = query[i] == part[j] or (query[i], part[j]) in equal or (part[j], query[i]) in equal
+                    assert same == (c == "=")
+                i, j = i + (c != "D"), j + (c != "I")
+            assert pairwise(query, text, mode, a.distance, equal).distance == a.distance
+            if a.distance:
+                assert pairwise(query, text, mode, a.distance - 1, equal).distance == -1
+
+
+def test_pairs_of_a_table(spark):
+    rows = [(1, "ACGT", "GGACGTT"), (2, None, "A"), (3, "A", None), (4, "", "AC"), (5, "ANG", "")]
+    got = {r.id: r.aligned for r in align_pairs(spark.createDataFrame(rows, "id int, q string, t string"), "q", "t", path=True).collect()}
+    assert got[1].asDict() == {"distance": 0, "starts": [3], "stops": [6], "path": "====", "cigar": "4="}
+    assert got[2] is None and got[3] is None and got[4].distance == 0 and got[4].stops == [0] and got[5].distance == 3 and got[5].cigar == "3I"
+
+
+def test_flips_of_several_bits(spark):
+    (r,) = spark.createDataFrame([(5,)], "code long").select(flips("code", 3, 4).alias("f")).collect()
+    assert r.f == sorted(5 ^ m for m in range(1, 256) if m.bit_count() <= 3)
