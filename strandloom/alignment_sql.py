@@ -98,3 +98,37 @@ def batches(reads: str, bounds: dict[str, float]) -> str:
 SELECT id, {", ".join(f"{n}_dist" for n, _ in ADAPTERS)}, CASE WHEN {r.format(">=")} AND {f.format("<=")} THEN CASE WHEN forw_primer_k > 2 THEN 'parallel_f_concatenates' ELSE 'forwards' END
   WHEN {f.format(">=")} AND rc_forw_primer_dist <= {bounds["forw_primer"]} THEN CASE WHEN rc_forw_primer_k > 2 THEN 'parallel_r_concatenates' ELSE 'reverses' END
   WHEN {f.format("<=")} AND {r.format("<=")} AND {v.format("<=")} AND {rv.format("<=")} THEN 'rescuable_concatenates' ELSE 'undecided' END AS batch FROM x"""
+
+
+def extracted(reads: str, windows: str) -> str:
+    """CTEs: x, rows (id, barcode, umi) that a run with measured thresholds cuts out of reads, undecided ones left out."""
+    forward, reverse = (", ".join(f"'{n}'" for n, _ in ADAPTERS if n.startswith("rc_") == back) for back in (False, True))
+    perfect = lambda names: f"SELECT id FROM stats WHERE query_id IN ({names}) GROUP BY id HAVING bool_and(best = 0)"
+    tail = lambda base, end: f"list_{end}({windows.format(base)})"
+    short = {"forw_primer": "f", "rev_primer": "r", "rc_forw_primer": "rf", "rc_rev_primer": "rr"}
+    last = ", ".join(f"arg_max({c}, stop * 100000 + start) FILTER (query_id = '{n}') AS {k}{'_' + c if c != 'ed' else ''}" for n, k in short.items() for c in ("ed", "start", "stop"))
+    bound = ", ".join(f"max(bound) FILTER (query_id = '{n}') AS b{k}" for n, k in short.items())
+    # pieces of a read of two strands, in the layout's order
+    pieces = ", ".join(f"{{'o': {k}, 'start': {a}, 'stop': {b}}}" for k, (a, b) in enumerate((("f_start", "f_stop"), ("f_stop + 1", "f_stop + 16"), ("f_stop + 17", "f_stop + 28"), ("t_start", "t_stop"), ("r_start", "r_stop"),
+        ("rf_start", "rf_stop"), ("rf_start - 16", "rf_start - 1"), ("rf_start - 28", "rf_start - 17"), ("a_start", "a_stop"), ("rr_start", "rr_stop"))))
+    cut = lambda a, b: f"CASE WHEN {b} <= n AND {b} - (CASE WHEN {a} = 1 THEN 1 ELSE {a} - 1 END) >= 5 AND (CASE WHEN {a} = 1 THEN 1 ELSE {a} - 1 END) BETWEEN 0 AND n - 1 THEN substr(seq, (CASE WHEN {a} = 1 THEN 1 ELSE {a} - 1 END) + 1, {b} - (CASE WHEN {a} = 1 THEN 1 ELSE {a} - 1 END)) ELSE 'undecided' END"
+    turn = lambda c: f"CASE WHEN {c} = 'undecided' THEN 'undecided' ELSE reverse(translate({c}, 'ACGTacgt', 'TGCAtgca')) END"
+    one = f"{cut('(f_stop + 1)', '(f_stop + 16)')} AS barcode, {cut('(f_stop + 17)', '(f_stop + 28)')} AS umi"
+    two = f"{turn('(' + cut('(rf_start - 16)', '(rf_start - 1)') + ')')} AS barcode, {turn('(' + cut('(rf_start - 28)', '(rf_start - 17)') + ')')} AS umi"
+    return f"""{hits(reads)},
+nd AS (SELECT query_id, avg(best) AS mean, stddev_samp(best) AS sd FROM (SELECT query_id, best FROM stats WHERE query_id IN ({reverse}) AND id IN ({perfect(forward)}) UNION ALL SELECT query_id, best FROM stats WHERE query_id IN ({forward}) AND id IN ({perfect(reverse)})) GROUP BY query_id),
+nb AS (SELECT {bound} FROM (SELECT query_id, floor(mean - ceil(sd)) AS bound FROM nd)),
+pl AS (SELECT id, query_id, best AS ed, start, stop FROM stats UNION ALL SELECT id, query_id, second, second_start, second_stop FROM stats JOIN nd USING (query_id) WHERE second >= 0 AND second < mean - sd),
+pv AS (SELECT id, {last} FROM pl GROUP BY id),
+rd AS (SELECT t.*, pv.* EXCLUDE (id), nb.*, {tail("T", "min")} AS t_start, {tail("T", "max")} + 15 AS t_stop, {tail("A", "min")} AS a_start, {tail("A", "max")} + 15 AS a_stop FROM t JOIN pv USING (id), nb WHERE n >= 150),
+ca AS (SELECT *, CASE WHEN rf >= brf AND f <= bf AND f < rf OR f <= bf AND rf <= brf AND r <= br AND f < r THEN 'forward' WHEN f >= bf AND rf <= brf AND rf < f OR f <= bf AND rf <= brf AND rr <= brr AND rf < rr THEN 'reverse'
+  WHEN f <= bf AND rf <= brf AND t_start IS NOT NULL AND a_start IS NOT NULL THEN 'both' END AS category FROM rd),
+o1 AS (SELECT *, [{pieces}] AS q FROM ca WHERE category = 'both'),
+o2 AS (SELECT *, list_min(list_transform(list_filter(q, lambda e: e.start > 101), lambda e: e.start)) AS x1 FROM o1),
+o3 AS (SELECT *, list_max(list_transform(list_filter(q, lambda e: e.start <= 101), lambda e: e.start * 100 + e.o)) AS before, list_max(list_transform(list_filter(q, lambda e: e.start = x1), lambda e: e.o)) AS at_x1,
+  list_min(list_transform(list_filter(q, lambda e: e.start > x1), lambda e: e.start)) AS x2 FROM o2 WHERE x1 IS NOT NULL),
+o4 AS (SELECT *, list_filter(q, lambda e: e.start * 100 + e.o = before)[1].stop + 1 AS i_start, x1 - 1 AS i_stop, q[at_x1 + 1].stop + 1 AS j_start, x2 - 1 AS j_stop FROM o3 WHERE before IS NOT NULL AND x2 IS NOT NULL),
+x AS (SELECT id, {one} FROM ca WHERE category = 'forward' AND coalesce(t_stop, f_stop + 28) + 1 <= CASE WHEN r <= br AND r_start - 1 <> 0 THEN r_start - 1 ELSE n END
+  UNION ALL SELECT id, {two} FROM ca WHERE category = 'reverse' AND CASE WHEN rr <= brr THEN rr_stop + 1 ELSE 1 END <= coalesce(a_start, rf_start - 28) - 1
+  UNION ALL SELECT id, {one} FROM o4 WHERE length({cut('i_start', 'i_stop')}) >= 30
+  UNION ALL SELECT id, {two} FROM o4 WHERE length({cut('i_start', 'i_stop')}) >= 30 AND length({cut('j_start', 'j_stop')}) >= 30)"""

@@ -130,7 +130,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from strandloom.queries import _BARCODES, _Q
+    from strandloom.queries import _BARCODES, _Q, demux_sql
 
     mixed, reads = fixtures.duck(fixtures.MIXED), fixtures.duck(fixtures.READS)
     return {
@@ -148,6 +148,5 @@ def oracle_sql() -> dict[str, str]:
         "paf_file": """WITH l AS (SELECT l_orderkey || '_' || l_linenumber AS id, l_orderkey AS k, l_linenumber AS n FROM lineitem)
             SELECT id, 216.0::DOUBLE AS ql, n::DOUBLE AS qs, CASE WHEN n % 2 = 0 THEN '+' END AS qr, 'chr' || n AS sn, 205.0::DOUBLE AS se, k::DOUBLE AS mq, CASE k % 3 WHEN 0 THEN 'NM:i:3' WHEN 1 THEN 'NM:i:4' END AS "NM", CASE k % 3 WHEN 0 THEN 'ms:i:' || n WHEN 2 THEN 'ms:i:' || k END AS ms, CASE k % 3 WHEN 0 THEN 'tp:A:P' WHEN 1 THEN 'tp:A:S' END AS tp FROM l""",
         "thresholds_file": f"WITH {_Q} SELECT query_id, avg(d) AS null_distance, stddev_samp(d) AS sd_null FROM o GROUP BY query_id",
-        # every read is whole and each wrong base is corrected, so all reads count for their true barcode
-        "demux_files": f"SELECT true_barcode AS barcode, count(*) AS reads, count(DISTINCT true_umi) AS umis, (SELECT count(*) FROM ({reads})) AS all_barcodes, (SELECT count(*) FROM ({reads})) AS sigsummary FROM ({reads}) GROUP BY true_barcode",
+        "demux_files": demux_sql(reads, ", (SELECT count(*) FROM x) AS all_barcodes, (SELECT count(*) FROM x) AS sigsummary"),
     }

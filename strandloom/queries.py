@@ -344,12 +344,23 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT code, target, 'jaccard', d FROM tn WHERE k = 1 UNION ALL SELECT code, target, 'extended', NULL FROM ex""",
         "paf_tags": """WITH l AS (SELECT l_orderkey || '_' || l_linenumber AS id, l_orderkey AS k, l_linenumber AS n FROM lineitem)
             SELECT id, '216' AS ql, CASE WHEN n % 2 = 0 THEN '+' END AS qr, 'chr' || n AS sn, CAST(k AS VARCHAR) AS mq, CASE k % 3 WHEN 0 THEN 'NM:i:3' WHEN 1 THEN 'NM:i:4' END AS "NM", CASE k % 3 WHEN 0 THEN 'ms:i:' || n WHEN 2 THEN 'ms:i:' || k END AS ms, CASE k % 3 WHEN 0 THEN 'tp:A:P' WHEN 1 THEN 'tp:A:S' END AS tp FROM l""",
+        "demultiplex": demux_sql(_MIXED),
         "read_length_stats": f"SELECT count(*) AS num_seqs, CAST(sum(length(seq)) AS BIGINT) AS sum_len, min(length(seq)) AS min_len, avg(length(seq)) AS avg_len, max(length(seq)) AS max_len FROM ({_MIXED})",
         "extract_reads": _extract_sql(),
         "renamed_reads": f"SELECT id || '_' || umi || '_' || barcode AS id, filtered_read AS seq, repeat('I', n_filtered_qc) AS qual FROM ({_extract_sql()})",
     }
 
 
+def demux_sql(reads: str, more: str = "") -> str:
+    """Counts of each barcode after a run over reads, without distances of base pairs."""
+    return f"""WITH {alignment_sql.extracted(reads, _POLY)}, w AS (SELECT DISTINCT {_CODE.format("true_barcode")} AS whitelist_bcs FROM ({_READS})), xb AS (SELECT *, CASE WHEN barcode <> 'undecided' THEN {_CODE.format("barcode")} END AS code FROM x),
+b AS (SELECT * FROM xb WHERE code IS NOT NULL), {_NEAR.format(4)}, best AS (SELECT * FROM pairs QUALIFY bases = min(bases) OVER (PARTITION BY code)),
+fr AS (SELECT code AS target, count(*) AS freq FROM b WHERE code IN (FROM w) GROUP BY code), sc AS (SELECT best.code, target, coalesce(freq, 0) AS freq, max(coalesce(freq, 0)) OVER (PARTITION BY best.code) AS most FROM best LEFT JOIN fr USING (target)),
+tg AS (SELECT code, any_value(target) AS target FROM sc WHERE freq = most GROUP BY code HAVING count(*) = 1),
+fx AS (SELECT coalesce({_TEXT.format("tg.target", 16)}, b.barcode) AS barcode, umi FROM b LEFT JOIN tg ON tg.code = b.code WHERE tg.target IS NOT NULL OR b.code IN (FROM w))
+SELECT barcode, count(*) AS reads, count(DISTINCT umi) AS umis{more} FROM fx GROUP BY barcode"""
+
+
 def _extract_sql() -> str:
     """Barcode 33-48, tag 49-60 and insert up to 176 of the forward strand; the insert of a cut read is one base short."""
     turn = lambda s: f"reverse(translate({s}, 'ACGT', 'TGCA'))"
