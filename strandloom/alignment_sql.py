@@ -129,6 +129,6 @@ o3 AS (SELECT *, list_max(list_transform(list_filter(q, lambda e: e.start <= 101
   list_min(list_transform(list_filter(q, lambda e: e.start > x1), lambda e: e.start)) AS x2 FROM o2 WHERE x1 IS NOT NULL),
 o4 AS (SELECT *, list_filter(q, lambda e: e.start * 100 + e.o = before)[1].stop + 1 AS i_start, x1 - 1 AS i_stop, q[at_x1 + 1].stop + 1 AS j_start, x2 - 1 AS j_stop FROM o3 WHERE before IS NOT NULL AND x2 IS NOT NULL),
 x AS (SELECT id, {one} FROM ca WHERE category = 'forward' AND coalesce(t_stop, f_stop + 28) + 1 <= CASE WHEN r <= br AND r_start - 1 <> 0 THEN r_start - 1 ELSE n END
-  UNION ALL SELECT id, {two} FROM ca WHERE category = 'reverse' AND CASE WHEN rr <= brr THEN rr_stop + 1 ELSE 1 END <= coalesce(a_start, rf_start - 28) - 1
+  UNION ALL SELECT id, {two} FROM ca WHERE category = 'reverse' AND CASE WHEN rr <= brr THEN rr_stop + 1 ELSE 1 END <= coalesce(a_start, rf_start) - 1
   UNION ALL SELECT id, {one} FROM o4 WHERE length({cut('i_start', 'i_stop')}) >= 30
   UNION ALL SELECT id, {two} FROM o4 WHERE length({cut('i_start', 'i_stop')}) >= 30 AND length({cut('j_start', 'j_stop')}) >= 30)"""
