@@ -21,7 +21,7 @@ CAPACITY = 2048
 #: Words and parts of words that a Python worker keeps the ids of, some 50 MB; the caches start anew beyond that.
 CACHED = 200_000
 #: Pieces of one length that a task ranks, about; rows that are broadcast at most; and numbers that tell equal rows apart.
-BUCKET, BROADCAST, SALTS = 1 << 14, 1 << 20, 1 << 10
+BUCKET, BROADCAST, SALTS = 1 << 10, 1 << 20, 1 << 10
 
 #: The tokenizer's own splitting pattern.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
