@@ -4,7 +4,7 @@ import sys
 import pytest
 
 import __spark_entry__
-from strandloom import queries
+from strandloom import file_queries, queries
 from tests.oracle import same
 
 SF = "/root/testdata/sf0.001"
@@ -15,6 +15,17 @@ def test_query_equals_sql(spark, name):
     same(spark, queries.queries()[name], queries.oracle_sql()[name], SF)
 
 
+@pytest.mark.parametrize("name", sorted(file_queries.oracle_sql()))
+def test_file_query_equals_sql(spark, name):
+    same(spark, file_queries.queries()[name], file_queries.oracle_sql()[name], SF)
+
+
+def test_all_tie_breaks_occur(spark):
+    """On the fixture made for them: alone, by frequency, by base pairs, by frequent neighbours."""
+    found = {r.how for r in queries.correct_ties(spark, "/root/testdata/sf0.01").select("how").distinct().collect()}
+    assert found == {"hamming", "minilist", "jaccard", "extended"}
+
+
 def test_null_distance_equals_brute_force(spark):
     """Means and deviations from distances by an alignment of substrings, on a few reads."""
     from strandloom.operators import align
