@@ -58,5 +58,17 @@ def test_bounds_lose_nothing():
         assert (vectors.linked(a, b, axes, 0.98) == (a @ b.T >= 0.98)).all() and (vectors.linked(a, b, None, 0.98) == (a @ b.T >= 0.98)).all()
 
 
+def test_cosines_do_not_depend_on_tiles():
+    """A dense cluster around the threshold, whole and in parts of every shape, in more pairs than are gathered at once."""
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=64)
+    a = vectors.unit(np.concatenate([c + rng.normal(size=(200, 64)) * s for s in (0.12, 0.14, 0.16)]))
+    axes = np.linalg.eigh(a.T @ a)[1][:, ::-1]
+    whole = vectors.linked(a, a, axes, 0.98)
+    assert whole.size > 10 * vectors.PAIRS and 0.05 < whole.mean() < 0.95 and (whole == whole.T).all()
+    for i, j, k in ((0, 1, 600), (5, 77, 80), (200, 333, 1)):
+        assert (vectors.linked(a[i:j], a[:k], axes, 0.98) == whole[i:j, :k]).all()
+
+
 def test_empty(spark):
     assert vectors.groups(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
