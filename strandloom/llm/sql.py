@@ -146,5 +146,33 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 """
 
 
+OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS words, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CAST(len(words) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INT)
+    + 4 * CAST(100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) AS INT) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(d.doc_id > first, false) AS INT) AS mask FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+f(x, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT [a, b, c, d, e] AS xs FROM (SELECT a.x AS a, b.x AS b, c.x AS c, d.x AS d, e.x AS e FROM f a, f b, f c, f d, f e) WHERE len(list_distinct([a, b, c, d, e])) = 5),
+s AS (SELECT array_to_string(xs, '') AS filter_order, step, xs[step] AS x, coalesce(list_sum(list_transform(xs[1:step - 1], lambda y: 1 << (ascii(y) - 65))), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (SELECT part, filter_order, step, x, CAST(sum(n) FILTER (mask & (before | bit) = 0) AS BIGINT) AS kept, CAST(sum(n) FILTER (mask & before = 0 AND mask & bit > 0) AS BIGINT) AS removed, CAST(sum(n) FILTER (mask & before > 0 AND mask & bit > 0) AS BIGINT) AS redundant,
+    CAST(sum(n) FILTER (mask = bit) AS BIGINT) AS unique_fails, CAST(sum(good) FILTER (mask & before = 0 AND mask & bit > 0) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0) AS BIGINT) AS toxic_lost
+  FROM s JOIN f USING (x), c GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM r
+"""
+
+_MARK = r"s>|/s>|INST\]|/INST\]|SYS\]|/SYS\]|OUT\]|ROLE\]|/ROLE\]|AS\]|NEXT\]"
+_ESCAPED = r"length(regexp_replace({0}, '([<\[])(\\*)(" + _MARK + r")', '\1\2\\\3', 'g'))"
+OP12 = rf"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+b AS (SELECT *, lag(role) OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS before FROM t),
+n AS (SELECT *, {_ESCAPED.format("text")} + CASE WHEN role = before THEN 6 WHEN role = 'system' THEN 11 WHEN role = 'user' THEN 13 WHEN role = 'assistant' THEN 9 ELSE 17 + {_ESCAPED.format("role")} END AS chars FROM b)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(3 + sum(chars) AS BIGINT) AS formatted_chars FROM n GROUP BY conv_id, alone
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op3_secret_scan": OP3, "op4_minhash_near_dedup": OP4, "op7_warc_fixity": OP7, "op8_personal_data": OP8, "op9_embedding_near_dedup": OP9, "op10_mix_sources": OP10}
+    return {"op2_quality_rules": OP2, "op3_secret_scan": OP3, "op4_minhash_near_dedup": OP4, "op7_warc_fixity": OP7, "op8_personal_data": OP8, "op9_embedding_near_dedup": OP9, "op10_mix_sources": OP10, "op11_filter_interaction": OP11, "op12_chat_format": OP12}

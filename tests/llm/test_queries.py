@@ -13,8 +13,8 @@ def test_query_equals_sql(spark, name):
     same(spark, queries.queries()[name], sql.oracle_sql()[name], SF)
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_a_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 13))
 
 
 def test_near_duplicates_query_equals_brute_force(spark):
