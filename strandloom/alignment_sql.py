@@ -1,12 +1,16 @@
 """DuckDB SQL of alignment: bit-parallel columns as a recursion over places, all reads and adapters at once."""
 
-from strandloom.fixtures import FORWARD
+from strandloom.fixtures import FORWARD, REVERSE
 from strandloom.plans.layout import kit
 
 POLY = ("poly_a", "poly_t")
 ADAPTERS = [(n, s) for n, s in kit("three").adapters if n not in POLY]
 #: Names of adapters and poly tails in the layout's order.
 RANK = {n: k for k, (n, _) in enumerate(kit("three").adapters)}
+_HEAD = "GGTGTAACGA" + FORWARD + "N" * 28 + "T" * 20
+#: Constructs as long as half a read and nearly a whole one, and the bound of their distance.
+LONG = {"half": _HEAD + "ACGT" * 5, "whole": _HEAD + "ACGT" * 24 + REVERSE[:24]}
+LONG_BOUND = 40
 
 
 def _masks(query: str) -> str:
@@ -77,14 +81,46 @@ t AS (SELECT rid AS id, {text} AS seq, CAST(length({text}) AS INT) AS n FROM ({r
 
 
 def modes(reads: str) -> str:
-    return f"""WITH {_one(reads, FORWARD, "substr(seq, 1, 60)", True)},
-p AS (SELECT id, min(score) AS prefix, CAST(arg_min(j, score * 100 + j) AS INT) AS prefix_stop, CAST(arg_max(score, j) AS INT) AS whole FROM w GROUP BY id),
+    return f"""WITH {_one(reads, FORWARD, "seq", True)},
+p AS (SELECT id, min(score) AS prefix, CAST(arg_min(j, score * 100000 + j) AS INT) AS prefix_stop, CAST(arg_max(score, j) AS INT) AS whole FROM w GROUP BY id),
 x AS (SELECT id, min(score) AS infix FROM i GROUP BY id), e AS (SELECT id, list(j ORDER BY j) AS infix_stops FROM i JOIN x USING (id) WHERE score = infix GROUP BY id)
 SELECT id AS rid, whole, prefix, prefix_stop, infix, infix_stops, CASE WHEN infix > 4 THEN -1 ELSE infix END AS near FROM p JOIN x USING (id) JOIN e USING (id)"""
 
 
+def long(reads: str) -> str:
+    """Distances of long constructs, N matching all: columns in two words of half the rows each."""
+    words = []
+    for name, q in LONG.items():
+        half = len(q) // 2
+        masks = [sum(1 << k for k, c in enumerate(part) if c in (x, "N")) for part in (q[:half], q[half:]) for x in "ACGT"]
+        words.append(f"('{name}', {len(q)}, {half}, {(1 << half) - 1}::HUGEINT, {(1 << len(q) - half) - 1}::HUGEINT, {', '.join(f'{m}::HUGEINT' for m in masks)})")
+    pick = lambda p: " ".join(f"WHEN '{x}' THEN {p}{x.lower()}" for x in "ACGT")
+    return f"""WITH RECURSIVE a(query_id, m, b, f0, f1, la, lc, lg, lt, ha, hc, hg, ht) AS (VALUES {", ".join(words)}), t AS (SELECT rid AS id, seq, CAST(length(seq) AS INT) AS n FROM ({reads})),
+c(id, query_id, j, u0, d0, u1, d1, score) AS (SELECT id, query_id, 0, f0, 0::HUGEINT, f1, 0::HUGEINT, m FROM t, a UNION ALL
+  SELECT id, query_id, j, l0 | (f0 & ~(v0 | h0)), h0 & v0, l1 | (f1 & ~(v1 | h1)), h1 & v1, score FROM (
+    SELECT id, query_id, j, f0, f1, v0, v1, (r0 << 1) & f0 AS h0, (s0 << 1) & f0 AS l0, ((r1 << 1) | up) & f1 AS h1, ((s1 << 1) | low) & f1 AS l1, score + CAST((r1 >> (m - b - 1)) & 1 AS INT) - CAST((s1 >> (m - b - 1)) & 1 AS INT) AS score FROM (
+      SELECT *, d1 | (f1 & ~(x1 | u1)) AS r1, u1 & x1 AS s1 FROM (
+        SELECT *, (xor((e1 & u1) + u1, u1) | e1) & f1 AS x1 FROM (
+          SELECT *, e | low AS e1 FROM (
+            SELECT *, (r0 >> (b - 1)) & 1 AS up, (s0 >> (b - 1)) & 1 AS low FROM (
+              SELECT *, d0 | (f0 & ~(x0 | u0)) AS r0, u0 & x0 AS s0 FROM (
+                SELECT *, e0 | d0 AS v0, e | d1 AS v1, (xor((e0 & u0) + u0, u0) | e0) & f0 AS x0 FROM (
+                  SELECT c.*  EXCLUDE (j), c.j + 1 AS j, a.m, a.b, a.f0, a.f1, CASE substr(t.seq, c.j + 1, 1) {pick("l")} ELSE f0 END AS e0, CASE substr(t.seq, c.j + 1, 1) {pick("h")} ELSE f1 END AS e
+                  FROM c JOIN t ON t.id = c.id JOIN a ON a.query_id = c.query_id WHERE c.j < t.n))))))))),
+x AS (SELECT id, query_id, min(score) AS distance FROM c GROUP BY id, query_id)
+SELECT id AS rid, query_id, any_value(distance) AS distance, list(j ORDER BY j) AS stops, CASE WHEN any_value(distance) > {LONG_BOUND} THEN -1 ELSE any_value(distance) END AS near FROM c JOIN x USING (id, query_id) WHERE score = distance GROUP BY id, query_id"""
+
+
 def paths(reads: str) -> str:
-    return f"""WITH {_one(reads, FORWARD, "substr(seq, 9, 26)", False)} SELECT id AS rid, CAST(arg_max(score, j) AS INT) AS distance, CAST(arg_max(score, j) AS INT) AS edits, {len(FORWARD)} AS of_query, max(j) AS of_text, 0 AS odd FROM w GROUP BY id"""
+    """Paths from the end back: what the query has alone before what the text has alone before pairs."""
+    low = "((1::BIGINT << s.i) - 1)"
+    return f"""WITH {_one(reads, FORWARD, "seq", False)},
+l AS (SELECT w.id, any_value(seq) AS seq, any_value(n) AS n, list(up ORDER BY j) AS ups, list(down ORDER BY j) AS downs, CAST(arg_max(score, j) AS INT) AS distance FROM w JOIN t ON t.id = w.id GROUP BY w.id),
+s(id, i, j, here, path) AS (SELECT id, {len(FORWARD)}, n, distance, '' FROM l UNION ALL
+  SELECT id, CASE WHEN move = 'D' THEN i ELSE i - 1 END, CASE WHEN move = 'I' THEN j ELSE j - 1 END, CASE WHEN move = '=' THEN here ELSE here - 1 END, move || path FROM (
+    SELECT s.*, CASE WHEN s.i > 0 AND (l.ups[s.j + 1] >> greatest(s.i - 1, 0)) & 1 = 1 THEN 'I' WHEN s.i = 0 OR s.j - 1 + bit_count(l.ups[s.j] & {low}) - bit_count(l.downs[s.j] & {low}) = s.here - 1 THEN 'D'
+      WHEN substr('{FORWARD}', s.i, 1) = substr(l.seq, s.j, 1) THEN '=' ELSE 'X' END AS move FROM s JOIN l ON l.id = s.id WHERE s.i > 0 OR s.j > 0))
+SELECT s.id AS rid, l.distance, path, array_to_string(list_transform(regexp_extract_all(path, '=+|X+|I+|D+'), lambda x: length(x) || x[1]), '') AS cigar FROM s JOIN l ON l.id = s.id WHERE s.i = 0 AND s.j = 0"""
 
 
 def locations(reads: str) -> str:

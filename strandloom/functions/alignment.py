@@ -1,10 +1,12 @@
 """Edit-distance alignment of short queries to many sequences at once: bit-parallel columns, one lane a sequence."""
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 
+from strandloom.functions import lanes
+
 #: Cells of a block of lanes, which bounds memory for long reads.
 CELLS = 1 << 24
 
@@ -32,25 +34,13 @@ def matrix(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def column_scores(query: bytes, columns: np.ndarray, prefix: bool) -> np.ndarray:
-    """Distances of the query to the substrings that end at each place of each lane: a row a place.
+    """Distances of the query, of up to 64 bases, to the substrings that end at each place of each lane: a row a place.
 
-    prefix: substrings start with the lane; else anywhere. Queries of up to 64 bases take one word a lane (Myers, 1999);
-    longer ones a table of distances.
+    prefix: substrings start with the lane; else anywhere. One query for all lanes, one word a lane (Myers, 1999).
     """
     m, n = len(query), columns.shape[1]
     out = np.empty((columns.shape[0], n), np.int32)
     letters = np.frombuffer(query, np.uint8)
-    if m > 64:
-        last = np.repeat(np.arange(m + 1, dtype=np.int32)[:, None], n, axis=1)
-        for j in range(columns.shape[0]):
-            now = np.empty_like(last)
-            now[0] = j + 1 if prefix else 0
-            miss = letters[:, None] != columns[j][None, :]
-            np.minimum(last[:-1] + miss, last[1:] + 1, out=now[1:])
-            for i in range(1, m + 1):
-                np.minimum(now[i], now[i - 1] + 1, out=now[i])
-            last, out[j] = now, now[m]
-        return out
     # words of 32 bits where they do: half the memory to go through
     word = np.uint32 if m <= 32 else np.uint64
     equal = np.zeros(256, word)
@@ -111,7 +101,9 @@ def _block(query: bytes, columns: np.ndarray, lengths: np.ndarray) -> Hits:
 
 
 def infix(query: bytes, texts: list[bytes]) -> Hits:
-    """All places in each text at which a substring is nearest to the query."""
+    """All places in each text at which a substring is nearest to the query. Longer queries than a word are lanes' (see lanes)."""
+    if len(query) > lanes.WORD:
+        return located([query.decode("latin-1")] * len(texts), [t.decode("latin-1") for t in texts], "infix")
     lengths = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(lengths, kind="stable")
     parts, at = [], 0
@@ -120,14 +112,14 @@ def infix(query: bytes, texts: list[bytes]) -> Hits:
         size = 1
         while at + size < len(order) and (size + 1) * max(1, lengths[order[at + size]]) <= CELLS // 8:
             size += 1
-        lanes = order[at : at + size]
-        columns, own = matrix([texts[k] for k in lanes])
-        parts.append((lanes, _block(query, columns, own)))
+        some = order[at : at + size]
+        columns, own = matrix([texts[k] for k in some])
+        parts.append((some, _block(query, columns, own)))
         at += size
     distance = np.zeros(len(texts), np.int64)
-    for lanes, h in parts:
-        distance[lanes] = h.distance
-    lane = np.concatenate([lanes[h.lane] for lanes, h in parts]) if parts else np.zeros(0, np.int64)
+    for some, h in parts:
+        distance[some] = h.distance
+    lane = np.concatenate([some[h.lane] for some, h in parts]) if parts else np.zeros(0, np.int64)
     start = np.concatenate([h.start for _, h in parts]) if parts else np.zeros(0, np.int64)
     end = np.concatenate([h.end for _, h in parts]) if parts else np.zeros(0, np.int64)
     by = np.lexsort((end, lane))
@@ -201,88 +193,36 @@ class Alignment:
     path: str | None = None
 
 
-def _letters(query: str, equal: Iterable[tuple[str, str]]) -> dict[str, int]:
-    """For each letter the places of the query that it matches, as bits. equal: pairs of letters that match, either way round."""
-    own: dict[str, int] = {}
-    for k, c in enumerate(query):
-        own[c] = own.get(c, 0) | 1 << k
-    out = dict(own)
-    for a, b in equal:
-        for c, d in ((a, b), (b, a)):
-            if d in own:
-                out[c] = out.get(c, 0) | own[d]
-    return out
+def located(queries: list[str], texts: list[str], mode: str = "infix", most: int = -1, equal: Iterable[tuple[str, str]] = ()) -> Hits:
+    """Of each pair the least distance, -1 if it is over the bound most (none if negative), and all places that have it.
+
+    An empty query lies at the text's beginning. equal: pairs of different letters that match.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    pairs = lanes.Pairs(queries, texts, equal)
+    distance, lane, end = lanes.distances(pairs, mode, most)
+    start = lanes.starts(pairs, distance, lane, end) if mode == "infix" else np.zeros(len(lane), np.int64)
+    return Hits(distance, lane, start, end)
 
 
-def _columns(query: str, text: str, equal: Iterable[tuple[str, str]], anchored: bool) -> Iterator[tuple[int, int, int]]:
-    """For each prefix of the text, the empty one first: which rows of its column are one more, and one less, than the row above,
-    as bits; and the last row's distance. Python's integers are the words, so queries may have any length."""
-    m, known = len(query), _letters(query, equal)
-    full, top = (1 << m) - 1, 1 << m >> 1
-    up, down, score = full, 0, m
-    yield up, down, score
-    for c in text:
-        eq = known.get(c, 0)
-        vertical = eq | down
-        across = ((((eq & up) + up) ^ up) | eq) & full
-        more, less = down | full & ~(across | up), up & across
-        score += bool(more & top) - bool(less & top)
-        more = (more << 1 | anchored) & full
-        less = less << 1 & full
-        up, down = less | full & ~(vertical | more), more & vertical
-        yield up, down, score
-
-
-def global_path(query: str, text: str, equal: Iterable[tuple[str, str]] = ()) -> tuple[int, str]:
+def global_path(query: str, text: str, equal: Iterable[tuple[str, str]] = (), table: int = lanes.TABLE) -> tuple[int, str]:
     """Distance of two whole strings, and a best path as = X I D: from the end, insertions before deletions before pairs.
 
-    Memory is two numbers of as many bits as the query has for each letter of the text.
+    Strings whose table of moves has over so many bytes are cut in two, so memory doesn't grow with their product.
     """
-    equal = tuple(equal)
-    columns, known = list(_columns(query, text, equal, True)), _letters(query, equal)
-    i, j, path = len(query), len(text), []
-    here = columns[j][2] if query else len(text)
-    while i or j:
-        low = (1 << i) - 1
-        if i and columns[j][0] >> i - 1 & 1:
-            path.append("I")
-            i, here = i - 1, here - 1
-            continue
-        if j:
-            up, down, _ = columns[j - 1]
-            if j - 1 + (up & low).bit_count() - (down & low).bit_count() == here - 1:
-                path.append("D")
-                j, here = j - 1, here - 1
-                continue
-        same = known.get(text[j - 1], 0) >> i - 1 & 1
-        path.append("=" if same else "X")
-        i, j, here = i - 1, j - 1, here - (not same)
-    return path.count("X") + path.count("I") + path.count("D"), "".join(reversed(path))
+    path = lanes.paths([query], [text], equal, table)[0].tobytes().decode()
+    return path.count("X") + path.count("I") + path.count("D"), path
 
 
 def pairwise(query: str, text: str, mode: str = "infix", most: int = -1, equal: Iterable[tuple[str, str]] = (), path: bool = False) -> Alignment:
-    """One query in one text. most: bound of the distance, none if negative. An empty query lies at the text's beginning."""
-    if mode not in MODES:
-        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    """One query in one text; see located()."""
     equal = tuple(equal)
-    if not query:
-        scores = [len(text) if mode == "global" else 0] if mode != "global" else []
-        distance, ends = (len(text), (len(text) - 1,)) if mode == "global" else (scores[0], (-1,))
-    else:
-        scores = [s for *_, s in _columns(query, text, equal, mode != "infix")]
-        distance = scores[-1] if mode == "global" else min(scores)
-        ends = (len(text) - 1,) if mode == "global" else tuple(k - 1 for k, s in enumerate(scores) if s == distance)
-    if 0 <= most < distance:
+    hits = located([query], [text], mode, most, equal)
+    if hits.distance[0] < 0:
         return Alignment(-1)
-    starts = []
-    for end in ends:
-        start = 0
-        if mode == "infix" and end >= 0:
-            back = [s for *_, s in _columns(query[::-1], text[: end + 1][::-1][: 2 * len(query)], equal, True)]
-            start = end + 1 - max(k for k, s in enumerate(back) if s == distance)
-        starts.append(start)
-    found = global_path(query, text[starts[0] : ends[0] + 1], equal)[1] if path else None
-    return Alignment(distance, tuple(starts), ends, found)
+    places = tuple(map(int, hits.start)), tuple(map(int, hits.end))
+    return Alignment(int(hits.distance[0]), *places, global_path(query, text[places[0][0] : places[1][0] + 1], equal)[1] if path else None)
 
 
 def cigar(path: str, extended: bool = False) -> str:

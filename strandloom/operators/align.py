@@ -4,12 +4,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from strandloom.functions.alignment import cigar, infix, pairwise, tails, two_best
+from strandloom.functions import lanes
+from strandloom.functions.alignment import Hits, infix, located, tails, two_best
 
 _HIT = "array<struct<query_id: string, ed: int, start: int, stop: int, second_ed: int, second_start: int, second_stop: int>>"
 _ENTRY = "array<struct<id: string, ed: int, start: int, stop: int>>"
@@ -111,7 +113,7 @@ def align_pairs(df: DataFrame, query: str, text: str, mode: str = "infix", most:
     mode: global, prefix or infix, as in MODES of alignment. Places count from 1; a stop of 0 uses nothing of the text. Over
     the bound most, the distance is -1 and there are no places. equal: pairs of letters that match, such as N and A. path is
     that of the first place, with = X I D, and cigar its run lengths; both are null unless asked for. A null query or text
-    gives a null struct.
+    gives a null struct. A batch's pairs are aligned together, a lane each.
     """
     at = df.columns.index(query), df.columns.index(text)
     shape = StructType([*df.schema.fields, *_parse_datatype_string(f"`{name}` struct<distance: int, starts: array<int>, stops: array<int>, path: string, cigar: string>").fields])
@@ -119,18 +121,36 @@ def align_pairs(df: DataFrame, query: str, text: str, mode: str = "infix", most:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into = to_arrow_schema(shape)
         for b in batches:
-            out = []
-            for q, t in zip(*(b.column(k).to_pylist() for k in at), strict=True):
-                if q is None or t is None:
-                    out.append(None)
-                    continue
-                a = pairwise(q, t, mode, most, equal, path)
-                out.append({"distance": a.distance, "starts": [s + 1 for s in a.starts], "stops": [e + 1 for e in a.ends], "path": a.path, "cigar": None if a.path is None else cigar(a.path, extended=True)})
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns, pa.array(out, into.field(len(into) - 1).type)], into, strict=True)], schema=into)
+            q, t = (b.column(k).fill_null("").to_pylist() for k in at)
+            missing = pc.or_(b.column(at[0]).is_null(), b.column(at[1]).is_null())
+            hits = located(q, t, mode, most, equal)
+            places = pa.array(np.searchsorted(hits.lane, np.arange(b.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(places, pa.array((x + 1).astype(np.int32))) for x in (hits.start, hits.end)]
+            parts = [pa.array(hits.distance.astype(np.int32)), *lists, *_paths(q, t, hits, equal, path)]
+            found = pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip(parts, into.field(len(into) - 1).type, strict=True)], fields=list(into.field(len(into) - 1).type), mask=missing)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns, found], into, strict=True)], schema=into)
 
     return df.mapInArrow(run, shape)
 
 
+def _paths(queries: list[str], texts: list[str], hits: Hits, equal: tuple[tuple[str, str], ...], wanted: bool) -> list[pa.Array]:
+    """Paths of the first places, and their run lengths, as columns; null where there is no place."""
+    n = len(queries)
+    if not wanted:
+        return [pa.nulls(n, pa.string())] * 2
+    lane, first = np.unique(hits.lane, return_index=True)
+    flat, sizes = lanes.paths([queries[k] for k in lane], [texts[k][s : e + 1] for k, s, e in zip(lane, hits.start[first], hits.end[first], strict=True)], equal)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    path = pa.LargeStringArray.from_buffers(len(lane), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat))
+    move, length, count = lanes.runs(flat, sizes)
+    pieces = pc.binary_join_element_wise(pa.array(length).cast(pa.string()), pa.DictionaryArray.from_arrays(pa.array(np.searchsorted([*b"=DIX"], move).astype(np.int32)), ["=", "D", "I", "X"]).cast(pa.string()), "")
+    runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pieces), "")
+    at = np.full(n, -1)
+    at[lane] = np.arange(len(lane))
+    at = pa.array(at, mask=at < 0)
+    return [path.take(at), runs.take(at)]
+
+
 def locations(reads: DataFrame, adapters: list[tuple[str, str]], id_column: str = "id") -> DataFrame:
     """One row a read and adapter: id, query_id, distance, and starts and stops of all places that have it, by stop, from 1."""
     kind = reads.schema[id_column].dataType.simpleString()

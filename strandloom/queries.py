@@ -82,21 +82,33 @@ def bit_flips_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def align_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forward primer in the first 60 bases of reads, in each mode; N matches every base."""
-    d = mixed(spark, sf_dir).select("rid", F.lit(fixtures.FORWARD).alias("query"), F.substring("seq", 1, 60).alias("text"))
+    """The forward primer in reads, in each mode; N matches every base."""
+    d = mixed(spark, sf_dir).select("rid", F.lit(fixtures.FORWARD).alias("query"), F.col("seq").alias("text"))
     for mode in ("global", "prefix", "infix"):
         d = align.align_pairs(d, "query", "text", mode, equal=EQUAL, name=mode)
     d = align.align_pairs(d, "query", "text", "infix", 4, EQUAL, name="near")
     return d.select("rid", F.col("global.distance").alias("whole"), F.col("prefix.distance").alias("prefix"), F.col("prefix.stops")[0].alias("prefix_stop"), F.col("infix.distance").alias("infix"), F.col("infix.stops").alias("infix_stops"), F.col("near.distance").alias("near"))
 
 
+def align_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constructs of 100 and 200 bases in reads, N for what varies, with and without a bound of their distance."""
+    d = mixed(spark, sf_dir).select("rid", F.col("seq").alias("text"), F.explode(F.create_map(*[F.lit(x) for pair in alignment_sql.LONG.items() for x in pair])).alias("query_id", "query"))
+    d = align.align_pairs(d, "query", "text", "infix", equal=EQUAL, name="best")
+    d = align.align_pairs(d, "query", "text", "infix", alignment_sql.LONG_BOUND, EQUAL, name="near")
+    return d.select("rid", "query_id", F.col("best.distance").alias("distance"), F.col("best.stops").alias("stops"), F.col("near.distance").alias("near"))
+
+
+def align_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads against the reads that they were made from, whole."""
+    made = reads(spark, sf_dir).select(F.col("rid").alias("r"), F.col("seq").alias("origin"))
+    d = mixed(spark, sf_dir).select("rid", "seq").join(made, F.col("rid") == F.col("r"))
+    return align.align_pairs(d, "seq", "origin", "global").select("rid", F.col("aligned.distance").alias("distance"))
+
+
 def align_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of the forward primer against bases 9 to 34 of reads: what each uses of either string, and its edits, which are the distance."""
-    d = mixed(spark, sf_dir).select("rid", F.lit(fixtures.FORWARD).alias("query"), F.substring("seq", 9, 26).alias("text"))
-    d = align.align_pairs(d, "query", "text", "global", path=True).select("rid", "text", "aligned.*")
-    used = lambda letters: F.length(F.translate("path", "".join(set("=XID") - set(letters)), "")).alias(f"n_{letters.strip('=').lower()}")
-    runs = F.regexp_extract_all("cigar", F.lit("([0-9]+)"), F.lit(1)).cast("array<int>")
-    return d.select("rid", "distance", used("XID"), used("=XI"), used("=XD"), F.aggregate(runs, F.lit(0), lambda a, x: a + x).alias("n_cigar") - F.length("path")).toDF("rid", "distance", "edits", "of_query", "of_text", "odd")
+    """Paths of the forward primer against reads, whole."""
+    d = mixed(spark, sf_dir).select("rid", F.lit(fixtures.FORWARD).alias("query"), F.col("seq").alias("text"))
+    return align.align_pairs(d, "query", "text", "global", path=True).select("rid", "aligned.distance", "aligned.path", "aligned.cigar")
 
 
 def align_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +265,7 @@ def demultiplex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        cell_umi_counts, revcomp_reads, encode_barcodes, decode_barcodes, distances, phred_scores, poly_tail_scan, poly_runs, bit_flips, bit_flips_two, align_modes, align_paths, align_locations, batch_categories, align_stats, null_distance, lower_bounds, calibration_rows,
+        cell_umi_counts, revcomp_reads, encode_barcodes, decode_barcodes, distances, phred_scores, poly_tail_scan, poly_runs, bit_flips, bit_flips_two, align_modes, align_long, align_reads, align_paths, align_locations, batch_categories, align_stats, null_distance, lower_bounds, calibration_rows,
         layout_expand, align_signatures, signature_parse, signature_classify, signature_annotate, extract_reads, whitelist_check, barcode_freq, secondary_topk, whitelist_neighbours, mutate_and_check,
         correct_ties, correct_barcodes, paf_tags, read_length_stats, renamed_reads, demultiplex)}
 
@@ -326,6 +338,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT rid, '@r' || rid || '*' || CASE WHEN target IS NULL THEN '' ELSE '{{orig_hamming_' || barcode || '_' || {_TEXT.format('target', 16)} || ':' || bases || '}}' END AS sig_id, CASE WHEN target IS NULL THEN barcode ELSE {_TEXT.format('target', 16)} END AS barcode FROM b LEFT JOIN one USING (code)""",
         "bit_flips_two": f"WITH {_BARCODES}, m AS (SELECT list(DISTINCT (1::BIGINT << CAST(i AS INT)) | (1::BIGINT << CAST(j AS INT))) AS m FROM range(0, 32) a(i), range(0, 32) b(j)) SELECT code, list_sort(list_transform(m, lambda x: xor(code, x))) AS flips FROM (SELECT DISTINCT code FROM b), m",
         "align_modes": alignment_sql.modes(_MIXED),
+        "align_long": alignment_sql.long(_MIXED),
+        "align_reads": f"SELECT rid, CAST(levenshtein(m.seq, r.seq) AS INT) AS distance FROM ({_MIXED}) m JOIN ({_READS}) r USING (rid)",
         "align_paths": alignment_sql.paths(_MIXED),
         "align_locations": alignment_sql.locations(_MIXED),
         "batch_categories": alignment_sql.batches(_MIXED, BOUNDS),

@@ -1,6 +1,9 @@
 import random
 
-from strandloom.functions.alignment import MODES, pairwise, Hits, cigar, global_path, infix, two_best
+import pytest
+
+from strandloom.functions import lanes
+from strandloom.functions.alignment import MODES, pairwise, Hits, cigar, global_path, infix, located, two_best
 from strandloom.functions.sequence import flips
 from strandloom.operators.align import align_pairs
 
@@ -107,3 +110,109 @@ def test_pairs_of_a_table(spark):
 def test_flips_of_several_bits(spark):
     (r,) = spark.createDataFrame([(5,)], "code long").select(flips("code", 3, 4).alias("f")).collect()
     assert r.f == sorted(5 ^ m for m in range(1, 256) if m.bit_count() <= 3)
+
+
+def _near(rng, query):
+    """A text around a changed copy of a query, or something else."""
+    out = list(query) if rng.random() < 0.7 else []
+    for _ in range(rng.randint(0, max(1, len(query) // 4))):
+        at = rng.randrange(len(out) + 1)
+        out[at : at + rng.randint(0, 1)] = rng.choice(["", "A", "C", "N", "GT"])
+    junk = lambda n: "".join(rng.choice("ACGT") for _ in range(rng.choice([0, n // 5, n])))
+    return junk(150) + "".join(out) + junk(150)
+
+
+@pytest.mark.parametrize("crowd", (0, 8))
+def test_words_bands_and_bounds(monkeypatch, crowd):
+    """Queries of one word and more, as lanes and one by one, within bounds and without, against a table of distances."""
+    monkeypatch.setattr(lanes, "CROWD", crowd)
+    rng = random.Random(21)
+    for k in range(4):
+        queries = ["".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 1, 40, 63, 64, 65, 100, 128, 129, 200]))) for _ in range(30)]
+        texts = [_near(rng, q) for q in queries]
+        equal = (("N", "A"),) if k % 2 else ()
+        for mode in MODES:
+            last = [table(q, t, equal, mode != "infix")[-1] for q, t in zip(queries, texts, strict=True)]
+            for most in (-1, 0, 5, 70):
+                h = located(queries, texts, mode, most, equal)
+                for lane, row in enumerate(last):
+                    best, ends = (row[-1] if mode == "global" else min(row)), [int(e) for x, e in zip(h.lane, h.end, strict=True) if x == lane]
+                    assert h.distance[lane] == (-1 if 0 <= most < best else best)
+                    if 0 <= most < best:
+                        assert not ends
+                    elif queries[lane]:
+                        assert ends == ([len(texts[lane]) - 1] if mode == "global" else [j - 1 for j, v in enumerate(row) if v == best])
+        h = located(queries, texts, "infix", -1, equal)
+        for lane, start, end in zip(h.lane, h.start, h.end, strict=True):
+            own = texts[lane][start : end + 1]
+            assert table(queries[lane], own, equal, True)[-1][-1] == h.distance[lane]
+            if start and end >= 0:
+                assert table(queries[lane], texts[lane][start - 1 : end + 1], equal, True)[-1][-1] > h.distance[lane] or start > end
+
+
+def test_paths_cut_in_two_are_best_paths():
+    rng = random.Random(22)
+    for k in range(40):
+        query, text = ("".join(rng.choice("ACGT") for _ in range(rng.randint(0, 180))) for _ in range(2))
+        distance, path = global_path(query, text, table=(64, 700, lanes.TABLE)[k % 3])
+        assert distance == table(query, text, (), True)[-1][-1]
+        i = j = 0
+        for c in path:
+            assert c not in "=X" or (query[i] == text[j]) == (c == "=")
+            i, j = i + (c != "D"), j + (c != "I")
+        assert (i, j) == (len(query), len(text))
+
+
+def test_paths_prefer_the_query_alone_then_the_text_alone():
+    """Moves from the end back against a table of distances."""
+    rng = random.Random(23)
+    for _ in range(60):
+        query, text = ("".join(rng.choice("ACG") for _ in range(rng.randint(0, 70))) for _ in range(2))
+        d = table(query, text, (), True)
+        i, j, back = len(query), len(text), []
+        while i or j:
+            if i and d[i - 1][j] == d[i][j] - 1:
+                back.append("I")
+                i -= 1
+            elif j and d[i][j - 1] == d[i][j] - 1:
+                back.append("D")
+                j -= 1
+            else:
+                back.append("=" if query[i - 1] == text[j - 1] else "X")
+                i, j = i - 1, j - 1
+        assert global_path(query, text)[1] == "".join(reversed(back))
+
+
+def test_path_of_20000_bases_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(24)
+    query = "".join(rng.choice("ACGT") for _ in range(20_000))
+    text = list(query)
+    for _ in range(400):
+        text[rng.randrange(len(text))] = rng.choice(["", "A", "CG"])
+    text = "".join(text)
+    tracemalloc.start()
+    distance, path = global_path(query, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20 and distance == located([query], [text], "global").distance[0] and path.count("I") + path.count("X") + path.count("D") == distance
+    assert path.count("=") + path.count("X") + path.count("I") == len(query) and path.count("=") + path.count("X") + path.count("D") == len(text)
+
+
+def test_a_bound_saves_work():
+    """Rows off the band aren't computed: of 20 words of a query, those that the bound reaches."""
+    rng = random.Random(25)
+    texts = ["".join(rng.choice("ACGT") for _ in range(1280)) for _ in range(200)]
+    queries = [t[:700] + "ACGT" + t[704:] for t in texts]
+    seen = []
+    step = lanes._step
+    try:
+        lanes._step = lambda *a: seen.append(len(a[0])) or step(*a)
+        near = located(queries, texts, "global", 20).distance
+        work = sum(seen)
+        seen.clear()
+        assert (near == located(queries, texts, "global").distance).all() and near.max() <= 4
+    finally:
+        lanes._step = step
+    assert work < 0.15 * 200 * 1280 * 20
