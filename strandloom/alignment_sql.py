@@ -168,3 +168,20 @@ x AS (SELECT id, {one} FROM ca WHERE category = 'forward' AND coalesce(t_stop, f
   UNION ALL SELECT id, {two} FROM ca WHERE category = 'reverse' AND CASE WHEN rr <= brr THEN rr_stop + 1 ELSE 1 END <= coalesce(a_start, rf_start) - 1
   UNION ALL SELECT id, {one} FROM o4 WHERE length({cut('i_start', 'i_stop')}) >= 30
   UNION ALL SELECT id, {two} FROM o4 WHERE length({cut('i_start', 'i_stop')}) >= 30 AND length({cut('j_start', 'j_stop')}) >= 30)"""
+
+
+def signature_lines(reads: str, windows: str) -> str:
+    """CTEs of extracted(), and y: a line for each read of 150 bases and more, its signature with all pieces and its category."""
+    piece = lambda name, ed, start, stop, when="true": f"CASE WHEN {when} THEN '{name}:' || {ed} || ':' || ({start}) || ':' || ({stop}) END"
+    done = ", ".join((
+        piece("forw_primer", "f", "f_start", "f_stop"), piece("barcode", 0, "f_stop + 1", "f_stop + 16", "f <= bf"), piece("umi", 0, "f_stop + 17", "f_stop + 28", "f <= bf"), piece("poly_t", 0, "t_start", "t_stop", "t_start IS NOT NULL"),
+        f"CASE WHEN category = 'forward' THEN 'read:0:' || (coalesce(t_stop, f_stop + 28) + 1) || ':' || (CASE WHEN r <= br THEN r_start - 1 ELSE 0 END) WHEN t_start IS NOT NULL THEN 'read:0:0:100' END",
+        piece("rev_primer", "r", "r_start", "r_stop"), piece("rc_forw_primer", "rf", "rf_start", "rf_stop"), piece("rc_barcode", 0, "rf_start - 16", "rf_start - 1", "rf <= brf"), piece("rc_umi", 0, "rf_start - 28", "rf_start - 17", "rf <= brf"), piece("poly_a", 0, "a_start", "a_stop", "a_start IS NOT NULL"),
+        f"CASE WHEN category = 'reverse' THEN 'rc_read:0:' || (CASE WHEN rr <= brr THEN rr_stop + 1 ELSE 1 END) || ':' || (coalesce(a_start, rf_start) - 1) WHEN a_start IS NOT NULL THEN 'rc_read:0:0:100' END",
+        piece("rc_rev_primer", "rr", "rr_start", "rr_stop")))
+    names = "['forw_primer', 'barcode', 'umi', 'poly_t', 'rev_primer', 'rc_forw_primer', 'rc_barcode', 'rc_umi', 'poly_a', 'rc_rev_primer']"
+    line = lambda name, start, stop: f"{name} || ':0:' || {start} || ':' || {stop}"
+    both = f"""list_concat(list_transform(q, lambda e: {{'k': e.start * 100 + e.o, 's': {line(f"({names})[e.o + 1]", "e.start", "e.stop")}}}), [{{'k': 10199, 's': {line("'read'", "i_start", "i_stop")}}}, {{'k': x1 * 100 + 99, 's': {line("'rc_read'", "j_start", "j_stop")}}}])"""
+    return f"""{extracted(reads, windows)},
+y AS (SELECT id, array_to_string(list_transform(list_sort({both}), lambda e: e.s), '|') || '<rescuable_concatenates>' AS line FROM o4
+  UNION ALL SELECT id, array_to_string([{done}], '|') || '<' || CASE WHEN category IN ('forward', 'reverse') THEN category ELSE 'undecided' END || '>' FROM ca WHERE id NOT IN (SELECT id FROM o4))"""

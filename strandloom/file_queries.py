@@ -14,6 +14,8 @@ from strandloom.sources import sinks, tables
 from strandloom.sources.records import read_records
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Reads that calibration_files may use: fewer than its files have in each of the tables given.
+CALIBRATION = 700
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,27 +112,43 @@ def thresholds_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).csv(folder, schema="query_id string, null_distance double, sd_null double")
 
 
-def demux_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole run from FASTQ to its output folder, of reads without faults: what is written there, counted."""
+def calibration_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds by the first reads of the first of thirty files, fewer than there are."""
+    folder = Scratch(spark, "files").folder("many")
+    reads = fixtures.frame(spark, sf_dir, fixtures.READS).select("rid", F.col("rid") % 30 + 10, F.concat_ws("\n", "id", "seq", F.lit("+"), "qual")).toDF("rid", "part", "value")
+    reads.repartition(30, "part").sortWithinPartitions("part", "rid").select("value", "part").write.partitionBy("part").option("compression", "gzip").text(folder)
+    return demux.null_distances_of_files(spark, folder, layout.kit("three"), demux.Options(calibration_reads=CALIBRATION, calibration_files=20))
+
+
+def _written(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, int]]:
+    """The folder of a whole run over FASTQ files of the mixed reads, and its counts."""
     scratch = Scratch(spark, "files")
     source, out = scratch.folder("in"), scratch.folder("out")
-    reads = fixtures.frame(spark, sf_dir, fixtures.READS)
-    sinks.write_reads(reads.select("id", "seq", "qual"), source)
+    sinks.write_reads(_mixed(spark, sf_dir).select("id", "seq", "qual"), source)
     plan = layout.kit("three", whitelist=_barcodes(spark, sf_dir).select(S.encode("true_barcode").alias("whitelist_bcs")), paths={"file": source, "output_dir": out})
-    demux.run(spark, plan)
-    lines = lambda name: spark.read.text(f"{out}/{name}").agg(F.count("*").alias(name))
-    found = read_records(spark, f"{out}/filtered_reads").select(F.split("id", "_").alias("p"))
-    cells = found.select(F.col("p")[2].alias("barcode"), F.col("p")[1].alias("umi")).groupBy("barcode").agg(F.count("*").alias("reads"), F.countDistinct("umi").alias("umis"))
-    # one row each
-    return cells.crossJoin(F.broadcast(lines("all_barcodes"))).crossJoin(F.broadcast(lines("sigsummary")))
+    return out, demux.run(spark, plan)
+
+
+def demux_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a run's stages, as it observed them."""
+    return spark.createDataFrame(list(_written(spark, sf_dir)[1].items()), "counter string, n bigint")
+
+
+def demux_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run from FASTQ to its output folder: lines of signatures and barcodes, and names of reads, with how often each is there."""
+    out, _ = _written(spark, sf_dir)
+    lines = [spark.read.text(f"{out}/{name}").select(F.lit(name).alias("output"), F.col("value").alias("line")) for name in ("sigsummary", "all_barcodes")]
+    names = read_records(spark, f"{out}/filtered_reads").select(F.lit("filtered_reads").alias("output"), F.col("id").alias("line"))
+    return lines[0].unionByName(lines[1]).unionByName(names).groupBy("output", "line").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (fastq_files, fastq_plain, fasta_files, record_range, whitelist_file, layout_file, plan_file, paf_file, thresholds_file, demux_files)}
+    return {f.__name__: f for f in (fastq_files, fastq_plain, fasta_files, record_range, whitelist_file, layout_file, plan_file, paf_file, thresholds_file, calibration_files, demux_files, demux_counters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from strandloom.queries import _BARCODES, _Q, demux_sql
+    from strandloom.alignment_sql import null_distance
+    from strandloom.queries import _BARCODES, _Q, counters_sql, run_sql
 
     mixed, reads = fixtures.duck(fixtures.MIXED), fixtures.duck(fixtures.READS)
     return {
@@ -148,5 +166,7 @@ def oracle_sql() -> dict[str, str]:
         "paf_file": """WITH l AS (SELECT l_orderkey || '_' || l_linenumber AS id, l_orderkey AS k, l_linenumber AS n FROM lineitem)
             SELECT id, 216.0::DOUBLE AS ql, n::DOUBLE AS qs, CASE WHEN n % 2 = 0 THEN '+' END AS qr, 'chr' || n AS sn, 205.0::DOUBLE AS se, k::DOUBLE AS mq, CASE k % 3 WHEN 0 THEN 'NM:i:3' WHEN 1 THEN 'NM:i:4' END AS "NM", CASE k % 3 WHEN 0 THEN 'ms:i:' || n WHEN 2 THEN 'ms:i:' || k END AS ms, CASE k % 3 WHEN 0 THEN 'tp:A:P' WHEN 1 THEN 'tp:A:S' END AS tp FROM l""",
         "thresholds_file": f"WITH {_Q} SELECT query_id, avg(d) AS null_distance, stddev_samp(d) AS sd_null FROM o GROUP BY query_id",
-        "demux_files": demux_sql(reads, ", (SELECT count(*) FROM x) AS all_barcodes, (SELECT count(*) FROM x) AS sigsummary"),
+        "calibration_files": null_distance(f"SELECT * FROM ({reads}) WHERE rid % 30 < 20 ORDER BY rid % 30, rid LIMIT {CALIBRATION}"),
+        "demux_files": run_sql(mixed),
+        "demux_counters": counters_sql(mixed),
     }

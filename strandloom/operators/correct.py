@@ -2,7 +2,7 @@
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import UNDECIDED, base_distance, best_qgram_matches, bit_distance, decimals, decode, encode, qgram_distance
@@ -10,6 +10,8 @@ from strandloom.scratch import Scratch
 
 #: Whitelist barcodes among the most frequent that the last tie-break looks at.
 TOP = 5000
+#: How a code finds its correction.
+WAYS = ("hamming", "minilist", "jaccard", "extended")
 
 
 def code_of(barcode: Column | str) -> Column:
@@ -72,16 +74,16 @@ def _variants(bases: int, length: int) -> list[int]:
     return [a | b for a, i in one for b, j in one if j < i]
 
 
-def neighbours(codes: DataFrame, whitelist: DataFrame, bits: int = 4, bases: int = 4, length: int = 16, nearest: bool = True) -> DataFrame:
+def neighbours(codes: DataFrame, whitelist: DataFrame, bits: int = 4, bases: int = 4, length: int = 16, nearest: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """(code, target, bases): whitelist codes one to bits bits and at most bases bases from each distinct code.
 
     nearest: only those at the least distance in bases, found in steps: codes with one base changed are looked up as they
     are, then with two, for those that found none; what is left is looked up by halves, as are all without nearest. So
     most codes cost 48 look-ups. Codes, whitelist and each step's finds are written once.
     """
-    scratch = Scratch(codes.sparkSession, "neighbours")
-    codes = scratch.keep(codes.select("code").where("code IS NOT NULL").distinct(), "codes")
-    targets = scratch.keep(whitelist.select(F.col("whitelist_bcs").alias("target")).where("target IS NOT NULL").distinct(), "targets")
+    scratch = scratch or Scratch(codes.sparkSession, "neighbours")
+    codes = scratch.keep(codes.select("code").where("code IS NOT NULL").distinct(), "near-codes")
+    targets = scratch.keep(whitelist.select(F.col("whitelist_bcs").alias("target")).where("target IS NOT NULL").distinct(), "near-targets")
     if not nearest:
         found = _by_halves(codes, targets, bits, length).withColumn("bases", base_distance("code", "target", length))
         return found.where(F.col("bases") <= bases)
@@ -91,8 +93,8 @@ def neighbours(codes: DataFrame, whitelist: DataFrame, bits: int = 4, bases: int
             break
         masks = F.explode(F.array(*[F.lit(m).cast("bigint") for m in _variants(k, length) if m.bit_count() <= bits]))
         tried = left.select("code", masks.alias("mask")).select("code", F.col("code").bitwiseXOR(F.col("mask")).alias("target"))
-        parts.append(scratch.keep(tried.join(targets, "target", "left_semi").select("code", "target", F.lit(k).alias("bases")), f"bases-{k}"))
-        left = scratch.keep(left.join(parts[-1].select("code").distinct(), "code", "left_anti"), f"left-{k}")
+        parts.append(scratch.keep(tried.join(targets, "target", "left_semi").select("code", "target", F.lit(k).alias("bases")), f"near-bases-{k}"))
+        left = scratch.keep(left.join(parts[-1].select("code").distinct(), "code", "left_anti"), f"near-left-{k}")
     if bases > 2 and bits > 2:
         far = _by_halves(left, targets, bits, length).withColumn("bases", base_distance("code", "target", length)).where(F.col("bases") <= bases)
         parts.append(far.withColumn("least", F.min("bases").over(Window.partitionBy("code"))).where("bases = least").select("code", "target", "bases"))
@@ -111,20 +113,22 @@ def mutate_and_check(codes: DataFrame, whitelist: DataFrame, bits: int = 4, leng
     return codes.join(near.groupBy("code").agg(F.array_sort(F.collect_set("target")).alias("matches")), "code", "left").select("code", F.coalesce("matches", F.array().cast("array<bigint>")).alias("matches"))
 
 
-def decide(codes: DataFrame, whitelist: DataFrame, freq: DataFrame, jaccard: bool = True, bits: int = 4, bases: int = 4, length: int = 16, top: int = TOP) -> DataFrame:
+def decide(codes: DataFrame, whitelist: DataFrame, freq: DataFrame, jaccard: bool = True, bits: int = 4, bases: int = 4, length: int = 16, top: int = TOP, scratch: Scratch | None = None) -> DataFrame:
     """(code, target, how, value) for each distinct code off the whitelist that finds a correction.
 
     The nearest whitelist codes compete: alone (hamming, value the distance), by the one greatest frequency (minilist),
     else, with jaccard, by the one least distance of base pairs (jaccard, value that distance), else by the frequency of
     the nearest neighbours that those tied have among the top most frequent, the smaller code on ties (extended).
     """
-    scratch = Scratch(codes.sparkSession, "decide")
-    near = neighbours(codes, whitelist, bits, bases, length)
+    scratch = scratch or Scratch(codes.sparkSession, "decide")
+    near = neighbours(codes, whitelist, bits, bases, length, scratch=scratch)
     scored = near.join(freq.select(F.col("whitelist_bcs").alias("target"), "freq"), "target", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     # candidates of a code number 48 at one base and thousands at most, by what lies within the reach in bits
     by_code = scored.groupBy("code").agg(F.count("*").alias("n"), F.min("bases").alias("bases"), F.max("freq").alias("most"), F.collect_list(F.struct("target", "freq")).alias("all"))
     leaders = F.filter("all", lambda x: x["freq"] == F.col("most"))
     first = scratch.keep(by_code.select("code", "n", "bases", F.when(F.col("n") > 1, F.transform("all", lambda x: x["target"])).alias("all"), leaders.alias("leaders")), "first")
+    for name in [n for n in scratch.names if n.startswith("near-")]:
+        scratch.drop(name)
     done = first.where((F.col("n") == 1) | (F.size("leaders") == 1)).select("code", F.col("leaders")[0]["target"].alias("target"), F.when(F.col("n") == 1, "hamming").otherwise("minilist").alias("how"), F.when(F.col("n") == 1, F.col("bases")).cast("double").alias("value"))
     if not jaccard:
         return done
@@ -142,22 +146,35 @@ def decide(codes: DataFrame, whitelist: DataFrame, freq: DataFrame, jaccard: boo
     return done.unionByName(one).unionByName(last)
 
 
-def correct(extracted: DataFrame, whitelist: DataFrame, barcorrect: bool = True, jaccard: bool = True, bits: int = 4, bases: int = 4, length: int = 16, top: int = TOP) -> DataFrame:
+def correct(extracted: DataFrame, whitelist: DataFrame, barcorrect: bool = True, jaccard: bool = True, bits: int = 4, bases: int = 4, length: int = 16, top: int = TOP, scratch: Scratch | None = None, seen: Observation | None = None) -> DataFrame:
     """Extracted reads with barcodes corrected, and a note of it after their sig_id.
 
     Distinct codes are counted, written, and decided on; a row a code joins back to the reads, once. Reads off the whitelist
     that find no correction stay as they are; so do reads without a cut barcode, which take no part in the join. Without
     barcorrect only reads on the whitelist come out. extracted is read twice; see demux() of plans, which writes it first.
+    Of the tables written, that of decisions stays, which the result is read from. seen gets counts of reads on the whitelist
+    and of those corrected each way.
     """
-    scratch = Scratch(extracted.sparkSession, "correct")
+    scratch = scratch or Scratch(extracted.sparkSession, "correct")
     coded = extracted.withColumn("_code", code_of("barcode"))
-    known = scratch.keep(whitelist.select("whitelist_bcs").where("whitelist_bcs IS NOT NULL").distinct(), "whitelist")
+    known = whitelist.select("whitelist_bcs").where("whitelist_bcs IS NOT NULL").distinct()
     if not barcorrect:
         return coded.join(known, F.col("_code") == F.col("whitelist_bcs"), "left_semi").select(*extracted.columns)
+    known = scratch.keep(known, "whitelist")
     counts = coded.where("_code IS NOT NULL").groupBy(F.col("_code").alias("code")).agg(F.count("*").alias("freq"))
     codes = scratch.keep(in_whitelist(counts, known), "codes")
     freq = codes.where("listed").select(F.col("code").alias("whitelist_bcs"), "freq")
-    plan = scratch.keep(decide(codes.where("NOT listed").select("code"), known, freq, jaccard, bits, bases, length, top), "plan")
+    decided = decide(codes.where("NOT listed").select("code"), known, freq, jaccard, bits, bases, length, top, scratch)
+    if seen is not None:
+        reads_of = decided.select(F.col("code").alias("_off"), F.col("how").alias("_how"))
+        ways = codes.join(reads_of, F.col("code") == F.col("_off"), "left").select("code", "freq", F.when(F.col("listed"), "listed").otherwise(F.col("_how")).alias("way"))
+        ways.observe(seen, *[F.sum(F.when(F.col("way") == w, F.col("freq")).otherwise(0)).alias(w) for w in ("listed", *WAYS)]).write.format("noop").mode("overwrite").save()
+    plan = scratch.keep(decided, "plan")
+    for name in ("whitelist", "codes", "first", "tied", "few"):
+        if name in scratch.names:
+            scratch.drop(name)
+    for name in [n for n in scratch.names if n.startswith("near-")]:
+        scratch.drop(name)
     out = coded.where("_code IS NOT NULL").join(plan.withColumnRenamed("code", "_from"), F.col("_code") == F.col("_from"), "left")
     new = decode("target", length)
     pair = F.concat(F.col("barcode"), F.lit("_"), new)

@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import before_star
@@ -10,7 +10,7 @@ from strandloom.operators import align, calibrate, correct, extract, signature
 from strandloom.plans.layout import DemuxPlan
 from strandloom.scratch import Scratch
 from strandloom.sources import sinks
-from strandloom.sources.records import read_records
+from strandloom.sources.records import first_records, read_records
 
 #: Shorter reads are left out.
 LEAST_READ = 150
@@ -22,6 +22,7 @@ class Options:
     jaccard: bool = False
     least_read: int = LEAST_READ
     calibration_reads: int = 100_000
+    calibration_files: int = 20
 
 
 def strands(plan: DemuxPlan) -> tuple[list[str], list[str]]:
@@ -38,6 +39,12 @@ def null_distances(reads: DataFrame, plan: DemuxPlan, options: Options = Options
     return calibrate.calibrate(stats(calibrate.sample(reads, options.calibration_reads), plan), *strands(plan))
 
 
+def null_distances_of_files(spark: SparkSession, path: str | list[str], plan: DemuxPlan, options: Options = Options(), scratch: Scratch | None = None, glob: str | None = None) -> DataFrame:
+    """Thresholds by the first reads of the first files; no others are opened."""
+    first = first_records(spark, path, options.calibration_reads, options.calibration_files, glob=glob, scratch=scratch)
+    return calibrate.calibrate(stats(first, plan), *strands(plan))
+
+
 def signatures(reads: DataFrame, plan: DemuxPlan, null: dict, options: Options = Options()) -> DataFrame:
     return align.align_signatures(reads.where(F.length("seq") >= options.least_read), plan.adapters, null, plan.exact_pairing)
 
@@ -50,13 +57,8 @@ def extracted(reads: DataFrame, plan: DemuxPlan, null: dict, options: Options =
     return extract.extract(annotated(reads, plan, null, options), plan.exact_coords)
 
 
-def _corrected(found: DataFrame, plan: DemuxPlan, options: Options) -> DataFrame:
-    out = correct.correct(found, plan.whitelist, options.barcorrect, options.jaccard, length=plan.barcode_length)
-    return correct.on_lists(out, plan.whitelist, plan.external)
-
-
 def corrected(reads: DataFrame, plan: DemuxPlan, null: dict, options: Options = Options()) -> DataFrame:
-    """Reads cut, corrected and on the lists; what is cut is written once."""
+    """Reads cut, corrected and on the lists; what is annotated is written once."""
     return demux(reads.sparkSession, plan, options, reads, null)
 
 
@@ -71,28 +73,74 @@ def cell_counts(found: DataFrame) -> DataFrame:
 
 
 def demux(spark: SparkSession, plan: DemuxPlan, options: Options = Options(), reads: DataFrame | None = None, null: dict | None = None) -> DataFrame:
-    """Corrected reads of a plan's files, or of reads. Thresholds come from the reads themselves unless given.
+    """Corrected reads of a plan's files, or of reads. Thresholds come from the first of the files, or the reads, unless given.
 
-    The one thing that the driver gets is a row an adapter. Reads are aligned once, and what is cut out of them written,
-    since correction counts barcodes before it changes them.
+    The one thing that the driver gets is a row an adapter. Reads are aligned once, and annotated reads written, since
+    correction counts barcodes before it changes them. Those, and the decisions on codes, stay until the driver ends.
     """
+    scratch = Scratch(spark, "demux")
+    if null is None:
+        found = null_distances_of_files(spark, plan.paths["file"], plan, options, scratch) if reads is None else null_distances(reads, plan, options)
+        null = calibrate.collected(found)
+        scratch.only("annotated")
     reads = reads if reads is not None else read_records(spark, plan.paths["file"])
-    null = null if null is not None else calibrate.collected(null_distances(reads, plan, options))
-    found = Scratch(spark, "demux").keep(extracted(reads, plan, null, options), "extracted")
-    return _corrected(found, plan, options)
+    cut = extract.extract(scratch.keep(_lean(annotated(reads, plan, null, options)), "annotated"), plan.exact_coords)
+    return correct.on_lists(_fixed(cut, plan, options, scratch), plan.whitelist, plan.external)
+
+
+def _lean(annotated: DataFrame) -> DataFrame:
+    return annotated.select("id", "seq", "qual", "signature", "category")
+
+
+def _fixed(cut: DataFrame, plan: DemuxPlan, options: Options, scratch: Scratch, seen: Observation | None = None) -> DataFrame:
+    return correct.correct(cut, plan.whitelist, options.barcorrect, options.jaccard, length=plan.barcode_length, scratch=scratch, seen=seen)
+
 
+def run(spark: SparkSession, plan: DemuxPlan, options: Options = Options()) -> dict[str, int]:
+    """demux() with what a run leaves in its output folder, and counts of its stages.
 
-def run(spark: SparkSession, plan: DemuxPlan, options: Options = Options()) -> None:
-    """demux() with what a run leaves in its output folder: thresholds, reads, barcodes and signatures."""
-    out, reads = plan.paths["output_dir"], read_records(spark, plan.paths["file"])
-    scratch = Scratch(spark, "run")
-    null = scratch.keep(null_distances(reads, plan, options), "null")
+    misalignment_distances; sigsummary: a signature with its category for each read that is long enough; all_barcodes: of
+    each read cut, after correction, on the lists or not; filtered_reads: those on the lists. Each is a folder that a rerun
+    writes over. No other table is left.
+    """
+    out, scratch = plan.paths["output_dir"], Scratch(spark, "run")
+    null = scratch.keep(null_distances_of_files(spark, plan.paths["file"], plan, options, scratch), "null")
     sinks.write_thresholds(null, f"{out}/misalignment_distances")
-    found = scratch.keep(extracted(reads, plan, calibrate.collected(null), options), "extracted")
-    sinks.write_lines(found, "barcode", f"{out}/all_barcodes")
-    sinks.write_lines(found, "sig_id", f"{out}/sigsummary")
-    sinks.write_reads(renamed(_corrected(found, plan, options)), f"{out}/filtered_reads", mode="append")
-    scratch.only("none")
+    found, counts = write_annotated(read_records(spark, plan.paths["file"]), plan, calibrate.collected(null), options, scratch)
+    sinks.write_signatures(found, f"{out}/sigsummary")
+    cut = extract.extract(found, plan.exact_coords)
+    counts |= settle(cut, plan, out, options, scratch)
+    scratch.close()
+    return counts
+
+
+def write_annotated(reads: DataFrame, plan: DemuxPlan, null: dict, options: Options, scratch: Scratch) -> tuple[DataFrame, dict[str, int]]:
+    """The annotated reads, written and read again, and how many came in, were too short, and are of each category."""
+    seen, kinds = Observation(), Observation()
+    reads = reads.observe(seen, F.count("*").alias("reads"), F.count_if(~F.coalesce(F.length("seq") >= options.least_read, F.lit(False))).alias("short"))
+    done = _lean(annotated(reads, plan, null, options)).observe(kinds, *[F.count_if(F.col("category") == c).alias(c) for c in signature.CATEGORIES])
+    return scratch.keep(done, "annotated"), {**_got(seen, "reads", "short"), **_got(kinds, *signature.CATEGORIES)}
+
+
+def _got(seen: Observation, *names: str) -> dict[str, int]:
+    """Observed counts; of empty inputs Spark may observe nothing."""
+    return {n: int(seen.get.get(n) or 0) for n in names}
+
+
+def settle(cut: DataFrame, plan: DemuxPlan, out: str, options: Options = Options(), scratch: Scratch | None = None) -> dict[str, int]:
+    """Barcodes and filtered reads of all reads cut, over whatever an earlier run left, and counts of them.
+
+    Frequencies that break ties are those of all reads cut, in however many parts they came.
+    """
+    own = scratch or Scratch(cut.sparkSession, "settle")
+    all_seen, kept_seen, ways = Observation(), Observation(), Observation()
+    fixed = _fixed(cut, plan, options, own, ways)
+    sinks.write_lines(fixed.observe(all_seen, F.count("*").alias("cut")), "barcode", f"{out}/all_barcodes", mode="overwrite")
+    kept = correct.on_lists(fixed, plan.whitelist, plan.external).observe(kept_seen, F.count("*").alias("kept"))
+    sinks.write_reads(renamed(kept), f"{out}/filtered_reads", mode="overwrite")
+    if scratch is None:
+        own.close()
+    return {**_got(all_seen, "cut"), **_got(kept_seen, "kept"), **(_got(ways, "listed", *correct.WAYS) if options.barcorrect else {})}
 
 
 def read_stats(reads: DataFrame) -> DataFrame:

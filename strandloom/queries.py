@@ -365,14 +365,33 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
-def demux_sql(reads: str, more: str = "") -> str:
+def demux_sql(reads: str) -> str:
     """Counts of each barcode after a run over reads, without distances of base pairs."""
-    return f"""WITH {alignment_sql.extracted(reads, _POLY)}, w AS (SELECT DISTINCT {_CODE.format("true_barcode")} AS whitelist_bcs FROM ({_READS})), xb AS (SELECT *, CASE WHEN barcode <> 'undecided' THEN {_CODE.format("barcode")} END AS code FROM x),
+    return f"WITH {_run(reads)} SELECT barcode, count(*) AS reads, count(DISTINCT umi) AS umis FROM fx GROUP BY barcode"
+
+
+def run_sql(reads: str) -> str:
+    """Lines of a run's output: signatures, barcodes after correction, and names of the reads on the list; how often each occurs."""
+    return f"""WITH {_run(reads)}, o AS (SELECT 'sigsummary' AS output, line FROM y UNION ALL SELECT 'all_barcodes', barcode FROM al UNION ALL SELECT 'filtered_reads', '@r' || id || '_' || umi || '_' || barcode FROM fx)
+SELECT output, line, count(*) AS n FROM o GROUP BY output, line"""
+
+
+def counters_sql(reads: str) -> str:
+    """Counts of a run's stages."""
+    kinds = ", ".join(f"(SELECT count(*) FROM y WHERE suffix(line, '<{c}>')) AS {c}" for c in ("forward", "reverse", "rescuable_concatenates", "undecided"))
+    return f"""WITH {_run(reads)}, n AS (SELECT code, count(*) AS k FROM best GROUP BY code), w2 AS (SELECT tg.code, n.k FROM tg JOIN n USING (code)),
+c AS (SELECT (SELECT count(*) FROM ({reads})) AS reads, (SELECT count(*) FROM ({reads}) WHERE length(seq) < 150) AS short, {kinds}, (SELECT count(*) FROM x) AS cut, (SELECT count(*) FROM b WHERE code IN (FROM w)) AS listed,
+  (SELECT count(*) FROM b JOIN w2 USING (code) WHERE k = 1) AS hamming, (SELECT count(*) FROM b JOIN w2 USING (code) WHERE k > 1) AS minilist, 0 AS jaccard, 0 AS extended, (SELECT count(*) FROM fx) AS kept)
+SELECT counter, CAST(n AS BIGINT) AS n FROM (UNPIVOT (SELECT COLUMNS(*)::BIGINT FROM c) ON COLUMNS(*) INTO NAME counter VALUE n)"""
+
+
+def _run(reads: str) -> str:
+    return f"""{alignment_sql.signature_lines(reads, _POLY)}, w AS (SELECT DISTINCT {_CODE.format("true_barcode")} AS whitelist_bcs FROM ({_READS})), xb AS (SELECT *, CASE WHEN barcode <> 'undecided' THEN {_CODE.format("barcode")} END AS code FROM x),
 b AS (SELECT * FROM xb WHERE code IS NOT NULL), {_NEAR.format(4)}, best AS (SELECT * FROM pairs QUALIFY bases = min(bases) OVER (PARTITION BY code)),
 fr AS (SELECT code AS target, count(*) AS freq FROM b WHERE code IN (FROM w) GROUP BY code), sc AS (SELECT best.code, target, coalesce(freq, 0) AS freq, max(coalesce(freq, 0)) OVER (PARTITION BY best.code) AS most FROM best LEFT JOIN fr USING (target)),
 tg AS (SELECT code, any_value(target) AS target FROM sc WHERE freq = most GROUP BY code HAVING count(*) = 1),
-fx AS (SELECT coalesce({_TEXT.format("tg.target", 16)}, b.barcode) AS barcode, umi FROM b LEFT JOIN tg ON tg.code = b.code WHERE tg.target IS NOT NULL OR b.code IN (FROM w))
-SELECT barcode, count(*) AS reads, count(DISTINCT umi) AS umis{more} FROM fx GROUP BY barcode"""
+al AS (SELECT id, umi, b.code, target, coalesce({_TEXT.format("tg.target", 16)}, b.barcode) AS barcode FROM b LEFT JOIN tg ON tg.code = b.code UNION ALL SELECT id, umi, NULL, NULL, barcode FROM xb WHERE code IS NULL),
+fx AS (SELECT id, umi, barcode FROM al WHERE code IS NOT NULL AND (target IS NOT NULL OR code IN (FROM w)))"""
 
 
 def _extract_sql() -> str:

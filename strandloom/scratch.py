@@ -77,6 +77,12 @@ class Scratch:
         _delete(self._path(name), self.conf)
         self.names.remove(name)
 
+    def close(self) -> None:
+        """Drops all tables and their folder."""
+        if not self.gone():
+            _delete(*_left.pop(self.base))
+        self.names.clear()
+
     def only(self, *prefixes: str) -> None:
         """Drops all tables but those whose names begin so."""
         for name in [n for n in self.names if not n.startswith(prefixes)]:

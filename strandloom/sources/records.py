@@ -1,7 +1,7 @@
 """FASTQ and FASTA files as DataFrames, read as lines by Spark from any store and framed into records.
 
-A compressed file is one task's. Plain files split: a split frames the records that lie in it whole, and the pieces at
-its ends, which are few, meet their other halves in a second pass.
+A compressed file is one task's, and is read once. Plain files split: a split frames the records that lie in it whole, and
+the pieces at its ends, which are few, meet their other halves. Those pieces come from a second framing of the same files.
 """
 
 from collections.abc import Callable, Iterator
@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from strandloom.scratch import Scratch
+
 _FRAME = "file string, block bigint, n bigint, kind int, header string, seq string, qual string, lines array<string>"
 #: Kinds of framed rows: a record, lines that go on with what an earlier split began, lines after a split's last record.
 RECORD, HEAD, TAIL = 0, 1, 2
 #: Lines that a split's phase is told from.
 LOOK = 64
+#: Endings of files that are one split each, whatever their size.
+WHOLE = (".gz", ".deflate", ".snappy", ".lz4", ".zst")
 
 
 def lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
@@ -82,7 +86,8 @@ def _fasta(rows: Iterator[str], first: bool) -> Iterator[tuple]:
         yield TAIL, None, None, None, [header, *parts]
 
 
-def _framed(source: DataFrame, frame: Callable[[Iterator[str], bool], Iterator[tuple]]) -> DataFrame:
+def _framed(source: DataFrame, frame: Callable[[Iterator[str], bool], Iterator[tuple]], most: int | None = None) -> DataFrame:
+    """Framed rows of lines(); of each split the first most, after which its lines go by unframed."""
     shape = _parse_datatype_string(_FRAME)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +116,13 @@ def _framed(source: DataFrame, frame: Callable[[Iterator[str], bool], Iterator[t
                 break
             file, block = row[:2]
             ahead.append(row)
-            for n, found in enumerate(frame(of(file, block), block == 0)):
+            split = of(file, block)
+            for n, found in enumerate(frame(split, block == 0)):
+                if n == most:
+                    # the rest of the split goes by unframed
+                    for _ in split:
+                        pass
+                    break
                 out.append((file, block, n, *found))
                 if len(out) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), into, strict=True)], schema=into)
@@ -147,10 +158,22 @@ def _rejoined(groups: DataFrame) -> DataFrame:
     return groups.select("file", "parts").mapInArrow(run, shape)
 
 
-def frame(source: DataFrame, fmt: str) -> DataFrame:
-    """file, block, n (order in the block), header, seq, qual of the records of lines()."""
-    framed = _framed(source, {"fastq": _fastq, "fasta": _fasta}[fmt])
-    columns = ["file", "block", "n", "header", "seq", "qual"]
+_FRAMES = {"fastq": _fastq, "fasta": _fasta}
+_COLUMNS = ["file", "block", "n", "header", "seq", "qual"]
+
+
+def _last(framed: DataFrame) -> DataFrame:
+    """FASTA records that end with their file, whose lines are a tail without a head after it."""
+    lines = F.col("lines")
+    return framed.where(F.col("kind").isin(RECORD, TAIL)).select("file", "block", "n", F.coalesce("header", F.element_at(lines, 1)).alias("header"), F.coalesce("seq", F.array_join(F.slice(lines, 2, F.size(lines)), "")).alias("seq"), "qual")
+
+
+def frame(source: DataFrame, fmt: str, whole_files: bool = False) -> DataFrame:
+    """file, block, n (order in the block), header, seq, qual of the records of lines(). whole_files: no file has two splits."""
+    framed = _framed(source, _FRAMES[fmt])
+    columns = _COLUMNS
+    if whole_files:
+        return _last(framed) if fmt == "fasta" else framed.where(F.col("kind") == RECORD).select(*columns)
     whole = framed.where(F.col("kind") == RECORD).select(*columns)
     # ends of splits: a tail and the heads up to the next tail make a record, however many splits it spans
     ends = framed.where(F.col("kind") != RECORD)
@@ -170,13 +193,43 @@ def read_records(spark: SparkSession, path: str | list[str], fmt: str = "fastq",
 
     FASTQ ids end at the first space and keep their @; full_id adds the whole header. FASTA ids are whole headers with >.
     start and stop pick records by number in their file, from 1, both inclusive. legacy_names: sequences are fastq_files,
-    qualities qc. Empty files give no rows.
+    qualities qc. Empty files give no rows. Where all files are compressed, and so in one split each, they are read once.
     """
-    out = frame(lines(spark, path, glob), fmt)
+    source = lines(spark, path, glob)
+    out = frame(source, fmt, all(f.endswith(WHOLE) for f in source.inputFiles()))
     if start is not None or stop is not None:
         # a file's records in order: one task a file, as numbering a file from its start is
         number = F.row_number().over(Window.partitionBy("file").orderBy("block", "n"))
         out = out.withColumn("number", number).where((F.col("number") >= (start or 1)) & (F.col("number") <= (stop if stop is not None else (1 << 31) - 1)))
+    return _named(out, fmt, full_id, legacy_names)
+
+
+def first_records(spark: SparkSession, path: str | list[str], reads: int, files: int = 20, fmt: str = "fastq", glob: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """As read_records(), the first so many records of the first so many files by name; all if there are no more.
+
+    Other files aren't opened. Of each split as many records as asked for are framed and written, then those that come
+    first are told by counts of splits, a row each.
+    """
+    found = sorted(lines(spark, path, glob).inputFiles())[:files]
+    if not found:
+        return read_records(spark, path, fmt, glob=glob)
+    scratch = scratch or Scratch(spark, "sampled")
+    source = lines(spark, found)
+    if all(f.endswith(WHOLE) for f in found):
+        framed = _framed(source, _FRAMES[fmt], reads)
+        out = scratch.keep(_last(framed) if fmt == "fasta" else framed.where(F.col("kind") == RECORD).select(*_COLUMNS), "sampled")
+    else:
+        out = scratch.keep(frame(source, fmt), "sampled")
+    counts = out.groupBy("file", "block").agg(F.count("*").alias("records")).orderBy("file", "block")
+    before = F.coalesce(F.sum("records").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("before", before).where(F.col("before") < reads).select(F.col("file").alias("of"), F.col("block").alias("at"), (reads - F.col("before")).alias("room"))
+    # splits of files whose number is bounded
+    near = out.join(F.broadcast(counts), (F.col("file") == F.col("of")) & (F.col("block") == F.col("at")))
+    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("n"))
+    return _named(near.withColumn("rank", rank).where("rank <= room"), fmt, False, False)
+
+
+def _named(out: DataFrame, fmt: str, full_id: bool, legacy_names: bool) -> DataFrame:
     name = F.substring_index("header", " ", 1) if fmt == "fastq" else F.col("header")
     seq, qual = ("fastq_files", "qc") if legacy_names else ("seq", "qual")
     return out.select(name.alias("id"), F.col("seq").alias(seq), F.col("qual").alias(qual), *([F.col("header").alias("full_id")] if full_id else []), "file")

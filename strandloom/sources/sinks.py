@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.signature import render
+
 
 def write_reads(df: DataFrame, path: str, fmt: str = "fastq", mode: str = "errorifexists", compression: str = "gzip") -> None:
     """Rows id, seq, qual as four-line FASTQ or as FASTA records, in a folder of files. mode append adds files.
@@ -21,6 +23,11 @@ def write_thresholds(null: DataFrame, path: str, mode: str = "overwrite") -> Non
     null.coalesce(1).write.mode(mode).option("header", True).csv(path)
 
 
+def write_signatures(annotated: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A signature with its category for each annotated read, one a line."""
+    write_lines(annotated.select(render("signature", "category").alias("line")), "line", path, mode)
+
+
 def write_lines(df: DataFrame, column: str, path: str, mode: str = "append") -> None:
     """A text column, one value a line: barcodes, signatures."""
     df.select(F.col(column).cast("string").alias("value")).write.mode(mode).text(path)

@@ -1,8 +1,9 @@
 import gzip
+import os
 
 import pytest
 
-from strandloom import fixtures
+from strandloom import fixtures, scratch
 from strandloom.plans import demux, layout
 from strandloom.sources import records, sinks, tables
 from strandloom.streaming import demux as stream
@@ -87,9 +88,62 @@ def test_whole_run_and_stream(spark, tmp_path):
     # a primer found by chance on the other strand leaves one or two reads in a hundred undecided
     assert len(found) >= 0.97 * len(truth) and right >= 0.99 * len(found)
     null = demux.calibrate.collected(demux.null_distances(reads, plan))
-    stream.start(spark, plan, null, f"{tmp_path}/reads", f"{tmp_path}/stream", f"{tmp_path}/check", files=2).awaitTermination()
-    again = records.read_records(spark, f"{tmp_path}/stream/batch=*").collect()
-    assert sorted(r.id for r in again) == sorted(r.id for r in found)
+    lines = lambda out, name: sorted(r.value for r in spark.read.text(f"{tmp_path}/{out}/{name}").drop("batch").collect())
+    # however files come, the stream leaves what one run does
+    for n in (1, 3):
+        told = []
+        for _ in range(2):
+            stream.start(spark, plan, null, f"{tmp_path}/reads", f"{tmp_path}/stream-{n}", f"{tmp_path}/check-{n}", files=n, told=told.append).awaitTermination()
+        assert len(told) == -(-len(list((tmp_path / "reads").glob("*.gz"))) // n) and sum(t["reads"] for t in told) == len(truth)
+        for _ in range(2):
+            stream.settled(spark, plan, f"{tmp_path}/stream-{n}")
+        for name in ("sigsummary", "all_barcodes", "filtered_reads"):
+            assert lines(f"stream-{n}", name) == lines("out", name)
+
+
+def test_a_run_leaves_no_tables_and_reruns_alike(spark, tmp_path):
+    reads = fixtures.frame(spark, "/root/testdata/sf0.001", fixtures.MIXED)
+    sinks.write_reads(reads, f"{tmp_path}/reads")
+    plan = layout.kit("three", whitelist=reads.select(demux.correct.encode("true_barcode").alias("whitelist_bcs")).distinct(), paths={"file": f"{tmp_path}/reads", "output_dir": f"{tmp_path}/out"})
+    shared = scratch.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    first = demux.run(spark, plan)
+    names = ("sigsummary", "all_barcodes", "filtered_reads", "misalignment_distances")
+    read = lambda: [sorted(r.value for r in spark.read.text(f"{tmp_path}/out/{n}").collect()) for n in names]
+    left = read()
+    assert demux.run(spark, plan) == first and read() == left
+    assert set(os.listdir(shared)) == before
+    assert first["reads"] == 1500 and first["reads"] - first["short"] == sum(first[c] for c in ("forward", "reverse", "rescuable_concatenates", "undecided")) == len(left[0])
+    null = demux.calibrate.collected(demux.null_distances(reads, plan))
+    stream.start(spark, plan, null, f"{tmp_path}/reads", f"{tmp_path}/stream", f"{tmp_path}/check").awaitTermination()
+    stream.settled(spark, plan, f"{tmp_path}/stream")
+    assert set(os.listdir(shared)) == before
+    assert demux.run(spark, plan, demux.Options(barcorrect=False))["kept"] == first["listed"]
+
+
+def test_compressed_files_are_read_once(spark, fastq):
+    folder, _ = fastq
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert scans(records.read_records(spark, f"{folder}/in")) == 1
+    assert scans(records.read_records(spark, f"{folder}/plain.fastq")) == 2
+
+
+def test_first_records_open_the_first_files_alone(spark, tmp_path):
+    for k in range(6):
+        text = "".join(f"@f{k}r{n} x\nACGT\n+\nIIII\n" for n in range(10))
+        for kind, opened in (("gz", gzip.open), ("plain", open)):
+            (tmp_path / kind).mkdir(exist_ok=True)
+            with opened(tmp_path / kind / f"{k}.fastq{'.gz' if kind == 'gz' else ''}", "wt") as f:
+                f.write(text)
+        (tmp_path / "fa").mkdir(exist_ok=True)
+        with gzip.open(tmp_path / f"fa/{k}.fa.gz", "wt") as f:
+            f.write("".join(f">f{k}r{n}\nAC\nGT\n" for n in range(10)))
+    for name in ("5.fastq.gz", "4.fastq.gz"):
+        (tmp_path / "gz" / name).write_bytes(b"broken")  # never opened
+    for kind, fmt, mark in (("gz", "fastq", "@"), ("plain", "fastq", "@"), ("fa", "fasta", ">")):
+        got = records.first_records(spark, f"{tmp_path}/{kind}", 25, 3, fmt).collect()
+        assert sorted(r.id for r in got) == sorted(f"{mark}f{k}r{n}" for k in range(3) for n in range(10) if 10 * k + n < 25) and {r.seq for r in got} == {"ACGT"}
+        assert records.first_records(spark, f"{tmp_path}/{kind}", 1000, 2, fmt).count() == 20
 
 
 def test_records_over_many_splits(spark, tmp_path):
