@@ -1,11 +1,11 @@
 """Adapters in reads: distances and places, as rows or as signatures."""
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -151,6 +151,55 @@ def _paths(queries: list[str], texts: list[str], hits: Hits, equal: tuple[tuple[
     return [path.take(at), runs.take(at)]
 
 
+def pieces_of(phrase: str, most: int) -> list[tuple[int, str]]:
+    """A phrase in most + 1 parts, with where each begins: what has most edits at most leaves one of them as it is."""
+    if len(phrase) <= most:
+        raise ValueError("a tag is longer than the edits that it may have")
+    cuts = [len(phrase) * k // (most + 1) for k in range(most + 2)]
+    return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def find_tags(df: DataFrame, text: str, tags: dict[str, str], most: int, name: str = "tags") -> DataFrame:
+    """df with an array of (tag, distance, starts, stops): the known phrases that lie in each text with up to most edits.
+
+    In the order of tags; starts and stops of all places at a tag's least distance there, from 1, by stop. Texts that hold no
+    part of a phrase as it is can't hold the phrase: they, and null ones, get an empty array without Python. The others are
+    aligned, each with the tags that it may hold. Whole texts count; nothing shuffles.
+    """
+    names = list(tags)
+    held = [F.coalesce(_any(F.col(f"`{text}`").contains(F.lit(p)) for _, p in pieces_of(t, most)), F.lit(False)) for t in tags.values()]
+    maybe = df.withColumn(name, F.array_compact(F.array(*[F.when(h, k) for k, h in enumerate(held)])))
+    kind = "array<struct<tag: string, distance: int, starts: array<int>, stops: array<int>>>"
+    shape = StructType([*df.drop(name).schema.fields, *_parse_datatype_string(f"`{name}` {kind}").fields])
+    maybe = maybe.select(*[F.col(f"`{c}`") for c in df.drop(name).columns], F.col(f"`{name}`"))
+    at = maybe.columns.index(text), maybe.columns.index(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = to_arrow_schema(shape)
+        entry = into.field(at[1]).type.value_type
+        for b in batches:
+            texts, lists = b.column(at[0]).to_pylist(), b.column(at[1])
+            row, tag = pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()
+            hits = located([tags[names[k]] for k in tag], [texts[k] for k in row], "infix", most)
+            good = np.flatnonzero(hits.distance >= 0)
+            places = pa.array(np.append(np.searchsorted(hits.lane, good), len(hits.lane)).astype(np.int32))
+            columns = [pa.array([names[k] for k in tag[good]], pa.string()), pa.array(hits.distance[good].astype(np.int32)), *(pa.ListArray.from_arrays(places, pa.array((x + 1).astype(np.int32))) for x in (hits.start, hits.end))]
+            found = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, entry, strict=True)], fields=list(entry))
+            found = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[good], np.arange(b.num_rows + 1)).astype(np.int32)), found)
+            yield pa.RecordBatch.from_arrays([(found if k == at[1] else c).cast(f.type) for k, (c, f) in enumerate(zip(b.columns, into, strict=True))], schema=into)
+
+    some = F.size(f"`{name}`") > 0
+    none = maybe.where(~some).withColumn(name, F.array().cast(kind))
+    return maybe.where(some).mapInArrow(run, shape).unionByName(none)
+
+
+def _any(conditions: Iterable[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
 def locations(reads: DataFrame, adapters: list[tuple[str, str]], id_column: str = "id") -> DataFrame:
     """One row a read and adapter: id, query_id, distance, and starts and stops of all places that have it, by stop, from 1."""
     kind = reads.schema[id_column].dataType.simpleString()
