@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import UNDECIDED, base_distance, best_qgram_matches, bit_distance, decimals, decode, encode, qgram_distance
+from strandloom.operators import lookup
 from strandloom.scratch import Scratch
 
 #: Whitelist barcodes among the most frequent that the last tie-break looks at.
@@ -77,13 +78,24 @@ def _variants(bases: int, length: int) -> list[int]:
 def neighbours(codes: DataFrame, whitelist: DataFrame, bits: int = 4, bases: int = 4, length: int = 16, nearest: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """(code, target, bases): whitelist codes one to bits bits and at most bases bases from each distinct code.
 
-    nearest: only those at the least distance in bases, found in steps: codes with one base changed are looked up as they
-    are, then with two, for those that found none; what is left is looked up by halves, as are all without nearest. So
-    most codes cost 48 look-ups. Codes, whitelist and each step's finds are written once.
+    nearest: only those at the least distance in bases. A whitelist of up to 2^23 codes goes to the tasks (see lookup), and
+    no pair that isn't an answer is made. Larger ones are joined, see _joined().
     """
-    scratch = scratch or Scratch(codes.sparkSession, "neighbours")
-    codes = scratch.keep(codes.select("code").where("code IS NOT NULL").distinct(), "near-codes")
-    targets = scratch.keep(whitelist.select(F.col("whitelist_bcs").alias("target")).where("target IS NOT NULL").distinct(), "near-targets")
+    codes = codes.select("code").where("code IS NOT NULL").distinct()
+    targets = whitelist.select(F.col("whitelist_bcs").cast("bigint").alias("target")).where("target IS NOT NULL").distinct()
+    known = lookup.collected(targets)
+    if known is None:
+        return _joined(codes, targets, bits, bases, length, nearest, scratch or Scratch(codes.sparkSession, "neighbours"))
+    return lookup.neighbours(codes, known, bits, bases, length, nearest)
+
+
+def _joined(codes: DataFrame, targets: DataFrame, bits: int, bases: int, length: int, nearest: bool, scratch: Scratch) -> DataFrame:
+    """neighbours() of a whitelist that is too large to send: codes with one base changed are looked up as they are, then with
+
+    two, for those that found none; what is left is looked up by halves, as are all without nearest. Codes, whitelist and each
+    step's finds are written once.
+    """
+    codes, targets = scratch.keep(codes, "near-codes"), scratch.keep(targets, "near-targets")
     if not nearest:
         found = _by_halves(codes, targets, bits, length).withColumn("bases", base_distance("code", "target", length))
         return found.where(F.col("bases") <= bases)
@@ -106,11 +118,11 @@ def neighbours(codes: DataFrame, whitelist: DataFrame, bits: int = 4, bases: int
 
 def mutate_and_check(codes: DataFrame, whitelist: DataFrame, bits: int = 4, length: int = 16) -> DataFrame:
     """(code, matches): the whitelist codes at most bits bits away, itself included, in order; empty if there are none."""
-    scratch = Scratch(codes.sparkSession, "mutate")
-    codes = scratch.keep(codes.select("code").where("code IS NOT NULL").distinct(), "codes")
-    known = scratch.keep(whitelist.select(F.col("whitelist_bcs").alias("target")).distinct(), "targets")
-    near = _by_halves(codes, known, bits, length).unionByName(codes.join(known, F.col("code") == F.col("target")).select("code", "target"))
-    return codes.join(near.groupBy("code").agg(F.array_sort(F.collect_set("target")).alias("matches")), "code", "left").select("code", F.coalesce("matches", F.array().cast("array<bigint>")).alias("matches"))
+    codes = codes.select("code").where("code IS NOT NULL").distinct()
+    near = neighbours(codes, whitelist, bits, length, length, nearest=False).select("code", "target")
+    own = codes.join(whitelist.select(F.col("whitelist_bcs").alias("target")).distinct(), F.col("code") == F.col("target")).select("code", "target")
+    matches = near.unionByName(own).groupBy("code").agg(F.array_sort(F.collect_set("target")).alias("matches"))
+    return codes.join(matches, "code", "left").select("code", F.coalesce("matches", F.array().cast("array<bigint>")).alias("matches"))
 
 
 def decide(codes: DataFrame, whitelist: DataFrame, freq: DataFrame, jaccard: bool = True, bits: int = 4, bases: int = 4, length: int = 16, top: int = TOP, scratch: Scratch | None = None) -> DataFrame:
@@ -126,9 +138,9 @@ def decide(codes: DataFrame, whitelist: DataFrame, freq: DataFrame, jaccard: boo
     # candidates of a code number 48 at one base and thousands at most, by what lies within the reach in bits
     by_code = scored.groupBy("code").agg(F.count("*").alias("n"), F.min("bases").alias("bases"), F.max("freq").alias("most"), F.collect_list(F.struct("target", "freq")).alias("all"))
     leaders = F.filter("all", lambda x: x["freq"] == F.col("most"))
-    first = scratch.keep(by_code.select("code", "n", "bases", F.when(F.col("n") > 1, F.transform("all", lambda x: x["target"])).alias("all"), leaders.alias("leaders")), "first")
-    for name in [n for n in scratch.names if n.startswith("near-")]:
-        scratch.drop(name)
+    first = by_code.select("code", "n", "bases", F.when(F.col("n") > 1, F.transform("all", lambda x: x["target"])).alias("all"), leaders.alias("leaders"))
+    if jaccard:
+        first = scratch.keep(first, "first")
     done = first.where((F.col("n") == 1) | (F.size("leaders") == 1)).select("code", F.col("leaders")[0]["target"].alias("target"), F.when(F.col("n") == 1, "hamming").otherwise("minilist").alias("how"), F.when(F.col("n") == 1, F.col("bases")).cast("double").alias("value"))
     if not jaccard:
         return done
@@ -138,8 +150,8 @@ def decide(codes: DataFrame, whitelist: DataFrame, freq: DataFrame, jaccard: boo
     one = tied.where(F.size("best") == 1).select("code", encode(F.col("best")[0]).alias("target"), F.lit("jaccard").alias("how"), qgram_distance("text", F.col("best")[0]).alias("value"))
     several = tied.where(F.size("best") > 1).select(F.col("code").alias("origin"), "bases", F.explode("best").alias("b")).select("origin", "bases", encode("b").alias("code"))
     few = scratch.keep(secondary(freq, top), "few")
-    around = _by_halves(several.select("code").distinct(), few.select(F.col("whitelist_bcs").alias("target")), bits, length)
-    around = several.join(around, "code").withColumn("d", base_distance("code", "target", length)).where(F.col("d") <= F.col("bases"))
+    around = neighbours(several, few, bits, bases, length, nearest=False).select("code", "target", F.col("bases").alias("d"))
+    around = several.join(around, "code").where(F.col("d") <= F.col("bases"))
     around = around.join(few.select(F.col("whitelist_bcs").alias("target"), "freq"), "target")
     last = around.groupBy("origin").agg(F.min(F.struct("d", (-F.col("freq")).alias("rarity"), "target"))["target"].alias("target"))
     last = last.select(F.col("origin").alias("code"), "target", F.lit("extended").alias("how"), F.lit(None).cast("double").alias("value"))
@@ -160,17 +172,15 @@ def correct(extracted: DataFrame, whitelist: DataFrame, barcorrect: bool = True,
     known = whitelist.select("whitelist_bcs").where("whitelist_bcs IS NOT NULL").distinct()
     if not barcorrect:
         return coded.join(known, F.col("_code") == F.col("whitelist_bcs"), "left_semi").select(*extracted.columns)
-    known = scratch.keep(known, "whitelist")
     counts = coded.where("_code IS NOT NULL").groupBy(F.col("_code").alias("code")).agg(F.count("*").alias("freq"))
     codes = scratch.keep(in_whitelist(counts, known), "codes")
     freq = codes.where("listed").select(F.col("code").alias("whitelist_bcs"), "freq")
-    decided = decide(codes.where("NOT listed").select("code"), known, freq, jaccard, bits, bases, length, top, scratch)
+    plan = scratch.keep(decide(codes.where("NOT listed").select("code"), known, freq, jaccard, bits, bases, length, top, scratch), "plan")
     if seen is not None:
-        reads_of = decided.select(F.col("code").alias("_off"), F.col("how").alias("_how"))
+        reads_of = plan.select(F.col("code").alias("_off"), F.col("how").alias("_how"))
         ways = codes.join(reads_of, F.col("code") == F.col("_off"), "left").select("code", "freq", F.when(F.col("listed"), "listed").otherwise(F.col("_how")).alias("way"))
         ways.observe(seen, *[F.sum(F.when(F.col("way") == w, F.col("freq")).otherwise(0)).alias(w) for w in ("listed", *WAYS)]).write.format("noop").mode("overwrite").save()
-    plan = scratch.keep(decided, "plan")
-    for name in ("whitelist", "codes", "first", "tied", "few"):
+    for name in ("codes", "first", "tied", "few"):
         if name in scratch.names:
             scratch.drop(name)
     for name in [n for n in scratch.names if n.startswith("near-")]:

@@ -90,3 +90,52 @@ def test_calibration(spark):
     null = {r.query_id: (r.null_distance, r.sd_null) for r in calibrate.calibrate(stats, ["f"], ["r"]).collect()}
     assert null["r"] == (8.5, 0.5**0.5) and null["f"] == (3.0, None)
     assert calibrate.bounds_of(null) == {"r": 7.0} and calibrate.calibrate(stats, ["f"], ["r"], "graphics").count() == 3
+
+
+def test_neighbours_however_they_are_looked_up(spark, monkeypatch):
+    """By changes, by comparison and by joins, against all pairs; and changes tried are those there are."""
+    import random
+
+    import numpy as np
+
+    from strandloom.operators import correct, lookup
+
+    rng = random.Random(41)
+    for bits, bases, length in ((4, 4, 6), (3, 3, 8), (6, 4, 6), (2, 1, 5)):
+        known = sorted({rng.randrange(1 << 2 * length) for _ in range(60)})
+        codes = sorted({c ^ (1 << rng.randrange(2 * length)) for c in known[::3]} | {rng.randrange(1 << 2 * length) for _ in range(40)})
+        low = sum(1 << 2 * k for k in range(length))
+        pairs = [(c, k, ((c ^ k | (c ^ k) >> 1) & low).bit_count()) for c in codes for k in known if 1 <= (c ^ k).bit_count() <= bits]
+        pairs = [p for p in pairs if p[2] <= bases]
+        close = [p for p in pairs if p[2] == min(q[2] for q in pairs if q[0] == p[0])]
+        ready = lookup.known_of(np.array(known, np.int64))
+        for nearest, want in ((True, close), (False, pairs)):
+            for held in (1 << 21, 50):
+                monkeypatch.setattr(lookup, "HELD", held)
+                for many in (0, 1 << 30):
+                    monkeypatch.setattr(lookup, "changes", lambda *a, n=many: n)
+                    i, target, far = lookup.near(np.array(codes, np.int64), ready, bits, bases, length, nearest)
+                    assert sorted(zip(np.array(codes)[i].tolist(), target.tolist(), far.tolist(), strict=True)) == sorted(want)
+            monkeypatch.undo()
+        assert lookup.changes(bits, bases, length) == sum(len(lookup._masks(bits, b, length)) for b in range(1, bases + 1))
+        table = spark.createDataFrame([(c,) for c in codes], "code bigint"), spark.createDataFrame([(k,) for k in known] + [(None,)], "whitelist_bcs bigint")
+        for most in (lookup.MOST_KNOWN, 3):
+            monkeypatch.setattr(lookup, "MOST_KNOWN", most)
+            got = correct.neighbours(*table, bits, bases, length).collect() if length == 6 else correct.neighbours(*table, bits, bases, length, nearest=False).collect()
+            assert sorted(map(tuple, got)) == sorted(close if length == 6 else pairs)
+        monkeypatch.undo()
+
+
+def test_no_pair_is_made_that_is_no_answer(spark):
+    """Of a large whitelist, a code meets its true neighbours alone: rows out of the look-up are answers."""
+    import numpy as np
+
+    from strandloom.operators import lookup
+
+    rng = np.random.default_rng(5)
+    known = lookup.known_of(rng.integers(0, 1 << 32, 300_000))
+    codes = rng.integers(0, 1 << 32, 40)
+    i, target, _ = lookup.near(codes, known, 4, 4, 16, False)
+    x = codes[:, None] ^ known.codes[None, :]
+    n = np.bitwise_count(x)
+    assert len(i) == int(((n >= 1) & (n <= 4) & (np.bitwise_count((x | x >> 1) & 0x55555555) <= 4)).sum()) and (np.bitwise_count(codes[i] ^ target) <= 4).all()
