@@ -1,4 +1,4 @@
-"""HTML extraction: templates deduced from tokens that occur alike on a host's pages, and the slots that remain."""
+"""HTML extraction: templates deduced from tokens that occur alike on a host's pages, and of the slots that remain those with main text."""
 
 import html
 import re
@@ -29,6 +29,8 @@ ASIDE_NAMES = frozenset(
 QUALIFIERS = frozenset("has no with without".split())
 HEADER_NAMES = frozenset("header masthead banner".split())
 MAIN_NAMES = frozenset("main article".split())
+#: Elements that are text themselves; others are containers.
+TEXTUAL = HEADINGS | frozenset("p ul ol dl li dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption address center".split())
 
 _NAME = re.compile(r"[A-Za-z][A-Za-z0-9:-]*")
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -36,6 +38,9 @@ _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"[0-9]+")
 #: A path is a template's if so many pages of its host with different texts, and this share of them, have it.
 LEAST_PAGES, SHARE = 3, 0.5
+#: Of a host's text: the share that the container of its main text has of that of the container around it, the share under
+#: which a container beside that one is no main text, and the share of links from which on it is a menu.
+MAIN_SHARE, LEAST_SHARE, LINKS = 0.6, 0.1, 0.5
 
 
 def _tag_end(text: str, at: int) -> int:
@@ -62,7 +67,8 @@ def _tag_end(text: str, at: int) -> int:
 @dataclass(slots=True)
 class Run:
     """Text between tags. path: of the blocks around it. aside: it is no main text. named, headed: the innermost marked block
-    around it, or -1; headed ones spare headings of main text. main: the innermost element of main text around it, or -1."""
+    around it, or -1; headed ones spare headings of main text. main: the innermost element of main text around it, or -1.
+    linked: it is a link's."""
 
     path: int
     block: int
@@ -71,11 +77,13 @@ class Run:
     headed: int
     main: int
     text: str
+    linked: bool
 
 
 @dataclass
 class Page:
-    """elements: of each path the path around it and how many elements it has. Paths are 64-bit hashes of tags and classes."""
+    """elements: of each path the path around it, how many elements it has, and whether those are text themselves. Paths are
+    64-bit hashes of tags and classes."""
 
     runs: list[Run] = field(default_factory=list)
     elements: dict[int, list[int]] = field(default_factory=dict)
@@ -118,9 +126,10 @@ def parse(source: str) -> Page:
     in the page's length and don't depend on how deep it nests.
     """
     page = Page()
-    page.elements[ROOT] = [ROOT, 1]
+    page.elements[ROOT] = [ROOT, 1, 0]
     stack, open_ = [_Open("", ROOT, 0)], Counter()
-    block, at, n = 0, 0, len(source)
+    # a link ends with its block at the latest
+    block, linked, at, n = 0, -1, 0, len(source)
     known: dict[tuple[int, str], int] = {}
 
     def run(text: str) -> None:
@@ -133,7 +142,7 @@ def parse(source: str) -> Page:
             text = " "
         else:
             return
-        page.runs.append(Run(top.path, block, top.aside or top.heading_only, top.named, top.headed, top.main, text))
+        page.runs.append(Run(top.path, block, top.aside or top.heading_only, top.named, top.headed, top.main, text, linked == block))
 
     def close(k: int) -> None:
         for e in stack[k:]:
@@ -164,6 +173,8 @@ def parse(source: str) -> Page:
         tag, inside = name[0].lower(), source[name.end() : end]
         at = start = min(n, end + 1)
         if closing:
+            if tag == "a":
+                linked = -1
             if open_[tag] > 0:
                 k = len(stack) - 1
                 # an inline element ends only within the block that it is in
@@ -183,6 +194,8 @@ def parse(source: str) -> Page:
                 close(k)
         if tag in VOID:
             continue
+        if tag == "a":
+            linked = block
         top = stack[-1]
         attributes = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(inside)} if inside.strip(" /\n") else {}
         role = attributes.get("role", "").lower()
@@ -205,7 +218,7 @@ def parse(source: str) -> Page:
             if step not in known:
                 known[step] = _hash(f"{step[0]}/{step[1]}")
             entry.path = known[step]
-            page.elements.setdefault(entry.path, [top.path, 0])[1] += 1
+            page.elements.setdefault(entry.path, [top.path, 0, int(tag in TEXTUAL)])[1] += 1
         if main and not (aside or top.aside):
             page.mains.append(top.main)
             entry.main = len(page.mains) - 1
@@ -283,7 +296,8 @@ class Token:
     """Of a host's pages: an element path, or a block of text on a path (text then is its hash, else 0).
 
     vector: stands for the occurrences on each page, alike for tokens that occur alike. support, times: pages with it, and
-    occurrences. constant: whether an element path has the same text on all its pages. chars: of that text on all pages.
+    occurrences. constant: whether an element path has the same text on all its pages. chars: of that text on all pages, and
+    links: of those the links'. textual: whether the path's elements are text themselves.
     """
 
     path: int
@@ -294,28 +308,85 @@ class Token:
     times: int
     constant: bool
     chars: int
+    links: int = 0
+    textual: int = 1
 
 
-def deduce(tokens: list[Token], pages: int) -> frozenset[int | tuple[int, int]]:
-    """A host's template: paths, and (path, text) of blocks, whose text is template text.
+@dataclass(frozen=True)
+class Template:
+    """A host's template: paths, and (path, text) of blocks, whose text is its own, and paths under which slots hold no main text."""
 
-    Tokens with equal occurrence vectors form a class. A class is valid if it has support and the path above each of its
-    paths lies in a valid class: so classes nest, and the text under their paths is slots. A slot with the same text on all
-    pages is template text, and so is a block of text that comes and goes with an element around it, as it is in that
-    element's class, whatever other blocks of its path say. All else is data.
-    """
-    elements = {t.path: t for t in tokens if not t.text}
+    own: frozenset[int | tuple[int, int]] = frozenset()
+    beside: frozenset[int] = frozenset()
+
+
+def template_of(tokens: list[Token], pages: int) -> Template:
+    return Template(deduce(tokens, pages), beside(tokens, pages))
+
+
+def _valid(elements: dict[int, Token], pages: int) -> tuple[set[int], dict[int, list[Token]]]:
+    """Paths whose class has support and lies under valid ones, from the root down; and elements by the path around them."""
     support = max(LEAST_PAGES, SHARE * pages)
     below: dict[int, list[Token]] = defaultdict(list)
     for t in elements.values():
         below[t.above].append(t)
-    # from the root down: a path whose class has support is valid under a valid one
     valid, todo = set(), [t for t in elements.values() if t.path == ROOT]
     while todo:
         t = todo.pop()
         if t.path not in valid and t.support >= support:
             valid.add(t.path)
             todo += below[t.path]
+    return valid, below
+
+
+def beside(tokens: list[Token], pages: int) -> frozenset[int]:
+    """Paths of a host's template under which its slots hold no main text, by what the slots hold on all pages.
+
+    From the root down, the container that has most of the text of the one around it, links apart, is the main one's. What lies
+    beside these is no main text if it is mostly links, or if it is a container with a small share of the host's text; headings,
+    paragraphs, lists and tables beside them stay.
+    """
+    elements = {t.path: t for t in tokens if not t.text}
+    valid, below = _valid(elements, pages)
+    if ROOT not in valid:
+        return frozenset()
+    # text under a path, all of it and that of links; paths above come first
+    order, at = [ROOT], 0
+    while at < len(order):
+        order += [t.path for t in below[order[at]] if t.path != ROOT and t.path in valid]
+        at += 1
+    text = {p: elements[p].chars for p in order}
+    links = {p: elements[p].links for p in order}
+    for p in reversed(order[1:]):
+        above = elements[p].above
+        text[above], links[above] = text[above] + text[p], links[above] + links[p]
+    plain = lambda p: text[p] - links[p]
+    main, out = ROOT, set()
+    while True:
+        children = [t for t in below[main] if t.path != ROOT and t.path in valid]
+        inner = next((t.path for t in children if not t.textual and plain(t.path) > MAIN_SHARE * plain(main)), None)
+        for t in children:
+            if t.path != inner and text[t.path]:
+                menu = links[t.path] > LINKS * text[t.path]
+                small = not t.textual and inner is not None and plain(t.path) < LEAST_SHARE * plain(ROOT)
+                if inner is not None and (menu or small):
+                    out.add(t.path)
+        if inner is None:
+            return frozenset(out)
+        main = inner
+
+
+def deduce(tokens: list[Token], pages: int) -> frozenset[int | tuple[int, int]]:
+    """A host's template: paths, and (path, text) of blocks, whose text is template text.
+
+    Tokens with equal occurrence vectors form a class. A class is valid if it has support and the path above each of its
+    paths lies in a valid class: so classes nest, and the text under their paths is slots. A slot with the same text on all
+    pages is template text, and so is a block of text that comes and goes with an element around it, as it is in that
+    element's class, whatever other blocks of its path say. All else is data.
+    """
+    elements = {t.path: t for t in tokens if not t.text}
+    support = max(LEAST_PAGES, SHARE * pages)
+    valid, _ = _valid(elements, pages)
     out: set[int | tuple[int, int]] = {p for p in valid if elements[p].constant and elements[p].chars}
     # the classes of the elements around a path
     own: dict[int, set[tuple[str, int, int]]] = {}
@@ -346,13 +417,30 @@ def _blocks(runs: list[Run]) -> dict[int, tuple[int, str]]:
     return {k: (path, text) for k, (path, found) in parts.items() if (text := " ".join("".join(found).split()))}
 
 
-def extract(source: str | None, template: frozenset[int | tuple[int, int]] = frozenset()) -> str:
-    """The main text: all that is neither aside nor template text, blocks in page order, joined by one space.
+def extract(source: str | None, template: Template = Template()) -> str:
+    """The main text: slots that are neither aside nor beside the main text, blocks in page order, joined by one space.
 
-    Template text stays if nothing else is on the page.
+    Template text and what lies beside stays if nothing else is on the page.
     """
-    blocks = _blocks([r for r in parse(source or "").runs if not r.aside]).values()
-    slots = [text for path, text in blocks if path not in template and (path, _hash(text)) not in template] if template else []
+    page = parse(source or "")
+    blocks = _blocks([r for r in page.runs if not r.aside]).values()
+    if not template.own and not template.beside:
+        return " ".join(text for _, text in blocks)
+    out: dict[int, bool] = {ROOT: False}
+
+    def outside(path: int) -> bool:
+        chain = []
+        while path not in out:
+            chain.append(path)
+            if path in template.beside:
+                out[path] = True
+                break
+            path = page.elements[path][0]
+        for p in chain:
+            out[p] = out[path]
+        return out[chain[0]] if chain else out[path]
+
+    slots = [text for path, text in blocks if path not in template.own and (path, _hash(text)) not in template.own and not outside(path)]
     return " ".join(slots or [text for _, text in blocks])
 
 
@@ -360,29 +448,33 @@ def _tokens() -> Callable[..., Iterator[tuple]]:
     def f(host: str, source: str | None) -> Iterator[tuple]:
         page = parse(source or "")
         texts: dict[int, list[str]] = defaultdict(list)
+        links: Counter = Counter()
+        for r in page.runs:
+            if r.linked and not r.aside:
+                links[r.path] += len(r.text)
         blocks = _blocks([r for r in page.runs if not r.aside]).values()
         content = _hash("\n".join(text for _, text in blocks))
         for path, text in blocks:
             texts[path].append(text)
-        for path, (above, times) in page.elements.items():
+        for path, (above, times, textual) in page.elements.items():
             text = " ".join(texts.get(path, ()))
-            yield host, path, above, 0, content, times, len(text), _hash(text)
+            yield host, path, above, 0, content, times, len(text), _hash(text), min(links[path], len(text)), textual
         for path, found in texts.items():
             for text, times in Counter(found).items():
-                yield host, path, page.elements[path][0], _hash(text), content, times, len(text), 0
+                yield host, path, page.elements[path][0], _hash(text), content, times, len(text), 0, 0, 1
 
     return f
 
 
 def _extracting() -> Callable[..., Iterator[tuple]]:
-    made: dict[str, frozenset] = {}
+    made: dict[str, Template] = {}
 
     def f(page_id: object, url: str | None, source: str | None, host: str | None, pages: int | None, tokens: list | None) -> Iterator[tuple]:
         template = made.get(host)
         if template is None:
             if len(made) > 500:
                 made.clear()
-            template = made[host] = deduce([Token(**t) for t in tokens], pages) if tokens else frozenset()
+            template = made[host] = template_of([Token(**t) for t in tokens], pages) if tokens else Template()
         text = extract(source, template)
         yield page_id, url, text, len(text)
 
@@ -403,16 +495,16 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     most of the pages is no burden. Paths of under half of a host's contents can't be template, so a host's list is at
     most twice as long as its pages have paths and blocks on average.
     """
-    found = map_rows(pages.where("host <> ''"), ["host", "html"], "host string, path bigint, above bigint, text bigint, content bigint, times bigint, chars bigint, own bigint", _tokens)
-    once = found.groupBy("host", "path", "above", "text", "content").agg(F.max("times").alias("times"), F.max("chars").alias("chars"), F.min("own").alias("least"), F.max("own").alias("most"))
+    found = map_rows(pages.where("host <> ''"), ["host", "html"], "host string, path bigint, above bigint, text bigint, content bigint, times bigint, chars bigint, own bigint, links bigint, textual int", _tokens)
+    once = found.groupBy("host", "path", "above", "text", "content").agg(F.max("times").alias("times"), F.max("chars").alias("chars"), F.min("own").alias("least"), F.max("own").alias("most"), F.max("links").alias("links"), F.max("textual").alias("textual"))
     by_path = once.groupBy("host", "path", "above", "text").agg(
         F.sum(F.xxhash64("content", "times").cast("decimal(38,0)")).cast("string").alias("vector"), F.count("*").alias("support"), F.sum("times").alias("times"),
-        F.sum("chars").alias("chars"), (F.min("least") == F.max("most")).alias("constant")).where(F.col("support") >= LEAST_PAGES)
+        F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("textual").alias("textual"), (F.min("least") == F.max("most")).alias("constant")).where(F.col("support") >= LEAST_PAGES)
     # no class of less support is valid; what one page alone has goes before hosts meet. Written, as it is read twice
     by_path = scratch.keep(by_path, "by-path")
     of_host = by_path.where(F.col("path") == ROOT).where("text = 0").select(F.col("host").alias("own"), F.col("support").alias("pages"))
     kept = by_path.join(of_host, F.col("host") == F.col("own")).where(F.col("support") >= SHARE * F.col("pages"))
-    return kept.groupBy("host", "pages").agg(F.sort_array(F.collect_list(F.struct("path", "above", "text", "vector", "support", "times", "constant", "chars"))).alias("tokens"))
+    return kept.groupBy("host", "pages").agg(F.sort_array(F.collect_list(F.struct("path", "above", "text", "vector", "support", "times", "constant", "chars", "links", "textual"))).alias("tokens"))
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
