@@ -3,6 +3,7 @@
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -174,6 +175,147 @@ def annotated(entries: list[Entry], t: _Table) -> tuple[list[Entry], str]:
     return done, category
 
 
+#: Stands for no place, when places are put in order.
+_LATE = np.iinfo(np.int64).max
+
+
+class _Batch:
+    """The rules of annotated() for many reads at once: a column for each piece of the layout, in its order.
+
+    Signatures that have a barcode, tag or insert already, or more than one piece of an order, are left to annotated(), and so
+    are concatenates with a piece that ends before the read.
+    """
+
+    def __init__(self, t: _Table):
+        self.t, self.names = t, sorted(t.orders, key=t.orders.get)
+        self.at = {n: k for k, n in enumerate(self.names)}
+        self.order = np.array([t.orders[n] for n in self.names], np.int64)
+        self.placed = {n for n in ("barcode", "umi", "rc_barcode", "rc_umi", "read", "rc_read") if n in t.orders}
+        self.plain = len(set(t.orders.values())) == len(t.orders) and {"forw_primer", "rc_forw_primer", "rev_primer", "rc_rev_primer", "read", "rc_read"} <= set(t.orders)
+
+    def columns(self, row: np.ndarray, name: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each read has each piece, and its distance, start and stop: the last of a name counts. Tags and placeholders are there."""
+        t, has, table = self.t, np.zeros((n, len(self.names)), bool), np.zeros((3, n, len(self.names)), np.int64)
+        known = name >= 0
+        # of repeated places numpy keeps the last
+        has[row[known], name[known]] = True
+        table[:, row[known], name[known]] = values[:, known]
+        for flank in t.flanks & set(self.names):
+            k, forward = self.at[flank], t.directions[flank] == "forward"
+            barcode, tag = ("barcode", "umi") if forward else ("rc_barcode", "rc_umi")
+            if barcode not in self.at:
+                continue
+            near = has[:, k] & (table[0, :, k] <= t.bounds.get(flank, _LATE))
+            size, more = t.lengths[barcode], t.lengths.get(tag, 0)
+            start, stop = table[1, :, k], table[2, :, k]
+            places = [(barcode, stop + 1, stop + size) if forward else (barcode, start - size, start - 1)]
+            if tag in self.at:
+                places.append((tag, stop + size + 1, stop + size + more) if forward else (tag, start - size - more, start - size - 1))
+            for piece, a, b in places:
+                p = self.at[piece]
+                has[:, p] |= near
+                table[1, near, p], table[2, near, p] = a[near], b[near]
+        for insert in ("read", "rc_read"):
+            before = [k for k, o in enumerate(self.order) if o == t.orders[insert] - 1]
+            for k in before:
+                p = self.at[insert]
+                has[:, p] |= has[:, k]
+                for c, value in enumerate(PLACEHOLDER):
+                    table[c, has[:, k], p] = value
+        return has, table
+
+    def strands(self, has: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Of each read the place of its category in CATEGORIES."""
+        k = {n: self.at[n] for n in ("forw_primer", "rc_forw_primer", "rev_primer", "rc_rev_primer")}
+        there, ed = {n: has[:, c] for n, c in k.items()}, {n: table[0, :, c] for n, c in k.items()}
+        none = np.zeros(len(has), bool)
+        within = {n: there[n] & (ed[n] <= self.t.bounds[n]) if n in self.t.bounds else none for n in k}
+        beyond = {n: ~there[n] | (ed[n] >= self.t.bounds[n] if n in self.t.bounds else none) for n in k}
+        less = lambda a, b: there[a] & there[b] & (ed[a] < ed[b])
+        f, rf, r, rr = k
+        both = within[f] & within[rf]
+        forward = beyond[rf] & within[f] & (~there[rf] | (ed[f] < ed[rf])) | both & (~there[r] | within[r]) & less(f, r)
+        reverse = beyond[f] & within[rf] & (~there[f] | (ed[rf] < ed[f])) | both & (~there[rr] | within[rr]) & less(rf, rr)
+        twice = both & has[:, self.at["read"]] & has[:, self.at["rc_read"]]
+        return np.select([forward, reverse, twice], [0, 1, 2], 3)
+
+    def insert(self, some: np.ndarray, has: np.ndarray, table: np.ndarray, forward: bool) -> np.ndarray:
+        """Places the inserts of some reads between their nearest neighbours; which of the reads have one before it."""
+        direction, name = ("forward", "read") if forward else ("reverse", "rc_read")
+        middle, n = self.t.orders[name], len(some)
+        left, right = np.full(n, -1), np.full(n, -1)
+        for k in sorted(range(len(self.names)), key=lambda k: -abs(self.order[k] - middle)):
+            piece = self.names[k]
+            if piece == name or self.t.directions.get(piece) != direction:
+                continue
+            near = has[some, k] & (piece in ("poly_a", "poly_t", "barcode", "umi") or (table[0, some, k] <= self.t.bounds[piece] if piece in self.t.bounds else False))
+            # the nearest come last
+            (left if self.order[k] < middle else right)[near] = k
+        good = left >= 0
+        far = lambda k: np.where(k >= 0, abs(self.order[np.maximum(k, 0)] - middle), _LATE)
+        closed = far(right) <= far(left)
+        rows, at = some[good], self.at[name]
+        a, b = left[good], np.maximum(right[good], 0)
+        if forward:
+            start, stop = table[2, rows, a] + 1, np.where(closed[good], table[1, rows, b] - 1, 0)
+        else:
+            start, stop = np.where(closed[good], table[2, rows, b] + 1, 1), table[1, rows, a] - 1
+        has[rows, at] = True
+        table[0, rows, at], table[1, rows, at], table[2, rows, at] = 0, start, stop
+        return good
+
+    def concatenates(self, some: np.ndarray, has: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places both inserts of some reads: which have both within others, and the order of their pieces by start."""
+        reads = [self.at["read"], self.at["rc_read"]]
+        own = has[some].copy()
+        own[:, reads] = False
+        starts, stops = np.where(own, table[1, some], _LATE), table[2, some]
+        first = PLACEHOLDER[2] + 1
+        after = np.where(starts > first, starts, _LATE).min(axis=1)
+        later = np.where(starts > after[:, None], starts, _LATE).min(axis=1)
+        # the last of those up to a start, the layout's last of equal ones
+        columns = np.arange(own.shape[1])
+
+        def last(fits: np.ndarray) -> np.ndarray:
+            top = np.where(fits, starts, -_LATE).max(axis=1)
+            return np.where(fits & (starts == top[:, None]), columns, -1).max(axis=1)
+
+        before, at = last(own & (starts <= first)), last(own & (starts == after[:, None]))
+        good = (after < _LATE) & (later < _LATE) & (before >= 0)
+        rows, lane = some[good], np.flatnonzero(good)
+        places = ((reads[0], stops[lane, before[good]] + 1, after[good] - 1), (reads[1], stops[lane, at[good]] + 1, later[good] - 1))
+        keys = starts.astype(np.float64)
+        keys[~own] = np.inf
+        for (p, a, b), key in zip(places, (np.full(len(lane), first), after[good]), strict=True):
+            table[1, rows, p], table[2, rows, p] = a, b
+            keys[lane, p] = key + 0.5  # after the others that start there
+        table[:1, rows] = 0
+        return good, np.argsort(keys, axis=1, kind="stable")
+
+    def run(self, row: np.ndarray, name: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of reads: sizes of their signatures, names, distances with starts and stops, categories, and which are left over."""
+        odd = np.zeros(n, bool)
+        placed = [self.at[p] for p in self.placed]
+        odd[row[np.isin(name, placed)]] = True
+        has, table = self.columns(row, name, values, n)
+        kind = self.strands(has, table)
+        shown = np.tile(np.arange(len(self.names)), (n, 1))
+        for category, forward in ((0, True), (1, False)):
+            some = np.flatnonzero((kind == category) & ~odd)
+            kind[some[~self.insert(some, has, table, forward)]] = 3
+        some = np.flatnonzero((kind == 2) & ~odd)
+        short = (np.where(has[some], table[2, some], 0) < -1).any(axis=1)
+        odd[some[short]] = True
+        some = some[~short]
+        good, order = self.concatenates(some, has, table)
+        kind[some[~good]] = 3
+        shown[some[good]] = order[good]
+        seen = np.take_along_axis(has, shown, axis=1)
+        lanes = np.nonzero(seen)[0]
+        pieces = shown[seen]
+        return seen.sum(axis=1), pieces, table[:, lanes, pieces], kind, odd
+
+
 def annotate(reads: DataFrame, plan: DemuxPlan, bounds: dict[str, float], signature: str = "signature") -> DataFrame:
     """reads with signature completed and category: one of CATEGORIES.
 
@@ -181,29 +323,50 @@ def annotate(reads: DataFrame, plan: DemuxPlan, bounds: dict[str, float], signat
     Forward and reverse reads whose insert has no piece before it, and concatenates whose inserts lie at an end, are
     undecided. Entries come in the layout's order, those of concatenates by start.
 
-    The rules hang on each other so much that as one expression they would grow with every step; in Arrow batches they
-    cost some microseconds a read.
+    The rules hang on each other so much that as one expression they would grow with every step; here they are masks over
+    the reads of an Arrow batch. Few reads are left to one at a time, see _Batch.
     """
     t, at = _Table.of(plan, bounds), reads.columns.index(signature)
     shape = StructType([*reads.schema.fields, StructField("category", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into = to_arrow_schema(shape)
-        kind = into.field(at).type
+        kind, rules = into.field(at).type, _Batch(t)
+        names = pa.array(rules.names)
         for b in batches:
             lists = b.column(at)
-            flat = lists.flatten()
-            parts = list(zip(*(flat.field(k).to_pylist() for k in range(4)), strict=True))
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
-            out, counts, categories, place = [], [0], [], 0
-            for n in sizes:
-                entries, category = annotated(parts[place : place + n], t)
-                place += n
-                out += entries
-                counts.append(len(out))
-                categories.append(category)
-            columns = [pa.array([e[k] for e in out], f.type) for k, f in enumerate(kind.value_type)]
-            filled = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind.value_type)))
-            yield pa.RecordBatch.from_arrays([(filled if k == at else c).cast(f.type) for k, (c, f) in enumerate(zip([*b.columns, pa.array(categories)], into, strict=True))], schema=into)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            filled, categories = _annotated_batch(rules, names, lists.flatten(), sizes, kind)
+            yield pa.RecordBatch.from_arrays([(filled if k == at else c).cast(f.type) for k, (c, f) in enumerate(zip([*b.columns, categories], into, strict=True))], schema=into)
 
     return reads.mapInArrow(run, shape)
+
+
+def _annotated_batch(rules: _Batch, names: pa.Array, flat: pa.StructArray, sizes: np.ndarray, kind: pa.DataType) -> tuple[pa.ListArray, pa.Array]:
+    """Completed signatures and categories of signatures one after another."""
+    n, row = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    values = np.stack([pc.fill_null(flat.field(k), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3)]) if len(flat) else np.zeros((3, 0), np.int64)
+    name = pc.fill_null(pc.index_in(flat.field(0), names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    if rules.plain:
+        count, piece, numbers, category, odd = rules.run(row, name, values, n)
+    else:
+        count, piece, numbers, category, odd = np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros((3, 0), np.int64), np.full(n, 3), np.ones(n, bool)
+    if odd.any():
+        # one at a time, in place of what the rules above gave
+        ends = np.cumsum(sizes)
+        lane = np.repeat(np.arange(n), count)
+        keep = ~odd[lane]
+        more = []
+        for k in np.flatnonzero(odd):
+            part = slice(ends[k] - sizes[k], ends[k])
+            entries, found = annotated(list(zip(flat.field(0)[part].to_pylist(), *values[:, part].tolist(), strict=True)), rules.t)
+            category[k], count[k] = CATEGORIES.index(found), len(entries)
+            more += [(k, rules.at[e[0]], *e[1:]) for e in entries]
+        added = np.array(more, np.int64).reshape(-1, 5).T
+        lane = np.concatenate([lane[keep], added[0]])
+        order = np.argsort(lane, kind="stable")
+        piece, numbers = np.concatenate([piece[keep], added[1]])[order], np.concatenate([numbers[:, keep], added[2:]], axis=1)[:, order]
+    text = names.take(pa.array(piece))
+    columns = [c.cast(f.type) for c, f in zip([text, *(pa.array(x) for x in numbers)], kind.value_type, strict=True)]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(kind.value_type))), pa.array(CATEGORIES).take(pa.array(category))

@@ -139,3 +139,37 @@ def test_no_pair_is_made_that_is_no_answer(spark):
     x = codes[:, None] ^ known.codes[None, :]
     n = np.bitwise_count(x)
     assert len(i) == int(((n >= 1) & (n <= 4) & (np.bitwise_count((x | x >> 1) & 0x55555555) <= 4)).sum()) and (np.bitwise_count(codes[i] ^ target) <= 4).all()
+
+
+def test_rules_for_batches_are_the_rules_for_reads():
+    """Random signatures, odd ones among them: pieces missing, repeated, placed already, outside the read."""
+    import random
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from strandloom.operators import signature
+
+    rng = random.Random(51)
+    entry = pa.struct([("id", pa.string()), ("ed", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+    for kit, bounds in (("three", {"forw_primer": 7.0, "rev_primer": 11.0, "rc_forw_primer": 7.0, "rc_rev_primer": 11.0}), ("five", {"forw_primer": 7.0, "rc_forw_primer": 6.0, "rev_primer": 9.0, "tso": 4.0}), ("three", {"forw_primer": 7.0})):
+        t = signature._Table.of(layout.kit(kit), bounds)
+        names = [p.id for p in layout.kit(kit).layout if p.id not in ("barcode", "umi", "read", "rc_barcode", "rc_umi", "rc_read")]
+        rows = []
+        for k in range(4000):
+            own = [n for n in names if rng.random() < 0.85] + [rng.choice(names) for _ in range(rng.choice([0, 0, 1]))]
+            if k % 40 == 0:
+                own += [rng.choice(["barcode", "rc_umi", "read", "other"])]
+            places = [(n, rng.choice([0, 1, 3, 7, 8, 12]), start, start + 20) for n in own for start in [rng.choice([-1, 3, 10, 81, 101, 102, rng.randrange(400)])]]
+            rows.append(sorted(places, key=lambda e: e[3]))
+        rows[7] = []
+        want = [signature.annotated(r, t) for r in rows]
+        rules, kind = signature._Batch(t), pa.list_(entry)
+        flat = pa.array([dict(zip(("id", "ed", "start", "stop"), e, strict=True)) for r in rows for e in r], entry)
+        began = time.perf_counter()
+        filled, categories = signature._annotated_batch(rules, pa.array(rules.names), flat, np.array([len(r) for r in rows]), kind)
+        took = time.perf_counter() - began
+        got = [([tuple(e.values()) for e in r], c) for r, c in zip(filled.to_pylist(), categories.to_pylist(), strict=True)]
+        assert got == want and len({c for _, c in want}) >= (4 if kit == "three" and len(bounds) > 1 else 2)
+        assert took < 0.5
