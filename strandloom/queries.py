@@ -111,6 +111,15 @@ def align_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_pairs(d, "query", "text", "global", path=True).select("rid", "aligned.distance", "aligned.path", "aligned.cigar")
 
 
+def align_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forward primer against empty, missing and unlike texts, and the empty query against reads, in each mode."""
+    none = F.when(F.col("rid") % 4 == 0, "").when(F.col("rid") % 4 == 1, F.repeat(F.lit("N"), F.col("rid") % 7)).when(F.col("rid") % 4 == 2, F.col("seq"))
+    d = mixed(spark, sf_dir).select("rid", F.when(F.col("rid") % 4 == 2, "").otherwise(fixtures.FORWARD).alias("query"), none.alias("text"))
+    for mode in ("global", "prefix", "infix"):
+        d = align.align_pairs(d, "query", "text", mode, name=mode)
+    return d.select("rid", *[F.col(f"{m}.{part}").alias(f"{m}_{part}") for m in ("global", "prefix", "infix") for part in ("distance", "stops")])
+
+
 def align_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.locations(mixed(spark, sf_dir), plan_of(spark, sf_dir).adapters, "rid")
 
@@ -136,6 +145,11 @@ def lower_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(calibrate.lower_bounds(n), "query_id")
 
 
+def error_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older bounds, over the same distances."""
+    return calibrate.error_bounds(_quantities(spark, sf_dir), ["q0", "q1"], ["q2", "q3"])
+
+
 def calibration_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.calibrate(_quantities(spark, sf_dir), ["q0", "q1"], ["q2", "q3"], "graphics").select("id", "query_id", "best_edit_distance")
 
@@ -208,6 +222,22 @@ def whitelist_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.neighbours(_off(spark, sf_dir), whitelist(spark, sf_dir), 6, 4)
 
 
+def whitelist_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whitelisted codes within reach, not the nearest alone."""
+    return correct.neighbours(_off(spark, sf_dir), whitelist(spark, sf_dir), 6, 4, nearest=False)
+
+
+def listed_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads on the whitelist as they are: correction left out."""
+    return correct.correct(barcodes(spark, sf_dir).select("rid", F.lit("@r").alias("sig_id"), "barcode"), whitelist(spark, sf_dir), barcorrect=False)
+
+
+def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of texts in characters and in bytes of UTF-8, and their runs of five equal letters or more."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.octet_length("text").cast("bigint").alias("bytes"), S.poly_runs("text", "e", 3).alias("runs"))
+
+
 def mutate_and_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.mutate_and_check(barcodes(spark, sf_dir), whitelist(spark, sf_dir), 6).select("code", F.array_join("matches", ",").alias("matches"))
 
@@ -265,8 +295,8 @@ def demultiplex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        cell_umi_counts, revcomp_reads, encode_barcodes, decode_barcodes, distances, phred_scores, poly_tail_scan, poly_runs, bit_flips, bit_flips_two, align_modes, align_long, align_reads, align_paths, align_locations, batch_categories, align_stats, null_distance, lower_bounds, calibration_rows,
-        layout_expand, align_signatures, signature_parse, signature_classify, signature_annotate, extract_reads, whitelist_check, barcode_freq, secondary_topk, whitelist_neighbours, mutate_and_check,
+        cell_umi_counts, revcomp_reads, encode_barcodes, decode_barcodes, distances, phred_scores, poly_tail_scan, poly_runs, bit_flips, bit_flips_two, align_modes, align_long, align_reads, align_empty, align_paths, align_locations, batch_categories, align_stats, null_distance, lower_bounds, error_bounds, calibration_rows,
+        layout_expand, align_signatures, signature_parse, signature_classify, signature_annotate, extract_reads, whitelist_check, barcode_freq, secondary_topk, whitelist_neighbours, whitelist_within, listed_barcodes, text_lengths, mutate_and_check,
         correct_ties, correct_barcodes, paf_tags, read_length_stats, renamed_reads, demultiplex)}
 
 
@@ -341,6 +371,15 @@ def oracle_sql() -> dict[str, str]:
         "align_long": alignment_sql.long(_MIXED),
         "align_reads": f"SELECT rid, CAST(levenshtein(m.seq, r.seq) AS INT) AS distance FROM ({_MIXED}) m JOIN ({_READS}) r USING (rid)",
         "align_paths": alignment_sql.paths(_MIXED),
+        "align_empty": f"""WITH e AS (SELECT rid, rid % 4 AS k, CASE rid % 4 WHEN 0 THEN 0 WHEN 1 THEN rid % 7 WHEN 2 THEN length(seq) END AS n FROM ({_MIXED}))
+            SELECT rid, CAST(CASE k WHEN 2 THEN n WHEN 3 THEN NULL ELSE {_F} END AS INT) AS global_distance, CASE WHEN k < 3 THEN [CAST(n AS INT)] END AS global_stops, CASE k WHEN 2 THEN 0 WHEN 3 THEN NULL ELSE {_F} END AS prefix_distance,
+            CASE k WHEN 2 THEN [0::INT] WHEN 3 THEN NULL ELSE range(0, n + 1)::INT[] END AS prefix_stops, CASE k WHEN 2 THEN 0 WHEN 3 THEN NULL ELSE {_F} END AS infix_distance, CASE k WHEN 2 THEN [0::INT] WHEN 3 THEN NULL ELSE range(0, n + 1)::INT[] END AS infix_stops FROM e""",
+        "error_bounds": f"""WITH {_Q}, fl AS (SELECT id, bool_and(d = 0) FILTER (query_id IN ('q0', 'q1')) AS all_f, bool_and(d <> 0) FILTER (query_id IN ('q0', 'q1')) AS none_f, bool_and(d = 0) FILTER (query_id IN ('q2', 'q3')) AS all_r, bool_and(d <> 0) FILTER (query_id IN ('q2', 'q3')) AS none_r FROM s GROUP BY id),
+            eb AS (SELECT query_id, d FROM s JOIN fl USING (id) WHERE query_id IN ('q2', 'q3') AND all_f AND none_r OR query_id IN ('q0', 'q1') AND all_r AND none_f)
+            SELECT query_id, CAST(ceil(avg(d) + stddev_samp(d)) AS BIGINT) AS upper, CAST(floor(avg(d) - stddev_samp(d)) AS BIGINT) AS lower FROM eb GROUP BY query_id""",
+        "whitelist_within": f"WITH {_BARCODES}, {_NEAR.format(6)} SELECT code, target, bases FROM pairs",
+        "listed_barcodes": f"WITH {_BARCODES} SELECT rid, '@r' AS sig_id, barcode FROM b WHERE code IN (FROM w)",
+        "text_lengths": "SELECT doc_id, length(text) AS chars, octet_length(encode(text)) AS bytes, regexp_extract_all(text, 'e{3,}') AS runs FROM documents",
         "align_locations": alignment_sql.locations(_MIXED),
         "batch_categories": alignment_sql.batches(_MIXED, BOUNDS),
         "align_stats": alignment_sql.align_stats(_MIXED),

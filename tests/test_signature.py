@@ -173,3 +173,12 @@ def test_rules_for_batches_are_the_rules_for_reads():
         got = [([tuple(e.values()) for e in r], c) for r, c in zip(filled.to_pylist(), categories.to_pylist(), strict=True)]
         assert got == want and len({c for _, c in want}) >= (4 if kit == "three" and len(bounds) > 1 else 2)
         assert took < 0.5
+
+
+def test_calibration_has_two_modes(spark):
+    import pytest
+
+    stats = spark.createDataFrame([("r", "f", 0)], "id string, query_id string, best_edit_distance int")
+    for mode in (None, "", "other"):
+        with pytest.raises(ValueError, match="stats or graphics"):
+            calibrate.calibrate(stats, ["f"], ["r"], mode)
