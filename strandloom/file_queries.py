@@ -60,10 +60,11 @@ def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records 101 to 350 of one file."""
+    """Records 31 to 120 of each of eight plain files, which split."""
     folder = Scratch(spark, "files").folder("ordered")
-    sinks.write_reads(_mixed(spark, sf_dir).orderBy("rid").coalesce(1).select("id", "seq", "qual"), folder)
-    return read_records(spark, folder, start=101, stop=350).select("id", "seq")
+    lines = _mixed(spark, sf_dir).select("rid", (F.col("rid") % 8).alias("part"), F.concat_ws("\n", "id", "seq", F.lit("+"), "qual").alias("value"))
+    lines.repartition(8, "part").sortWithinPartitions("part", "rid").select("value", "part").write.partitionBy("part").text(folder)
+    return read_records(spark, folder, start=31, stop=120).select("id", "seq")
 
 
 def whitelist_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +156,7 @@ def oracle_sql() -> dict[str, str]:
         "fastq_files": f"SELECT id, id || ' run=1 ch=' || (rid % 7) AS full_id, seq, qual FROM ({mixed})",
         "fastq_plain": f"SELECT id, seq AS fastq_files, qual AS qc FROM ({mixed})",
         "fasta_files": f"SELECT '>' || w || 'r' || rid AS id, seq, true AS bare FROM ({mixed}), (VALUES (''), ('w')) t(w)",
-        "record_range": f"SELECT id, seq FROM ({mixed}) ORDER BY rid LIMIT 250 OFFSET 100",
+        "record_range": f"SELECT id, seq FROM ({mixed}) QUALIFY row_number() OVER (PARTITION BY rid % 8 ORDER BY rid) BETWEEN 31 AND 120",
         "whitelist_file": f"WITH {_BARCODES} SELECT whitelist_bcs, source FROM w, (VALUES ('raw'), ('saved')) t(source)",
         "layout_file": """SELECT * FROM (VALUES
             ('forw_primer', 'CTACACGACGCTCTTCCGATCT', 22, 'flanking_adapter', 1, 'forward'), ('barcode', NULL, 16, 'barcode', 2, 'forward'), ('umi', NULL, 10, 'umi', 3, 'forward'), ('tso', 'TTTCTTATATGGG', 13, 'adapter', 4, 'forward'),

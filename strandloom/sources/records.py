@@ -198,12 +198,24 @@ def read_records(spark: SparkSession, path: str | list[str], fmt: str = "fastq",
     source = lines(spark, path, glob)
     out = frame(source, fmt, all(f.endswith(WHOLE) for f in source.inputFiles()))
     if start is not None or stop is not None:
-        # a file's records in order: one task a file, as numbering a file from its start is
-        number = F.row_number().over(Window.partitionBy("file").orderBy("block", "n"))
-        out = out.withColumn("number", number).where((F.col("number") >= (start or 1)) & (F.col("number") <= (stop if stop is not None else (1 << 31) - 1)))
+        out = _numbered(out, start or 1, stop)
     return _named(out, fmt, full_id, legacy_names)
 
 
+def _numbered(records: DataFrame, start: int, stop: int | None) -> DataFrame:
+    """The records of a file from one number to another: splits are counted, and records of those in the range numbered, a split a task."""
+    counts = records.groupBy("file", "block").agg(F.count("*").alias("records"))
+    # a file's splits, a row each
+    before = F.coalesce(F.sum("records").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("before", before).where(F.col("before") + F.col("records") >= start)
+    if stop is not None:
+        counts = counts.where(F.col("before") < stop)
+    counts = counts.select(F.col("file").alias("of"), F.col("block").alias("at"), "before")
+    near = records.join(counts, (F.col("file") == F.col("of")) & (F.col("block") == F.col("at")))
+    near = near.withColumn("number", F.col("before") + F.row_number().over(Window.partitionBy("file", "block").orderBy("n"))).where(F.col("number") >= start)
+    return near if stop is None else near.where(F.col("number") <= stop)
+
+
 def first_records(spark: SparkSession, path: str | list[str], reads: int, files: int = 20, fmt: str = "fastq", glob: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """As read_records(), the first so many records of the first so many files by name; all if there are no more.
 
