@@ -136,8 +136,8 @@ SELECT id, {", ".join(f"{n}_dist" for n, _ in ADAPTERS)}, CASE WHEN {r.format(">
   WHEN {f.format("<=")} AND {r.format("<=")} AND {v.format("<=")} AND {rv.format("<=")} THEN 'rescuable_concatenates' ELSE 'undecided' END AS batch FROM x"""
 
 
-def extracted(reads: str, windows: str) -> str:
-    """CTEs: x, rows (id, barcode, umi) that a run with measured thresholds cuts out of reads, undecided ones left out."""
+def extracted(reads: str, windows: str, thresholds: str = "") -> str:
+    """CTEs: x, rows (id, barcode, umi) that a run with measured thresholds, or those given, cuts out of reads, undecided ones left out."""
     forward, reverse = (", ".join(f"'{n}'" for n, _ in ADAPTERS if n.startswith("rc_") == back) for back in (False, True))
     perfect = lambda names: f"SELECT id FROM stats WHERE query_id IN ({names}) GROUP BY id HAVING bool_and(best = 0)"
     tail = lambda base, end: f"list_{end}({windows.format(base)})"
@@ -151,8 +151,9 @@ def extracted(reads: str, windows: str) -> str:
     turn = lambda c: f"CASE WHEN {c} = 'undecided' THEN 'undecided' ELSE reverse(translate({c}, 'ACGTacgt', 'TGCAtgca')) END"
     one = f"{cut('(f_stop + 1)', '(f_stop + 16)')} AS barcode, {cut('(f_stop + 17)', '(f_stop + 28)')} AS umi"
     two = f"{turn('(' + cut('(rf_start - 16)', '(rf_start - 1)') + ')')} AS barcode, {turn('(' + cut('(rf_start - 28)', '(rf_start - 17)') + ')')} AS umi"
+    measured = f"SELECT query_id, avg(best) AS mean, stddev_samp(best) AS sd FROM (SELECT query_id, best FROM stats WHERE query_id IN ({reverse}) AND id IN ({perfect(forward)}) UNION ALL SELECT query_id, best FROM stats WHERE query_id IN ({forward}) AND id IN ({perfect(reverse)})) GROUP BY query_id"
     return f"""{hits(reads)},
-nd AS (SELECT query_id, avg(best) AS mean, stddev_samp(best) AS sd FROM (SELECT query_id, best FROM stats WHERE query_id IN ({reverse}) AND id IN ({perfect(forward)}) UNION ALL SELECT query_id, best FROM stats WHERE query_id IN ({forward}) AND id IN ({perfect(reverse)})) GROUP BY query_id),
+nd AS ({thresholds or measured}),
 nb AS (SELECT {bound} FROM (SELECT query_id, floor(mean - ceil(sd)) AS bound FROM nd)),
 pl AS (SELECT id, query_id, best AS ed, start, stop FROM stats UNION ALL SELECT id, query_id, second, second_start, second_stop FROM stats JOIN nd USING (query_id) WHERE second >= 0 AND second < mean - sd),
 pv AS (SELECT id, {last} FROM pl GROUP BY id),

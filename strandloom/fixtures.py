@@ -34,6 +34,15 @@ FROM (SELECT rid, cell, true_barcode, true_umi, id,
   FROM ({READS}) r) m
 """
 
+#: Those reads joined, one to four of them, of orders that follow each other.
+CHAINS = f"""
+SELECT rid, concat('@c', cast(rid AS string)) AS id, concat(seq, coalesce(s1, ''), coalesce(s2, ''), coalesce(s3, '')) AS seq, r1, r2, r3,
+  repeat('I', cast(length(seq) + coalesce(length(s1), 0) + coalesce(length(s2), 0) + coalesce(length(s3), 0) AS int)) AS qual
+FROM (SELECT rid, seq, CASE WHEN rid % 4 > 0 THEN lead(rid, 1) OVER w END AS r1, CASE WHEN rid % 4 > 1 THEN lead(rid, 2) OVER w END AS r2, CASE WHEN rid % 4 > 2 THEN lead(rid, 3) OVER w END AS r3,
+    CASE WHEN rid % 4 > 0 THEN lead(seq, 1) OVER w END AS s1, CASE WHEN rid % 4 > 1 THEN lead(seq, 2) OVER w END AS s2, CASE WHEN rid % 4 > 2 THEN lead(seq, 3) OVER w END AS s3
+  FROM ({READS}) r WINDOW w AS (PARTITION BY cast(floor(rid / 10) AS bigint) ORDER BY rid)) c
+"""
+
 #: Signatures of every kind: either strand, both, none, and with poly tails missing.
 SIGNATURES = """
 SELECT o_orderkey AS rid, concat('@s', cast(o_orderkey AS string)) AS id, CASE o_orderkey % 6

@@ -1,6 +1,6 @@
 """Edit-distance alignment of short queries to many sequences at once: bit-parallel columns, one lane a sequence."""
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,39 +83,72 @@ def _block(query: bytes, columns: np.ndarray, lengths: np.ndarray) -> Hits:
     end, lane = np.nonzero(scores == best[None, :])
     order = np.lexsort((end, lane))
     end, lane = end[order], lane[order]
-    # from each end back: the reversed query against the reversed text, whose last best place is the least start
-    width = min(columns.shape[0], 2 * m)
-    start = np.zeros(len(end), np.int64)
-    for a in range(0, len(end), max(1, CELLS // max(1, width * 8))):
-        e, k = end[a : a + CELLS // max(1, width * 8)], lane[a : a + CELLS // max(1, width * 8)]
-        at = e[None, :] - np.arange(width)[:, None]
-        window = np.where(at >= 0, columns[np.maximum(at, 0), k[None, :]], 0).astype(np.uint8)
-        back = column_scores(query[::-1], window, prefix=True)
-        fits = (back == best[k][None, :]) & (at >= 0)
-        steps = width - 1 - fits[::-1].argmax(axis=0)
-        start[a : a + len(e)] = np.where(fits.any(axis=0), e - steps, e + 1)
+    start = _starts(query, columns, lane, end, best[lane])
     nothing = np.flatnonzero(best == m)
     lane, start, end = np.concatenate([nothing, lane]), np.concatenate([np.zeros(len(nothing), np.int64), start]), np.concatenate([np.full(len(nothing), -1), end])
     order = np.lexsort((end, lane))
     return Hits(best.astype(np.int64), lane[order], start[order], end[order])
 
 
-def infix(query: bytes, texts: list[bytes]) -> Hits:
-    """All places in each text at which a substring is nearest to the query. Longer queries than a word are lanes' (see lanes)."""
-    if len(query) > lanes.WORD:
-        return located([query.decode("latin-1")] * len(texts), [t.decode("latin-1") for t in texts], "infix")
+def near_places(query: bytes, texts: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes, starts, ends and distances of all places within a distance, by lane and start; of ends side by side the nearest, the first of equals.
+
+    For queries of up to 64 bases.
+    """
     lengths = np.array([len(t) for t in texts], np.int64)
-    order = np.argsort(lengths, kind="stable")
-    parts, at = [], 0
+    parts = []
+    for some in _alike(lengths):
+        columns, own = matrix([texts[k] for k in some])
+        scores = column_scores(query, columns, prefix=False).T
+        lane, end = np.nonzero((scores <= most) & (np.arange(scores.shape[1])[None, :] < own[:, None]))
+        if not len(lane):
+            continue
+        new = np.concatenate(([True], (lane[1:] != lane[:-1]) | (end[1:] != end[:-1] + 1)))
+        run, score = np.cumsum(new) - 1, scores[lane, end]
+        least = np.flatnonzero(score == np.minimum.reduceat(score, np.flatnonzero(new))[run])
+        pick = least[np.concatenate(([True], run[least][1:] != run[least][:-1]))]
+        lane, end, score = lane[pick], end[pick], score[pick].astype(np.int64)
+        parts.append((some[lane], _starts(query, columns, lane, end, score), end, score))
+    lane, start, end, score = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+    by = np.lexsort((start, lane))
+    return lane[by], start[by], end[by], score[by]
+
+
+def _alike(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Lanes in blocks of similar length and bounded cells."""
+    order, at = np.argsort(lengths, kind="stable"), 0
     while at < len(order):
-        # texts of similar length share a block
         size = 1
         while at + size < len(order) and (size + 1) * max(1, lengths[order[at + size]]) <= CELLS // 8:
             size += 1
-        some = order[at : at + size]
+        yield order[at : at + size]
+        at += size
+
+
+def _starts(query: bytes, columns: np.ndarray, lane: np.ndarray, end: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """The least start for each end: the reversed query against the reversed text, whose last best place it is."""
+    width = min(columns.shape[0], 2 * len(query))
+    start, step = np.zeros(len(end), np.int64), max(1, CELLS // max(1, width * 8))
+    for a in range(0, len(end), step):
+        e, k = end[a : a + step], lane[a : a + step]
+        at = e[None, :] - np.arange(width)[:, None]
+        window = np.where(at >= 0, columns[np.maximum(at, 0), k[None, :]], 0).astype(np.uint8)
+        back = column_scores(query[::-1], window, prefix=True)
+        fits = (back == best[a : a + step][None, :]) & (at >= 0)
+        steps = width - 1 - fits[::-1].argmax(axis=0)
+        start[a : a + step] = np.where(fits.any(axis=0), e - steps, e + 1)
+    return start
+
+
+def infix(query: bytes, texts: list[bytes]) -> Hits:
+    """All places in each text at which a substring is nearest to the query. Longer queries than a word are lanes' (see lanes)."""
+    if len(query) > lanes.WORD:
+        return located([query.decode("latin-1")] * len(texts), [t.decode("latin-1") for t in texts], "infix")
+    lengths = np.array([len(t) for t in texts], np.int64)
+    parts = []
+    for some in _alike(lengths):
         columns, own = matrix([texts[k] for k in some])
         parts.append((some, _block(query, columns, own)))
-        at += size
     distance = np.zeros(len(texts), np.int64)
     for some, h in parts:
         distance[some] = h.distance

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom import alignment_sql, fixtures
 from strandloom.functions import sequence as S
-from strandloom.operators import align, calibrate, correct, extract, signature
+from strandloom.operators import align, calibrate, correct, extract, molecules, signature
 from strandloom.plans import demux, layout
 from strandloom.sources import tables
 
@@ -15,6 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Thresholds of the fixture reads: mean and deviation of misaligned primers, and the bounds that follow.
 NULL = {"forw_primer": (8.53, 0.83), "rev_primer": (12.46, 0.91), "rc_forw_primer": (8.54, 0.81), "rc_rev_primer": (12.43, 0.91)}
 EQUAL = tuple(("N", b) for b in "ACGT")
+#: Bounds under which a primer hardly lies anywhere by chance.
+STRICT = {"forw_primer": 4.0, "rev_primer": 7.0, "rc_forw_primer": 4.0, "rc_rev_primer": 7.0}
 BOUNDS = {"forw_primer": 7.0, "rev_primer": 11.0, "rc_forw_primer": 7.0, "rc_rev_primer": 11.0}
 
 
@@ -242,6 +244,19 @@ def mutate_and_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.mutate_and_check(barcodes(spark, sf_dir), whitelist(spark, sf_dir), 6).select("code", F.array_join("matches", ",").alias("matches"))
 
 
+def read_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Molecules of reads joined from one to four."""
+    found = molecules.molecules(fixtures.frame(spark, sf_dir, fixtures.CHAINS), plan_of(spark, sf_dir), STRICT)
+    return found.select("rid", F.posexplode("molecules").alias("number", "m")).select("rid", (F.col("number") + 1).alias("number"), "m.strand", "m.start", "m.stop", "m.distance")
+
+
+def molecule_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads and tags of each cell, of reads joined from one to four and split again."""
+    parts = molecules.split(fixtures.frame(spark, sf_dir, fixtures.CHAINS), plan_of(spark, sf_dir), STRICT)
+    cut = extract.extract(demux.annotated(parts, plan_of(spark, sf_dir), NULL))
+    return demux.cell_counts(correct.on_lists(cut, whitelist(spark, sf_dir)))
+
+
 def _off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct.in_whitelist(barcodes(spark, sf_dir), whitelist(spark, sf_dir)).where("NOT listed").select("code").distinct()
 
@@ -297,7 +312,7 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         cell_umi_counts, revcomp_reads, encode_barcodes, decode_barcodes, distances, phred_scores, poly_tail_scan, poly_runs, bit_flips, bit_flips_two, align_modes, align_long, align_reads, align_empty, align_paths, align_locations, batch_categories, align_stats, null_distance, lower_bounds, error_bounds, calibration_rows,
         layout_expand, align_signatures, signature_parse, signature_classify, signature_annotate, extract_reads, whitelist_check, barcode_freq, secondary_topk, whitelist_neighbours, whitelist_within, listed_barcodes, text_lengths, mutate_and_check,
-        correct_ties, correct_barcodes, paf_tags, read_length_stats, renamed_reads, demultiplex)}
+        correct_ties, correct_barcodes, read_molecules, molecule_cells, paf_tags, read_length_stats, renamed_reads, demultiplex)}
 
 
 _READS, _MIXED, _SIGS = fixtures.duck(fixtures.READS), fixtures.duck(fixtures.MIXED), fixtures.duck(fixtures.SIGNATURES)
@@ -378,6 +393,9 @@ def oracle_sql() -> dict[str, str]:
             eb AS (SELECT query_id, d FROM s JOIN fl USING (id) WHERE query_id IN ('q2', 'q3') AND all_f AND none_r OR query_id IN ('q0', 'q1') AND all_r AND none_f)
             SELECT query_id, CAST(ceil(avg(d) + stddev_samp(d)) AS BIGINT) AS upper, CAST(floor(avg(d) - stddev_samp(d)) AS BIGINT) AS lower FROM eb GROUP BY query_id""",
         "whitelist_within": f"WITH {_BARCODES}, {_NEAR.format(6)} SELECT code, target, bases FROM pairs",
+        "read_molecules": f"""WITH c AS ({fixtures.duck(fixtures.CHAINS)}), m AS (SELECT rid, unnest(list_filter([rid, r1, r2, r3], lambda x: x IS NOT NULL)) AS r, unnest(range(1, 2 + CAST(r1 IS NOT NULL AS INT) + CAST(r2 IS NOT NULL AS INT) + CAST(r3 IS NOT NULL AS INT)))::INT AS number FROM c)
+            SELECT rid, number, CASE r % 2 WHEN 1 THEN 'reverse' ELSE 'forward' END AS strand, CAST(216 * (number - 1) + 11 AS INT) AS start, CAST(216 * (number - 1) + 206 AS INT) AS stop, 0 AS distance FROM m""",
+        "molecule_cells": _molecules_sql(),
         "listed_barcodes": f"WITH {_BARCODES} SELECT rid, '@r' AS sig_id, barcode FROM b WHERE code IN (FROM w)",
         "text_lengths": "SELECT doc_id, length(text) AS chars, octet_length(encode(text)) AS bytes, regexp_extract_all(text, 'e{3,}') AS runs FROM documents",
         "align_locations": alignment_sql.locations(_MIXED),
@@ -433,6 +451,15 @@ al AS (SELECT id, umi, b.code, target, coalesce({_TEXT.format("tg.target", 16)},
 fx AS (SELECT id, umi, barcode FROM al WHERE code IS NOT NULL AND (target IS NOT NULL OR code IN (FROM w)))"""
 
 
+def _molecules_sql() -> str:
+    """Each part of a chain as a read of its own: whole reads of 216 bases, but for what a part has of its neighbours' ends."""
+    parts = f"""SELECT rid * 10 + k AS rid, substr(seq, CASE WHEN k = 0 THEN 1 ELSE 216 * k - 9 END, CASE WHEN n = 1 THEN 216 WHEN k = 0 THEN 206 WHEN k = n - 1 THEN 226 ELSE 216 END) AS seq
+      FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT rid, seq, length(seq) // 216 AS n FROM ({fixtures.duck(fixtures.CHAINS)})))"""
+    known = " UNION ALL ".join(f"SELECT '{n}' AS query_id, {m} AS mean, {s} AS sd" for n, (m, s) in NULL.items())
+    return f"""WITH {alignment_sql.extracted(parts, _POLY, known)}, w AS (SELECT DISTINCT {_CODE.format("true_barcode")} AS whitelist_bcs FROM ({_READS})),
+fx AS (SELECT barcode, umi FROM x WHERE barcode <> 'undecided' AND {_CODE.format("barcode")} IN (FROM w)) SELECT barcode, count(*) AS reads, count(DISTINCT umi) AS umis FROM fx GROUP BY barcode"""
+
+
 def _extract_sql() -> str:
     """Barcode 33-48, tag 49-60 and insert up to 176 of the forward strand; the insert of a cut read is one base short."""
     turn = lambda s: f"reverse(translate({s}, 'ACGT', 'TGCA'))"

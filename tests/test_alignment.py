@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 
 from strandloom.functions import lanes
@@ -216,3 +218,63 @@ def test_a_bound_saves_work():
     finally:
         lanes._step = step
     assert work < 0.15 * 200 * 1280 * 20
+
+
+def test_heaviest_sets_of_intervals():
+    """Against all subsets."""
+    from itertools import combinations
+
+    from strandloom.operators.molecules import schedule
+
+    rng = random.Random(61)
+    rows = [[(a, a + rng.randint(0, 30), rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 7)))] for _ in range(150)]
+    flat = [(r, *x) for r, own in enumerate(rows) for x in own]
+    rng.shuffle(flat)
+    columns = [np.array(c, np.int64) for c in zip(*flat, strict=True)]
+    taken = schedule(*columns, len(rows))
+    for r, own in enumerate(rows):
+        got = sorted((a, b, w) for (k, a, b, w), t in zip(flat, taken, strict=True) if t and k == r)
+        assert all(x[1] < y[0] for x, y in zip(got, got[1:]))
+        best = max(sum(w for *_, w in c) for n in range(len(own) + 1) for c in combinations(sorted(own), n) if all(x[1] < y[0] for x, y in zip(c, c[1:])))
+        assert sum(w for *_, w in got) == best
+
+
+def test_near_places_equal_a_table():
+    from strandloom.functions.alignment import near_places
+
+    rng = random.Random(62)
+    query = "ACGTTGCA"
+    texts = ["".join(rng.choice("ACGT") for _ in range(rng.randint(0, 60))) + rng.choice(["", query, query[1:]]) for _ in range(60)]
+    lane, start, end, score = near_places(query.encode(), [t.encode() for t in texts], 2)
+    for k, t in enumerate(texts):
+        last = table(query, t, (), False)[-1][1:]
+        want, j = [], 0
+        while j < len(last):
+            i = j
+            while j < len(last) and last[j] <= 2:
+                j += 1
+            if j > i:
+                e = min(range(i, j), key=lambda x: (last[x], x))
+                want.append((e, last[e]))
+            j += 1
+        assert sorted((int(e), int(d)) for x, e, d in zip(lane, end, score, strict=True) if x == k) == want
+    assert all(table(query, texts[k][a : b + 1], (), True)[-1][-1] == d for k, a, b, d in zip(lane, start, end, score, strict=True))
+
+
+def test_molecules_of_odd_reads(spark):
+    from strandloom.operators.molecules import molecules, split
+    from strandloom.plans.layout import kit
+    from strandloom.queries import STRICT
+
+    plan = kit("three")
+    p = dict(plan.adapters)
+    one, back = p["forw_primer"] + "ACGT" * 10 + p["rev_primer"], p["rc_rev_primer"] + "CCAA" * 10 + p["rc_forw_primer"]
+    rows = [("a", one + "GG" + back + back + one + one, "x"), ("b", None, "x"), ("c", "", "x"), ("d", p["rev_primer"] + p["forw_primer"], "x"), ("e", one, "x"), ("f", p["forw_primer"] + one, "x")]
+    df = spark.createDataFrame([(i, s, s and "I" * len(s), m) for i, s, m in rows], "id string, seq string, qual string, molecules string")
+    got = {r.id: [(m.strand, m.start, m.stop, m.distance) for m in r.found] for r in molecules(df, plan, STRICT, name="found").collect()}
+    n = len(one)
+    ends = [(1, n, "forward"), (n + 3, 2 * n + 2, "reverse"), (2 * n + 3, 3 * n + 2, "reverse"), (3 * n + 3, 4 * n + 2, "forward"), (4 * n + 3, 5 * n + 2, "forward")]
+    assert got["a"] == [(s, a, b, 0) for a, b, s in ends] and got["b"] == got["c"] == got["d"] == [] and len(got["e"]) == 1 and got["f"] == [("forward", 23, 22 + n, 0)]
+    parts = {r.id: r.seq for r in split(df, plan, STRICT).collect()}
+    assert len(parts) == 10 and "".join(parts[f"a_molecule={k}"] for k in range(1, 6)) == rows[0][1] and parts["e"] == one and parts["b"] is None
+    assert split(df.limit(0), plan, STRICT).count() == 0
