@@ -35,7 +35,13 @@ def run(spark: SparkSession, input: str, whitelist: str, output: str, checkpoint
     """Demultiplexes the files of the input that are new, and counts the cells of all so far."""
     options = demux.Options(least_read=config["least_read"], calibration_reads=config["calibration_reads"], calibration_files=config["calibration_files"])
     plan = layout.kit(config["kit"], whitelist=tables.read_whitelist(spark, whitelist))
-    reads_of = lambda rows: rows.sparkSession.sql(config["reads_sql"], input=rows)
+
+    def reads_of(rows: DataFrame) -> DataFrame:
+        if config["spread_by"]:
+            # a small file whose rows stand for long reads is many tasks'
+            rows = rows.repartition(spark.sparkContext.defaultParallelism, config["spread_by"])
+        return rows.sparkSession.sql(config["reads_sql"], input=rows)
+
     null = _thresholds(spark, input, output, plan, options, config, reads_of)
     batches: list[dict] = []
 

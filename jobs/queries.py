@@ -23,7 +23,7 @@ def job1_demultiplex_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, orders = _folder(spark, "job1"), f"{sf_dir}/orders.parquet"
     known = spark.sql(fixtures.READS.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(orders).select("o_orderkey", "o_custkey"))
     sinks.write_lines(known.select("true_barcode").distinct(), "true_barcode", f"{folder}/whitelist")
-    config = config_of(demultiplex_reads.JOB) | {"format": "parquet", "reads_sql": f"SELECT id, seq, qual FROM ({fixtures.MIXED.replace('FROM orders', 'FROM {input}')})"}
+    config = config_of(demultiplex_reads.JOB) | {"format": "parquet", "spread_by": "o_orderkey", "reads_sql": f"SELECT id, seq, qual FROM ({fixtures.MIXED.replace('FROM orders', 'FROM {input}')})"}
     for _ in range(2):
         demultiplex_reads.run(spark, orders, f"{folder}/whitelist", f"{folder}/out", f"{folder}/checkpoint", config)
     return demultiplex_reads.read_cells(spark, f"{folder}/out")
