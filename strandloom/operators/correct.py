@@ -90,10 +90,10 @@ def neighbours(codes: DataFrame, whitelist: DataFrame, bits: int = 4, bases: int
 
 
 def _joined(codes: DataFrame, targets: DataFrame, bits: int, bases: int, length: int, nearest: bool, scratch: Scratch) -> DataFrame:
-    """neighbours() of a whitelist that is too large to send: codes with one base changed are looked up as they are, then with
+    """neighbours() of a whitelist that is too large to send.
 
-    two, for those that found none; what is left is looked up by halves, as are all without nearest. Codes, whitelist and each
-    step's finds are written once.
+    Codes with one base changed are looked up as they are, then with two, for those that found none; what is left is looked
+    up by halves, as are all without nearest. Codes, whitelist and each step's finds are written once.
     """
     codes, targets = scratch.keep(codes, "near-codes"), scratch.keep(targets, "near-targets")
     if not nearest:

@@ -42,7 +42,7 @@ def schedule(row: np.ndarray, start: np.ndarray, stop: np.ndarray, weight: np.nd
     return out
 
 
-def _intervals(first: tuple[np.ndarray, ...], last: tuple[np.ndarray, ...], most: int) -> tuple[np.ndarray, ...]:
+def _intervals(first: tuple[np.ndarray, ...], last: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     """Rows, starts, stops and distances of what may be molecules: a first primer and the next last one, and the other way round."""
     lane, _, end, _ = first
     to_lane, to_start, _, _ = last
@@ -85,7 +85,7 @@ def molecules(reads: DataFrame, plan: DemuxPlan, bounds: dict[str, float], seq:
                 if first in bounds and last in bounds:
                     most = int(bounds[first] + bounds[last])
                     places = [near_places(primers[p].encode(), texts, int(bounds[p])) for p in (first, last)]
-                    row, start, stop, distance = _intervals(*places, most)
+                    row, start, stop, distance = _intervals(*places)
                     parts.append((row, start, stop, distance, most + 1 - distance, np.full(len(row), k)))
             row, start, stop, distance, weight, strand = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 6
             good = schedule(row, start, stop, weight, b.num_rows)
