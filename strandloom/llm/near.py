@@ -7,8 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -21,8 +20,10 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Documents of a candidate group, and shingles of theirs, that one task compares with as many others, about.
 CHUNK, CHUNK_SHINGLES = 128, 1 << 20
-#: Documents whose keys are joined before they move.
+#: Signatures whose keys are made at once.
 BATCH = 4096
+#: Signatures of a key that one task compares with as many others, about.
+BUCKET = 1024
 #: Bits a document, most bits, and hashes of the filter that keeps texts without partners from moving.
 FILTER_BITS, FILTER_MOST, FILTER_HASHES = 16, 1 << 29, 3
 #: Words whose hashes a task keeps; it starts anew beyond that.
@@ -40,8 +41,9 @@ class Near:
     A signature has chunks * chunk symbols of 16 bits, the low bits of as many minima. Two signatures that differ in
     fewer than chunks * (errors + 1) symbols agree in some chunk but for errors symbols at most (pigeonhole), so they
     share a key for that chunk: one key is made for each choice of the symbols allowed to differ. With the values here
-    that is every pair under 20 of 50 symbols apart. Sets that share 85 % of their shingles are that near with a chance
-    over 0.9999, and share a key even so, by chance in some other chunk, with all but 2 in 10^8.
+    that is every pair under 20 of 50 symbols apart. Of pairs that share a key, those under apart symbols apart are
+    candidates: more than are guaranteed, as sets that share 85 % of their shingles are under 20 apart with a chance over
+    0.9999, but under 26 apart with all but 1 in 10^9, and share a key by chance in some chunk with all but 2 in 10^8.
     """
 
     words: int = 5
@@ -49,6 +51,7 @@ class Near:
     chunks: int = 10
     chunk: int = 5
     errors: int = 1
+    apart: int = 26
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -197,8 +200,8 @@ def groups(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text
 
     1. Each text gives the size, a 128-bit digest and the signature of its set. Equal sets become one node (the least id),
        summed before they move, so copies cost nothing more.
-    2. Keys that nodes share join them to candidate groups, as components of the links from each node to the least node of
-       each of its keys. All pairs that share a key, so all within the signature distance, lie in one group.
+    2. Nodes that share a key meet as signatures, and those that are near are linked: a Hamming join. Candidate groups are the
+       components of these links, so all pairs within the signature distance lie in one group.
     3. Groups are compared on full sets, a bounded number of nodes at a time; see _confirmed().
     4. Comparisons return fewer links than nodes; their components are the result.
     """
@@ -209,7 +212,7 @@ def groups(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text
     sets = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     nodes = sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     nodes = scratch.keep(nodes, "nodes")
-    candidates = scratch.keep(_candidate_groups(nodes, near, scratch, kind).join(nodes.select("node", "n_shingles"), "node"), "candidates")
+    candidates = scratch.keep(_candidate_groups(nodes, near, scratch).join(nodes.select("node", "n_shingles"), "node"), "candidates")
     links = _confirmed(docs, candidates, near, scratch, id_column, text_column, kind)
     # rows that repeat an id with different sets belong together
     copied = _salted(nodes.where("copies > 1").select(F.col("digest").alias("of"), F.col("node").alias("least")))
@@ -226,37 +229,107 @@ def groups(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _candidate_groups(nodes: DataFrame, near: Near, scratch: Scratch, kind: str) -> DataFrame:
-    """(node, component): the candidate group of each node that shares a key with another.
+def _candidate_groups(nodes: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
+    """(node, component): the candidate group of each node whose signature is near another's; see _signatures_joined().
 
-    Nodes that share a key within a batch are joined there, and the key goes on with one of them: so a key that very many
-    nodes share moves once a batch.
+    Keys move with a hash of their set. Those that several sets share are counted before they move; of these alone the
+    signatures follow, to the blocks of their bucket: one for up to BUCKET sets, or one for each two parts of a larger bucket.
     """
-    shape = _parse_datatype_string(f"key bigint, node {kind}, other {kind}")
+    shape = _parse_datatype_string("key bigint, of bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        into = to_arrow_schema(shape)
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 b = whole.slice(at, BATCH)
-                b = b.take(pc.sort_indices(b.column(0)))
-                symbols = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(b.num_rows, -1)
-                flat = keys_of(symbols, near).ravel()
-                per = len(flat) // b.num_rows
-                keys, first, of = np.unique(flat, return_index=True, return_inverse=True)
-                mine, least = np.arange(len(flat)) // per, (first // per)[of]
-                linked = mine != least
-                leaf, root = contract(mine[linked], least[linked])
-                # edges between nodes have keys of their own, so that they are dealt evenly
-                own = _mix(leaf.astype(np.uint64) + _mix(flat[leaf * per].view(np.uint64))).view(np.int64)
-                node = b.column(0).take(pa.array(np.concatenate([first // per, leaf])))
-                other = b.column(0).take(pa.array(np.concatenate([np.zeros(len(keys), np.int64), root]), mask=np.arange(len(keys) + len(leaf)) < len(keys)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, own])), node.cast(into.field(1).type), other.cast(into.field(2).type)], schema=into)
-
-    keys = nodes.select("node", "signature").mapInArrow(run, shape)
-    least = F.first("node").over(Window.partitionBy("key").orderBy("node"))
-    edges = keys.select(F.col("node").alias("a"), F.coalesce("other", least).alias("b"))
-    return components(edges, scratch, "candidate-cc")
+                found = keys_of(_symbols(b.column(1)), near)
+                of = b.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(of, found.shape[1]))], schema=to_arrow_schema(shape))
+
+    nodes = nodes.select(F.xxhash64("digest").alias("set"), "node", "signature")
+    keys = nodes.select("set", "signature").mapInArrow(run, shape)
+    shared = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("shared"), F.ceil(F.col("n") / BUCKET).cast("int").alias("chunks")), "shared")
+    large = _salted(shared.where("chunks > 1"))
+    # merge: the same plan at every size
+    rows = keys.join(shared.where("chunks = 1").hint("merge"), F.col("key") == F.col("shared")).select("key", "of", "chunks")
+    rows = rows.unionByName(keys.join(large.hint("merge"), (F.col("key") == F.col("shared")) & (_salt("of") == F.col("of_salt"))).select("key", "of", "chunks"))
+    rows = _crossed(rows.withColumn("chunk", F.pmod(F.xxhash64("of"), F.col("chunks")).cast("int")))
+    rows = rows.join(nodes.hint("merge"), F.col("of") == F.col("set")).select("key", "x", "y", (F.col("chunk") == F.col("x")).alias("left"), "node", "signature")
+    return components(_signatures_joined(rows, near), scratch, "candidate-cc")
+
+
+def _symbols(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
+def _signatures_joined(blocks: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) that join up the nodes of each block as all its pairs under near.apart symbols apart would.
+
+    Rows are key, x, y, left, node and signature. Where x is y all pairs of the block count, else those of its two sides. A
+    block's nodes are compared with its first one; with those that aren't near it, one of those that are joined after another.
+    What is joined isn't compared again, so near copies cost time in proportion to their number.
+    """
+    kind = blocks.schema["node"].dataType.simpleString()
+    shape = _parse_datatype_string(f"a {kind}, b {kind}")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        """The rows of some blocks, none in part, and where each block begins."""
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b]).combine_chunks()
+            at = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "x", "y")])
+            first = np.flatnonzero(np.concatenate(([True], (at[:, 1:] != at[:, :-1]).any(axis=0)))) if t.num_rows else np.zeros(1, np.int64)
+            if first[-1]:
+                yield t.slice(0, int(first[-1])), first[:-1]
+            rest = t.slice(int(first[-1]))
+        if rest is not None and rest.num_rows:
+            yield rest, np.zeros(1, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = to_arrow_schema(shape)
+        for t, first in whole(batches):
+            symbols = _symbols(t.column("signature"))
+            left = t.column("left").to_numpy()
+            crossed = t.column("x").to_numpy() != t.column("y").to_numpy()
+            a, b = _near_pairs(symbols, first, left, crossed, near.apart)
+            t = t.column("node")
+            yield pa.RecordBatch.from_arrays([t.take(pa.array(i)).combine_chunks().cast(f.type) for i, f in zip(contract(a, b), into, strict=True)], schema=into)
+
+    return blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, shape)
+
+
+def _near_pairs(symbols: np.ndarray, first: np.ndarray, left: np.ndarray, crossed: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of blocks, which begin at first, that join up each block as all its pairs under apart would.
+
+    In blocks that are crossed, only pairs of a left row and another count.
+    """
+
+    def is_near(row: np.ndarray | int, others: np.ndarray) -> np.ndarray:
+        out = (symbols[others] != symbols[row]).sum(axis=1) < apart
+        return out & ~(crossed[others] & (left[others] == left[row]))
+
+    rows = np.arange(len(symbols))
+    leader = np.repeat(first, np.diff(np.append(first, len(rows))))
+    mine = is_near(leader, rows) & (rows != leader)
+    pairs = [(rows[mine], leader[mine])]
+    open_ = ~mine & (rows != leader)
+    several = np.append(first, len(rows))
+    for k in np.unique(np.searchsorted(first, rows[open_], side="right")) - 1:
+        start, stop = several[k], several[k + 1]
+        if stop - start == 2:
+            continue
+        todo = start + np.flatnonzero(mine[start:stop])
+        front, rest = todo.tolist(), start + np.flatnonzero(open_[start:stop])
+        while len(rest):
+            if not front:
+                front, rest = [int(rest[0])], rest[1:]
+                continue
+            row = front.pop()
+            near_it = is_near(row, rest)
+            if near_it.any():
+                pairs.append((rest[near_it], np.full(int(near_it.sum()), row)))
+                front.extend(rest[near_it].tolist())
+                rest = rest[~near_it]
+    return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 
 
 def _likely_sets(texts: DataFrame, candidates: DataFrame, near: Near, kind: str) -> DataFrame:

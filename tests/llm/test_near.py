@@ -64,6 +64,7 @@ def test_groups_equal_brute_force(spark):
 
 def test_chunks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(near, "CHUNK", 4)
+    monkeypatch.setattr(near, "BUCKET", 3)
     rows = [(a, b) for a, b in corpus(7) if a is not None]
     got = {(r.doc_id, r.n_shingles): r.component_id for r in near.groups(spark.createDataFrame(rows, "doc_id long, text string"), near.Near(3, 85)).collect()}
     assert got == {(a, b): c for a, b, c in brute(rows, 3, 85)}
@@ -107,6 +108,67 @@ def test_near_signatures_share_a_key():
         assert set(near.keys_of(a[None], p)[0]) & set(near.keys_of(b[None], p)[0])
 
 
+def families(rng, distances):
+    """Signatures: a random one, and for each distance one that is so many symbols from it, at random places."""
+    out = [rng.integers(0, 1 << 16, 50).astype(np.uint16)]
+    for d in distances:
+        out.append(out[0].copy())
+        out[-1][rng.choice(50, d, replace=False)] ^= np.uint16(rng.integers(1, 1 << 16))
+    return np.array(out)
+
+
+def roots(n, pairs):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(x) for x in range(n)]
+
+
+def test_blocks_are_joined_as_all_their_near_pairs_would():
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(1, 25, 6)
+        symbols = np.concatenate([families(rng, rng.integers(1, 50, n - 1)) for n in sizes])
+        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        block = np.repeat(np.arange(6), sizes)
+        left, crossed = rng.random(len(symbols)) < 0.5, np.repeat(rng.random(6) < 0.5, sizes)
+        ok = [(i, j) for i in range(len(symbols)) for j in range(i) if block[i] == block[j] and (symbols[i] != symbols[j]).sum() < 26 and not (crossed[i] and left[i] == left[j])]
+        a, b = near._near_pairs(symbols, first, left, crossed, 26)
+        assert roots(len(symbols), zip(a.tolist(), b.tolist(), strict=True)) == roots(len(symbols), ok)
+
+
+def test_candidates_are_near_signatures_alone(spark, monkeypatch):
+    """A Hamming join: candidates' groups are those of the pairs that share a key and are near; others that share keys are none."""
+    rng, p = np.random.default_rng(3), near.Near()
+    symbols = np.concatenate([families(rng, rng.integers(5, 46, 25)) for _ in range(12)])
+    nodes = spark.createDataFrame([(bytearray(f"{i}".encode()), i, bytearray(s.tobytes())) for i, s in enumerate(symbols)], "digest binary, node long, signature binary")
+    keys = [set(k) for k in near.keys_of(symbols, p).tolist()]
+    share = [(i, j) for i in range(len(symbols)) for j in range(i) if keys[i] & keys[j]]
+    close = [(i, j) for i, j in share if (symbols[i] != symbols[j]).sum() < p.apart]
+    assert {(i, j) for i in range(len(symbols)) for j in range(i) if (symbols[i] != symbols[j]).sum() < 20} <= set(close)
+    assert len(close) < len(share)
+    want = {i: r for i, r in enumerate(roots(len(symbols), close)) if any(i in c for c in close)}
+    for size in (1024, 5):
+        monkeypatch.setattr(near, "BUCKET", size)
+        got = {r.node: r.component for r in near._candidate_groups(nodes, p, near.Scratch(spark, "test")).collect()}
+        assert got == want
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    changed = [w if rng.random() > 0.01 else "x" for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:200_000])), (4, " ".join(words[::-1]))]
+    got = near.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 5, 80))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near.groups(df).count() == 0 and near.deduplicate(df).count() == 0
