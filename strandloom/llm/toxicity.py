@@ -16,11 +16,14 @@ _WORDS = re.compile(WORD)
 #: Bound of the sample: rows of each class, and characters of a row, that fitting takes.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 #: Features at most; a word or stem is one if its counts in toxic and other rows differ at this log-likelihood ratio.
-MOST_WORDS, RATIO = 20_000, 24.0
+MOST_WORDS, RATIO = 20_000, 4.0
 #: Beginnings of words, by length, that can be features beside whole words: many languages form words from stems.
 STEMS = (4, 5, 6)
-#: Words of a training sequence; steps of its fit.
-SEGMENT, STEPS = 64, 80
+#: Words of a training sequence; steps of its fit, and the rate of their first half, which falls to none after that.
+SEGMENT, STEPS, RATE = 64, 60, 0.25
+#: Emission of words outside the vocabulary; what a word's first emission is under its odds; how strongly weights are held to
+#: where they begin; the share of RATE for weights but emissions; the chance that a toxic row's label comes from no word at all.
+OTHER, FIRST, PRIOR, SLOW, NOISE = -9.0, 6.0, 0.1, 0.2, 0.15
 THRESHOLD = 0.3
 #: Words whose numbers a task keeps; it starts anew beyond that.
 WORDS = 100_000
@@ -184,47 +187,92 @@ def _counts(x: np.ndarray, near: np.ndarray, tags: np.ndarray, moves: np.ndarray
     return [np.bincount(x.ravel(), weights=tags.ravel(), minlength=size), (near * tags).sum(axis=(1, 2)), moves, first]
 
 
-def expected(weights: list[np.ndarray], x: np.ndarray, near: np.ndarray) -> tuple[list[np.ndarray], float]:
-    """Expected counts of states under a chain's weights (emission, beside, move, start), and the logarithm of its sum over them."""
+def expected(weights: list[np.ndarray], x: np.ndarray, near: np.ndarray, of: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[list[np.ndarray], float]:
+    """Expected counts of states under a chain's weights (emission, beside, move, start), and the logarithm of its sum over them.
+
+    of gives how often each sequence counts, from the logarithms of the sequences' sums; once if there is none.
+    """
     emission, beside, move, start = weights
     n, length = x.shape
-    read = np.stack([np.ones(x.shape), np.exp(emission[x] + np.tensordot(beside, near.astype(float), 1))], axis=-1)
-    step = np.exp(move)
-    forward = np.empty((length, n, 2))
-    scale = np.empty((length, n))
-    f = np.exp(start) * read[:, 0]
+    read = np.exp(emission[x] + np.tensordot(beside, near.astype(float), 1)).T.copy()
+    (s00, s01), (s10, s11) = np.exp(move)
+    # state 1's share of what leads to a word; the rest is state 0's
+    forward, scale = np.empty((length, n)), np.empty((length, n))
+    f0, f1 = np.full(n, np.exp(start[0])), np.exp(start[1]) * read[0]
     for k in range(length):
         if k:
-            f = (forward[k - 1] @ step) * read[:, k]
-        scale[k] = f.sum(axis=1)
-        forward[k] = f / scale[k][:, None]
-    b = np.ones((n, 2))
-    tags, moves, first = np.empty((n, length)), np.zeros((2, 2)), np.zeros(2)
+            f0, f1 = f0 * s00 + f1 * s10, (f0 * s01 + f1 * s11) * read[k]
+        scale[k] = f0 + f1
+        f0, f1 = f0 / scale[k], f1 / scale[k]
+        forward[k] = f1
+    sums = np.log(scale).sum(axis=0)
+    times = np.ones(n) if of is None else of(sums)
+    tags, moves = np.empty((length, n)), np.zeros((2, 2))
+    b0, b1 = np.ones(n), np.ones(n)
     for k in range(length - 1, -1, -1):
-        p = forward[k] * b
-        tags[:, k] = p[:, 1] / p.sum(axis=1)
-        if k == 0:
-            first = (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
-        else:
-            out = read[:, k] * b / scale[k][:, None]
-            moves += (forward[k - 1].T @ out) * step
-            b = out @ step.T
-    return _counts(x, near, tags, moves, first, len(emission)), float(np.log(scale).sum())
-
-
-def _fit_chain(x: np.ndarray, y: np.ndarray, size: int) -> list[np.ndarray]:
-    """Weights that maximise the likelihood of tags y given words x, sequences in rows, by gradient steps of Adam."""
-    weights = [np.zeros(size), np.zeros(2), np.zeros((2, 2)), np.zeros(2)]
+        toxic = forward[k] * b1
+        tags[k] = times * toxic / (toxic + (1 - forward[k]) * b0)
+        if k:
+            out0, out1 = b0 / scale[k], read[k] * b1 / scale[k]
+            f1 = times * forward[k - 1]
+            f0 = times - f1
+            moves += [[f0 @ out0 * s00, f0 @ out1 * s01], [f1 @ out0 * s10, f1 @ out1 * s11]]
+            b0, b1 = s00 * out0 + s01 * out1, s10 * out0 + s11 * out1
+    first = np.array([times.sum() - tags[0].sum(), tags[0].sum()])
+    return _counts(x, near, tags.T, moves, first, len(emission)), float(sums.sum())
+
+
+def likelihood(weights: list[np.ndarray], x: np.ndarray, near: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Gradient and logarithm of the likelihood of rows' labels: all words of a clean row are clean; some word of a toxic one
+    isn't, or by NOISE its label has other reasons.
+
+    row: the row, from 0, that each sequence is of; toxic: 0 or 1 of each row. A toxic row's gradient is a clean one's turned
+    round, times its odds of being clean: a row that one word explains says little about its others.
+    """
+    _, _, move, start = weights
+    length = x.shape[1]
+    said = [np.zeros(0), np.zeros(0)]
+
+    def of(sums: np.ndarray) -> np.ndarray:
+        clean = np.minimum(np.bincount(row, weights=start[0] + (length - 1) * move[0, 0] - sums, minlength=len(toxic)), -1e-9)
+        as_toxic = NOISE - (1 - NOISE) * np.expm1(clean)
+        said[0], said[1] = np.where(toxic > 0, np.log(as_toxic), clean), np.where(toxic > 0, (1 - NOISE) * np.exp(clean) / as_toxic, -1.0)[row]
+        return said[1]
+
+    found, _ = expected(weights, x, near, of)
+    times = said[1].sum()
+    found[2][0, 0] -= times * (length - 1)
+    found[3][0] -= times
+    return found, float(said[0].sum())
+
+
+def _first_emissions(x: np.ndarray, row: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """For each word of the vocabulary, how much more frequent it is among toxic rows, as a logarithm, less FIRST."""
+    at, word = np.divmod(np.unique((row[:, None] * (size + 1) + x)[x > 0]), size + 1)
+    n = [np.bincount(word[toxic[at] == t], minlength=size + 1)[1:] for t in (0, 1)]
+    ones = toxic.sum()
+    return np.log((n[1] + 0.5) / (ones + 1)) - np.log((n[0] + 0.5) / (len(toxic) - ones + 1)) - FIRST
+
+
+def _fit_chain(x: np.ndarray, row: np.ndarray, toxic: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Weights that maximise the likelihood of rows' labels and a normal prior around where they begin, by steps of Adam.
+
+    The emission of other words stays as it is, and moves between states are learned more slowly than words: were they to
+    shut out state 1 before words are told apart, nothing would bring it back.
+    """
+    weights = [first.copy(), np.zeros(2), np.zeros((2, 2)), np.zeros(2)]
+    centre = [w.copy() for w in weights]
     m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     near = _beside(x)
-    seen = _counts(x, near, y, np.bincount((2 * y[:, :-1] + y[:, 1:]).ravel(), minlength=4).reshape(2, 2).astype(float), np.bincount(y[:, 0], minlength=2).astype(float), size)
     for t in range(1, STEPS + 1):
-        found, _ = expected(weights, x, near)
+        found, _ = likelihood(weights, x, near, row, toxic)
+        rate = RATE * min(1.0, 2 * (1 - (t - 1) / STEPS))
         for k, w in enumerate(weights):
-            g = (seen[k] - found[k]) / len(x) - 1e-4 * w
+            g = (found[k] - PRIOR * (w - centre[k])) / len(toxic)
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
-            w += 0.25 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+            w += (1.0 if k == 0 else SLOW) * rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+        weights[0][0] = OTHER
     return weights
 
 
@@ -242,7 +290,7 @@ def _fit_level(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def fit(sample: list[tuple[str, int]], rows_of: tuple[int, int]) -> Chain:
     """The chain for a sample of (text, toxic); rows_of: how many clean and toxic rows the sample stands for.
 
-    Labels of words come from labels of rows: in a toxic row, words of the vocabulary are toxic; all others are clean.
+    Words have no labels of their own: which ones of a toxic row are toxic is what the chain learns; see likelihood().
     """
     pool: dict[str, str] = {}  # equal words are one object
     words = [[pool.setdefault(w, w) for w in map(plain, _WORDS.findall(text or ""))] for text, _ in sample]
@@ -253,20 +301,21 @@ def fit(sample: list[tuple[str, int]], rows_of: tuple[int, int]) -> Chain:
         base = float(np.log(rate / (1 - rate))) if 0 < rate < 1 else -10.0
         return Chain({}, np.zeros(1), np.zeros(2), np.zeros((2, 2)), np.zeros(2), np.array([base, 0.0, 0.0, 0.0]))
     known = Chain(vocabulary, *[np.zeros(0)] * 5).number
-    xs, ys = [], []
-    for w, t in zip(words, toxic, strict=True):
+    xs, rows = [], []
+    for k, w in enumerate(words):
         x = np.array([known(v) for v in w], np.int32)
         x = np.pad(x, (0, -len(x) % SEGMENT)).reshape(-1, SEGMENT)
         xs.append(x)
-        ys.append(((x > 0) & bool(t)).astype(np.int64))
-    x, y = np.concatenate(xs), np.concatenate(ys)
+        rows.append(np.full(len(x), k))
+    x, row, ones = np.concatenate(xs), np.concatenate(rows), np.array(toxic, float)
     some = (x > 0).any(axis=1)
-    rest = np.flatnonzero(~some)
+    # toxic rows without a word of the vocabulary don't say which of their words is; of other sequences without one, some do
+    rest = np.flatnonzero(~some & (ones[row] == 0))
     take = np.concatenate([np.flatnonzero(some), rest[np.linspace(0, len(rest) - 1, min(len(rest), max(200, int(some.sum())))).astype(int)] if len(rest) else rest])
-    weights = _fit_chain(x[take], y[take], len(vocabulary) + 1)
+    own, place = np.unique(row[take], return_inverse=True)
+    weights = _fit_chain(x[take], place, ones[own], np.r_[OTHER, _first_emissions(x, row, ones, len(vocabulary))])
     tagger = Tagger(Chain(vocabulary, *weights, np.zeros(4)))
     table = np.array([features(tagger.tag([known(v) for v in w])[1], len(w)) for w in words])
-    ones = np.array(toxic, float)
     share = np.where(ones > 0, rows_of[1] / max(1, ones.sum()), rows_of[0] / max(1, len(ones) - ones.sum()))
     return Chain(vocabulary, *weights, _fit_level(table, ones, share))
 

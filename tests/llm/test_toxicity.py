@@ -49,6 +49,64 @@ def test_expected_counts_are_the_gradient():
             assert np.isclose(found[k][at], (sides[0] - sides[1]) / 2e-5, atol=1e-6)
 
 
+def test_likelihood_and_its_gradient():
+    """Rows' labels by all ways to tag their words, and the gradient by differences in each weight; a row may be two sequences."""
+    chain = some_chain()
+    x, row, toxic = np.array([[0, 1, 2, 0], [2, 2, 0, 0], [0, 0, 1, 0], [1, 0, 0, 2]]), np.array([0, 1, 1, 2]), np.array([0.0, 1.0, 1.0])
+    near, weights = toxicity._beside(x), [chain.emission, chain.beside, chain.move, chain.start]
+    found, total = toxicity.likelihood(weights, x, near, row, toxic)
+    clean = np.zeros(3)
+    for of, words in zip(row, x, strict=True):
+        clean[of] += chain.start[0] + 3 * chain.move[0, 0] - enumerated(chain, [" ab"[v].strip() or "x" for v in words])[2]
+    e = toxicity.NOISE
+    assert np.isclose(total, clean[0] + sum(np.log(e + (1 - e) * (1 - np.exp(c))) for c in clean[1:]))
+    for k, w in enumerate(weights):
+        for at in np.ndindex(w.shape):
+            sides = []
+            for d in (1e-5, -1e-5):
+                moved = [v.copy() for v in weights]
+                moved[k][at] += d
+                sides.append(toxicity.likelihood(moved, x, near, row, toxic)[1])
+            assert np.isclose(found[k][at], (sides[0] - sides[1]) / 2e-5, atol=1e-6)
+
+
+def test_words_of_toxic_rows_that_do_not_tell_are_clean(spark):
+    """Toxic words have marginals over a half, the other words of the vocabulary near 0; taking all as toxic changes scores."""
+    rows, labels = corpus()
+    # each toxic row says one of two harmless words too, which one clean row in twelve has
+    rng = random.Random(4)
+    rows = [(k, text + (" meadow" if y or rng.random() < 0.08 else "") + (" brook" if y and rng.random() < 0.5 or rng.random() < 0.05 else "")) for (k, text), (_, y) in zip(rows, labels, strict=True)]
+    chain = toxicity.fit([(text, y) for (_, text), (_, y) in zip(rows, labels, strict=True)], (787, 113))
+    bad, other = [], []
+    changed = 0
+    for _, text in rows:
+        words = [toxicity.plain(w) for w in text.split()]
+        places, p = chain.tag(words)
+        for k, v in zip(places, p, strict=True):
+            (bad if words[k].startswith(("vile", "grub", "stoop")) else other).append(v)
+        changed += (chain.score(p, len(words)) >= 0.3) != (chain.score([1.0] * len(p), len(words)) >= 0.3)
+    assert np.median(bad) > 0.5 and other and np.quantile(other, 0.9) < 0.1 and changed > 20
+
+
+def test_held_out_labels_of_given_documents():
+    """On the tables: few toxic rows, of four languages, are enough."""
+    import pandas as pd
+
+    folder = "/root/testdata/sf0.01"
+    d = pd.read_parquet(f"{folder}/documents.parquet").merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id")
+    hidden = np.array([zlib.crc32(str(k).encode()) % 4 == 2 for k in d.doc_id])
+    own = d[~hidden]
+    chain = toxicity.fit([(t, int(y)) for t, y in zip(own.text, own.toxic, strict=True)], (int((own.toxic == 0).sum()), int((own.toxic == 1).sum())))
+    scores, marks = [], d[hidden].toxic.to_numpy()
+    for text in d[hidden].text:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        scores.append(chain.score(chain.tag(words)[1], len(words)))
+    rank = pd.Series(scores).rank().to_numpy()
+    ones = marks.sum()
+    area = (rank[marks == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(marks) - ones))
+    assert area >= 0.95
+
+
 def test_scores_equal_enumeration(spark):
     """Words are the contract's: other Unicode spaces don't part them."""
     chain = some_chain(np.array([-1.0, 0.7, 1.3, 0.2]))
