@@ -182,3 +182,33 @@ def test_calibration_has_two_modes(spark):
     for mode in (None, "", "other"):
         with pytest.raises(ValueError, match="stats or graphics"):
             calibrate.calibrate(stats, ["f"], ["r"], mode)
+
+
+def test_all_within_reach_are_found_by_halves():
+    import numpy as np
+
+    from strandloom.operators import lookup
+
+    rng = np.random.default_rng(3)
+    for length, n, bits, bases in ((16, 3000, 6, 16), (16, 3000, 6, 4), (8, 500, 6, 8), (6, 300, 5, 3), (4, 60, 1, 4), (4, 60, 0, 4), (4, 60, 8, 4), (10, 0, 4, 4)):
+        known = lookup.known_of(rng.integers(0, 1 << 2 * length, n))
+        codes = np.unique(np.concatenate([rng.integers(0, 1 << 2 * length, 300), rng.choice(known.codes, 100) ^ 1 if n else known.codes]))
+        i, target, far = lookup.near(codes, known, bits, bases, length, False)
+        x = codes[:, None] ^ known.codes[None, :]
+        apart, wrong = np.bitwise_count(x), np.bitwise_count((x | x >> 1) & sum(1 << 2 * k for k in range(length)))
+        a, b = np.nonzero((apart >= 1) & (apart <= bits) & (wrong <= bases))
+        assert sorted(zip(i.tolist(), target.tolist(), far.tolist(), strict=True)) == sorted(zip(a.tolist(), known.codes[b].tolist(), wrong[a, b].tolist(), strict=True))
+        counts, found = lookup._matches(codes, known, bits, length)
+        assert counts.tolist() == (apart <= bits).sum(axis=1).tolist() and found.tolist() == known.codes[np.nonzero(apart <= bits)[1]].tolist()
+        if n == 3000:
+            one, two = known.by_halves(length)
+            assert len(one.places(lookup._flips(length, 3)[0])[0]) + len(two.places(lookup._flips(length, 2)[0])[0]) < n / 40
+
+
+def test_lists_of_matches_are_made_in_their_tasks(spark):
+    codes = spark.createDataFrame([(k,) for k in range(200)] + [(None,)], "code bigint")
+    known = spark.createDataFrame([(k * 3,) for k in range(50)] + [(None,)], "whitelist_bcs bigint")
+    out = correct.mutate_and_check(codes, known, 2)
+    assert {r.code: r.matches for r in out.collect()} == {k: [3 * j for j in range(50) if (k ^ 3 * j).bit_count() <= 2] for k in range(200)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "collect_set" not in plan
