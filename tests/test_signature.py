@@ -212,3 +212,13 @@ def test_lists_of_matches_are_made_in_their_tasks(spark):
     assert {r.code: r.matches for r in out.collect()} == {k: [3 * j for j in range(50) if (k ^ 3 * j).bit_count() <= 2] for k in range(200)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "collect_set" not in plan
+
+
+def test_extraction_looks_pieces_up_once_and_cuts_what_is_asked_for(spark):
+    rows = [("@a", "ACGT" * 60, "I" * 240, [("barcode", 0, 11, 26), ("umi", 0, 27, 38), ("read", 0, 60, 0)], "forward"), ("@b", "ACGT" * 60, "I" * 240, [("rc_barcode", 0, 101, 116), ("rc_read", 0, 1, 90)], "reverse")]
+    rows += [("@c", "ACGT" * 60, "I" * 240, [("barcode", 0, 11, 26), ("read", 0, 40, 100), ("rc_read", 0, 120, 180)], "rescuable_concatenates"), ("@d", None, None, [("read", 0, 1, 5)], "forward"), ("@e", "ACGT", "IIII", [], "undecided")]
+    out = extract.extract(spark.createDataFrame(rows, f"id string, seq string, qual string, signature {signature.ENTRY}, category string"))
+    assert [(r.sig_id.split("*")[0], r.barcode, r.umi, len(r.filtered_read)) for r in out.orderBy("sig_id").collect()] == [
+        ("@a", "GTACGTACGTACGTAC", "GTACGTACGTAC", 180), ("@b", "ACGTACGTACGTACGT", "undecided", 89), ("@c", "GTACGTACGTACGTAC", "undecided", 61), ("@c", "undecided", "undecided", 61)]
+    plan = out.select("barcode")._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat_ws" not in plan and "qual" not in plan.split("LocalRelation")[0].split("LogicalRDD")[0]
