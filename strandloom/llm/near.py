@@ -230,10 +230,12 @@ def groups(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text
 
 
 def _candidate_groups(nodes: DataFrame, near: Near, scratch: Scratch) -> DataFrame:
-    """(node, component): the candidate group of each node whose signature is near another's; see _signatures_joined().
+    """(node, component): the candidate group of each node whose signature is near another's.
 
-    Keys move with a hash of their set. Those that several sets share are counted before they move; of these alone the
-    signatures follow, to the blocks of their bucket: one for up to BUCKET sets, or one for each two parts of a larger bucket.
+    Keys move with a hash of their set, and those that several sets share are counted. Of each key its sets are held against
+    the least one, each two sets once however many keys they share: near copies are joined by that, with few links a set.
+    Keys of three sets or more that aren't in one group then are compared whole, see _signatures_joined(): in one block for up
+    to BUCKET sets, or one for each two parts of a larger bucket.
     """
     shape = _parse_datatype_string("key bigint, of bigint")
 
@@ -247,14 +249,41 @@ def _candidate_groups(nodes: DataFrame, near: Near, scratch: Scratch) -> DataFra
 
     nodes = nodes.select(F.xxhash64("digest").alias("set"), "node", "signature")
     keys = nodes.select("set", "signature").mapInArrow(run, shape)
-    shared = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("shared"), F.ceil(F.col("n") / BUCKET).cast("int").alias("chunks")), "shared")
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("lead")).where("n > 1")
+    shared = scratch.keep(counts.select(F.col("key").alias("shared"), "n", "lead", F.ceil(F.col("n") / BUCKET).cast("int").alias("chunks")), "shared")
     large = _salted(shared.where("chunks > 1"))
     # merge: the same plan at every size
-    rows = keys.join(shared.where("chunks = 1").hint("merge"), F.col("key") == F.col("shared")).select("key", "of", "chunks")
-    rows = rows.unionByName(keys.join(large.hint("merge"), (F.col("key") == F.col("shared")) & (_salt("of") == F.col("of_salt"))).select("key", "of", "chunks"))
-    rows = _crossed(rows.withColumn("chunk", F.pmod(F.xxhash64("of"), F.col("chunks")).cast("int")))
-    rows = rows.join(nodes.hint("merge"), F.col("of") == F.col("set")).select("key", "x", "y", (F.col("chunk") == F.col("x")).alias("left"), "node", "signature")
-    return components(_signatures_joined(rows, near), scratch, "candidate-cc")
+    rows = keys.join(shared.where("chunks = 1").hint("merge"), F.col("key") == F.col("shared")).select("key", "of", "n", "lead", "chunks")
+    rows = scratch.keep(rows.unionByName(keys.join(large.hint("merge"), (F.col("key") == F.col("shared")) & (_salt("of") == F.col("of_salt"))).select("key", "of", "n", "lead", "chunks")), "shared-keys")
+    links = scratch.keep(_led(rows.where("of <> lead").select("of", "lead").distinct(), nodes, near), "led")
+    led = components(links, scratch, "led-cc").select(F.col("node").alias("in"), F.col("component").alias("group"))
+    known = scratch.keep(nodes.join(led, F.col("node") == F.col("in"), "left").select("set", "node", "signature", F.coalesce("group", "node").alias("joined")), "known")
+    rows = rows.where("n > 2").join(known.select("set", "joined").hint("merge"), F.col("of") == F.col("set")).select("key", "of", "chunks", "joined")
+    several = rows.groupBy("key").agg(F.min("joined").alias("least"), F.max("joined").alias("most"), F.first("chunks").alias("parts")).where("least <> most")
+    several = scratch.keep(several.select(F.col("key").alias("open"), "parts"), "open-keys")
+    rest = rows.join(several.where("parts = 1").hint("merge"), F.col("key") == F.col("open")).select("key", "of", "chunks")
+    rest = rest.unionByName(rows.join(_salted(several.where("parts > 1")).hint("merge"), (F.col("key") == F.col("open")) & (_salt("of") == F.col("of_salt"))).select("key", "of", "chunks"))
+    blocks = _crossed(rest.withColumn("chunk", F.pmod(F.xxhash64("of"), F.col("chunks")).cast("int")))
+    blocks = blocks.join(known.hint("merge"), F.col("of") == F.col("set")).select("key", "x", "y", (F.col("chunk") == F.col("x")).alias("left"), "joined", "signature")
+    groups_of = led.where("in <> group").select(F.col("in").alias("a"), F.col("group").alias("b"))
+    return components(_signatures_joined(blocks, near).unionByName(groups_of), scratch, "candidate-cc")
+
+
+def _led(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) of nodes, of pairs of sets (of, lead) that are under near.apart symbols apart."""
+    kind = nodes.schema["node"].dataType.simpleString()
+    shape = _parse_datatype_string(f"a {kind}, b {kind}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, other = (_symbols(b.column(c)) for c in (1, 3))
+            some = pa.array((own != other).sum(axis=1) < near.apart)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(some).cast(f.type) for c, f in zip((0, 2), to_arrow_schema(shape), strict=True)], schema=to_arrow_schema(shape))
+
+    lead = nodes.select(F.col("set").alias("lead_set"), F.col("node").alias("b"), F.col("signature").alias("b_signature"))
+    rows = pairs.join(lead.hint("merge"), F.col("lead") == F.col("lead_set")).select("of", "b", "b_signature")
+    rows = rows.join(nodes.hint("merge"), F.col("of") == F.col("set")).select(F.col("node").alias("a"), "signature", "b", "b_signature")
+    return rows.mapInArrow(run, shape)
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
@@ -262,13 +291,14 @@ def _symbols(column: pa.Array) -> np.ndarray:
 
 
 def _signatures_joined(blocks: DataFrame, near: Near) -> DataFrame:
-    """Links (a, b) that join up the nodes of each block as all its pairs under near.apart symbols apart would.
+    """Links (a, b) that join up the groups of each block as all its pairs under near.apart symbols apart would.
 
-    Rows are key, x, y, left, node and signature. Where x is y all pairs of the block count, else those of its two sides. A
-    block's nodes are compared with its first one; with those that aren't near it, one of those that are joined after another.
-    What is joined isn't compared again, so near copies cost time in proportion to their number.
+    Rows are key, x, y, left, joined (the group that a node is known to be in) and signature. Where x is y all pairs of the
+    block count, else those of its two sides. A block's nodes are compared with its first one; with those that aren't near it,
+    one of those that are joined after another. What is joined isn't compared again, so near copies cost time in proportion
+    to their number; links are of groups, fewer than a block has.
     """
-    kind = blocks.schema["node"].dataType.simpleString()
+    kind = blocks.schema["joined"].dataType.simpleString()
     shape = _parse_datatype_string(f"a {kind}, b {kind}")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -290,22 +320,23 @@ def _signatures_joined(blocks: DataFrame, near: Near) -> DataFrame:
             symbols = _symbols(t.column("signature"))
             left = t.column("left").to_numpy()
             crossed = t.column("x").to_numpy() != t.column("y").to_numpy()
-            a, b = _near_pairs(symbols, first, left, crossed, near.apart)
-            t = t.column("node")
-            yield pa.RecordBatch.from_arrays([t.take(pa.array(i)).combine_chunks().cast(f.type) for i, f in zip(contract(a, b), into, strict=True)], schema=into)
+            joined = t.column("joined").to_numpy(zero_copy_only=False)
+            a, b = _near_pairs(symbols, first, left, crossed, near.apart, joined)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(contract(joined[a], joined[b]), into, strict=True)], schema=into)
 
     return blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, shape)
 
 
-def _near_pairs(symbols: np.ndarray, first: np.ndarray, left: np.ndarray, crossed: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+def _near_pairs(symbols: np.ndarray, first: np.ndarray, left: np.ndarray, crossed: np.ndarray, apart: int, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of blocks, which begin at first, that join up each block as all its pairs under apart would.
 
-    In blocks that are crossed, only pairs of a left row and another count.
+    In blocks that are crossed, only pairs of a left row and another count. Rows of a group (joined) are joined already.
     """
 
     def is_near(row: np.ndarray | int, others: np.ndarray) -> np.ndarray:
         out = (symbols[others] != symbols[row]).sum(axis=1) < apart
-        return out & ~(crossed[others] & (left[others] == left[row]))
+        out &= ~(crossed[others] & (left[others] == left[row]))
+        return out if joined is None else out | (joined[others] == joined[row])
 
     rows = np.arange(len(symbols))
     leader = np.repeat(first, np.diff(np.append(first, len(rows))))

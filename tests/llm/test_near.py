@@ -172,3 +172,19 @@ def test_very_long_texts(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near.groups(df).count() == 0 and near.deduplicate(df).count() == 0
+
+
+def test_links_of_near_copies_are_few(spark, monkeypatch):
+    """300 near copies share most of 50 keys: what joins them grows with their number, not with that times their keys."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 16, 50).astype(np.uint16)
+    rows = []
+    for k in range(300):
+        s = base.copy()
+        s[rng.choice(50, 3, replace=False)] = rng.integers(0, 1 << 16, 3)
+        rows.append((k, bytes(f"{k:016d}", "ascii"), bytearray(s.tobytes())))
+    nodes = spark.createDataFrame(rows, "node bigint, digest binary, signature binary")
+    given, real = [], near.components
+    monkeypatch.setattr(near, "components", lambda links, *a: given.append(links.count()) or real(links, *a))
+    got = {r.node: r.component for r in near._candidate_groups(nodes, near.Near(), near.Scratch(spark, "test")).collect()}
+    assert got == dict.fromkeys(range(300), 0) and sum(given) < 20 * 300
