@@ -278,3 +278,18 @@ def test_molecules_of_odd_reads(spark):
     parts = {r.id: r.seq for r in split(df, plan, STRICT).collect()}
     assert len(parts) == 10 and "".join(parts[f"a_molecule={k}"] for k in range(1, 6)) == rows[0][1] and parts["e"] == one and parts["b"] is None
     assert split(df.limit(0), plan, STRICT).count() == 0
+
+
+def test_texts_are_aligned_with_tags_in_bounded_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    from strandloom.operators import align
+
+    texts = ["x" * n for n in (5, 0, 30, 7, 7, 100, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts, pa.string())], names=["k", "text"])
+    monkeypatch.setattr(align, "TEXT", 36)
+    parts = list(align.bounded(batch, 1))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and [p.num_rows for p in parts] == [3, 2, 1, 2]
+    d = spark.createDataFrame([(k, f"{'y' * k} released under the MIT Licence {'z' * k}") for k in range(40)], "k int, text string").coalesce(1)
+    got = align.find_tags(d, "text", {"mit": "Released under the MIT License"}, 3).orderBy("k").collect()
+    assert [(r.k, r.tags[0]["distance"], r.tags[0]["starts"][0]) for r in got] == [(k, 2, k + 2) for k in range(40)]
