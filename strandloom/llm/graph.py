@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from strandloom.llm.rows import released
 from strandloom.llm.scratch import Scratch
 
 #: Edges that a task contracts at once; a node of text may take 100 bytes.
@@ -54,7 +55,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return edges.mapInArrow(run, kind)
+    return edges.mapInArrow(released(run), kind)
 
 
 def _met(edges: DataFrame, least: DataFrame, bound: int) -> DataFrame:

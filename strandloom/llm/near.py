@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from strandloom.llm.graph import components, contract
-from strandloom.llm.rows import WORD, map_rows
+from strandloom.llm.rows import WORD, map_rows, released
 from strandloom.llm.scratch import Scratch
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -248,7 +248,7 @@ def _candidate_groups(nodes: DataFrame, near: Near, scratch: Scratch) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(of, found.shape[1]))], schema=to_arrow_schema(shape))
 
     nodes = nodes.select(F.xxhash64("digest").alias("set"), "node", "signature")
-    keys = nodes.select("set", "signature").mapInArrow(run, shape)
+    keys = nodes.select("set", "signature").mapInArrow(released(run), shape)
     counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("of").alias("lead")).where("n > 1")
     shared = scratch.keep(counts.select(F.col("key").alias("shared"), "n", "lead", F.ceil(F.col("n") / BUCKET).cast("int").alias("chunks")), "shared")
     large = _salted(shared.where("chunks > 1"))
@@ -258,7 +258,7 @@ def _candidate_groups(nodes: DataFrame, near: Near, scratch: Scratch) -> DataFra
     links = scratch.keep(_led(rows.where("of <> lead").select("of", "lead").distinct(), nodes, near), "led")
     led = components(links, scratch, "led-cc").select(F.col("node").alias("in"), F.col("component").alias("group"))
     known = scratch.keep(nodes.join(led, F.col("node") == F.col("in"), "left").select("set", "node", "signature", F.coalesce("group", "node").alias("joined")), "known")
-    rows = rows.where("n > 2").join(known.select("set", "joined").hint("merge"), F.col("of") == F.col("set")).select("key", "of", "chunks", "joined")
+    rows = _with_groups(rows.where("n > 2"), known)
     several = rows.groupBy("key").agg(F.min("joined").alias("least"), F.max("joined").alias("most"), F.first("chunks").alias("parts")).where("least <> most")
     several = scratch.keep(several.select(F.col("key").alias("open"), "parts"), "open-keys")
     rest = rows.join(several.where("parts = 1").hint("merge"), F.col("key") == F.col("open")).select("key", "of", "chunks")
@@ -266,7 +266,16 @@ def _candidate_groups(nodes: DataFrame, near: Near, scratch: Scratch) -> DataFra
     blocks = _crossed(rest.withColumn("chunk", F.pmod(F.xxhash64("of"), F.col("chunks")).cast("int")))
     blocks = blocks.join(known.hint("merge"), F.col("of") == F.col("set")).select("key", "x", "y", (F.col("chunk") == F.col("x")).alias("left"), "joined", "signature")
     groups_of = led.where("in <> group").select(F.col("in").alias("a"), F.col("group").alias("b"))
-    return components(_signatures_joined(blocks, near).unionByName(groups_of), scratch, "candidate-cc")
+    # written first: contracting it in the same tasks would take a second Python worker each
+    met = scratch.keep(_signatures_joined(blocks, near), "met")
+    return components(met.unionByName(groups_of), scratch, "candidate-cc")
+
+
+def _with_groups(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (key, of, chunks) with joined, the known group of the set of. A set meets its group once, with all its keys, 50 at most."""
+    held = rows.groupBy("of").agg(F.collect_list(F.struct("key", "chunks")).alias("keys"))
+    held = held.join(known.select("set", "joined").hint("merge"), F.col("of") == F.col("set"))
+    return held.select("of", "joined", F.inline("keys")).select("key", "of", "chunks", "joined")
 
 
 def _led(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
@@ -283,7 +292,7 @@ def _led(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
     lead = nodes.select(F.col("set").alias("lead_set"), F.col("node").alias("b"), F.col("signature").alias("b_signature"))
     rows = pairs.join(lead.hint("merge"), F.col("lead") == F.col("lead_set")).select("of", "b", "b_signature")
     rows = rows.join(nodes.hint("merge"), F.col("of") == F.col("set")).select(F.col("node").alias("a"), "signature", "b", "b_signature")
-    return rows.mapInArrow(run, shape)
+    return rows.mapInArrow(released(run), shape)
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
@@ -324,7 +333,7 @@ def _signatures_joined(blocks: DataFrame, near: Near) -> DataFrame:
             a, b = _near_pairs(symbols, first, left, crossed, near.apart, joined)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(contract(joined[a], joined[b]), into, strict=True)], schema=into)
 
-    return blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, shape)
+    return blocks.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(released(run), shape)
 
 
 def _near_pairs(symbols: np.ndarray, first: np.ndarray, left: np.ndarray, crossed: np.ndarray, apart: int, joined: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

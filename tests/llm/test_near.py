@@ -188,3 +188,28 @@ def test_links_of_near_copies_are_few(spark, monkeypatch):
     monkeypatch.setattr(near, "components", lambda links, *a: given.append(links.count()) or real(links, *a))
     got = {r.node: r.component for r in near._candidate_groups(nodes, near.Near(), near.Scratch(spark, "test")).collect()}
     assert got == dict.fromkeys(range(300), 0) and sum(given) < 20 * 300
+
+
+def _joined_rows(df):
+    """Rows that the joins of a plan made, when it is run."""
+    df.collect()
+    todo, made = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "SortMergeJoin":
+            made.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return made
+
+
+def test_a_set_meets_its_group_once(spark):
+    """300 sets share 50 keys: the join with what is known of them makes 300 rows, not 15,000."""
+    rows = [(key, of, 1 + key % 2) for key in range(50) for of in range(300)]
+    known = spark.createDataFrame([(of, of // 100) for of in range(300)], "set bigint, joined bigint")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = near._with_groups(spark.createDataFrame(rows, "key bigint, of bigint, chunks int"), known)
+        assert sorted(tuple(r) for r in found.collect()) == sorted((key, of, chunks, of // 100) for key, of, chunks in rows)
+        assert _joined_rows(found) == [300]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
