@@ -33,6 +33,11 @@ def _text(spark: SparkSession, name: str, text: str) -> str:
     return folder
 
 
+def _write_parts(reads: DataFrame, folder: str, compression: str = "none") -> None:
+    """Reads as FASTQ, each part a file of its own, in the order they come in."""
+    reads.select(F.concat_ws("\n", "id", "seq", F.lit("+"), "qual").alias("value"), "part").write.partitionBy("part").option("compression", compression).text(folder)
+
+
 def fastq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gzipped FASTQ of two folders, headers with a description, read as a list of paths."""
     scratch, reads = Scratch(spark, "files"), _mixed(spark, sf_dir).select("rid", F.concat("id", F.lit(" run=1 ch="), F.col("rid") % 7).alias("id"), "seq", "qual")
@@ -62,8 +67,7 @@ def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records 31 to 120 of each of eight plain files, which split."""
     folder = Scratch(spark, "files").folder("ordered")
-    lines = _mixed(spark, sf_dir).select("rid", (F.col("rid") % 8).alias("part"), F.concat_ws("\n", "id", "seq", F.lit("+"), "qual").alias("value"))
-    lines.repartition(8, "part").sortWithinPartitions("part", "rid").select("value", "part").write.partitionBy("part").text(folder)
+    _write_parts(fixtures.parted(spark, sf_dir, fixtures.MIXED, 8), folder)
     return read_records(spark, folder, start=31, stop=120).select("id", "seq")
 
 

@@ -2,6 +2,7 @@ import gzip
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom import fixtures, scratch
 from strandloom.plans import demux, layout
@@ -164,3 +165,15 @@ def test_records_over_many_splits(spark, tmp_path):
         assert {r.id: r.seq for r in fasta} == wrapped and len(fasta) == len(wrapped)
         assert sorted((r.id, r.seq, r.qual) for r in fastq) == sorted(long)
         assert {r.id for r in part} == {"@r2", "@r3", "@r4"}
+
+
+def test_parts_of_a_fixture_are_a_task_each(spark):
+    """Each part is alone in its task and in order, and writing it sorts orders, not the reads made of them."""
+    rows = fixtures.parted(spark, "/root/testdata/sf0.001", fixtures.MIXED, 8)
+    found = rows.select("rid", "part", F.spark_partition_id().alias("task")).collect()
+    assert len({r.part for r in found}) == 8 == len({(r.part, r.task) for r in found}) == len({r.task for r in found})
+    assert all([r.rid for r in found if r.part == p] == sorted(r.rid for r in found if r.part == p) for p in range(10, 18))
+    kept = fixtures.frame(spark, "/root/testdata/sf0.001", fixtures.MIXED)
+    assert sorted(rows.drop("part").collect()) == sorted(kept.collect())
+    ordered = rows._jdf.queryExecution().optimizedPlan().outputOrdering()
+    assert ordered.size() and "part" in ordered.apply(0).sql()
