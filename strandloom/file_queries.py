@@ -120,8 +120,7 @@ def thresholds_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calibration_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds by the first reads of the first of thirty files, fewer than there are."""
     folder = Scratch(spark, "files").folder("many")
-    reads = fixtures.frame(spark, sf_dir, fixtures.READS).select("rid", F.col("rid") % 30 + 10, F.concat_ws("\n", "id", "seq", F.lit("+"), "qual")).toDF("rid", "part", "value")
-    reads.repartition(30, "part").sortWithinPartitions("part", "rid").select("value", "part").write.partitionBy("part").option("compression", "gzip").text(folder)
+    _write_parts(fixtures.parted(spark, sf_dir, fixtures.READS, 30), folder, "gzip")
     return demux.null_distances_of_files(spark, folder, layout.kit("three"), demux.Options(calibration_reads=CALIBRATION, calibration_files=20))
 
 
