@@ -293,3 +293,14 @@ def test_texts_are_aligned_with_tags_in_bounded_parts(spark, monkeypatch):
     d = spark.createDataFrame([(k, f"{'y' * k} released under the MIT Licence {'z' * k}") for k in range(40)], "k int, text string").coalesce(1)
     got = align.find_tags(d, "text", {"mit": "Released under the MIT License"}, 3).orderBy("k").collect()
     assert [(r.k, r.tags[0]["distance"], r.tags[0]["starts"][0]) for r in got] == [(k, 2, k + 2) for k in range(40)]
+
+
+def test_starts_can_be_left_out(spark, monkeypatch):
+    """Without starts no match is aligned backwards; distances and stops stay."""
+    d = spark.createDataFrame([("ACGT", "TTACGTTT"), ("ACGA", "ACGTACG"), (None, "A"), ("", "AC")], "q string, t string")
+    whole = align_pairs(d, "q", "t").select("aligned.distance", "aligned.stops").collect()
+    bare = align_pairs(d, "q", "t", starts=False)
+    assert bare.select("aligned.distance", "aligned.stops").collect() == whole
+    assert bare.where("aligned.starts IS NOT NULL").count() == 0
+    monkeypatch.setattr(lanes, "starts", None)
+    assert located(["ACGT"], ["TTACGTTT"], starts=False).end.tolist() == [5]
