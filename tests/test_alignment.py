@@ -295,6 +295,18 @@ def test_texts_are_aligned_with_tags_in_bounded_parts(spark, monkeypatch):
     assert [(r.k, r.tags[0]["distance"], r.tags[0]["starts"][0]) for r in got] == [(k, 2, k + 2) for k in range(40)]
 
 
+def test_equal_strings_need_no_table(monkeypatch):
+    """Of pairs of whole strings only those that differ are aligned; results are as they are."""
+    rng, seen, real = random.Random(4), [], lanes._anchored
+    texts = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 150))) for _ in range(200)]
+    queries = [t if k % 4 else t[:-1] + "N" for k, t in enumerate(texts)]
+    monkeypatch.setattr(lanes, "_anchored", lambda b, *a: seen.extend(b.lanes.tolist()) or real(b, *a))
+    monkeypatch.setattr(lanes, "CROWD", 0)
+    hits = located(queries, texts, "global")
+    assert hits.distance.tolist() == [int(k % 4 == 0) for k in range(200)] and hits.end.tolist() == [len(t) - 1 for t in texts]
+    assert sorted(seen) == list(range(0, 200, 4))
+
+
 def test_starts_can_be_left_out(spark, monkeypatch):
     """Without starts no match is aligned backwards; distances and stops stay."""
     d = spark.createDataFrame([("ACGT", "TTACGTTT"), ("ACGA", "ACGTACG"), (None, "A"), ("", "AC")], "q string, t string")
