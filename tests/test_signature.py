@@ -222,3 +222,20 @@ def test_extraction_looks_pieces_up_once_and_cuts_what_is_asked_for(spark):
         ("@a", "GTACGTACGTACGTAC", "GTACGTACGTAC", 180), ("@b", "ACGTACGTACGTACGT", "undecided", 89), ("@c", "GTACGTACGTACGTAC", "undecided", 61), ("@c", "undecided", "undecided", 61)]
     plan = out.select("barcode")._jdf.queryExecution().optimizedPlan().toString()
     assert "concat_ws" not in plan and "qual" not in plan.split("LocalRelation")[0].split("LogicalRDD")[0]
+
+
+def test_correction_makes_its_whitelist_once(spark):
+    """Membership, the count and what is sent to the tasks read one written table."""
+    made = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    from strandloom.operators import correct
+
+    known = spark.createDataFrame([(k * 4097,) for k in range(50)], "whitelist_bcs bigint").mapInArrow(through, "whitelist_bcs bigint")
+    reads = spark.createDataFrame([("@a", "A" * 16), ("@b", "A" * 15 + "C"), ("@c", "undecided")], "sig_id string, barcode string")
+    got = correct.correct(reads, known).collect()
+    assert sorted(r.barcode for r in got) == ["A" * 16, "A" * 16, "undecided"] and made.value == 50
