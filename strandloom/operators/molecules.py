@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from strandloom.functions.alignment import near_places
+from strandloom.functions.alignment import places_of
 from strandloom.plans.layout import DemuxPlan
 
 #: The primers that a molecule begins and ends with, on either strand.
@@ -58,13 +58,13 @@ def _intervals(first: tuple[np.ndarray, ...], last: tuple[np.ndarray, ...]) -> t
     fits[fits] = lane[ahead[fits]] == to_lane[fits]
     pairs.append((ahead[fits], np.flatnonzero(fits)))
     a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-    a, b = both
+    # each pair as one number
+    a, b = np.divmod(np.unique(a * len(to_lane) + b), max(1, len(to_lane)))
     return lane[a], first[1][a], last[2][b], first[3][a] + last[3][b]
 
 
-def molecules(reads: DataFrame, plan: DemuxPlan, bounds: dict[str, float], seq: str = "seq", name: str = "molecules") -> DataFrame:
-    """reads with an array of (strand, start, stop, distance): their molecules by start, as many as there are.
+def molecules(reads: DataFrame, plan: DemuxPlan, bounds: dict[str, float], seq: str = "seq", name: str = "molecules", keep: list[str] | None = None) -> DataFrame:
+    """reads, or their columns keep, with an array of (strand, start, stop, distance): their molecules by start, as many as there are.
 
     A molecule goes from a forward primer to the next reverse one, or on the other strand from that one's complement to the
     forward one's, both within their bounds (those of calibration let some chance places through; stricter ones don't).
@@ -72,20 +72,25 @@ def molecules(reads: DataFrame, plan: DemuxPlan, bounds: dict[str, float], seq:
     within their bounds. Places count from 1. Null and empty reads, and those without molecules, have an empty array.
     """
     primers = dict(plan.adapters)
+    if keep is not None:
+        # the sequence last, where it goes in but doesn't come out
+        reads = reads.select(*keep, *([] if seq in keep else [seq]))
+    width = len(reads.columns if keep is None else keep)
     at = reads.columns.index(seq)
+    asked = [p for _, *both in ENDS if all(p in bounds for p in both) for p in both]
     kind = "array<struct<strand: string, start: int, stop: int, distance: int>>"
-    shape = StructType([*reads.schema.fields, *_parse_datatype_string(f"`{name}` {kind}").fields])
+    shape = StructType([*reads.schema.fields[:width], *_parse_datatype_string(f"`{name}` {kind}").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into = to_arrow_schema(shape)
         entry = into.field(len(into) - 1).type.value_type
         for b in batches:
-            texts, parts = [(t or "").encode() for t in b.column(at).to_pylist()], []
+            texts, parts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()], []
+            places = dict(zip(asked, places_of([(primers[p].encode(), int(bounds[p])) for p in asked], texts), strict=True)) if asked else {}
             for k, (_, first, last) in enumerate(ENDS):
-                if first in bounds and last in bounds:
+                if first in places:
                     most = int(bounds[first] + bounds[last])
-                    places = [near_places(primers[p].encode(), texts, int(bounds[p])) for p in (first, last)]
-                    row, start, stop, distance = _intervals(*places)
+                    row, start, stop, distance = _intervals(places[first], places[last])
                     parts.append((row, start, stop, distance, most + 1 - distance, np.full(len(row), k)))
             row, start, stop, distance, weight, strand = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 6
             good = schedule(row, start, stop, weight, b.num_rows)
@@ -93,7 +98,7 @@ def molecules(reads: DataFrame, plan: DemuxPlan, bounds: dict[str, float], seq:
             columns = [pa.array([e[0] for e in ENDS]).take(pa.array(strand[good])), *(pa.array((x[good] + shift).astype(np.int32)) for x, shift in ((start, 1), (stop, 1), (distance, 0)))]
             filled = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, entry, strict=True)], fields=list(entry))
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[good], np.arange(b.num_rows + 1)).astype(np.int32)), filled)
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns, lists], into, strict=True)], schema=into)
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns[:width], lists], into, strict=True)], schema=into)
 
     return reads.mapInArrow(run, shape)
 

@@ -261,6 +261,52 @@ def test_near_places_equal_a_table():
     assert all(table(query, texts[k][a : b + 1], (), True)[-1][-1] == d for k, a, b, d in zip(lane, start, end, score, strict=True))
 
 
+def test_places_of_several_queries_equal_a_table():
+    """Queries of different lengths in one pass, in words of 32 and of 64 bits; texts without bases are a block of their own, too."""
+    from strandloom.functions.alignment import places_of
+
+    rng = random.Random(63)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    for sizes in ((8, 22, 32), (8, 33, 64), (1,)):
+        asked = [(word(n), n // 4) for n in sizes]
+        texts = ["", *(word(rng.randint(0, 40)) + rng.choice(["", q, q[1:], q[:3] + "N" + q[4:]]) + word(rng.randint(0, 20)) for q, _ in asked for _ in range(12))]
+        for (query, most), (lane, start, end, score) in zip(asked, places_of([(q.encode(), m) for q, m in asked], [t.encode() for t in texts]), strict=True):
+            for k, t in enumerate(texts):
+                last = table(query, t, (), False)[-1][1:]
+                runs = "".join("x" if d <= most else " " for d in last).split(" ")
+                ends, at = [], 0
+                for r in runs:
+                    if r:
+                        ends.append(min(range(at, at + len(r)), key=lambda x: (last[x], x)))
+                    at += len(r) + 1
+                got = [(int(a), int(b), int(d)) for x, a, b, d in zip(lane, start, end, score, strict=True) if x == k]
+                assert sorted(b for _, b, _ in got) == ends and all(d == last[b] for _, b, d in got)
+                for a, b, d in got:
+                    fits = [x for x in range(b + 1) if table(query, t[x : b + 1], (), True)[-1][-1] == d]
+                    assert a == (fits[0] if fits else b + 1)
+    assert [len(x) for x in places_of([(b"ACGT", 1)], [b"", b""])[0]] == [0] * 4
+
+
+def test_molecules_without_what_is_not_asked_for(spark):
+    """Bases go in and don't come back; reads are chained where their orders were dealt to."""
+    from strandloom import fixtures
+    from strandloom.operators.molecules import molecules
+    from strandloom.plans.layout import kit
+    from strandloom.queries import STRICT
+
+    plan = kit("three")
+    p = dict(plan.adapters)
+    df = spark.createDataFrame([(1, "@a", "GG" + p["forw_primer"] + "ACGT" + p["rev_primer"]), (2, "@b", None)], "rid int, id string, seq string")
+    whole = molecules(df, plan, STRICT).orderBy("rid").collect()
+    for keep in (["rid"], ["id", "rid"], ["seq", "id"], []):
+        found = molecules(df, plan, STRICT, keep=keep)
+        assert found.columns == [*keep, "molecules"]
+        assert sorted((tuple(r) for r in found.collect()), key=str) == sorted((tuple(r[c] for c in found.columns) for r in whole), key=str)
+    d = fixtures.made(spark, "/root/testdata/sf0.001", fixtures.CHAINS)
+    steps = d._jdf.queryExecution().executedPlan().toString()
+    assert steps.count("Exchange") == 1 and steps.count("Sort [") == 1 and steps.index("Window [") < steps.index("Exchange")
+
+
 def test_molecules_of_odd_reads(spark):
     from strandloom.operators.molecules import molecules, split
     from strandloom.plans.layout import kit
