@@ -67,6 +67,33 @@ def test_tables(spark, tmp_path):
     assert [(r.tp, r.NM, r.qr, r.ql) for r in rows] == [(None, None, None, 100.0), ("tp:A:P", "NM:i:1", "+", 100.0), ("tp:A:S", None, "+", 100.0)]
 
 
+def test_paf_is_split_once_a_pass_and_numbers_are_told_early(spark, tmp_path, monkeypatch):
+    frame = type(spark.range(1))
+    fixed = "r1\t100\t1\t90\t+\tchr1\t1000\t5\t95\t80\t90\t60"
+    late = fixed.replace("\t60", "\tx")
+    lines = [*[f"{fixed}\tNM:i:{k}\t12345" for k in range(3 * tables.FIRST)], f"{fixed}\t\tNM:i:1\ttp:A:P\tNM:i:2\t", "", late]
+    (tmp_path / "p.paf").write_text("\n".join(lines) + "\n")
+    asked, plans, agg, collect = [], [], frame.agg, frame.collect
+    monkeypatch.setattr(frame, "agg", lambda d, *x: asked.append(len(x)) or agg(d, *x))
+    monkeypatch.setattr(frame, "collect", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or collect(d))
+    got = tables.read_paf(spark, f"{tmp_path}/p.paf")
+    # of 15 columns id, qr, sn and NM have no numbers in the first rows; tp's few values come later
+    assert asked == [11] and plans[0].count("split(") == 1
+    assert "map_from_arrays" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.columns == [*tables.PAF, "12", "NM", "tp"]
+    assert [c for c, t in got.dtypes if t == "string"] == ["id", "qr", "sn", "mq", "NM", "tp"] and dict(got.dtypes)["12"] == "double"
+    rows = got.collect()
+    assert len(rows) == len(lines)
+    last = [(r["mq"], r["12"], r.NM, r.tp) for r in rows if r["12"] is None]
+    assert sorted(last, key=str) == sorted([("60", None, "NM:i:2", "tp:A:P"), (None, None, None, None), ("x", None, None, None)], key=str)
+    # the same from a map
+    maps = tables.read_paf(spark, f"{tmp_path}/p.paf", as_map=True)
+    key = lambda r: (r.ql, r["mq"], r.NM, r.tp, r["12"])
+    cut = maps.select("*", *[maps.tags[t].alias(t) for t in ("12", "NM", "tp")]).withColumn("12", F.expr("try_cast(`12` AS double)"))
+    assert sorted(map(key, cut.collect()), key=str) == sorted(map(key, rows), key=str)
+    assert tables.read_paf(spark, f"{tmp_path}/p.paf", tags=["zz"]).where("zz IS NOT NULL").count() == 0
+
+
 def test_layout_files(spark, tmp_path):
     (tmp_path / "layout.csv").write_text("title\nid,seq,expected_length,type\nforw_primer,CTACACGACGCTCTTCCGATCT,,adapter\nbarcode,,16,barcode\numi,,12,umi\npoly_t,,12,poly_t\nread,,,read\nrev_primer,CCCATGTACTCTGCGTTGATACCACTGCTT,,adapter\n")
     (tmp_path / "w").write_text("ACTG\n")
