@@ -1,33 +1,38 @@
 """Best-two-fit packing of token pieces into sequences of a fixed capacity."""
 
+import os
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from strandloom.llm.rows import Shared, map_rows
+from strandloom.llm.rows import Shared, bound_batches, release
 from strandloom.llm.scratch import Scratch
 
 CAPACITY = 2048
-#: Words and parts of words that a Python worker keeps the ids of, some 50 MB; the caches start anew beyond that.
-CACHED = 200_000
+#: Parts of words that a Python worker keeps the ids of, some 8 MB, and words that have no such parts, some 50 MB.
+CACHED = OTHERS = 200_000
+#: Bytes of texts that are encoded at once, about; and parts that the library gets at once.
+BLOCK, STEP = 3 << 20, 1 << 11
 #: Pieces of one length that a task ranks, about; rows that are broadcast at most; and numbers that tell equal rows apart.
 BUCKET, BROADCAST, SALTS = 1 << 10, 1 << 20, 1 << 10
 
 #: The tokenizer's own splitting pattern.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Characters that str.split() takes for white space and the tokenizer does not.
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
-_RARE = regex.compile("[^\x00-įı-ɏ]")
+#: Characters that are white space for splitting here and not for the tokenizer; characters that act on others, or whose lower case is far off.
+_ODD_SPACE, _RARE = "[\x1c-\x1f]", "[^\\x{00}-\\x{12f}\\x{131}-\\x{239}\\x{23b}-\\x{23d}\\x{23f}-\\x{24f}]"
+#: Of all other characters: 1 a letter, 2 a number, 0 neither.
+_KINDS = np.array(["LN".find(unicodedata.category(chr(k))[0]) + 1 for k in range(0x250)], np.uint8)
 
 
 def _byte_letters() -> list[str]:
@@ -37,54 +42,125 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _lists(rows: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, rows)]) // 4
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<u4")))
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, equal to those of the whole tokenizer, word by word from a cache.
+    """Ids of texts, equal to those of the whole tokenizer.
 
-    White space always parts tokens here, and in words of Latin letters normalising, lower-casing and splitting act on
-    single characters; so each part of such a word goes to the library's model alone. Other words, and texts with odd
-    white space, go through the library's whole chain. So do texts that hold an added token, if special: those then get
-    its id, as is the library's default; else added tokens are text like any other.
+    A batch's texts are split at white space, which always parts tokens here, and each different word is looked at once.
+    In words of Latin letters normalising, lower-casing and splitting act on single characters; so the different parts of
+    such words go to the library's model alone, many at once, if they aren't known from earlier batches. Other words, and
+    texts with odd white space, go through the library's whole chain. So do texts that hold an added token, if special:
+    those then get its id, as is the library's default; else added tokens are text like any other.
     """
 
     def __init__(self, path: str, special: bool = False):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker is one of many, and gives the library one string at once
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = not special
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()] if special else []
-        self.model, self.letters = self.whole.model, _byte_letters()
-        encoder = self
-
-        class Parts(dict):
-            def __missing__(self, part: str) -> bytes:
-                text = part if part.isascii() and part.isprintable() and " " not in part else "".join([encoder.letters[b] for b in part.encode()])
-                if len(self) >= CACHED:
-                    self.clear()
-                self[part] = out = array("I", [t.id for t in encoder.model.tokenize(text)]).tobytes()
-                return out
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                if word.isascii() and word.isalpha():
-                    out = encoder.parts[word.lower()]
-                elif _RARE.search(word) or not unicodedata.is_normalized("NFC", word):
-                    out = encoder.chain(word)
-                else:
-                    out = b"".join([encoder.parts[p] for p in _PARTS.findall(word.lower())])
-                if len(self) >= CACHED:
-                    self.clear()
-                self[word] = out
-                return out
-
-        self.parts, self.words = Parts(), Words()
+        letters, vocabulary = _byte_letters(), self.whole.get_vocab(with_added_tokens=False)
+        self.letters = {b: x for b, x in enumerate(letters) if b != ord(" ")}
+        self.joined = Tokenizer(self.whole.model)
+        self.joined.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        #: Whether an id is the last of its part. All parts have one such id if each letter has a form with the suffix.
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        suffix = self.whole.model.end_of_word_suffix
+        if suffix and all(x in vocabulary and x + suffix in vocabulary for x in letters):
+            self.last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+        #: Parts that were asked for of late, and their ids; other words and theirs.
+        self.known, self.ids = pa.array([], pa.string()), _lists([])
+        self.others: dict[str, bytes] = {}
 
     def chain(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text) or any(t in text for t in self.added):
-            return self.chain(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+    def _other(self, word: str) -> bytes:
+        if (out := self.others.get(word)) is None:
+            if len(self.others) >= OTHERS:
+                self.others.clear()
+            self.others[word] = out = self.chain(word)
+        return out
+
+    def _model(self, parts: pa.StringArray) -> pa.ListArray:
+        """The ids of each part by the library's model."""
+        found = [_lists([])]
+        for at in range(0, len(parts), STEP):
+            some = parts.slice(at, STEP)
+            text = " ".join(some.to_pylist())
+            if not (text.isascii() and text.isprintable()):
+                text = text.encode().decode("latin-1").translate(self.letters)
+            (encoding,) = self.joined.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(encoding.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                found.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids)))
+            else:  # a vocabulary without ends
+                found.append(_lists([array("I", [t.id for t in self.whole.model.tokenize(x)]).tobytes() for x in text.split(" ")]))
+        return pa.concat_arrays(found)
+
+    def _known(self, parts: pa.StringArray) -> pa.ListArray:
+        """The ids of each of different parts. These are known from now on, and others as far as there is room."""
+        place = pc.fill_null(pc.index_in(parts, value_set=self.known), -1).to_numpy().copy()
+        new, idle = place < 0, np.ones(len(self.known), bool)
+        idle[place[~new]] = False
+        place[new] = len(self.known) + np.arange(new.sum())
+        found = pa.concat_arrays([self.ids, self._model(parts.filter(pa.array(new)))]).take(pa.array(place))
+        rest = pa.array(np.flatnonzero(idle)[: max(0, CACHED - len(parts))])
+        self.known = pa.concat_arrays([parts.slice(0, CACHED), self.known.take(rest)])
+        self.ids = pa.concat_arrays([found.slice(0, CACHED), self.ids.take(rest)])
+        return found
+
+    def _words(self, words: pa.StringArray) -> pa.ListArray:
+        """The ids of each word without rare characters: its parts tile it, and begin where the kind of characters changes."""
+        words = pc.utf8_lower(words)
+        at = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1] if len(words) else np.zeros(1, np.int32)
+        text = words.buffers()[2] or pa.py_buffer(b"")
+        data = np.frombuffer(text, np.uint8)[: at[-1]]
+        kind = _KINDS[data]
+        lead = np.flatnonzero(data >= 0xC0)  # these characters have two bytes
+        kind[lead] = kind[lead + 1] = _KINDS[(data[lead] & 31).astype(np.int32) << 6 | data[lead + 1] & 63]
+        begins = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == 2))[: len(data)]
+        begins[lead + 1] = False
+        begins[at[at < len(data)]] = True
+        for k in np.unique(np.searchsorted(at, np.flatnonzero(data == ord("'")), side="right") - 1).tolist():  # 's and the like
+            low, high = at[k : k + 2].tolist()
+            begins[low + 1 : high] = False
+            for part in _PARTS.findall(data[low:high].tobytes().decode())[:-1]:
+                low += len(part.encode())
+                begins[low] = True
+        starts = np.append(np.flatnonzero(begins), len(data)).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), text).dictionary_encode()
+        found = self._known(parts.dictionary).take(parts.indices)
+        return pa.ListArray.from_arrays(found.offsets.take(pa.array(np.searchsorted(starts, at))), found.values)
+
+    def encode(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end after each, and where each text's begin among them. A null text is an empty one."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        lines = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        words = lines.flatten().dictionary_encode()
+        rare = pc.match_substring_regex(words.dictionary, _RARE)
+        more = [self._other(w) for w in words.dictionary.filter(rare).to_pylist()]
+        whole = [self.chain(x) for x in texts.filter(odd).to_pylist()]
+        ids = pa.concat_arrays([self._words(words.dictionary.filter(pc.invert(rare))), _lists([*more, *whole, array("I", end).tobytes()])])
+        # the place of each word's ids: plain ones, rare ones, odd texts, the end
+        rare, odd = rare.to_numpy(zero_copy_only=False), odd.to_numpy(zero_copy_only=False)
+        place, last = np.argsort(np.argsort(rare, kind="stable"), kind="stable")[words.indices.to_numpy()], len(ids) - 1
+        after = lines.offsets.to_numpy()[1:]
+        tail = np.full((len(after), 2), last)
+        tail[odd, 0] = last - len(whole) + np.arange(len(whole))
+        use = np.column_stack([odd, np.ones(len(after), bool)])
+        place = np.insert(place, np.repeat(after, 2)[use.ravel()], tail[use])
+        found = ids.take(pa.array(place))
+        return found.values.to_numpy(), found.offsets.to_numpy()[np.append(0, after + np.cumsum(use.sum(1)))]
 
 
 #: The worker's encoder, for its tasks.
@@ -106,6 +182,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches of ids and texts, some BLOCK bytes of texts at once, or one row."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy())
+        cuts = [0, *(np.flatnonzero(np.diff(size // BLOCK)) + 1).tolist(), b.num_rows]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if low < high:
+                yield b.slice(low, high - low)
+
+
 def tokenize(docs: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, end: int = 0, with_ids: bool = False, special: bool = False, salted: bool = False) -> DataFrame:
     """Pieces of at most capacity ids: doc_id, piece, start, length, ids_crc32, and ids if asked for.
 
@@ -115,23 +201,34 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, id_column: str = "do
     """
     path = tokenizer or default_tokenizer()
     kind = docs.schema[id_column].dataType.simpleString()
-    step, last = 4 * capacity, array("I", [end]).tobytes()
-    more = ", ids array<int>" * with_ids + ", salt int" * salted
+    shape = _parse_datatype_string(f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids + ", salt int" * salted)
+    bound_batches(docs.sparkSession)
 
-    def start() -> Callable[..., Iterator[tuple]]:
-        coder, number = encoder(path, special), count()
-
-        def f(doc_id: int | None, text: str | None) -> Iterator[tuple]:
-            ids = coder.encode(text or "") + last
-            salt = next(number) % SALTS
-            for k, at in enumerate(range(0, len(ids), step)):
-                part = ids[at : at + step]
-                row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
-                yield (*row, *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else ()), *([salt] if salted else ()))
-
-        return f
-
-    return map_rows(docs, [id_column, text_column], f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{more}", start, _leave)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, into, rows = encoder(path, special), to_arrow_schema(shape), 0
+        try:
+            for b in blocks(batches):
+                ids, at = coder.encode(b.column(1), [end])
+                n = -(-np.diff(at) // capacity)
+                doc = np.repeat(np.arange(b.num_rows), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                low = at[doc] + piece * capacity
+                high = np.minimum(low + capacity, at[doc + 1])
+                cols = [b.column(0).take(pa.array(doc)), piece, low - at[doc], high - low, [zlib.crc32(ids[x:y]) for x, y in zip(low.tolist(), high.tolist(), strict=True)]]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(low, len(ids)), pa.int32()), pa.array(ids.astype(np.int32))))
+                if salted:
+                    cols.append((rows + doc) % SALTS)
+                rows += b.num_rows
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, into, strict=True)], schema=into)
+                del b, ids, at, cols
+                pa.default_memory_pool().release_unused()
+        finally:
+            del coder
+            _leave()
+            release()
+
+    return docs.select(F.col(f"`{id_column}`").alias("c0"), F.col(f"`{text_column}`").alias("c1")).mapInArrow(run, shape)
 
 
 @dataclass

@@ -1,8 +1,10 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from strandloom.llm import packing, queries
@@ -128,3 +130,64 @@ def test_added_tokens_of_the_query(spark, tmp_path):
     ids = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
     got = {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in queries.op1_best_fit_packing(spark, str(tmp_path)).collect()}
     assert got == {(k, a // 2048): (len(x[a : a + 2048]), zlib.crc32(np.array(x[a : a + 2048], "<u4").tobytes())) for k, x in enumerate(ids) for a in range(0, len(x), 2048)}
+
+
+def test_different_parts_meet_the_model_once():
+    """Words with other ends, cases and neighbours share their parts, in later batches too; each batch is one call or a few."""
+    coder = packing.Encoder(packing.default_tokenizer())
+    library, seen = coder.joined, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            seen.append(texts[0].split(" "))
+            return library.encode_batch_fast(texts, **more)
+
+    coder.joined = Counting()
+    stems = ["".join(chr(97 + k // 26**p % 26) for p in range(4)) for k in range(0, 26**4, 33)]
+    for end in (".", "!", ",;"):
+        coder.encode(pa.array([f"{x}{end} {x.upper()}{end}" for x in stems]), [0])
+        coder.encode(pa.array([f"({x.title()})-{x}" for x in stems]), [0])
+    parts = [p for call in seen for p in call]
+    assert len(parts) == len(set(parts)) == len(stems) + 5 and len(seen) <= 7 + len(stems) // packing.STEP
+
+
+def test_ids_equal_the_library(monkeypatch):
+    """Random texts in several batches, with few parts kept and few sent at once."""
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    rng = random.Random(5)
+    some = ["'s", "'S", "'ll", "''ve", "d'", "'", "l'eau", "x'st", "!'re", "Été", "ñ", "Ⱥb", "ȾȺ", "İi", "ſ", "µ½", "²", "½x", "12", "a1b", "_", "Æß", "e\u0301", "\u0301", "東京", "Ωσς", "😀", "\x00", "\x7f", "\xad", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", " ", "\n", "\t ", "<|endoftext|>", "</w>", "-", "...", "the", "THE", "Ing"]
+    for special in (False, True):
+        t.encode_special_tokens = not special
+        for cached, step in ((200_000, 1 << 11), (20, 3), (1, 1)):
+            monkeypatch.setattr(packing, "CACHED", cached)
+            monkeypatch.setattr(packing, "STEP", step)
+            coder = packing.Encoder(packing.default_tokenizer(), special)
+            for n in (0, 1, 40, 200):
+                texts = [None if rng.random() < 0.05 else "".join(rng.choices(some, k=rng.randint(0, 9))) for _ in range(n)]
+                ids, at = coder.encode(pa.array(texts, pa.string()), [0])
+                want = [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+                assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+                assert len(coder.known) == len(coder.ids) <= cached
+
+
+def test_parts_without_ends_of_words(tmp_path):
+    """A vocabulary without forms for the ends of words: parts go to the model one at a time."""
+    spec = json.loads(open(packing.default_tokenizer(), encoding="utf-8").read())
+    vocabulary = {x: k for k, x in enumerate([*packing._byte_letters(), "he", "hel"])}
+    spec["model"] |= {"end_of_word_suffix": None, "vocab": vocabulary, "merges": [["h", "e"], ["he", "l"]]}
+    spec["added_tokens"] = []
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    t = Tokenizer.from_file(str(tmp_path / "t.json"))
+    texts = ["Hello, hé hel x", "", "hehel 12"]
+    ids, at = packing.Encoder(str(tmp_path / "t.json")).encode(pa.array(texts), [7])
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*t.encode(x, add_special_tokens=False).ids, 7] for x in texts]
+
+
+def test_blocks(monkeypatch):
+    """Rows of a batch go on in order, none twice, a few bytes of texts at once; one that is larger by itself."""
+    monkeypatch.setattr(packing, "BLOCK", 10)
+    texts = ["a" * k for k in (3, 4, 0, 5, 30, 2, 9, 1)] + [None, "", "bb"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["c0", "c1"])
+    got = list(packing.blocks(iter([batch, batch.slice(0, 0), batch.slice(2, 1)])))
+    assert [r for b in got for r in b.column(0).to_pylist()] == [*range(len(texts)), 2]
+    assert len(got) > 4 and max(b.num_rows for b in got) < 6
