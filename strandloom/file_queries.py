@@ -11,7 +11,7 @@ from strandloom.operators import calibrate
 from strandloom.plans import demux, layout
 from strandloom.scratch import Scratch
 from strandloom.sources import sinks, tables
-from strandloom.sources.records import read_records
+from strandloom.sources.records import read_names, read_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Reads that calibration_files may use: fewer than its files have in each of the tables given.
@@ -23,7 +23,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.frame(spark, sf_dir, fixtures.READS).select("true_barcode").distinct()
+    return fixtures.barcodes(spark, sf_dir)
 
 
 def _text(spark: SparkSession, name: str, text: str) -> str:
@@ -128,7 +128,8 @@ def _written(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, int]]:
     """The folder of a whole run over FASTQ files of the mixed reads, and its counts."""
     scratch = Scratch(spark, "files")
     source, out = scratch.folder("in"), scratch.folder("out")
-    sinks.write_reads(_mixed(spark, sf_dir).select("id", "seq", "qual"), source)
+    # made as they are written: the files are what is read
+    sinks.write_reads(fixtures.made(spark, sf_dir, fixtures.MIXED).select("id", "seq", "qual"), source)
     plan = layout.kit("three", whitelist=_barcodes(spark, sf_dir).select(S.encode("true_barcode").alias("whitelist_bcs")), paths={"file": source, "output_dir": out})
     return out, demux.run(spark, plan)
 
@@ -142,7 +143,7 @@ def demux_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run from FASTQ to its output folder: lines of signatures and barcodes, and names of reads, with how often each is there."""
     out, _ = _written(spark, sf_dir)
     lines = [spark.read.text(f"{out}/{name}").select(F.lit(name).alias("output"), F.col("value").alias("line")) for name in ("sigsummary", "all_barcodes")]
-    names = read_records(spark, f"{out}/filtered_reads").select(F.lit("filtered_reads").alias("output"), F.col("id").alias("line"))
+    names = read_names(spark, f"{out}/filtered_reads").select(F.lit("filtered_reads").alias("output"), F.col("id").alias("line"))
     return lines[0].unionByName(lines[1]).unionByName(names).groupBy("output", "line").agg(F.count("*").alias("n"))
 
 

@@ -16,7 +16,8 @@ def write_reads(df: DataFrame, path: str, fmt: str = "fastq", mode: str = "error
     else:
         marked = df.select(F.max(F.col("id").contains(">"))).first()[0]
         out = df.select(F.concat(F.lit("" if marked else ">"), F.col("id"), F.lit("\n"), F.col("seq")).alias("value"))
-    out.write.mode(mode).option("compression", compression).text(path)
+    # gzip at its fastest: bases hardly compress beyond that
+    out.write.mode(mode).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def write_thresholds(null: DataFrame, path: str, mode: str = "overwrite") -> None:

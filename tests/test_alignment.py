@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import pytest
 
 from strandloom.functions import lanes
-from strandloom.functions.alignment import MODES, pairwise, Hits, cigar, global_path, infix, located, two_best
+from strandloom.functions.alignment import MODES, Texts, best_places, pairwise, Hits, cigar, global_path, infix, located, tails_of, two_best
 from strandloom.functions.sequence import flips
 from strandloom.operators.align import align_pairs
 
@@ -362,3 +363,36 @@ def test_starts_can_be_left_out(spark, monkeypatch):
     assert bare.where("aligned.starts IS NOT NULL").count() == 0
     monkeypatch.setattr(lanes, "starts", None)
     assert located(["ACGT"], ["TTACGTTT"], starts=False).end.tolist() == [5]
+
+
+def test_best_places_are_the_first_of_all_places():
+    """Exact ones, near ones, several equally near, none, empty texts, texts of several lengths, queries of a few bases and of many."""
+    r = random.Random(7)
+    base = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    for sizes in ((3, 9, 22), (22, 30, 70), (1, 64)):
+        queries = [base(n) for n in sizes]
+        texts = ["", "A", "NNNN", "é" * 3]
+        for _ in range(700):
+            t = base(r.choice((0, 3, 40, 41, 90)))
+            for q in r.sample(queries, r.randrange(len(queries) + 1)):
+                k = r.randrange(len(q))
+                t += r.choice((q, q[:k] + base(1) + q[k + 1 :], q[:k] + q[k + 1 :], q + q)) + base(r.randrange(9))
+            texts.append(t)
+        some = pa.array(["dropped", *texts, None]).slice(1)
+        lines = [t.encode() for t in [*texts, ""]]
+        for exact in (False, True):
+            want = np.stack([np.column_stack([(h := infix(q.encode(), lines)).distance, two_best(h, exact)]) for q in queries], axis=1)
+            got = best_places([q.encode() for q in queries], Texts.of(some), exact)
+            assert (got == want).all()
+            near = best_places([q.encode() for q in queries], Texts.of(some), exact, under=[4.0] * len(queries))
+            assert (near[:, :, :3] == want[:, :, :3]).all() and (near[want[:, :, 0] < 4] == want[want[:, :, 0] < 4]).all()
+
+
+def test_tails_by_doubled_windows_equal_counts():
+    r = random.Random(8)
+    texts = ["".join(r.choice("Tt" * 4 + "ACG") for _ in range(r.randrange(60))).encode() for _ in range(300)]
+    for window, least in ((16, 12), (6, 4), (1, 1)):
+        got = tails_of("T", Texts.joined(texts), window, least)
+        for t, (start, stop) in zip(texts, got.tolist(), strict=True):
+            at = [k for k in range(len(t) - window + 1) if t[k : k + window].upper().count(b"T") >= least]
+            assert (start, stop) == ((at[0] + 1, at[-1] + window) if at else (-1, -1))

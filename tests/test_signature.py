@@ -1,6 +1,10 @@
 import random
 
-from strandloom.operators import calibrate, correct, extract, signature
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from strandloom.operators import calibrate, correct, extract, onepass, signature
 from strandloom.plans import layout
 from strandloom.queries import BOUNDS
 
@@ -239,3 +243,34 @@ def test_correction_makes_its_whitelist_once(spark):
     reads = spark.createDataFrame([("@a", "A" * 16), ("@b", "A" * 15 + "C"), ("@c", "undecided")], "sig_id string, barcode string")
     got = correct.correct(reads, known).collect()
     assert sorted(r.barcode for r in got) == ["A" * 16, "A" * 16, "undecided"] and made.value == 50
+
+
+def test_parts_cut_in_a_batch_are_those_of_columns(spark):
+    """Of any pieces at any places, two inserts too; sequences with letters of several bytes; qualities that are short or missing."""
+    r = random.Random(11)
+    names, rows = [p.id for p in PLAN.layout], []
+    for k in range(1500):
+        n = r.choice((0, 40, 90))
+        seq = "".join(r.choice("ACGTNacgt" + "é" * (k % 3 == 0)) for _ in range(n))
+        place = lambda: sorted((r.randrange(-3, n + 4), r.randrange(-3, n + 4)))  # noqa: B023, E731
+        entries = [(name, 0, *place()) for name in names if r.random() < 0.8]
+        entries = [(name, 0, a, min(b, a + 30) if "barcode" in name else b) for name, _, a, b in entries]
+        if k % 2:
+            # both inserts long, barcode and tag within
+            entries = [(name, 0, *{"read": (3, 39), "rc_read": (n - 38, n), "barcode": (k % 5, 16), "rc_barcode": (n - 16, n - k % 3)}.get(name, (4, 15))) for name in names]
+        rows.append((f"@{k}", seq, r.choice(("I" * n, "I" * n, "I" * (n // 2), None, "é" * n)), entries, r.choice(signature.CATEGORIES)))
+    b = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows, strict=True))[:3]], names=["id", "seq", "qual"])
+    flat = [e for x in rows for e in x[3]]
+    a = onepass.Annotated(np.array([len(x[3]) for x in rows]), np.array([sorted(names, key=PLAN.orders.get).index(e[0]) for e in flat]), np.array([e[1:] for e in flat]).T, np.array([signature.CATEGORIES.index(x[4]) for x in rows]))
+    d = spark.createDataFrame(rows, f"id string, seq string, qual string, signature {signature.ENTRY}, category string")
+    for exact in (False, True):
+        cutter = onepass.Cutter.of(layout.kit("three", exact_coords=exact), {n: (v + 1.5, 0.5) for n, v in BOUNDS.items()})
+
+        class Told(onepass.Cutter):
+            def annotated(self, texts):
+                return a
+
+        want = extract.extract(d, exact).withColumn("code", correct.code_of("barcode")).select(F.substring_index("sig_id", "*", 1), "barcode", "code", "umi", "filtered_read", "filtered_qc").collect()
+        got = [x for x in Told(**cutter.__dict__).cut(b, 0).to_pylist() if x["barcode"] is not None]
+        assert sum(x["more"] for x in got) > 50
+        assert sorted(map(str, map(tuple, want))) == sorted(str((x["id"], x["barcode"], x["code"], x["umi"], x["filtered_read"], x["filtered_qc"])) for x in got)

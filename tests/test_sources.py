@@ -1,10 +1,12 @@
 import gzip
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom import fixtures, scratch
+from strandloom.functions import sequence as S
 from strandloom.plans import demux, layout
 from strandloom.sources import records, sinks, tables
 from strandloom.streaming import demux as stream
@@ -204,3 +206,57 @@ def test_parts_of_a_fixture_are_a_task_each(spark):
     assert sorted(rows.drop("part").collect()) == sorted(kept.collect())
     ordered = rows._jdf.queryExecution().optimizedPlan().outputOrdering()
     assert ordered.size() and "part" in ordered.apply(0).sql()
+
+
+def test_a_run_takes_reads_to_python_once(spark, tmp_path, monkeypatch):
+    """And leaves what the operators leave one after another, which it does without."""
+    sf = "/root/testdata/sf0.001"
+    reads = fixtures.frame(spark, sf, fixtures.MIXED).select("id", "seq", "qual")
+    odd = reads.where(F.crc32("id") % 10 == 0).withColumn("id", F.concat("id", F.lit("x*y and more"))).withColumn("seq", F.when(F.crc32("id") % 3 == 0, F.concat("seq", S.revcomp("seq"), F.substring("seq", 1, 70))).when(F.crc32("id") % 3 == 1, F.substring("seq", 21, 170)).otherwise(F.lower("seq"))).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    sinks.write_reads(reads.unionByName(odd).coalesce(3), f"{tmp_path}/reads")
+    plan = layout.kit("three", whitelist=fixtures.barcodes(spark, sf).select(S.encode("true_barcode").alias("whitelist_bcs")))
+    left, counts = {}, {}
+    for out in ("apart", "once", "sorted"):
+        with monkeypatch.context() as m:
+            if out == "apart":
+                m.setattr(demux.onepass.Cutter, "of", lambda *_: None)
+            else:
+                m.setattr(demux.extract, "extract", lambda *_: pytest.fail("cut a second time"))
+            if out == "sorted":
+                m.setattr(demux, "MOST_SENT", 0)
+            counts[out] = demux.run(spark, replace(plan, paths={"file": f"{tmp_path}/reads", "output_dir": f"{tmp_path}/{out}"}))
+        left[out] = [sorted(r.value for r in spark.read.text(f"{tmp_path}/{out}/{part}").collect()) for part in ("misalignment_distances", "sigsummary", "all_barcodes", "filtered_reads")]
+    assert left["apart"] == left["once"] == left["sorted"] and counts["apart"] == counts["once"] == counts["sorted"]
+    assert counts["once"]["kept"] > 1000 and counts["once"]["minilist"] + counts["once"]["hamming"] > 0
+
+
+def test_lines_are_framed_four_at_a_time(spark, tmp_path):
+    """Over batches that end anywhere, with empty lines between records, empty reads, cut files, and files in one task."""
+    texts = ["".join(f"@{f}{k} x\n{'ACG'[: k % 4]}\n+\n{'III'[: k % 4]}\n" + "\n" * (f == 1 and k % 5 == 0) for k in range(20)) + "@cut\nA\n" * (f == 2) for f in range(4)]
+    for f, text in enumerate(texts):
+        with gzip.open(f"{tmp_path}/{f}.fastq.gz", "wt") as file:
+            file.write(text)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (3, 7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = records.read_records(spark, str(tmp_path), full_id=True).select("id", "full_id", "seq", "qual", F.regexp_extract("file", "(.)[.]fastq", 1).alias("f")).collect()
+            assert sorted(map(tuple, got)) == sorted((f"@{f}{k}", f"@{f}{k} x", "ACG"[: k % 4], "III"[: k % 4], str(f)) for f in range(4) for k in range(20))
+            assert sorted(r.id for r in records.read_names(spark, str(tmp_path)).collect()) == sorted(r.id for r in got)
+            assert sorted(r.id for r in records.first_records(spark, f"{tmp_path}", 50, 3).collect()) == sorted([f"@{f}{k}" for f in (0, 1) for k in range(20)] + [f"@2{k}" for k in range(10)])
+            assert sorted(r.id for r in records.first_records(spark, f"{tmp_path}/1.fastq.gz", 15, 3).collect()) == sorted(f"@1{k}" for k in range(15))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_fixtures_are_made_as_their_sql_has_them(spark, tmp_path):
+    """With null and negative keys, and gaps."""
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_custkey").where("o_orderkey % 13 <> 4")
+    orders.select(F.expr("CASE WHEN o_orderkey % 50 = 7 THEN NULL WHEN o_orderkey > 1200 THEN -o_orderkey ELSE o_orderkey END").alias("o_orderkey"), F.expr("CASE WHEN o_orderkey % 31 = 5 THEN NULL ELSE o_custkey END").alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    orders = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    by_sql = lambda sql: spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=orders)
+    for sql in (fixtures.READS, fixtures.MIXED, fixtures.CHAINS):
+        got = fixtures.made(spark, str(tmp_path), sql)
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, by_sql(sql).collect()))
+    assert sorted(map(str, fixtures.barcodes(spark, str(tmp_path)).collect())) == sorted(map(str, by_sql(fixtures.READS).select("true_barcode").distinct().collect()))
