@@ -63,6 +63,40 @@ def _intervals(first: tuple[np.ndarray, ...], last: tuple[np.ndarray, ...]) -> t
     return lane[a], first[1][a], last[2][b], first[3][a] + last[3][b]
 
 
+def asked_of(bounds: dict[str, float]) -> list[str]:
+    """The primers that are looked for: those of a strand of which both have bounds."""
+    return [p for _, *both in ENDS if all(p in bounds for p in both) for p in both]
+
+
+def placed(texts: list[bytes], primers: dict[str, str], bounds: dict[str, float], asked: list[str]) -> tuple[np.ndarray, ...]:
+    """Rows, starts, stops (from 0), distances and strands (as places in ENDS) of texts' molecules, by row and start; see molecules()."""
+    places, parts = dict(zip(asked, places_of([(primers[p].encode(), int(bounds[p])) for p in asked], texts), strict=True)) if asked else {}, []
+    for k, (_, first, last) in enumerate(ENDS):
+        if first in places:
+            most = int(bounds[first] + bounds[last])
+            row, start, stop, distance = _intervals(places[first], places[last])
+            parts.append((row, start, stop, distance, most + 1 - distance, np.full(len(row), k)))
+    row, start, stop, distance, weight, strand = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 6
+    good = schedule(row, start, stop, weight, len(texts))
+    good = np.flatnonzero(good)[np.lexsort((start[good], row[good]))]
+    return row[good], start[good], stop[good], distance[good], strand[good]
+
+
+def parts_of(row: np.ndarray, stop: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of molecules by row and start the rows, begins (from 0) and sizes of what split() makes of texts of some lengths, in order."""
+    count = np.bincount(row, minlength=len(lengths))
+    several = np.flatnonzero(count[row] > 1)
+    lane, end = row[several], stop[several] + 1
+    last = np.append(lane[1:] != lane[:-1], True) if len(lane) else np.zeros(0, bool)
+    first = np.append(True, lane[1:] != lane[:-1]) if len(lane) else np.zeros(0, bool)
+    begin = np.where(first, 0, np.roll(end, 1))
+    size = np.where(last, lengths[lane], end) - begin
+    whole = np.flatnonzero(count < 2)
+    lane, begin, size = np.concatenate([whole, lane]), np.concatenate([np.zeros(len(whole), np.int64), begin]), np.concatenate([lengths[whole], size])
+    by = np.argsort(lane, kind="stable")
+    return lane[by], begin[by], size[by]
+
+
 def molecules(reads: DataFrame, plan: DemuxPlan, bounds: dict[str, float], seq: str = "seq", name: str = "molecules", keep: list[str] | None = None) -> DataFrame:
     """reads, or their columns keep, with an array of (strand, start, stop, distance): their molecules by start, as many as there are.
 
@@ -77,7 +111,7 @@ def molecules(reads: DataFrame, plan: DemuxPlan, bounds: dict[str, float], seq:
         reads = reads.select(*keep, *([] if seq in keep else [seq]))
     width = len(reads.columns if keep is None else keep)
     at = reads.columns.index(seq)
-    asked = [p for _, *both in ENDS if all(p in bounds for p in both) for p in both]
+    asked = asked_of(bounds)
     kind = "array<struct<strand: string, start: int, stop: int, distance: int>>"
     shape = StructType([*reads.schema.fields[:width], *_parse_datatype_string(f"`{name}` {kind}").fields])
 
@@ -85,19 +119,10 @@ def molecules(reads: DataFrame, plan: DemuxPlan, bounds: dict[str, float], seq:
         into = to_arrow_schema(shape)
         entry = into.field(len(into) - 1).type.value_type
         for b in batches:
-            texts, parts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()], []
-            places = dict(zip(asked, places_of([(primers[p].encode(), int(bounds[p])) for p in asked], texts), strict=True)) if asked else {}
-            for k, (_, first, last) in enumerate(ENDS):
-                if first in places:
-                    most = int(bounds[first] + bounds[last])
-                    row, start, stop, distance = _intervals(places[first], places[last])
-                    parts.append((row, start, stop, distance, most + 1 - distance, np.full(len(row), k)))
-            row, start, stop, distance, weight, strand = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 6
-            good = schedule(row, start, stop, weight, b.num_rows)
-            good = np.flatnonzero(good)[np.lexsort((start[good], row[good]))]
-            columns = [pa.array([e[0] for e in ENDS]).take(pa.array(strand[good])), *(pa.array((x[good] + shift).astype(np.int32)) for x, shift in ((start, 1), (stop, 1), (distance, 0)))]
+            row, start, stop, distance, strand = placed([t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()], primers, bounds, asked)
+            columns = [pa.array([e[0] for e in ENDS]).take(pa.array(strand)), *(pa.array((x + shift).astype(np.int32)) for x, shift in ((start, 1), (stop, 1), (distance, 0)))]
             filled = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, entry, strict=True)], fields=list(entry))
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[good], np.arange(b.num_rows + 1)).astype(np.int32)), filled)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)), filled)
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*b.columns[:width], lists], into, strict=True)], schema=into)
 
     return reads.mapInArrow(run, shape)

@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from strandloom.functions.alignment import Texts, best_places, tails_of
 from strandloom.functions.sequence import UNDECIDED
-from strandloom.operators import calibrate
+from strandloom.operators import calibrate, lookup, molecules
 from strandloom.operators.align import _spaced
 from strandloom.operators.extract import FIRST, FORWARD, LEAST_INSERT, REVERSE, SECOND
 from strandloom.operators.signature import CATEGORIES, Entry, _Batch, _Table, singly
@@ -256,3 +256,40 @@ def cut(reads: DataFrame, cutter: Cutter, least: int) -> DataFrame:
             yield cutter.cut(b, least)
 
     return reads.select("id", "seq", "qual").mapInArrow(run, CUT)
+
+
+def split_cells(reads: DataFrame, cutter: Cutter, plan: DemuxPlan, bounds: dict[str, float], least: int, known: lookup.Known | None = None) -> DataFrame:
+    """(barcode, umi, code) of what is cut out of reads (seq) that are split into their molecules; with known codes, of those alone.
+
+    As split(), the operators on signatures, and extract(), one after another, have them; parts aren't copied.
+    """
+    primers, asked = dict(plan.adapters), molecules.asked_of(bounds)
+    shape = StructType([StructField("barcode", StringType()), StructField("umi", StringType()), StructField("code", LongType())])
+    shared = None if known is None else reads.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = to_arrow_schema(shape)
+        for b in gathered(batches):
+            seq, texts = b.column(0), Texts.of(b.column(0))
+            data = texts.flat.tobytes()
+            row, _, stop, _, _ = molecules.placed([data[a : a + n] for a, n in zip(texts.begin.tolist(), texts.lengths.tolist(), strict=True)], primers, bounds, asked)
+            sizes = texts.lengths
+            if not data.isascii():
+                # letters of several bytes: parts are of letters
+                sizes = pc.fill_null(pc.utf8_length(seq), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            lane, begin, size = molecules.parts_of(row, stop, sizes)
+            long = size >= least
+            lane, begin, size = lane[long], begin[long], size[long]
+            if data.isascii():
+                texts = Texts(texts.flat, texts.begin[lane] + begin, size)
+            else:
+                seq = pieces(seq, lane, begin, size)
+                texts, size = Texts.of(seq), pc.utf8_length(seq).to_numpy(zero_copy_only=False).astype(np.int64)
+            barcode, code, umi = cutter.cells(seq, texts, size)
+            found = pa.RecordBatch.from_arrays([barcode.cast(pa.string()), umi.cast(pa.string()), code], schema=into)
+            if shared is not None:
+                has = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+                found = found.take(pa.array(has[shared.value.has(pc.fill_null(code, 0).to_numpy(zero_copy_only=False)[has])]))
+            yield found
+
+    return reads.select("seq").mapInArrow(run, shape)

@@ -396,3 +396,28 @@ def test_tails_by_doubled_windows_equal_counts():
         for t, (start, stop) in zip(texts, got.tolist(), strict=True):
             at = [k for k in range(len(t) - window + 1) if t[k : k + window].upper().count(b"T") >= least]
             assert (start, stop) == ((at[0] + 1, at[-1] + window) if at else (-1, -1))
+
+
+def test_cells_of_split_reads_are_cut_where_reads_lie(spark, monkeypatch):
+    """Reads of several molecules, of none, empty, null, with letters of several bytes: as split, annotated and cut one after another."""
+    from pyspark.sql import functions as F
+
+    from strandloom import fixtures, queries
+    from strandloom.plans import demux, layout
+
+    sf = "/root/testdata/sf0.001"
+    reads = fixtures.made(spark, sf, fixtures.CHAINS).select("id", "seq", "qual")
+    k = F.col("id").substr(3, 9).cast("int")
+    odd = F.when(k % 9 == 1, None).when(k % 9 == 2, "").when(k % 9 == 3, F.concat(F.lit("é"), "seq")).when(k % 9 == 4, F.translate("seq", "A", "N")).when(k % 9 == 5, F.substring("seq", 60, 400)).otherwise(F.col("seq"))
+    reads = spark.createDataFrame(reads.withColumn("seq", odd).collect(), reads.schema)
+    known = fixtures.barcodes(spark, sf).where("true_barcode > 'C'").select(demux.correct.encode("true_barcode").alias("whitelist_bcs"))
+    plan = layout.kit("three", whitelist=known)
+    count = lambda: sorted(map(tuple, demux.split_cell_counts(reads, plan, queries.STRICT, queries.NULL).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(demux.onepass.Cutter, "of", lambda *_: None)
+        want = count()
+    with monkeypatch.context() as m:
+        m.setattr(demux.molecules, "split", lambda *_: pytest.fail("parts are copied"))
+        got = count()
+        m.setattr(demux.lookup, "MOST_KNOWN", 0)
+        assert got == count() == want and len(want) > 50
