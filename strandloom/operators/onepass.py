@@ -19,7 +19,7 @@ from strandloom.operators.signature import CATEGORIES, Entry, _Batch, _Table, si
 from strandloom.plans.layout import DemuxPlan
 
 #: Reads and bytes that are worked on at once; smaller batches come together.
-READS, BYTES = 8192, 1 << 23
+READS, BYTES = 1 << 15, 1 << 24
 #: Bases of a barcode that make a code, at most.
 LONGEST = 31
 #: What cut() gives: each read's line and category, and what was cut, a row of its own for a second insert (more).

@@ -260,3 +260,10 @@ def test_fixtures_are_made_as_their_sql_has_them(spark, tmp_path):
         assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(str, got.collect())) == sorted(map(str, by_sql(sql).collect()))
     assert sorted(map(str, fixtures.barcodes(spark, str(tmp_path)).collect())) == sorted(map(str, by_sql(fixtures.READS).select("true_barcode").distinct().collect()))
+
+
+def test_calibration_opens_no_file_that_it_does_not_need(spark, tmp_path):
+    with gzip.open(f"{tmp_path}/a.fastq.gz", "wt") as file:
+        file.write("".join(f"@{k}\nACG\n+\nIII\n" for k in range(30)))
+    (tmp_path / "b.fastq.gz").write_bytes(b"no gzip")
+    assert sorted(r.id for r in records.first_records(spark, str(tmp_path), 30, 2).collect()) == sorted(f"@{k}" for k in range(30))
